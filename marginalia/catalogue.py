@@ -1,6 +1,8 @@
-"""The queries of the reference's own operators and their SQL."""
+"""The queries of the document operators and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from marginalia.plans import corpus, memory, structured
+
+QUERIES = corpus.QUERIES | structured.QUERIES | memory.QUERIES
+ORACLES = corpus.ORACLES | structured.ORACLES | memory.ORACLES

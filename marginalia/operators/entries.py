@@ -1,0 +1,88 @@
+"""Entries of the six memories: strict parse by section, inferred entries beside them, deduplicated, and the document record.
+
+Lines go to the memory that their section names.  Where a section's lines give no strict entry, list items are taken leniently;
+other lines stay as notes.  Statements elsewhere add inferred entries, at most BUDGET a document and kind, unless an entry of the same
+kind already stands on their line or says the same.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from marginalia.functions import fixed as X
+from marginalia.functions.lines import heading_kind, is_decorative, is_structural, list_item, ordinal, parse_action, parse_decision, parse_risk, parse_signal, parse_timeline, plain_content
+from marginalia.functions.text import content_tokens, infer_readiness, let, normalize_key, read_commitment, strip
+from marginalia.operators.inference import inferred, statements
+from marginalia.operators.statements import greedy
+from marginalia.operators.structure import headed_lines, sections, shape_kind
+
+BUDGET, MOST = 24, 100
+FIELDS = ("text", "label", "value", "delta", "trend", "implication", "because", "consequence", "severity", "mitigation", "title", "date", "state", "produces", "requires", "ref", "status", "commitment", "owner", "due")
+PARSERS = {
+    "signals": (parse_signal, {"text": "label", "label": "label", "value": "value", "delta": "delta", "trend": "trend", "implication": "implication"}),
+    "decisions": (parse_decision, {"text": "text", "ref": "ref", "status": "status", "commitment": "commitment", "because": "because"}),
+    "timeline": (parse_timeline, {"text": "title", "title": "title", "date": "date", "state": "state", "produces": "produces", "requires": "requires"}),
+    "risks": (parse_risk, {"text": "risk", "severity": "severity", "mitigation": "mitigation", "because": "because", "consequence": "consequence"}),
+    "actions": (parse_action, {"text": "task", "status": "status", "owner": "owner", "due": "due"}),
+}
+
+
+def _row(kind: str, entry: Column, fields: dict[str, str], how: str) -> Column:
+    """A parsed entry as a row of all FIELDS; null stays null."""
+    none = F.lit(None).cast("string")
+    row = lambda e: F.struct(F.lit(how).alias("method"), *[(e[fields[f]].cast("string") if f in fields else none).alias(f) for f in FIELDS])
+    return let(entry, lambda e: F.when(e.isNotNull(), row(e)))
+
+
+def placed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, line_no, line, section, kind): content lines with the memory of their section: by heading, else by shape."""
+    whole = Window.partitionBy(id, "section")
+    rows = headed_lines(docs, id, text).withColumn("title", F.max(F.col("heading")["text"]).over(whole)).where("heading is null").drop("heading")
+    by_title = F.when(F.col("section") == 0, "snapshot").otherwise(F.coalesce(heading_kind(F.col("title")), F.when(ordinal(F.col("title")).isNotNull(), "timeline")))
+    rows = rows.withColumn("kind", F.coalesce(by_title, shape_kind(F.col("line"), whole)))
+    return rows.where(~is_decorative(F.col("line")) & ~is_structural(F.col("line")))
+
+
+def strict(line: Column, kind: Column) -> Column:
+    """The entry that the parser of the line's memory reads, as a row of all FIELDS."""
+    return F.coalesce(*[F.when(kind == k, _row(k, parse(line), fields, "stated")) for k, (parse, fields) in PARSERS.items()])
+
+
+def lenient(line: Column, kind: Column) -> Column:
+    """A list item with the fields it has, for memories that have no date or number to insist on."""
+    plain = plain_content(line)
+    entry = let(plain, lambda t: F.when(list_item(line).isNotNull() & F.length(t).between(3, 300), F.struct(t.alias("text"), read_commitment(t).alias("commitment"), infer_readiness(t, list_item(line)["done"]).alias("status"))))
+    fields = {"signals": {"text": "text", "label": "text"}, "decisions": {"text": "text", "commitment": "commitment"}, "risks": {"text": "text"}, "actions": {"text": "text", "status": "status"}}
+    return F.coalesce(*[F.when(kind == k, _row(k, entry, f, "lenient")) for k, f in fields.items()])
+
+
+def entries(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, kind, idx, line_no, method, …FIELDS): idx counts from 0 inside a document's memory."""
+    rows = placed_lines(docs, id, text).where("kind is not null").withColumn("e", strict(F.col("line"), F.col("kind")))
+    told = F.max(F.col("e").isNotNull()).over(Window.partitionBy(id, "kind"))
+    rows = rows.withColumn("told", told).withColumn("e", F.when(F.col("told"), F.col("e")).otherwise(lenient(F.col("line"), F.col("kind"))))
+    found = rows.where("e is not null").select(id, "kind", "line_no", "e.*")
+    more = inferred(statements(docs, id, text), id)
+    more = more.withColumns({"method": F.lit("inferred"), "title": F.when(F.col("kind") == "timeline", F.col("text"))})
+    both = found.unionByName(more, allowMissingColumns=True)
+    by_line = Window.partitionBy(id, "kind", "line_no")
+    both = both.withColumn("_own", F.max(F.col("method") != "inferred").over(by_line)).where("method <> 'inferred' or not _own").drop("_own")
+    guess = F.col("method") == "inferred"
+    budget = Window.partitionBy(id, "kind", guess).orderBy("line_no", "text")
+    both = both.withColumn("_n", F.row_number().over(budget)).where(~guess | (F.col("_n") <= BUDGET)).drop("_n")
+    rank = F.when(guess, 1).otherwise(0)
+    item = F.struct(rank.alias("rank"), "line_no", normalize_key(F.col("text")).alias("key"), F.array_distinct(content_tokens(F.col("text"))).alias("tokens"), "method", *FIELDS)
+    # One document's entries of one kind: at most its lines and the budget.
+    lists = both.where(strip(F.coalesce("text", F.lit(""))) != "").groupBy(id, "kind").agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    kept = F.slice(greedy(F.col("xs")), 1, MOST)
+    return lists.select(id, "kind", F.posexplode(kept).alias("idx", "x")).select(id, "kind", "idx", "x.line_no", "x.method", *[F.col("x")[f].alias(f) for f in FIELDS])
+
+
+def snapshots(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, heading, summary, goal): the first heading, the first sentence of the preamble or snapshot sections, the first stated goal."""
+    rows = placed_lines(docs, id, text).where("kind = 'snapshot'")
+    first = rows.groupBy(id).agg(F.min_by(plain_content(F.col("line")), "line_no").alias("summary"), F.min_by(plain_content(F.col("line")), F.when(F.lower("line").rlike("goal|objective|aim|purpose|designed to"), F.col("line_no"))).alias("goal"))
+    heads = sections(docs, id, text).where("title is not null").groupBy(id).agg(F.min_by("title", "section").alias("heading"))
+    return docs.select(id).join(heads, id, "left").join(first, id, "left").select(id, "heading", "summary", "goal")

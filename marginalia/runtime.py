@@ -1,13 +1,14 @@
-"""Ships this package to the executors, so that their Python workers can import it wherever they run."""
+"""What every plan needs: this package on the executors, and intermediate tables that survive lost executors."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +25,19 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(out)
         _shipped.add(context.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where it is unset, as in tests."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="marginalia-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes `df` as a Parquet table in the shared folder and reads it back: what is read many times is computed once."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
