@@ -74,7 +74,7 @@ def pack(lengths: DataFrame, id: str = "doc_id", length: str = "n_tokens", windo
     rows = lengths.select(F.col(id).alias("_id"), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("_n"), F.monotonically_increasing_id().alias("_row"))
     rows = stored(rows, "lengths")
     parts = rows.select("_id", "_row", "_n", F.explode_outer(F.when(F.col("_n") > 0, F.sequence(F.lit(0), ((F.col("_n") - 1) / window).cast("int")))).alias("part"))
-    parts = parts.withColumn("start", F.col("part") * F.lit(window).cast("long")).withColumn("size", F.least(F.lit(window), F.col("_n") - F.col("start")))
+    parts = parts.withColumn("start", F.col("part") * F.lit(window).cast("long")).withColumn("size", F.when(F.col("part").isNotNull(), F.least(F.lit(window), F.col("_n") - F.col("start"))))
     histogram = {r["size"]: r["n"] for r in parts.where("size is not null").groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
     uppers = boundaries(histogram, buckets)
     counts = [0] * len(uppers)
