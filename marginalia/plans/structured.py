@@ -8,7 +8,7 @@ from marginalia.functions import fixed as X
 from marginalia.functions import lines as L
 from marginalia.functions.text import matches
 from marginalia.operators import statements, structure
-from marginalia.plans.fixtures import LINES_SQL, documents
+from marginalia.plans.fixtures import DOCUMENTS_SQL, LINES_SQL, documents
 from marginalia.sources import documents as sources
 
 QUERIES: dict = {}
@@ -83,12 +83,19 @@ def sections_running(spark, sf_dir):
     return structure.headed_lines(documents(spark), text="raw").select("doc_id", "line_no", "section")
 
 
-@query()
+_SECTIONED = "sx as (select *, cast(sum(case when text is not null then 1 else 0 end) over (partition by doc_id order by line_no) as int) as section from h)"
+_STRUCTURAL = r"(regexp_matches(trim(line), '^(=+|-{3,}|\*{3,}|_{3,})$') or starts_with(trim(line), '```') or regexp_matches(trim(line), '(?i)^<!--\s*(page|image):'))"
+
+
+@query(rf"""with {LINES_SQL}, {_HEADED}, {_KIND}, {_SECTIONED}, g as (select doc_id, section, max(text) as title, max(case when text is not null then level end) as level, max(case when text is not null then line_no end) as heading_line, min(case when text is null and trim(line) <> '' and not {_STRUCTURAL} then line_no end) as first_line, max(case when text is null and trim(line) <> '' and not {_STRUCTURAL} then line_no end) as last_line, count(*) filter (text is null and trim(line) <> '' and not {_STRUCTURAL}) as n_lines from sx group by doc_id, section)
+select g.doc_id, g.section, g.title, cast(g.level as int) as level, cast(heading_line as int) as heading_line, cast(first_line as int) as first_line, cast(last_line as int) as last_line, n_lines, case when section = 0 then 'snapshot' else coalesce(direct, direct2, longest, case when regexp_matches(key, '^as an?\s+') then 'actions' end, case when regexp_matches(trim(title), {sql(X.ORDINAL)}) then 'timeline' end) end as kind from g left join k2 on k2.doc_id = g.doc_id and k2.line_no = g.heading_line""")
 def sections(spark, sf_dir):
     return structure.sections(documents(spark), text="raw")
 
 
-@query()
+@query(rf"""with {LINES_SQL}, {_HEADED}, {_SECTIONED}, b as (select doc_id, section, regexp_matches(line, {sql(L.NUMBER)}) as numbered, case when regexp_matches(line, {sql(L.TASK)}) then trim(regexp_extract(line, {sql(L.TASK)}, 2)) when regexp_matches(line, {sql(L.BULLET)}) then trim(regexp_extract(line, {sql(L.BULLET)}, 1)) when regexp_matches(line, {sql(L.NUMBER)}) then trim(regexp_extract(line, {sql(L.NUMBER)}, 2)) else trim(line) end as body from sx where text is null and trim(line) <> ''),
+shape as (select doc_id, section, count(*) as total, count(*) filter (regexp_matches(body, {sql(X.RULE_LINE)})) as rules, count(*) filter (regexp_matches(body, {sql(X.RISK_LINE)})) as risks, count(*) filter (regexp_matches(body, {sql(X.MEASURED_LINE)})) as measured, count(*) filter (numbered) as numbered from b group by doc_id, section)
+select *, case when total >= 2 then case when risks / total >= 0.4 then 'risks' when measured / total >= 0.5 then 'signals' when rules / total >= 0.5 then 'decisions' when numbered / total >= 0.6 then 'actions' end end as shape_kind from shape""")
 def section_shapes(spark, sf_dir):
     return structure.shapes(documents(spark), text="raw")
 
@@ -132,7 +139,8 @@ def parse_actions(spark, sf_dir):
     return _parsed(spark, L.parse_action)
 
 
-@query()
+@query(rf"""with {DOCUMENTS_SQL}, c as (select doc_id, coalesce(raw, '') as t, regexp_replace(list_last(regexp_split_to_array(coalesce(label, ''), '[\\\\/]')), '[\x00-\x1f<>:"|?*]', '', 'g') as b from fixture)
+select doc_id, case when trim(b) = '' then 'Pasted notes' else left(trim(b), 120) end as clean_label, case when trim(t, e' \t\n\r') = '' then 'empty' when regexp_matches(ltrim(t, e' \t\n\r'), '^[\{{\[]') then 'json' else 'text' end as format, cast(octet_length(encode(t)) as bigint) as byte_length, case when trim(t, e' \t\n\r') = '' then 'input.empty' end as code from c""")
 def preflight_fixture(spark, sf_dir):
     out = sources.preflight(documents(spark)).withColumn("clean_label", sources.sanitize_label(F.col("label")))
     return out.select("doc_id", "clean_label", "format", "byte_length", F.get(F.col("diagnostics")["code"], F.lit(0)).alias("code"))

@@ -12,10 +12,10 @@ from marginalia.sources import json_source
 
 
 def test_statements_first_wins(spark):
-    docs = spark.createDataFrame([(1, "The gates open at dawn. The gates open at dawn!\nGates open at dawn today."), (2, None), (3, "")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "The gates open at dawn. The gates open at dawn!\nGates open at dawn for late ferries."), (2, None), (3, "")], "doc_id long, text string")
     assert {r["doc_id"]: (r["n_raw"], r["n_kept"], r["n_redundant"]) for r in statements.counts(docs).collect()} == {1: (3, 2, 1), 2: (0, 0, 0), 3: (0, 0, 0)}
     kept = statements.without_restatements(docs).collect()
-    assert [r["statement"] for r in kept] == ["The gates open at dawn.", "Gates open at dawn today."]
+    assert [r["statement"] for r in kept] == ["The gates open at dawn.", "Gates open at dawn for late ferries."]
 
 
 def test_segments_follow_the_state_table(spark):
