@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.bpe import Remembered
-from marginalia.llm.common import is_training_id, slices
+from marginalia.llm.common import discard, is_training_id, slices, stored
 
 DIMS = 1 << 18
 WORD = re.compile(r"[^\W\d_]+")
@@ -52,17 +52,32 @@ def _feature_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["f"])
 
 
-def sample(docs: DataFrame, labels: DataFrame, n: int, toxic: bool, id: str, text: str) -> list[np.ndarray]:
-    """Features of at most n training rows: those labelled toxic, or unlabelled ones."""
-    own = docs.select(F.col(id).alias("_id")).where(is_training_id(F.col("_id")))
-    if toxic:
-        ids = labels.where("toxic = 1").select(F.col(id).alias("_id")).where(is_training_id(F.col("_id"))).distinct()
-    else:
-        ids = own
-    ids = ids.orderBy(F.xxhash64("_id", F.lit(4)), "_id").limit(n)  # at most n ids, so they may be broadcast
+def sample(docs: DataFrame, labels: DataFrame, n: int, toxic: bool, id: str, text: str) -> DataFrame:
+    """(f array<int>): features of the training rows with at most n ids: those labelled toxic, or unlabelled ones."""
+    ids = labels.where("toxic = 1").select(F.col(id).alias("_id")).distinct() if toxic else docs.select(F.col(id).alias("_id")).where(is_training_id(F.col("_id")))
+    ids = ids.where(is_training_id(F.col("_id"))).orderBy(F.xxhash64("_id", F.lit(4)), "_id").limit(n)  # so few that they may be broadcast
     chosen = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids.distinct()), "_id", "left_semi")
-    rows = chosen.orderBy(F.xxhash64("_id", F.lit(4)), "_id").limit(n).select("_text").mapInArrow(_feature_rows, "f array<int>").toPandas()["f"]
-    return [np.asarray(r, dtype=np.int32) for r in rows]
+    return stored(chosen.select("_text").mapInArrow(_feature_rows, "f array<int>"), "toxicity-sample")
+
+
+def counted(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of the rows each feature occurs (DIMS numbers), and the number of rows."""
+    seen = np.zeros(DIMS, dtype=np.int64)
+    table = rows.select(F.explode("f").alias("i")).groupBy("i").count().toPandas()  # at most DIMS rows
+    seen[table["i"]] = table["count"]
+    return seen, rows.count()
+
+
+def marked(seen: np.ndarray, n: int, rest: np.ndarray, m: int, least: int = 5, lift: float = 3.0) -> np.ndarray:
+    """The features that are clearly more frequent in n positive rows than in m unlabelled ones."""
+    often, usual = seen / max(n, 1), (rest + 1) / (m + 1)
+    return np.flatnonzero((seen >= least) & (often >= lift * usual) & (often - usual >= 4 * np.sqrt(usual / max(n, 1))))
+
+
+def fetched(rows: DataFrame, ids: np.ndarray) -> list[np.ndarray]:
+    """The rows of a bounded sample, with the marked features alone."""
+    keep = F.array(*[F.lit(int(i)) for i in ids]) if len(ids) else F.array().cast("array<int>")
+    return [np.asarray(r, dtype=np.int32) for r in rows.select(F.array_intersect("f", keep).alias("f")).toPandas()["f"]]
 
 
 class Model:
@@ -76,15 +91,10 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(g, -50.0), 50.0))))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least: int = 5, lift: float = 3.0, steps: int = 200, rate: float = 0.1, decay: float = 5e-4) -> Model:
-    """Full-batch Adam on the non-negative risk with the logistic loss."""
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, ids: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 5e-4) -> Model:
+    """Full-batch Adam on the non-negative risk with the logistic loss, over the features `ids`."""
     if not positive or not unlabelled:
         return Model(np.zeros(0, int), np.zeros(0), -50.0)
-    seen = np.bincount(np.concatenate(positive), minlength=DIMS)
-    rest = np.bincount(np.concatenate(unlabelled), minlength=DIMS)
-    often, usual = seen / len(positive), (rest + 1) / (len(unlabelled) + 1)
-    chance = np.sqrt(usual / len(positive))
-    ids = np.flatnonzero((seen >= least) & (often >= lift * usual) & (often - usual >= 4 * chance))
     column = np.full(DIMS, -1)
     column[ids] = np.arange(len(ids))
 
@@ -120,7 +130,12 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """From rows whose crc32(id as text) mod 5 is not 0 alone."""
     learn = labels.where(is_training_id(F.col(id)) & F.col("toxic").isNotNull())
     prior = learn.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    return fit(sample(docs, learn, positives, True, id, text), sample(docs, learn, unlabelled, False, id, text), min(max(prior, 1e-3), 0.9))
+    p, u = sample(docs, learn, positives, True, id, text), sample(docs, learn, unlabelled, False, id, text)
+    (seen, n), (rest, m) = counted(p), counted(u)
+    ids = marked(seen, n, rest, m)
+    model = fit(fetched(p, ids), fetched(u, ids), min(max(prior, 1e-3), 0.9), ids)
+    discard(p), discard(u)
+    return model
 
 
 def score_column(spark, model: Model, text: Column) -> Column:

@@ -43,9 +43,12 @@ def test_toxicity_on_held_out_labels(spark):
 def test_corrected_risk_learns_from_positives_and_unlabelled():
     g = np.random.default_rng(0)
     word = lambda bad: np.unique(np.r_[g.integers(0, 300, 20), 999 if bad else 998]).astype(np.int32)
-    model = toxicity.fit([word(True) for _ in range(200)], [word(g.random() < 0.1) for _ in range(1000)], 0.1)
+    p, u = [word(True) for _ in range(200)], [word(g.random() < 0.1) for _ in range(1000)]
+    count = lambda rows: np.bincount(np.concatenate(rows), minlength=toxicity.DIMS)
+    ids = toxicity.marked(count(p), len(p), count(u), len(u))
+    model = toxicity.fit(p, u, 0.1, ids)
     assert set(model.weights) == {999} and model.weights[999] + model.bias > 0 > model.bias
-    assert toxicity.fit([], [word(False)], 0.1).score("anything") < 1e-9
+    assert toxicity.fit([], [word(False)], 0.1, ids).score("anything") < 1e-9
 
 
 def test_toxicity_edges(spark, docs, none):
