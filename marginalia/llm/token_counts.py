@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from marginalia.llm.bpe import SEPARATORS, Remembered, byte_letters
 from marginalia.llm.common import slices
 
+#: Pieces and stretches that one worker remembers, in two generations of this many small numbers.
+MEMORY = 400_000
 WHITE = "\t-\r \x85\xa0  -     　"
 
 
@@ -47,16 +49,22 @@ class PrefixCounter:
             self.merges[number[a] << 20 | number[b]] = new
         # Tokens whose own encoding is another one never occur.
         self.number = {t: i for t, i in number.items() if i < 256 or self.may_follow(*self.parts[i], i)}
-        self.longest = max(map(len, self.number))
+        self.trie: dict = {}
+        for token, i in self.number.items():
+            node = self.trie
+            for byte in token:
+                node = node.setdefault(byte, {})
+            node[-1] = i
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.piece_re = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         # Pieces never run from a letter into white space, so these chunks can be counted apart.
         self.chunk_re = regex.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self.fast_re = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+        self.simple_re = re.compile("( ?[A-Za-z]+)([.,;:!?]*)")
         self.white = {chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}
         self.seams: dict[int, bool] = {}
-        self.pieces, self.chunks = Remembered(lambda p: self.counts(p.encode())[-1]), Remembered(self._chunk)
+        self.pieces, self.chunks = Remembered(lambda p: self.counts(p.encode())[-1], MEMORY), Remembered(self._chunk, MEMORY)
 
     def may_follow(self, left: int, right: int, below: int = 1 << 30) -> bool:
         """No merge across the seam happens, among merges older than `below`."""
@@ -77,30 +85,37 @@ class PrefixCounter:
                 right = parts[right][0]
 
     def counts(self, raw: bytes) -> list[int]:
-        """Token counts of the prefixes of one piece: 0 bytes, 1 byte and so on."""
-        number, seams, longest = self.number, self.seams, self.longest
+        """Token counts of the prefixes of one piece: 0 bytes, 1 byte and so on.
+
+        From each place the tokens that start there are found in a trie; one of them is the last token of its prefix if it may follow
+        the last token before it, and exactly one may.
+        """
+        seams, trie = self.seams, self.trie
         n = len(raw)
         count, last = [0] * (n + 1), [-1] * (n + 1)
-        for i in range(1, n + 1):
-            for at in range(max(0, i - longest), i):
-                token = number.get(raw[at:i])
-                if token is None:
-                    continue
-                if at:
-                    key = last[at] << 20 | token
-                    fits = seams.get(key)
-                    if fits is None:
-                        if len(seams) > 1_000_000:
-                            seams.clear()
-                        fits = seams[key] = self.may_follow(last[at], token)
-                    if not fits:
-                        continue
-                count[i], last[i] = count[at] + 1, token
-                break
+        for at in range(n):
+            before, next_count, node = last[at] << 20, count[at] + 1, trie
+            for j in range(at, n):
+                node = node.get(raw[j])
+                if node is None:
+                    break
+                if last[j + 1] < 0 and (token := node.get(-1)) is not None:
+                    if at:
+                        fits = seams.get(before | token)
+                        if fits is None:
+                            if len(seams) > 1_000_000:
+                                seams.clear()
+                            fits = seams[before | token] = self.may_follow(last[at], token)
+                        if not fits:
+                            continue
+                    count[j + 1], last[j + 1] = next_count, token
         return count
 
     def _chunk(self, chunk: str) -> int:
         pieces = self.pieces
+        if m := self.simple_re.fullmatch(chunk):
+            word, end = m.groups()
+            return pieces[word] + pieces[end] if end else pieces[word]
         return sum([pieces[p] for p in self.piece_re.findall(chunk)])
 
     def count(self, text: str | None) -> int:
