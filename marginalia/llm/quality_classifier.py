@@ -19,37 +19,32 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.bpe import Remembered
 from marginalia.llm.common import slices
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
 
-_hashes = Remembered(lambda w: zlib.crc32(w), 300_000)
-
 
 def grams(text: str | None) -> np.ndarray:
     """Buckets of all 1- and 2-grams of a whole text."""
-    ids = _hashes
-    one = np.array([ids[w] for w in (text or "").encode().split()], dtype=np.uint64)
+    words = (text or "").encode().split()
+    one = np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
     two = (one[:-1] * np.uint64(0x9E3779B1) + one[1:] * np.uint64(0x85EBCA6B) + np.uint64(1)) >> np.uint64(7)
-    return np.concatenate([one, two]) % np.uint64(BUCKETS)
+    return (np.concatenate([one, two]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of one task: a row for each bucket."""
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in slices(batches):
-        for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n = np.bincount(grams(text).astype(np.int64), minlength=0)
-            raw[: len(n)] += n
-            if own:
-                target[: len(n)] += n
+    for batch in slices(batches, 64):
+        rows = [grams(text) for text in batch.column(0).to_pylist()]
+        raw += np.bincount(np.concatenate(rows), minlength=BUCKETS)
+        if good := [n for n, own in zip(rows, batch.column(1).to_pylist(), strict=True) if own]:
+            target += np.bincount(np.concatenate(good), minlength=BUCKETS)
     at = np.flatnonzero(raw)
     for k in range(0, len(at), 10_000):
         part = at[k : k + 10_000]
@@ -74,10 +69,10 @@ def weight_column(spark, model: np.ndarray, text: Column) -> Column:
     """The log importance weight of a whole text."""
     held = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def weight(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def weight(texts: pa.Array) -> pa.Array:
         m = held.value
-        return pd.Series([float(m[grams(t).astype(np.int64)].sum()) for t in texts], dtype="float64")
+        return pa.array([float(m[grams(t.as_py())].sum()) for t in texts], pa.float64())
 
     return weight(text)
 

@@ -18,7 +18,6 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +36,7 @@ def _of_word(word: str) -> tuple[int, ...]:
     return tuple({zlib.crc32(x.encode()) % DIMS for x in (word, *("^" + word[:n] for n in STARTS if len(word) >= n))})
 
 
-_ids = Remembered(_of_word, 150_000)
+_ids = Remembered(_of_word, 30_000)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -82,11 +81,19 @@ def fetched(rows: DataFrame, ids: np.ndarray) -> list[np.ndarray]:
 
 class Model:
     def __init__(self, ids: np.ndarray, weights: np.ndarray, bias: float) -> None:
-        self.weights, self.bias = dict(zip(ids.tolist(), weights.tolist(), strict=True)), bias
+        self.__setstate__((dict(zip(ids.tolist(), weights.tolist(), strict=True)), bias))
+
+    def __getstate__(self):
+        return self.weights, self.bias
+
+    def __setstate__(self, state) -> None:
+        self.weights, self.bias = state
+        # Words with their features in the model, mostly none: a worker drops this memo together with the model.
+        self.known = Remembered(lambda w: tuple([i for i in _of_word(w) if i in self.weights]), 100_000)
 
     def score(self, text: str | None) -> float:
-        weights, ids = self.weights, _ids
-        found = weights.keys() & set().union(*[ids[w] for w in set(WORD.findall((text or "").lower()))])
+        weights, known = self.weights, self.known
+        found = set().union(*[known[w] for w in set(WORD.findall((text or "").lower()))])
         g = self.bias + sum([weights[i] for i in sorted(found)])
         return float(1 / (1 + np.exp(-min(max(g, -50.0), 50.0))))
 
@@ -142,10 +149,10 @@ def score_column(spark, model: Model, text: Column) -> Column:
     """The score of a whole text, 0 to 1."""
     held = spark.sparkContext.broadcast(model)  # at most DIMS weights
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         m = held.value
-        return pd.Series([m.score(t) for t in texts], dtype="float64")
+        return pa.array([m.score(t.as_py()) for t in texts], pa.float64())
 
     return score(text)
 
