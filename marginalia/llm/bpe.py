@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from marginalia.llm.common import slices
+from marginalia.llm.common import held, slices
 
 #: White space to Python alone.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -178,14 +178,9 @@ class WordBpe:
         return " ".join([strings[i] for i in ids])
 
 
-_loaded: dict[str, WordBpe] = {}
-
-
 def loaded(path: str) -> WordBpe:
     """One tokenizer for each worker process and path."""
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+    return held(("words", path), lambda: WordBpe(path))
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """The one large object of a worker process, made on first use.
+
+    Spark reuses its workers, so what operators remember would add up in a session; here each takes the place of the last.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
+
+
 def is_training_id(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5, is not 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import slices
+from marginalia.llm.common import held, slices
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
@@ -39,6 +39,7 @@ def grams(text: str | None) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of one task: a row for each bucket."""
+    held("quality", dict)
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in slices(batches, 64):
         rows = [grams(text) for text in batch.column(0).to_pylist()]
@@ -67,11 +68,12 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
 def weight_column(spark, model: np.ndarray, text: Column) -> Column:
     """The log importance weight of a whole text."""
-    held = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def weight(texts: pa.Array) -> pa.Array:
-        m = held.value
+        held("quality", dict)  # nothing to remember here: only the objects of earlier operators go
+        m = shared.value
         return pa.array([float(m[grams(t.as_py())].sum()) for t in texts], pa.float64())
 
     return weight(text)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import components, slices, stored
+from marginalia.llm.common import components, held, slices, stored
 
 #: Parity masks of the Hamming code: bit p - 1 belongs to check j if p has bit j.
 _CHECKS = [sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1) for j in range(5)]
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     """`keep` columns and `fingerprint` long of every whole text.  A map without any shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash", dict)
         for batch in slices(batches):
             out = [fingerprint(t, width) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.int64())], names=[*keep, "fingerprint"])

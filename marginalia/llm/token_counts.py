@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from marginalia.llm.bpe import SEPARATORS, Remembered, byte_letters
-from marginalia.llm.common import slices
+from marginalia.llm.common import held, slices
 
 #: Pieces and stretches that one worker remembers, in two generations of this many small numbers.
 MEMORY = 400_000
@@ -166,13 +166,8 @@ class PrefixCounter:
         return max(i for i, n in enumerate(self.prefix_counts(text)) if n <= budget)
 
 
-_loaded: dict[str, PrefixCounter] = {}
-
-
 def loaded(path: str) -> PrefixCounter:
-    if path not in _loaded:
-        _loaded[path] = PrefixCounter(path)
-    return _loaded[path]
+    return held(("prefixes", path), lambda: PrefixCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.bpe import Remembered
-from marginalia.llm.common import discard, is_training_id, slices, stored
+from marginalia.llm.common import discard, held, is_training_id, slices, stored
 
 DIMS = 1 << 18
 WORD = re.compile(r"[^\W\d_]+")
@@ -36,12 +36,9 @@ def _of_word(word: str) -> tuple[int, ...]:
     return tuple({zlib.crc32(x.encode()) % DIMS for x in (word, *("^" + word[:n] for n in STARTS if len(word) >= n))})
 
 
-_ids = Remembered(_of_word, 30_000)
-
-
 def features(text: str | None) -> np.ndarray:
     """The hashed distinct words of a whole text, in order."""
-    ids = _ids
+    ids = held("toxicity", lambda: Remembered(_of_word, 30_000))
     return np.array(sorted(set().union(*[ids[w] for w in set(WORD.findall((text or "").lower()))])), dtype=np.int32)
 
 
@@ -147,11 +144,12 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
 def score_column(spark, model: Model, text: Column) -> Column:
     """The score of a whole text, 0 to 1."""
-    held = spark.sparkContext.broadcast(model)  # at most DIMS weights
+    model_value = spark.sparkContext.broadcast(model)  # at most DIMS weights
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        m = held.value
+        m = model_value.value
+        held("toxicity", lambda: Remembered(_of_word, 30_000))
         return pa.array([m.score(t.as_py()) for t in texts], pa.float64())
 
     return score(text)
