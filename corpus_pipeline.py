@@ -1,4 +1,4 @@
-"""A corpus pipeline of four operators: toxicity, quality classifier, SimHash near-dedup, packing.
+"""A corpus pipeline of four operators: toxicity, quality classifier, near-dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents.  The tables
 between two stages are written as Parquet and read again, so a lost executor costs one stage at most.
@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import packing, quality_classifier, simhash, toxicity
+from marginalia.llm import near_copies, packing, quality_classifier, toxicity
 from marginalia.llm.common import stored, table
 from marginalia.runtime import ship
 
@@ -32,10 +32,10 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays; rows that repeat it go as well."""
+    """Of each component of near copies (five-word similarity of at least 0.8) the row with the least id stays."""
     ship(spark)
-    groups = simhash.near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return rows.join(near_copies.kept_rows(rows), "_row", "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("toxicity", drop_toxic), ("quality_classifier", drop_low_quality), ("simhash_dedup", drop_near_copies), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("quality_classifier", drop_low_quality), ("near_dedup", drop_near_copies), ("packing", pack)]
 ORACLE_SQL = None
 
 

@@ -2,10 +2,11 @@
 
 import random
 
+import corpus_pipeline
 import numpy as np
 import xxhash
 
-from marginalia.llm import embedding_dedup, simhash
+from marginalia.llm import embedding_dedup, near_copies, simhash
 from marginalia.llm.common import Forest, components
 
 
@@ -120,3 +121,31 @@ def test_embeddings(spark):
         assert odd == {900: (0, 900), 901: (0, 901), 902: (0, 902), 903: (0, 903), 904: (2, 904), 905: (2, 904)}
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_duplicates(empty).count() == 0
+
+
+def test_pipeline_keeps_one_of_each_near_copies(spark):
+    """Rewritten copies around similarity 0.8, against brute force over all pairs."""
+    r = random.Random(4)
+    texts = []
+    for _ in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice([4, 40, 200, 600]))]
+        for _ in range(r.randint(1, 6)):
+            texts.append(" ".join(words))
+            words = list(words)
+            for _ in range(r.randint(0, len(words) // 40)):
+                words[r.randrange(len(words))] = f"v{r.randrange(5000)}"
+    texts += [None, "", " ", "one", "ONE"]
+
+    def plain(t):
+        words = (t or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, forest = [plain(t) for t in texts], Forest()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 10 * len(a & b) >= 8 * len(a | b):
+                forest.join(i, j)
+    want = {i for i in range(len(texts)) if forest.find(i) == i}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = [x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(got) == sorted(want) and len(want) < len(texts)
