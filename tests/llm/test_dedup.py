@@ -149,3 +149,11 @@ def test_pipeline_keeps_one_of_each_near_copies(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = [x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert sorted(got) == sorted(want) and len(want) < len(texts)
+
+
+def test_pipeline_keeps_rows_not_ids(spark):
+    """Null ids, and one id with two texts of which one is a copy of a smaller id's."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (None, c), (None, d), (None, a), (3, b), (2, b)], "doc_id long, text string")
+    got = [(x["doc_id"], x["text"]) for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(got, key=lambda x: x[1]) == [(1, a), (2, b), (None, c), (None, d)]
