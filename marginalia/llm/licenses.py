@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import slices
 
-#: Sentences of public licences and the usual notices.
+#: Sentences of public licences and the usual notices; * stands for the holders' names, at most HOLDERS words.
 SENTENCES = {
     "mit-notice": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "SPDX-License-Identifier: MIT"],
     "mit-title": ["The MIT License (MIT)", "The MIT License", "MIT License"],
@@ -38,6 +38,17 @@ SENTENCES = {
     "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "bsd-endorsement": ["Neither the name of * may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "mpl-grant": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "mpl-notice": ["Licensed under the Mozilla Public License, Version 2.0", "Released under the Mozilla Public License, Version 2.0", "Licensed under the Mozilla Public License 2.0", "Released under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "lgpl-grant-3": [f"This {x} is free software{c} you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation{d} either version 3 of the License, or (at your option) any later version." for x, c, d in (("library", ";", ";"), ("program", ":", ","))],
+    "lgpl-grant-21": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "lgpl-warranty": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "lgpl3-notice": ["Licensed under the GNU Lesser General Public License, version 3", "Released under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "agpl-grant-3": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl3-notice": ["Licensed under the GNU Affero General Public License, version 3", "Released under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "unlicense-grant": ["This is free and unencumbered software released into the public domain."],
+    "unlicense-notice": ["Released under the Unlicense", "Licensed under the Unlicense", "SPDX-License-Identifier: Unlicense"],
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "cc-by-nc-4-notice": ["Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0", "Released under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by-4-notice": ["Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0", "Released under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
@@ -54,6 +65,15 @@ RULES = (
     ("gpl-3-grant", "GPL-3.0-or-later", ("gpl-grant-3",)),
     ("gpl-2-header", "GPL-2.0-or-later", ("gpl-grant-2", "gpl-warranty")),
     ("gpl-2-grant", "GPL-2.0-or-later", ("gpl-grant-2",)),
+    ("lgpl-3-header", "LGPL-3.0-or-later", ("lgpl-grant-3", "lgpl-warranty")),
+    ("lgpl-3-grant", "LGPL-3.0-or-later", ("lgpl-grant-3",)),
+    ("lgpl-2-1-header", "LGPL-2.1-or-later", ("lgpl-grant-21", "lgpl-warranty")),
+    ("lgpl-2-1-grant", "LGPL-2.1-or-later", ("lgpl-grant-21",)),
+    ("agpl-3-header", "AGPL-3.0-or-later", ("agpl-grant-3", "gpl-warranty")),
+    ("agpl-3-grant", "AGPL-3.0-or-later", ("agpl-grant-3",)),
+    ("mpl-2-header", "MPL-2.0", ("mpl-grant",)),
+    ("unlicense-text", "Unlicense", ("unlicense-grant",)),
+    ("bsd-3", "BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorsement")),
     ("bsd-2", "BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("isc-text", "ISC", ("isc-grant",)),
     ("mit-notice", "MIT", ("mit-notice",)),
@@ -62,10 +82,12 @@ RULES = (
     ("cc-by-nc-4-notice", "CC-BY-NC-4.0", ("cc-by-nc-4-notice",)),
     ("cc-by-4-notice", "CC-BY-4.0", ("cc-by-4-notice",)),
     ("cc0-notice", "CC0-1.0", ("cc0-notice",)),
+    ("mpl-2-notice", "MPL-2.0", ("mpl-notice",)),
+    ("lgpl-3-notice", "LGPL-3.0-only", ("lgpl3-notice",)),
+    ("agpl-3-notice", "AGPL-3.0-only", ("agpl3-notice",)),
+    ("unlicense-notice", "Unlicense", ("unlicense-notice",)),
 )
-#: Every known sentence has one of these; texts without any are not read.
-ANCHORS = "licen[sc]|permission|copyright|warrant|free software|redistribut|under cc"
-GAP = 12
+GAP, HOLDERS = 12, 40
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 END = re.compile(r"[\n.;:!?]")
 
@@ -74,14 +96,44 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def form_of(sentence: str) -> tuple[str, ...]:
+    return tuple(w for k, part in enumerate(sentence.split("*")) for w in ["*"] * (k > 0) + words_of(part))
+
+
 KNOWN: dict[tuple[str, ...], list[tuple[tuple[str, ...], str]]] = {}
 for _name, _forms in SENTENCES.items():
-    for _form in _forms:
-        KNOWN.setdefault(tuple(words_of(_form)[:2]), []).append((tuple(words_of(_form)), _name))
+    for _form in map(form_of, _forms):
+        KNOWN.setdefault(_form[:2], []).append((_form, _name))
 for _forms in KNOWN.values():
     _forms.sort(key=lambda x: -len(x[0]))
 
 
+def _starts(forms: list[tuple[str, ...]], depth: int = 4) -> str:
+    """A pattern of the first words of the forms, whatever stands between two words."""
+    if depth == 0 or any(not f or f[0] == "*" for f in forms):
+        return ""
+    by: dict[str, list[tuple[str, ...]]] = {}
+    for f in forms:
+        by.setdefault(f[0], []).append(f[1:])
+    rest = {w: _starts(fs, depth - 1) for w, fs in sorted(by.items())}
+    return "(?:" + "|".join(re.escape(w) + (r"[\W_]+" + r if r else "") for w, r in rest.items()) + ")"
+
+
+#: The first words of the known sentences; texts with none of these are not read.  What the matcher takes always passes.
+ANCHORS = "(?<![a-z0-9])" + _starts([f for forms in KNOWN.values() for f, _ in forms])
+
+
+def _length(words: list[str], form: tuple[str, ...]) -> int:
+    """Of the words from the start of a form, how many it takes; 0: it doesn't follow."""
+    k = form.index("*") if "*" in form else len(form)
+    if tuple(words[:k]) != form[:k]:
+        return 0
+    if k == len(form):
+        return k
+    tail = form[k + 1 :]
+    return next((at + len(tail) for at in range(k + 1, k + 1 + HOLDERS) if tuple(words[at : at + len(tail)]) == tail), 0)
+
+
 def sentences(text: str) -> list[tuple[str, int, int, int, int]]:
     """(identifier, start, end, first word, word after) of the known sentences of a whole text, in order."""
     low = text.lower()
@@ -94,8 +146,7 @@ def sentences(text: str) -> list[tuple[str, int, int, int, int]]:
         free = False
         if begins and i + 1 < len(spots):
             for form, name in KNOWN.get((spots[i][0], spots[i + 1][0]), ()):
-                n = len(form)
-                if all(i + k < len(spots) and spots[i + k][0] == w for k, w in enumerate(form)):
+                if n := _length([w for w, _, _ in spots[i : i + len(form) + HOLDERS]], form):
                     out.append((name, spots[i][1], spots[i + n - 1][2], i, i + n))
                     i, free = i + n, True
                     break

@@ -119,6 +119,28 @@ def test_licences_of_documents(spark, docs, none, corpus):
     assert all(re.search(licenses.ANCHORS, form.lower()) for forms in licenses.SENTENCES.values() for form in forms)
 
 
+def test_licences_of_wrapped_lines(spark):
+    """What the matcher takes passes the filter before it, whatever stands between two words."""
+    forms = [(form.replace(" ", gap), form) for forms in licenses.SENTENCES.values() for form in forms for gap in ("\n", "  ", "\t# ", "_", "\u00a0", " \u2028 ")]
+    forms += [("RELEASED\nUNDER\nCC BY 4.0", ""), ("L\u0130CENSED UNDER CC BY 4.0", "")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(forms)], "doc_id long, text string")
+    got = {(r["doc_id"], r["license"], r["start"], r["end"]) for r in licenses.scans(docs).collect()}
+    assert got == {(i, m[0], m[2], m[3]) for i, (t, _) in enumerate(forms) for m in licenses.scan(t)}
+    assert {m[0] for m in licenses.scan("Released under\nCC BY 4.0")} == {"CC-BY-4.0"} and len(got) > 200
+
+
+def test_licence_families():
+    text = lambda *names: "\n\n".join(licenses.SENTENCES[n][0] for n in names)
+    rules = lambda t: [a for a, *_ in licenses.scan(t)]
+    bsd = ("bsd-grant", "bsd-source", "bsd-binary")
+    assert rules(text(*bsd)) == ["BSD-2-Clause"] and rules(text(*bsd, "bsd-endorsement").replace("*", "its owner")) == ["BSD-3-Clause"]
+    numbered = "\n".join(f"{i}. {licenses.SENTENCES[n][0]}" for i, n in enumerate((*bsd[1:], "bsd-endorsement"), 1))
+    for holder in ("the copyright holder nor the names of its contributors", "Some University nor the\nnames of its contributors"):
+        assert rules(text("bsd-grant") + "\n" + numbered.replace("*", holder)) == ["BSD-3-Clause"]
+    assert rules(text("agpl-grant-3", "gpl-warranty")) == ["AGPL-3.0-or-later"] and rules(text("lgpl-grant-21", "lgpl-warranty")) == ["LGPL-2.1-or-later"]
+    assert rules(text("mpl-grant")) == ["MPL-2.0"] and rules(text("unlicense-grant")) == ["Unlicense"]
+
+
 def test_arc_versions_and_lengths():
     records = [("http://a/ b", "text/html", warc.http_response(b"one\n\ntwo", "7")), (None, "text/plain", b"plain"), ("http://c", "text/html", warc.http_response(b"", ""))]
     for version in (1, 2):
