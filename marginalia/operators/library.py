@@ -49,19 +49,20 @@ def html_escape(text: Column) -> Column:
     return out
 
 
-def overlaps(left: DataFrame, right: DataFrame, text: str = "text", left_id: str = "item_id", right_id: str = "doc_id", least: int = 4) -> DataFrame:
-    """(left_id, right_id, shared, jaccard) of the best partner of each left text by its words of `least` letters.
+def overlaps(left: DataFrame, right: DataFrame, text: str = "text", left_id: str = "item_id", right_id: str = "doc_id", least: int = 4, rare: bool = False) -> DataFrame:
+    """(left_id, right_id, hits, shared, jaccard) of the best partner of each left text by its words of `least` letters.
 
-    An inverted index joined on words; words in over half the right texts can't tell them apart, so they join only as counts
-    of the finished pairs (sets are small) and not as keys.
+    An inverted index joined on words; `hits` ranks the partners.  With `rare`, words in over half the right texts are no
+    keys and no hits, as the SQL of doc_overlap defines it; then left texts of such words alone have no partner.
     """
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= least))
     a = left.select(left_id, words.alias("wa"))
     b = right.select(right_id, words.alias("wb"))
-    n = b.count()
     keys = b.select(right_id, F.explode("wb").alias("w"))
-    rare = keys.groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") * 2 <= n).select("w")
-    pairs = a.select(left_id, F.explode("wa").alias("w")).join(keys.join(rare, "w"), "w").groupBy(left_id, right_id).agg(F.count("*").alias("hits"))
+    if rare:
+        n = b.count()
+        keys = keys.join(keys.groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") * 2 <= n).select("w"), "w")
+    pairs = a.select(left_id, F.explode("wa").alias("w")).join(keys, "w").groupBy(left_id, right_id).agg(F.count("*").alias("hits"))
     best = Window.partitionBy(left_id).orderBy(F.desc("hits"), right_id)
     top = pairs.withColumn("r", F.row_number().over(best)).where("r = 1").join(a, left_id).join(b, right_id)
     shared = F.size(F.array_intersect("wa", "wb"))

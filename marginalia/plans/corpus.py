@@ -200,7 +200,7 @@ p as (select a.id as item_id, b.id as doc_id, count(*) as hits from x a join x b
 t as (select *, row_number() over (partition by item_id order by hits desc, doc_id) as r from p)
 select item_id, doc_id, hits, cast(len(list_intersect(a.ws, b.ws)) as bigint) as shared, round(len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))), 6) as jaccard from t join w a on a.side = 'a' and a.id = item_id join w b on b.side = 'b' and b.id = doc_id where r = 1""")
 def doc_overlap(spark, sf_dir):
-    return library.overlaps(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    return library.overlaps(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), rare=True)
 
 
 @query(r"select doc_id, cast(len(regexp_extract_all(t, '�')) as bigint) as replacement, cast(len(regexp_extract_all(t, '<!--')) as bigint) as comments, cast(len(regexp_extract_all(t, '\.{4,}')) as bigint) as dots, cast(len(regexp_extract_all(t, ' {4,}')) as bigint) as blanks, cast(len(regexp_extract_all(t, '[A-Za-z]-\n[a-z]')) as bigint) as hyphens, cast(len(regexp_extract_all(t, '[#*$%&|<>]{3,}')) as bigint) as symbols from (select doc_id, coalesce(text, '') as t from documents)")

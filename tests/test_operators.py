@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import graphs, library, relations, repair, statements, structure, understanding
+from marginalia.operators import entries, graphs, library, relations, repair, research, statements, structure, understanding
 from marginalia.plans.fixtures import documents
 from marginalia.plans.memory import EXTRACTIONS
 from marginalia.sources import documents as sources
@@ -100,3 +100,11 @@ def test_stream_runs_once(spark, tmp_path):
     stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
     run(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_overlap_counts_frequent_words(spark):
+    left = spark.createDataFrame([(1, "pier gates open"), (2, "pier gates open rare")], "item_id long, text string")
+    right = spark.createDataFrame([(1, "pier"), (2, "pier gates open more"), (3, "pier gates rare"), (4, "pier gates open rarely")], "doc_id long, text string")
+    got = {r["item_id"]: (r["doc_id"], r["hits"], r["shared"]) for r in library.overlaps(left, right).collect()}
+    assert got == {1: (2, 3, 3), 2: (2, 3, 3)}
+    assert [r["doc_id"] for r in library.overlaps(left.limit(1), right.where("doc_id = 1")).collect()] == [1]
