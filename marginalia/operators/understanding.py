@@ -143,15 +143,14 @@ def weighted_concepts(sections: DataFrame, id: str = "doc_id") -> DataFrame:
     return kept.select(id, F.col("display").alias("phrase"), F.col("count").cast("long").alias("count"), F.col("spread").cast("long").alias("spread"), F.round(weight, 6).alias("weight"))
 
 
-def top_concepts(sections: DataFrame, id: str = "doc_id", limit: int = X.CONCEPTS, window: int = 200) -> DataFrame:
+def top_concepts(sections: DataFrame, id: str = "doc_id", limit: int = X.CONCEPTS) -> DataFrame:
     """(id, rank, phrase, weight): by weight, without phrases that a better one contains or shares two stems with.
 
-    The greedy pass runs over the `window` best phrases of a document: a top-k report of `limit` phrases reads no further
-    unless all the others fall away.
+    The greedy pass runs over all phrases of a document and stops accepting at `limit`.
     """
     ranked = weighted_concepts(sections, id)
     order = Window.partitionBy(id).orderBy(F.desc("weight"), F.desc("spread"), F.asc("phrase"))
-    best = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= window)
+    best = ranked.withColumn("r", F.row_number().over(order))
     item = F.struct("r", "phrase", "weight", F.concat(F.lit(" "), normalize_key(F.col("phrase")), F.lit(" ")).alias("key"), F.array_distinct(stem_tokens(F.col("phrase"))).alias("stems"))
     lists = best.select(id, item.alias("x")).groupBy(id).agg(F.array_sort(F.collect_list("x")).alias("xs"))
     holds = lambda k, x: k["key"].contains(x["key"]) | x["key"].contains(k["key"]) | (F.size(F.array_intersect(k["stems"], x["stems"])) >= 2)

@@ -108,3 +108,14 @@ def test_overlap_counts_frequent_words(spark):
     got = {r["item_id"]: (r["doc_id"], r["hits"], r["shared"]) for r in library.overlaps(left, right).collect()}
     assert got == {1: (2, 3, 3), 2: (2, 3, 3)}
     assert [r["doc_id"] for r in library.overlaps(left.limit(1), right.where("doc_id = 1")).collect()] == [1]
+
+
+def test_concepts_beyond_two_hundred_phrases(spark):
+    """Seven words in every order of three give over 200 phrases, all of which the seven swallow; five later words make it 12."""
+    from itertools import permutations
+
+    often, later = ["quartz", "copper", "velvet", "orchid", "marble", "tundra", "walnut"], ["anchor", "beacon", "cactus", "dagger", "falcon", "garnet"]
+    lines = [" ".join(p) for p in permutations(often, 3)] * 2 + later * 2
+    rows = understanding.line_sections(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"))
+    got = [r["phrase"] for r in sorted(understanding.top_concepts(rows).collect(), key=lambda r: r["rank"])]
+    assert set(got[:7]) == set(often) and got[7:] == later[:5]
