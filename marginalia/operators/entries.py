@@ -2,7 +2,7 @@
 
 Lines go to the memory that their section names.  Where a section's lines give no strict entry, list items are taken leniently;
 other lines stay as notes.  Statements elsewhere add inferred entries, at most BUDGET a document and kind, unless an entry of the same
-kind already stands on their line or says the same.
+kind already stands on their line or says the same; only those that are added count, and hedged decisions are never added.
 """
 
 from __future__ import annotations
@@ -65,18 +65,17 @@ def entries(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     rows = rows.withColumn("told", told).withColumn("e", F.when(F.col("told"), F.col("e")).otherwise(lenient(F.col("line"), F.col("kind"))))
     found = rows.where("e is not null").select(id, "kind", "line_no", "e.*")
     more = inferred(statements(docs, id, text), id)
+    more = more.where((F.col("kind") != "decisions") | F.col("status").eqNullSafe("committed"))
     more = more.withColumns({"method": F.lit("inferred"), "title": F.when(F.col("kind") == "timeline", F.col("text"))})
     both = found.unionByName(more, allowMissingColumns=True)
     by_line = Window.partitionBy(id, "kind", "line_no")
     both = both.withColumn("_own", F.max(F.col("method") != "inferred").over(by_line)).where("method <> 'inferred' or not _own").drop("_own")
-    guess = F.col("method") == "inferred"
-    budget = Window.partitionBy(id, "kind", guess).orderBy("line_no", "text")
-    both = both.withColumn("_n", F.row_number().over(budget)).where(~guess | (F.col("_n") <= BUDGET)).drop("_n")
-    rank = F.when(guess, 1).otherwise(0)
+    rank = F.when(F.col("method") == "inferred", 1).otherwise(0)
     item = F.struct(rank.alias("rank"), "line_no", normalize_key(F.col("text")).alias("key"), F.array_distinct(content_tokens(F.col("text"))).alias("tokens"), "method", *FIELDS)
-    # One document's entries of one kind: at most its lines and the budget.
+    # One document's entries of one kind: at most its lines and its inferences.
     lists = both.where(strip(F.coalesce("text", F.lit(""))) != "").groupBy(id, "kind").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    kept = F.slice(greedy(F.col("xs")), 1, MOST)
+    room = lambda kept, x: (F.size(kept) < MOST) & ((x["rank"] == 0) | (F.size(F.filter(kept, lambda k: k["rank"] == 1)) < BUDGET))
+    kept = greedy(F.col("xs"), room)
     return lists.select(id, "kind", F.posexplode(kept).alias("idx", "x")).select(id, "kind", "idx", "x.line_no", "x.method", *[F.col("x")[f].alias(f) for f in FIELDS])
 
 

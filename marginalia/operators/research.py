@@ -65,12 +65,12 @@ def claim_score(text: Column) -> Column:
 
 
 def claims(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, line_no, section_title, role, text, kind, score, metrics, cites): the first 24 sentences of each section."""
-    rows = statements(docs, id, text).withColumn("role", role(F.col("section_title"))).where("role <> 'references'")
-    order = Window.partitionBy(id, "section_title").orderBy("line_no", "text")
+    """(id, line_no, section_title, role, text, kind, score, metrics, cites): the first 24 sentences of at least four words of each section."""
+    rows = statements(docs, id, text, ("section", "at")).where(word_count(F.col("text")) >= 4).withColumn("role", role(F.col("section_title"))).where("role <> 'references'")
+    order = Window.partitionBy(id, "section").orderBy("line_no", "at")
     rows = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SENTENCES)
     t = F.col("text")
-    return rows.where(word_count(t) >= 4).select(id, "line_no", "section_title", "role", without_citations(t).alias("text"), claim_kind(t, F.col("role")).alias("kind"), claim_score(t).cast("int").alias("score"), metrics(t).alias("metrics"), F.slice(citations(t), 1, CITES).alias("cites"))
+    return rows.select(id, "line_no", "section_title", "role", without_citations(t).alias("text"), claim_kind(t, F.col("role")).alias("kind"), claim_score(t).cast("int").alias("score"), metrics(t).alias("metrics"), F.slice(citations(t), 1, CITES).alias("cites"))
 
 
 def graph(claimed: DataFrame, id: str = "doc_id") -> tuple[DataFrame, DataFrame]:

@@ -44,10 +44,14 @@ def distilled(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     return out.select(id, "x.*")
 
 
-def greedy(items: Column) -> Column:
-    """Of an array of STRUCT(key, tokens, …) those that no earlier kept one restates (Jaccard of tokens or equal key): an ordered fold."""
+def greedy(items: Column, room=None) -> Column:
+    """Of an array of STRUCT(key, tokens, …) those that no earlier kept one restates (Jaccard of tokens or equal key): an ordered fold.
+
+    `room(kept, item)`: whether an item that restates nothing may still be kept.
+    """
     same = lambda a, b: (a["key"] == b["key"]) | (overlap(a["tokens"], b["tokens"]) >= X.SAME_MEANING)
-    return F.aggregate(items, F.slice(items, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: same(k, x)), kept).otherwise(F.array_append(kept, x)))
+    full = (lambda kept, x: ~room(kept, x)) if room else (lambda kept, x: F.lit(False))
+    return F.aggregate(items, F.slice(items, 1, 0), lambda kept, x: F.when(full(kept, x) | F.exists(kept, lambda k: same(k, x)), kept).otherwise(F.array_append(kept, x)))
 
 
 def without_restatements(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

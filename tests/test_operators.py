@@ -119,3 +119,24 @@ def test_concepts_beyond_two_hundred_phrases(spark):
     rows = understanding.line_sections(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"))
     got = [r["phrase"] for r in sorted(understanding.top_concepts(rows).collect(), key=lambda r: r["rank"])]
     assert set(got[:7]) == set(often) and got[7:] == later[:5]
+
+
+def test_inferred_budget_counts_what_is_added(spark):
+    """30 inferences that restate stated signals, then 30 new ones; 24 of these are added, and no hedged decision."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:02d}") * 2
+    label = lambda i: f"{word(i)} station {word(i + 31)} queue length"
+    stated = "\n".join(f"- {label(i).capitalize()}: {i + 1}%" for i in range(30))
+    said = [f"When {label(i)}, the {word(i)} desk opens another counter." for i in range(60)]
+    text = "# Signals\n" + stated + "\n# Notes\n" + "\n".join(said) + "\nWe might consider leasing spare gate readers for the pier."
+    rows = entries.entries(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    signals = [r for r in rows if r["kind"] == "signals"]
+    assert sum(r["method"] == "stated" for r in signals) == 30
+    assert [r["text"] for r in sorted(signals, key=lambda r: r["idx"]) if r["method"] == "inferred"] == [label(i).capitalize() for i in range(30, 54)]
+    assert not [r for r in rows if r["kind"] == "decisions" and r["method"] == "inferred"]
+
+
+def test_claims_of_two_sections_with_one_title(spark):
+    some = lambda a: "\n".join(f"The {a} harbour number{i} opens its gates early." for i in range(20))
+    text = f"# Results\n{some('north')}\n# Other\nThe pier closes at night time.\n# Results\n" + "\n".join(f"Short line{i} here." for i in range(20)) + f"\n{some('south')}"
+    rows = research.claims(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(rows) == 41
