@@ -5,8 +5,9 @@ a doubly linked list; an entry of the queue that no longer matches its pair is s
 concatenates vocabulary strings.  The vocabulary file is that of a public tokenizer (a parameter) and is never trained.
 
 Defined cases: a null text is the empty text; the empty text has no tokens and decodes to the empty text; strings of
-special tokens inside a text become those tokens, as in the tokenizers library; repeated rows are encoded once each;
-columns other than the text column pass through unless a new column takes their name.
+special tokens inside a text become those tokens, as in the tokenizers library; repeated rows are encoded once each; very long texts
+are encoded whole, batches of them are cut by bytes; columns outside `keep` are dropped, whatever their names; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from marginalia.llm.common import held, slices
 
 #: White space to Python alone.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Words that one worker remembers: two generations of this many.
-MEMORY = 350_000
+#: Words that one worker remembers: two generations of this many, none of them longer than LONGEST letters.
+MEMORY, LONGEST = 350_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -54,12 +55,19 @@ class Remembered(dict):
 
     def __missing__(self, key):
         value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        return self.keep(key, self.make(key) if value is None else value)
+
+    def seen(self, key):
+        """The value, or None if it isn't remembered."""
+        value = self.get(key)
+        return self.old.get(key) if value is None else value
+
+    def keep(self, key, value):
+        if not isinstance(key, str) or len(key) <= LONGEST:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -188,7 +196,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 1024, len(keep), 4 << 20):
             packed = [bpe.packed(t) for t in batch.column(len(keep)).to_pylist()]
             offsets = np.zeros(len(packed) + 1, dtype=np.int32)
             np.cumsum([len(x) // 4 for x in packed], out=offsets[1:])

@@ -3,55 +3,47 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from marginalia.runtime import discard, stored  # noqa: F401
 
 #: What the contracts call white space between words: blank and the controls 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where it is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="marginalia-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` as a Parquet table in the shared folder and reads it back: the lineage is cut and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Removes a table of `stored()` that nothing reads any more."""
-    if path := getattr(df, "stored_at", None):
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that a batch of very long texts stays small in Python."""
+def free_name(rows: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as no column of `rows` has."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, text: int | None = None, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: of at most `rows` rows and, where the number of a text column is given, of about `size` bytes of it."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if text is None:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            most = (ends[at - 1] if at else 0) + size
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, most, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 _held: dict = {}
@@ -123,12 +115,24 @@ def _stars(forest: Forest) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Parts that the rows of one key are dealt to.
+SALTS = 32
+
+
+def with_least(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """`rows` (key, value) with `m`, the least value of the key.  A key's rows are dealt to SALTS tasks, so no task holds a hot one."""
+    rows = rows.withColumn("_s", F.pmod(F.xxhash64(value), F.lit(SALTS)))
+    parts = rows.groupBy(key, "_s").agg(F.min(value).alias("_m"))  # at most SALTS rows of a key
+    least = parts.select(key, "_s", F.min("_m").over(Window.partitionBy(key)).alias("m"))
+    return rows.join(least, [key, "_s"]).drop("_s")
+
+
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node long, component long) of every node that has an edge; component: the least node that can be reached.
 
     `edges` has two long columns.  Edges are first contracted to stars inside each task, then large-star and
-    small-star steps alternate until nothing changes.  Both steps are a partial aggregate and an equi-join, so a
-    node with very many edges is combined on the map side and its join can be split; nothing is collected.
+    small-star steps alternate until nothing changes.  Both steps are partial aggregates and a salted equi-join, so a
+    node with very many edges is combined on the map side and its rows lie in several tasks; nothing is collected.
     Null ends and loops are ignored.  No edges: no rows.
     """
     a, b = (edges[c].cast("long") for c in edges.columns[:2])
@@ -138,14 +142,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # a is the larger end of every edge here
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = with_least(both, "u", "v").where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).where("a <> b").distinct()
         large = stored(large, "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        small = with_least(large, "a", "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         small = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
         n, h = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(now), discard(large)
+        discard(now, large)
         now = small
         if (n, h) == before:
             break

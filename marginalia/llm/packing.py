@@ -9,7 +9,8 @@ A row's place in its bucket comes from counts of shards (a few hundred rows each
 task sees a whole bucket.
 
 Defined cases: empty texts have no sequence, but keep a row with null bucket and batch; null texts are empty texts; repeated
-rows are packed each; an empty table gives an empty table.
+rows are packed each; texts longer than the window become several parts; other columns are dropped, whatever their names; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations

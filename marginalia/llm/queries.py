@@ -41,8 +41,9 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    out = token_counts.token_counts(docs, public_tokenizers.path(BYTES), keep=("doc_id", "n_bytes"))
-    return out.withColumn("over_limit", F.col("n_tokens") > 1024)
+    docs = docs.withColumn("n_chars_", F.coalesce(F.length("text"), F.lit(0)))
+    out = token_counts.token_counts(docs, public_tokenizers.path(BYTES), keep=("doc_id", "n_bytes", "n_chars_"), budgets=(1024,))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("cut_1024") < F.col("n_chars_")).alias("over_limit"), "cut_1024")
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

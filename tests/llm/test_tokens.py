@@ -62,6 +62,49 @@ def test_count_of_every_prefix():
         assert own.longest_prefix(t, 5) == max(i for i, n in enumerate(want) if n <= 5)
 
 
+def test_counts_and_cuts_of_batches():
+    """Texts cut by Arrow and odd ones alike, with cuts read off the prefix counts."""
+    import pyarrow as pa
+
+    lib, own = Tokenizer.from_file(BYTES), token_counts.PrefixCounter(BYTES)
+    r = random.Random(5)
+    words = ["the", "pier's", "don't", "ends.", "Über", "naïve,", "x" * 70, "漢字", "#7", "a.b", "'s", "1999", "(so)"]
+    texts = [r.choice(["", "\n", " "]) + "".join(r.choice(words) + r.choice([" ", " ", "\n", "\n\n", "  ", "\n\n\n", " \n"][: r.choice([3, 4, 7])]) for _ in range(r.randint(0, 30))) + r.choice(["", "end"]) for _ in range(300)]
+    texts += odd_texts(100, 6) + [None, "hello <|endoftext|> x", "a  <|endoftext|>b"]
+    n, cuts = own.count_all(pa.array(texts, pa.string()), (0, 3, 11))
+    for i, t in enumerate(texts):
+        t = t or ""
+        want = [len(lib.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
+        assert n[i] == want[-1], t
+        for b, cut in zip((0, 3, 11), cuts, strict=True):
+            assert cut[i] == max(k for k, x in enumerate(want) if x <= b), (t, b)
+
+
+def test_special_strings_cut_short():
+    lib, own = Tokenizer.from_file(BYTES), token_counts.PrefixCounter(BYTES)
+    for t in ("hello <|endoftext|> x", "a  <|endoftext|>b", "<|endoftext|><|endoftext|> ", "wo\n\n<|endoftext|>", " " * 3000 + "<|endoftext|>"):
+        want = [len(lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)] if len(t) < 100 else None
+        got = own.prefix_counts(t)
+        assert got == want if want else len(got) == len(t) + 1
+
+
+def test_stored_prefix_tables(docs, none):
+    short = docs.where("length(text) < 500 or text is null")
+    tables = token_counts.prefix_tables(short, BYTES, keep=("doc_id", "text"))
+    own = token_counts.PrefixCounter(BYTES)
+    for r in tables.withColumn("cut", token_counts.longest_within(tables.counts, 3)).collect():
+        assert r["counts"] == own.prefix_counts(r["text"]) and r["cut"] == own.longest_prefix(r["text"] or "", 3)
+    assert token_counts.prefix_tables(none, BYTES).count() == 0
+
+
+def test_names_that_clash(spark):
+    """Extra columns under the names of new ones don't disturb the maps, whose results hold the asked columns alone."""
+    rows = spark.createDataFrame([(1, "two words", 7, "x", -1)], "doc_id long, text string, n_tokens int, token_ids string, _n long")
+    assert [tuple(r) for r in token_counts.token_counts(rows, BYTES).collect()] == [(1, 2)]
+    assert bpe.encode_decode(rows, WORDS).columns == ["doc_id", "token_ids", "decoded"]
+    assert packing.pack_documents(rows, BYTES).first()["n_tokens"] == 2
+
+
 def brute(histogram, buckets):
     lengths, best = sorted(histogram), None
     for k in range(1, min(buckets, len(lengths)) + 1):
