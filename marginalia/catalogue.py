@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.plans import corpus, memory, structured
+from marginalia.plans import corpus, extractions, memory, papers, structured
 
-QUERIES = corpus.QUERIES | structured.QUERIES | memory.QUERIES
-ORACLES = corpus.ORACLES | structured.ORACLES | memory.ORACLES
+QUERIES = corpus.QUERIES | structured.QUERIES | memory.QUERIES | extractions.QUERIES | papers.QUERIES
+ORACLES = corpus.ORACLES | structured.ORACLES | memory.ORACLES | extractions.ORACLES | papers.ORACLES

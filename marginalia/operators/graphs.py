@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.functions.text import normalize_key
-
 
 def node_id(kind, label):
     """kind_ and twelve letters of a hash of kind and lower-case label."""
@@ -15,16 +13,19 @@ def node_id(kind, label):
 
 
 def merged(primary: DataFrame, fallback: DataFrame, keys: list[str]) -> DataFrame:
-    """Union by key; where both have it, the primary's row stays."""
-    both = primary.withColumn("_p", F.lit(0)).unionByName(fallback.withColumn("_p", F.lit(1)), allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("_p")
-    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_p", "_n")
+    """Union by key; where both have it, the primary's row stays in the fallback's place; `ord` is the place."""
+    rest = [c for c in primary.columns if c not in (*keys, "ord")]
+    side = lambda rows, p: rows.select(*keys, F.struct(F.lit(p).alias("p"), *rest).alias("row"), F.struct(F.lit(1 - p).alias("late"), "ord").alias("place"))
+    both = side(primary, 0).unionByName(side(fallback, 1))
+    out = both.groupBy(*keys).agg(F.min_by("row", "row.p").alias("row"), F.min("place").alias("place"))
+    return out.select(*keys, *[F.col("row")[c].alias(c) for c in rest], F.concat_ws(":", F.col("place.late").cast("string"), F.col("place.ord")).alias("ord"))
 
 
-def survivors(nodes: DataFrame) -> DataFrame:
-    """(doc_id, id, keep): of nodes with the same kind and normalised label the first id survives."""
-    order = Window.partitionBy("doc_id", "kind", normalize_key(F.col("label"))).orderBy("ord")
-    return nodes.select("doc_id", "id", F.first("id").over(order).alias("keep"))
+def survivors(nodes: DataFrame, id: str = "doc_id") -> DataFrame:
+    """(doc_id, id, keep): of nodes with the same kind and label, whatever its case and blanks, the first one survives."""
+    label = F.substring(F.trim(F.regexp_replace(F.lower(F.coalesce("label", F.lit(""))), r"\s+", " ")), 1, 120)
+    order = Window.partitionBy(id, F.coalesce("kind", F.lit("node")), label).orderBy("ord")
+    return nodes.select(id, "id", F.first("id").over(order).alias("keep"))
 
 
 def without_duplicates(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,26 +34,22 @@ def without_duplicates(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
     left = nodes.join(keep.where("id = keep").select("doc_id", "id"), ["doc_id", "id"], "left_semi")
     ends = lambda n: keep.select("doc_id", F.col("id").alias(n), F.col("keep").alias(n + "_keep"))
     moved = edges.join(ends("source"), ["doc_id", "source"]).join(ends("target"), ["doc_id", "target"]).where("source_keep <> target_keep")
-    moved = moved.groupBy("doc_id", F.col("source_keep").alias("source"), F.col("target_keep").alias("target"), "relation").agg(F.min("confidence").alias("confidence"))
+    moved = moved.groupBy("doc_id", F.col("source_keep").alias("source"), F.col("target_keep").alias("target"), "relation").agg(F.min_by("confidence", "ord").alias("confidence"), F.min("ord").alias("ord"))
     return left, moved
 
 
-def degrees(nodes: DataFrame, edges: DataFrame, top: int | None = None) -> DataFrame:
-    """(doc_id, id, label, degree), the `top` of each document if given: degree, then label."""
-    ends = edges.select("doc_id", F.explode(F.array("source", "target")).alias("id")).groupBy("doc_id", "id").agg(F.count("*").alias("degree"))
-    out = nodes.select("doc_id", "id", "label").join(ends, ["doc_id", "id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
-    if top is None:
-        return out
-    order = Window.partitionBy("doc_id").orderBy(F.desc("degree"), "label", "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+def degrees(nodes: DataFrame, edges: DataFrame, top: int = 8) -> DataFrame:
+    """(doc_id, rank, id, label, degree) of the `top` nodes of each document: by degree, then by the first edge that names them."""
+    ends = edges.select("doc_id", F.posexplode(F.array("source", "target")).alias("end", "id"), "ord").groupBy("doc_id", "id").agg(F.count("*").alias("degree"), F.min(F.struct("ord", "end")).alias("first"))
+    order = Window.partitionBy("doc_id").orderBy(F.desc("degree"), "first")
+    best = ends.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return best.join(nodes.select("doc_id", "id", "label"), ["doc_id", "id"], "left").select("doc_id", "rank", "id", F.coalesce("label", "id").alias("label"), "degree")
 
 
-def surprising(nodes: DataFrame, edges: DataFrame, top: int = 12) -> DataFrame:
-    """Inferred edges between nodes of different kinds, the `top` of each document."""
-    kind = lambda n: nodes.select("doc_id", F.col("id").alias(n), F.col("kind").alias(n + "_kind"))
-    out = edges.where("confidence <> 'EXTRACTED'").join(kind("source"), ["doc_id", "source"]).join(kind("target"), ["doc_id", "target"]).where("source_kind <> target_kind")
-    order = Window.partitionBy("doc_id").orderBy("source", "target", "relation")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+def surprising(edges: DataFrame, top: int = 12) -> DataFrame:
+    """The first `top` inferred edges of each document."""
+    order = Window.partitionBy("doc_id").orderBy("ord")
+    return edges.where("confidence = 'INFERRED'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
