@@ -145,6 +145,21 @@ def _clamped(flat: Column, words: Column, most: int) -> Column:
     return F.when(F.size(words) <= most, flat).otherwise(F.concat(cut, F.lit("...")))
 
 
+def shorten(text: Column, most: int) -> Column:
+    """At most `most` words without an ellipsis, cut at the last comma or dash of the second half, not ending on a function word."""
+
+    def cut(a: Column) -> Column:
+        head = F.array_join(F.slice(a["words"], 1, most), " ")
+        last = lambda h, mark: F.length(h) - F.coalesce(F.length(F.substring_index(h, mark, -1)), F.length(h)) - len(mark)
+        at = lambda h: F.greatest(*[F.when(h.contains(m), last(h, m)).otherwise(-1) for m in (",", " - ", ";")])
+        kept = let(head, lambda h: F.when(at(h) > F.length(h) * 0.5, F.substring(h, F.lit(1), at(h))).otherwise(h))
+        whole = lambda ws: F.filter(F.sequence(F.size(ws), F.lit(1), F.lit(-1)), lambda n: (n <= 2) | ~reads_as_fragment(F.array_join(F.slice(ws, F.lit(1), n), " ")))[0]
+        fit = let(F.split(kept, r"\s+"), lambda ws: unpunctuated(F.array_join(F.slice(ws, F.lit(1), whole(ws)), " ")))
+        return F.when(F.size(a["words"]) <= most, a["flat"]).otherwise(fit)
+
+    return let(unpunctuated(text), lambda flat: let_all(cut, flat=flat, words=F.split(flat, r"\s+")))
+
+
 def sentence_case(text: Column) -> Column:
     flat = strip(text)
     return F.concat(F.upper(F.substring(flat, 1, 1)), F.substring(flat, F.lit(2), F.length(flat)))
@@ -163,7 +178,7 @@ def reads_as_fragment(text: Column) -> Column:
 
 def speak_list(items: Column) -> Column:
     """a, b and c"""
-    clean = F.filter(F.transform(items, F.trim), lambda x: x != "")
+    clean = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
     head = F.array_join(F.slice(clean, F.lit(1), F.greatest(F.size(clean) - 1, F.lit(0))), ", ")
     return F.when(F.size(clean) == 0, "").when(F.size(clean) == 1, clean[0]).otherwise(F.concat(head, F.lit(" and "), F.element_at(clean, -1)))
 

@@ -187,7 +187,7 @@ def conversation_sections(spark, sf_dir):
 s as (select doc_id, count(*) as total, count(*) filter (regexp_matches(line, '{X.RULE_LINE.replace(chr(39), chr(39) * 2)}')) as rules, count(*) filter (regexp_matches(line, '{X.RISK_LINE}')) as risks, count(*) filter (regexp_matches(line, '{X.MEASURED_LINE}')) as measured from k group by doc_id)
 select *, case when total < 2 then null when risks / total >= 0.4 then 'risks' when measured / total >= 0.5 then 'signals' when rules / total >= 0.5 then 'decisions' end as shape_kind from s""")
 def corpus_shapes(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda x: x != "").alias("l")).where("size(l) > 0")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("l")).where("size(l) > 0")
     n = lambda p: F.size(F.filter("l", lambda x: matches(x, p))).cast("long")
     out = rows.select("doc_id", F.size("l").cast("long").alias("total"), n(X.RULE_LINE).alias("rules"), n(X.RISK_LINE).alias("risks"), n(X.MEASURED_LINE).alias("measured"))
     share = lambda c: F.col(c) / F.col("total")
