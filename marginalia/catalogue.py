@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.plans import corpus, extractions, language, memory, papers, structured
+from marginalia.plans import corpus, extractions, language, memory, papers, sources, structured
 
-QUERIES = corpus.QUERIES | structured.QUERIES | memory.QUERIES | extractions.QUERIES | papers.QUERIES | language.QUERIES
-ORACLES = corpus.ORACLES | structured.ORACLES | memory.ORACLES | extractions.ORACLES | papers.ORACLES | language.ORACLES
+QUERIES = corpus.QUERIES | structured.QUERIES | memory.QUERIES | extractions.QUERIES | papers.QUERIES | language.QUERIES | sources.QUERIES
+ORACLES = corpus.ORACLES | structured.ORACLES | memory.ORACLES | extractions.ORACLES | papers.ORACLES | language.ORACLES | sources.ORACLES

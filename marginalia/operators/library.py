@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marginalia.functions.text import java, matches
+
 
 def recent(saved: DataFrame, now: Column, key: str = "key", at: str = "saved_at", owner: str = "owner", days: int = 7, most: int = 24) -> DataFrame:
     """The newest `most` items of each owner within `days`; an item replaces older ones with its key."""
@@ -31,10 +33,18 @@ def changes(before: DataFrame, after: DataFrame, keys: list[str], n: str = "n",
     return out.withColumn("delta", F.col("after") - F.col("before")).withColumn("flagged", F.abs("delta") >= least)
 
 
+# --- fixed values: what a converter leaves behind -----------------------------------------------------------------------
+TRIPLED = "(?i)\\b\\w*(?:" + "|".join(f"{c}{{3,}}" for c in "abcdefghijklmnopqrstuvwxyz") + ")\\w*\\b"
+ARTEFACTS = (TRIPLED, r"\bWe We\b", r"\bWiWithout\b|\bfaface\b|\bbar+riers\b")
+BROKEN_WORDS, HALF_SENTENCES = r"\b[A-Za-z]{1,2}\s+[A-Za-z]{1,2}\s+[A-Za-z]{1,2}\b", r"\b(We|The|This|Our)\s+[a-z]{0,3}\s*[.!?]"
+REFERENCE_HEADING = r"(?i)\n#{1,3}\s*(references|bibliography)\b"
+
+
 def noise(text: Column) -> dict[str, Column]:
-    """Counts of what a converter leaves behind: replacement letters, markup comments, runs of dots, long runs of blanks, broken hyphens."""
-    n = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
-    return {"replacement": n("�"), "comments": n("<!--"), "dots": n(r"\.{4,}"), "blanks": n(r" {4,}"), "hyphens": n(r"[A-Za-z]-\n[a-z]"), "symbols": n(r"[#*$%&|<>]{3,}")}
+    """Artefacts of recognition, words broken into letters, sentences without a middle, whether references follow, and the length."""
+    n = lambda p: F.regexp_count(text, F.lit(java(p))).cast("long")
+    artefacts = sum((n(p) for p in ARTEFACTS[1:]), n(ARTEFACTS[0]))
+    return {"artefacts": artefacts, "broken_words": n(BROKEN_WORDS), "half_sentences": n(HALF_SENTENCES), "has_references": matches(text, REFERENCE_HEADING), "chars": F.length(text).cast("long")}
 
 
 def html_title(html: Column) -> Column:
@@ -49,21 +59,41 @@ def html_escape(text: Column) -> Column:
     return out
 
 
-def overlaps(left: DataFrame, right: DataFrame, text: str = "text", left_id: str = "item_id", right_id: str = "doc_id", least: int = 4, rare: bool = False) -> DataFrame:
-    """(left_id, right_id, hits, shared, jaccard) of the best partner of each left text by its words of `least` letters.
+def token_set(text: Column, least: int = 4) -> Column:
+    """Distinct lower-case words of `least` letters, digits, percent signs and dashes."""
+    flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s%-]", " ")
+    return F.array_distinct(F.filter(F.split(flat, r"\s+"), lambda w: F.length(w) >= least))
 
-    An inverted index joined on words; `hits` ranks the partners.  With `rare`, words in over half the right texts are no
-    keys and no hits, as the SQL of doc_overlap defines it; then left texts of such words alone have no partner.
+
+def overlaps(left: DataFrame, right: DataFrame, text: str = "text", left_id: str = "item_id", right_id: str = "doc_id", least: int = 4) -> DataFrame:
+    """(left_id, right_id, shared, jaccard): the right text whose words are most like each left one's, by Jaccard; ties: the smaller id.
+
+    An inverted index: one row for each word and text, joined on words and counted; both sides are read once.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= least))
-    a = left.select(left_id, words.alias("wa"))
-    b = right.select(right_id, words.alias("wb"))
-    keys = b.select(right_id, F.explode("wb").alias("w"))
-    if rare:
-        n = b.count()
-        keys = keys.join(keys.groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") * 2 <= n).select("w"), "w")
-    pairs = a.select(left_id, F.explode("wa").alias("w")).join(keys, "w").groupBy(left_id, right_id).agg(F.count("*").alias("hits"))
-    best = Window.partitionBy(left_id).orderBy(F.desc("hits"), right_id)
-    top = pairs.withColumn("r", F.row_number().over(best)).where("r = 1").join(a, left_id).join(b, right_id)
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return top.select(left_id, right_id, "hits", shared.cast("long").alias("shared"), F.round(shared / F.size(F.array_union("wa", "wb")), 6).alias("jaccard"))
+    side = lambda rows, id, n: rows.select(id, token_set(F.col(text), least).alias("w")).select(id, F.size("w").alias(n), F.explode("w").alias("w"))
+    pairs = side(left, left_id, "a").join(side(right, right_id, "b"), "w").groupBy(left_id, right_id, "a", "b").agg(F.count("*").alias("shared"))
+    pairs = pairs.withColumn("jaccard", F.round(F.col("shared") / (F.col("a") + F.col("b") - F.col("shared")), 6))
+    best = Window.partitionBy(left_id).orderBy(F.desc("jaccard"), right_id)
+    return pairs.withColumn("r", F.row_number().over(best)).where("r = 1").select(left_id, right_id, "shared", "jaccard")
+
+
+def latency_change(before: Column, after: Column) -> Column:
+    """Change in percent, rounded to one place; null without a time before."""
+    return F.when(before > 0, F.round((after - before) / before * 100, 1))
+
+
+def research_checks(entries: DataFrame, id: str = "doc_id") -> DataFrame:
+    """(id, findings, evidence, insights, table_like, with_values, copied) of a paper's entries (id, kind, text, value)."""
+    title = F.lower(F.trim(F.col("text")))
+    found = entries.where("kind = 'timeline'").select(id, title.alias("t")).distinct()
+    copied = entries.where("kind = 'decisions'").select(id, title.alias("t")).join(found, [id, "t"], "left_semi").groupBy(id).agg(F.count("*").alias("copied"))
+    n = lambda cond: F.count_if(cond).cast("long")
+    table = F.col("text").contains("|") | F.col("text").rlike(r"^\s*[0-9.]+\s+[0-9.]+\s+[0-9.]+")
+    kind = lambda k: F.col("kind") == k
+    out = entries.groupBy(id).agg(n(kind("timeline")).alias("findings"), n(kind("signals")).alias("evidence"), n(kind("decisions")).alias("insights"), n(kind("timeline") & table).alias("table_like"), n(kind("signals") & F.col("value").isNotNull()).alias("with_values"))
+    return out.join(copied, id, "left").withColumn("copied", F.coalesce("copied", F.lit(0).cast("long")))
+
+
+def kind_counts(entries: DataFrame, id: str = "doc_id") -> DataFrame:
+    """(id, kind, n, sample): how many entries of each kind a document has, and how its first one begins."""
+    return entries.groupBy(id, "kind").agg(F.count("*").alias("n"), F.substring(F.min_by("text", "idx"), 1, 80).alias("sample"))

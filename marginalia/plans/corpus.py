@@ -194,17 +194,18 @@ def corpus_shapes(spark, sf_dir):
     return out.withColumn("shape_kind", F.when(F.col("total") >= 2, F.when(share("risks") >= 0.4, "risks").when(share("measured") >= 0.5, "signals").when(share("rules") >= 0.5, "decisions")))
 
 
-@query(r"""with w as (select 'a' as side, item_id as id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: length(x) >= 4)) as ws from benchmark union all select 'b', doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: length(x) >= 4)) from documents),
-x as (select side, id, unnest(ws) as w from w), rare as (select w from x where side = 'b' group by w having count(*) * 2 <= (select count(*) from documents)),
-p as (select a.id as item_id, b.id as doc_id, count(*) as hits from x a join x b on a.w = b.w and a.side = 'a' and b.side = 'b' join rare r on r.w = a.w group by all),
-t as (select *, row_number() over (partition by item_id order by hits desc, doc_id) as r from p)
-select item_id, doc_id, hits, cast(len(list_intersect(a.ws, b.ws)) as bigint) as shared, round(len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))), 6) as jaccard from t join w a on a.side = 'a' and a.id = item_id join w b on b.side = 'b' and b.id = doc_id where r = 1""")
+@query(r"""with w as (select 'a' as side, item_id as id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s%-]', ' ', 'g'), '\s+'), lambda x: length(x) >= 4)) as ws from benchmark union all
+select 'b', doc_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s%-]', ' ', 'g'), '\s+'), lambda x: length(x) >= 4)) from documents),
+x as (select side, id, len(ws) as n, unnest(ws) as w from w), p as (select a.id as item_id, b.id as doc_id, count(*) as shared, any_value(a.n) as na, any_value(b.n) as nb from x a join x b on a.w = b.w and a.side = 'a' and b.side = 'b' group by all),
+j as (select *, round(shared / (na + nb - shared), 6) as jaccard from p), t as (select *, row_number() over (partition by item_id order by jaccard desc, doc_id) as r from j) select item_id, doc_id, shared, jaccard from t where r = 1""")
 def doc_overlap(spark, sf_dir):
-    return library.overlaps(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), rare=True)
+    """For each benchmark item the document whose words are most like it."""
+    return library.overlaps(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
-@query(r"select doc_id, cast(len(regexp_extract_all(t, '�')) as bigint) as replacement, cast(len(regexp_extract_all(t, '<!--')) as bigint) as comments, cast(len(regexp_extract_all(t, '\.{4,}')) as bigint) as dots, cast(len(regexp_extract_all(t, ' {4,}')) as bigint) as blanks, cast(len(regexp_extract_all(t, '[A-Za-z]-\n[a-z]')) as bigint) as hyphens, cast(len(regexp_extract_all(t, '[#*$%&|<>]{3,}')) as bigint) as symbols from (select doc_id, coalesce(text, '') as t from documents)")
+@query("select doc_id, " + " + ".join(f"len(regexp_extract_all(t, {quoted([p])}))" for p in library.ARTEFACTS) + f" as artefacts, cast(len(regexp_extract_all(t, {quoted([library.BROKEN_WORDS])})) as bigint) as broken_words, cast(len(regexp_extract_all(t, {quoted([library.HALF_SENTENCES])})) as bigint) as half_sentences, regexp_matches(t, {quoted([library.REFERENCE_HEADING])}) as has_references, length(t) as chars from (select doc_id, coalesce(text, '') as t from documents)")
 def markdown_noise(spark, sf_dir):
+    """What a converter left behind in every document."""
     return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in library.noise(F.coalesce("text", F.lit(""))).items()])
 
 

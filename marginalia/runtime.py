@@ -11,12 +11,19 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Once for each application: the package as a zip file, served by the driver (`addPyFile`)."""
+    """Once for each application: the package as a zip file, served by the driver (`addPyFile`).
+
+    Arrow batches of the session are cut at 8 MB, so that long texts don't make large batches; a smaller limit stays.
+    """
     context = spark.sparkContext
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")
+    if size.isdigit() and int(size) > BATCH_BYTES:  # another unit: set by the user
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         out = os.path.join(tempfile.mkdtemp(prefix="marginalia-"), "marginalia.zip")

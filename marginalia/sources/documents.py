@@ -12,13 +12,15 @@ from pyspark.sql import types as T
 from marginalia.functions import fixed as X
 from marginalia.functions.text import strip
 
-CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"
+CONTROL = "[\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f]"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(label, raw) of text, Markdown and JSON files, each whole; files above the size limit are not read."""
+    """(label, raw, byte_length, code) of text, Markdown and JSON files, each whole; a file above the size limit has no text but the
+    code input.too-large."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md,markdown,json}").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= X.MAX_BYTES).select(F.element_at(F.split("path", "/"), -1).alias("label"), F.decode("content", "UTF-8").alias("raw"))
+    fits = F.col("length") <= X.MAX_BYTES
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("label"), F.when(fits, F.decode("content", "UTF-8")).alias("raw"), F.col("length").alias("byte_length"), F.when(~fits, "input.too-large").alias("code"))
 
 
 def detect_format(raw: Column) -> Column:
@@ -56,10 +58,10 @@ def preflight(docs: DataFrame, raw: str = "raw") -> DataFrame:
         F.when(strip(t) == "", flaw("input.empty"))
         .when(F.octet_length(t) > X.MAX_BYTES, flaw("input.too-large"))
         .when(nul > 0, flaw("input.binary", line_column(t, nul)))
-        .when(share > X.MAX_CONTROL_SHARE, flaw("input.control-characters"))
+        .when(share > X.MAX_CONTROL_SHARE, flaw("input.binary"))
         .otherwise(F.array().cast("array<struct<code:string,line:int,column:int>>"))
     )
-    return docs.withColumns({"text": clean_text(t), "byte_length": F.octet_length(t).cast("long"), "format": detect_format(t), "diagnostics": found})
+    return docs.withColumns({"text": clean_text(t), "byte_length": F.octet_length(t).cast("long"), "format": detect_format(clean_text(t)), "diagnostics": found})
 
 
 @F.pandas_udf(T.StringType())
@@ -67,10 +69,11 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-def fingerprint(text: Column, ascii_only: bool = False) -> Column:
-    """SHA-256 of the NFC text with line feeds, trimmed.  Only texts with combining marks or other alphabets need Python; pass ascii_only to skip it."""
+def fingerprint(text: Column) -> Column:
+    """SHA-256 of the NFC text with line feeds, trimmed.  Texts of ASCII alone are in NFC and stay out of Python."""
     flat = F.regexp_replace(text, r"\r\n?", "\n")
-    return F.sha2(strip(flat if ascii_only else nfc(flat)), 256)
+    other = nfc(F.when(flat.rlike(r"[^\x00-\x7F]"), flat))
+    return F.sha2(strip(F.coalesce(other, flat)), 256)
 
 
 def verified_lookup(docs: DataFrame, catalogue: DataFrame, text: str = "text") -> DataFrame:
