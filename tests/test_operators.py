@@ -4,9 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import entries, graphs, library, relations, repair, research, statements, structure, understanding
+from marginalia.operators import entries, graphs, judgement, library, relations, repair, research, statements, structure, understanding
 from marginalia.plans.fixtures import documents
-from marginalia.plans.memory import EXTRACTIONS
+from marginalia.plans.extractions import EXTRACTIONS
 from marginalia.sources import documents as sources
 from marginalia.sources import json_source
 
@@ -34,7 +34,7 @@ def test_topic_shift(spark):
 def test_preflight_codes(spark):
     docs = spark.createDataFrame([(1, " "), (2, "a\n\x00b"), (3, "\x01" * 9 + "a"), (4, "﻿ok\r\n"), (5, "x" * (1 << 20) + "y"), (6, None)], "doc_id long, raw string")
     got = {r["doc_id"]: r for r in sources.preflight(docs).collect()}
-    assert {k: [d["code"] for d in r["diagnostics"]] for k, r in got.items()} == {1: ["input.empty"], 2: ["input.binary"], 3: ["input.control-characters"], 4: [], 5: ["input.too-large"], 6: ["input.empty"]}
+    assert {k: [d["code"] for d in r["diagnostics"]] for k, r in got.items()} == {1: ["input.empty"], 2: ["input.binary"], 3: ["input.binary"], 4: [], 5: ["input.too-large"], 6: ["input.empty"]}
     assert (got[2]["diagnostics"][0]["line"], got[2]["diagnostics"][0]["column"]) == (2, 1) and got[4]["text"] == "ok\n"
 
 
@@ -61,32 +61,91 @@ def test_relations(spark):
 
 
 def test_duplicate_entities(spark):
-    nodes = spark.createDataFrame([(1, "a", "claim", "Gates", 1), (1, "b", "claim", "gates!", 2), (1, "c", "value", "3%", 3)], "doc_id long, id string, kind string, label string, ord int")
-    edges = spark.createDataFrame([(1, "b", "c", "measures", "EXTRACTED"), (1, "a", "c", "measures", "EXTRACTED"), (1, "a", "b", "same", "INFERRED")], "doc_id long, source string, target string, relation string, confidence string")
+    nodes = spark.createDataFrame([(1, "a", "claim", "Gates  open", 1), (1, "b", "claim", "gates open", 2), (1, "c", "value", "3%", 3)], "doc_id long, id string, kind string, label string, ord int")
+    edges = spark.createDataFrame([(1, "b", "c", "measures", "INFERRED", 2), (1, "a", "c", "measures", "EXTRACTED", 1), (1, "a", "b", "same", "INFERRED", 3), (1, "c", "gone", "same", "INFERRED", 4)], "doc_id long, source string, target string, relation string, confidence string, ord int")
     left, moved = graphs.without_duplicates(nodes, edges)
-    assert {r["id"] for r in left.collect()} == {"a", "c"} and [(r["source"], r["target"]) for r in moved.collect()] == [("a", "c")]
-    assert {r["id"]: r["degree"] for r in graphs.degrees(nodes, edges).collect()} == {"a": 2, "b": 2, "c": 2}
+    assert {r["id"] for r in left.collect()} == {"a", "c"} and [(r["source"], r["target"], r["confidence"]) for r in moved.collect()] == [("a", "c", "EXTRACTED")]
+    assert [(r["id"], r["degree"]) for r in sorted(graphs.degrees(nodes, edges, 3).collect(), key=lambda r: r["rank"])] == [("c", 3), ("a", 2), ("b", 2)]
 
 
 def test_repair_chain(spark):
-    docs = spark.createDataFrame([(i, json.dumps(x)) for i, x in EXTRACTIONS], "doc_id long, raw string")
+    docs = spark.createDataFrame([(i, json.dumps(x)) for i, x in EXTRACTIONS] + [(7, "{broken"), (8, None)], "doc_id long, raw string")
     got = {r["doc_id"]: r for r in repair.repaired(docs).collect()}
     first = got[1]
-    assert [t["content"] for t in first["timeline"]] == ["Gate launch"] and first["timeline"][0]["depends_on"] == []
-    assert [s["content"] for s in first["signals"]] == ["Queue time fell by 12%", "Unresolved temporal: Refund desk", "Unresolved date: Pier survey"]
-    assert first["decisions"][0]["decision_id"] == "D-1" and [a["carries_out"] for a in first["actions"]] == ["D-1", None]
-    assert got[2]["timeline"] == [] and [r["content"] for r in got[2]["risks"]] == ["Late readers"] and got[3]["signals"] == []
+    assert [(t["id"], t["content"], t["depends_on"]) for t in first["timeline"]] == [("T-001", "Gate launch", ["T-003"]), ("T-002", "Refund desk", []), ("T-003", "Weekly check", [])]
+    assert [s["content"] for s in first["signals"]][2:4] == ["Unresolved temporal reference: Pier survey soon (“soon”)", "Temporal pattern without a safe date: Staff day"]
+    assert [d["decision_id"] for d in first["decisions"]] == ["D-001", "D-7"] and first["decisions"][0]["content"] == "keep manual gates at the north pier"
+    assert [a["carries_out"] for a in first["actions"]] == ["D-001", None] and first["risks"][0]["why_it_matters"] == "delays the launch"
+    assert got[2]["timeline"] == [] and got[2]["signals"][0]["signal_type"] == "unresolved_temporal" and [s["signal_type"] for s in got[4]["signals"]] == ["pattern", "pattern"]
+    assert got[5]["meta"]["timeline_mode"] == "none" and got[5]["snapshot"][0]["content"] == "[redacted]" and got[3]["repairs"] == [] == got[7]["signals"] == got[8]["risks"]
 
 
 def test_json_errors():
-    good = {"version": 1, "title": "t", "blocks": [{"kind": k, "payload": {}} for k in ("snapshot", "signals", "decisions", "timeline", "risks", "actions")]}
-    codes = lambda x: [d["code"] for d in json_source.diagnose(x if isinstance(x, str) else json.dumps(x))]
-    assert codes(good) == [] and codes("{") == ["json.syntax"] and codes([]) == ["json.root"] and codes(good | {"version": 2}) == ["json.version"]
-    assert codes(good | {"x": 1}) == ["schema.unknown-key"] and codes(good | {"blocks": good["blocks"][1:]}) == ["blocks.missing"]
-    assert codes(good | {"blocks": [*good["blocks"], good["blocks"][0]]}) == ["blocks.duplicate"] * 2 and codes('{"__proto__": 1}') == ["json.unsafe-key"]
+    entries_of = {"snapshot": {"heading": "h", "summary": "s"}} | {k: {"entries": []} for k in ("signals", "decisions", "timeline", "risks", "actions")}
+    good = {"version": 1, "title": "t", "blocks": [{"kind": k, "payload": p} for k, p in entries_of.items()]}
+    codes = lambda x: [(d["code"], d["path"]) for d in json_source.checked(x if isinstance(x, str) else json.dumps(x))["errors"]]
+    assert codes(good) == [] and codes("{") == [("json.syntax", None)] and codes([]) == [("json.invalid-field", "$")] and codes(good | {"version": 2}) == [("json.unsupported-version", "$.version")]
+    assert codes(good | {"x": 1}) == [("json.unknown-key", "$")] and codes(good | {"blocks": good["blocks"][1:]}) == [("json.missing-kind", "$.blocks")]
+    assert codes(good | {"blocks": [*good["blocks"], good["blocks"][0]]}) == [("json.duplicate-kind", "$.blocks[6].kind")]
+    assert codes('{"a b": {"__proto__": 1}}') == [("input.unsafe-key", '$["a b"].__proto__')] and codes("[" * 14 + "]" * 14) == [("input.too-deep", "$" + "[0]" * 13)]
+    assert codes({"version": 1, "title": "t", "blocks": list(range(101))})[0] == ("input.too-many-entries", "$.blocks")
+    late = json.loads(json.dumps(good))
+    late["blocks"][5]["payload"]["entries"] = [{"task": "x", "status": "open"}, {"task": "", "status": "done", "due": 4}]
+    assert codes(late) == [("json.invalid-field", "$.blocks[5].payload.entries[1].task"), ("json.invalid-field", "$.blocks[5].payload.entries[1].due")]
+    late["blocks"][5]["payload"]["entries"].pop()
+    done = json_source.checked("\ufeff" + json.dumps(late))
+    assert done["rewritten"] == 1 and json.loads(done["source"])["blocks"][5]["payload"]["entries"][0]["status"] == "pending"
     assert json_source.canonical('{"b": 1.0, "a": "e\\u0301\\r\\n"}') == '{"a":"é\\n","b":1}'
 
 
+def test_binary_guards(spark):
+    from marginalia.plans import sources as plans
+
+    got = {r["doc_id"]: (r["code"], r["line"], r["column"], r["format"]) for r in plans.binary_guards(spark, "").collect()}
+    assert got == {1: (None, None, None, "text"), 2: ("input.binary", 1, 2, "text"), 3: ("input.binary", None, None, "text"), 4: (None, None, None, "text"), 5: (None, None, None, "json"), 6: ("input.binary", 2, 4, "text")}
+
+
+def test_files_above_the_limit_are_reported(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# Pier")
+    (tmp_path / "b.txt").write_bytes(b"x" * ((1 << 20) + 1))
+    (tmp_path / "c.png").write_bytes(b"x")
+    got = {r["label"]: (r["raw"], r["byte_length"], r["code"]) for r in sources.read_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.md": ("# Pier", 6, None), "b.txt": (None, (1 << 20) + 1, "input.too-large")}
+
+
+def test_limitation_themes(spark):
+    from marginalia.plans import papers
+
+    got = [(r["doc_id"], r["rank"], r["risk"]) for r in papers.limitation_themes(spark, "").collect()]
+    assert sorted(got) == [
+        (1, 1, "Dataset Scope — the logs come from one harbour with mild winters; other harbours may differ in ferry size and staff."),
+        (1, 2, "Staffing — we did not evaluate gates without any staff on the pier."),
+        (2, 1, "Model Configuration — the study was limited to one pump maker and default parameters."),
+    ]
+
+
+def test_restated_decisions_merge(spark):
+    rows = [("Business Impact", "approved", None, None, None), ("Preserve linked advances during edits", "proposed", None, None, "D-4"), ("Keep the pier blue", "rejected", "considered", None, None), ("Linked advances remain intact after edits of any order", "approved", "committed", "Auditors ask", None)]
+    frame = spark.createDataFrame([(rows,)], "d array<struct<text:string,status:string,commitment:string,because:string,ref:string>>")
+    got = [tuple(x) for x in frame.select(judgement.merged_decisions(F.col("d")).alias("d")).first()["d"]]
+    assert got == [("Linked advances remain intact after edits of any order", "approved", "committed", "Auditors ask", "D-4"), ("Keep the pier blue", "rejected", "considered", None, None)]
+
+
+def test_insights(spark):
+    said = ["The key bottleneck is not staff but readers because the old ones fail in the rain", "The key bottleneck is not the staff but readers because old ones fail in rain", "Trust in the audit trail means the team can recall every single decision about gates", "Short because small"]
+    rows = spark.createDataFrame([(1, i, t, None) for i, t in enumerate(said)], "doc_id int, line_no int, text string, section_title string")
+    concepts = spark.createDataFrame([(1, ["audit trail"])], "doc_id int, concepts array<string>")
+    none = spark.createDataFrame([], "doc_id int, said array<array<string>>")
+    got = [(r["rank"], r["line_no"], r["score"], r["label"]) for r in judgement.insights(rows, concepts, none).collect()]
+    assert sorted(got) == [(1, 2, 11, "Audit trail"), (2, 0, 9, "Hero insight")]
+
+
+def test_checks_of_papers(spark):
+    rows = [(1, "timeline", "Gates cut queues", None), (1, "timeline", "12 13 14 rows", None), (1, "decisions", " gates cut QUEUES ", None), (1, "signals", "Rate", "4%"), (2, "signals", "Rate", None)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in library.research_checks(spark.createDataFrame(rows, "doc_id int, kind string, text string, value string")).collect()}
+    assert got == {1: (2, 1, 1, 1, 1, 1), 2: (0, 1, 0, 0, 0, 0)}
+
+
 def test_recent_items(spark):
     rows = spark.createDataFrame([(1, "u", "a", "2026-01-09 00:00:00"), (2, "u", "a", "2026-01-10 00:00:00"), (3, "u", "b", "2026-01-01 00:00:00")], "id long, owner string, key string, saved_at string").withColumn("saved_at", F.to_timestamp("saved_at"))
     got = library.recent(rows, F.to_timestamp(F.lit("2026-01-11 00:00:00"))).collect()
@@ -105,8 +164,8 @@ def test_stream_runs_once(spark, tmp_path):
 def test_overlap_counts_frequent_words(spark):
     left = spark.createDataFrame([(1, "pier gates open"), (2, "pier gates open rare")], "item_id long, text string")
     right = spark.createDataFrame([(1, "pier"), (2, "pier gates open more"), (3, "pier gates rare"), (4, "pier gates open rarely")], "doc_id long, text string")
-    got = {r["item_id"]: (r["doc_id"], r["hits"], r["shared"]) for r in library.overlaps(left, right).collect()}
-    assert got == {1: (2, 3, 3), 2: (2, 3, 3)}
+    got = {r["item_id"]: (r["doc_id"], r["shared"], r["jaccard"]) for r in library.overlaps(left, right).collect()}
+    assert got == {1: (2, 3, 0.75), 2: (3, 3, 0.75)}
     assert [r["doc_id"] for r in library.overlaps(left.limit(1), right.where("doc_id = 1")).collect()] == [1]
 
 
