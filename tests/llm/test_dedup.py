@@ -123,6 +123,25 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(empty).count() == 0
 
 
+def test_tiles_that_may_meet(spark):
+    """Pruned meetings hold every pair of vectors above the threshold."""
+    g = np.random.default_rng(5)
+    x = np.repeat(g.normal(size=(30, 3)), 40, axis=0) + g.normal(size=(1200, 3)) * 0.1
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>"), tile=32, band=2).collect()
+    assert all(r["n_links"] == near[r["vec_id"]].sum() for r in got) and len(got) == 1200
+    tiles = spark.createDataFrame([(0, 3, [0.1], [0.2]), (1, 3, [0.3], [0.4]), (2, 3, [2.0], [2.1]), (3, 4, [], [])], "tile int, dim int, low array<double>, high array<double>")
+    assert {tuple(r) for r in embedding_dedup.meetings(tiles, 0.95, 1).collect()} == {(0, 0, 0), (1, 1, 1), (0, 1, 0), (0, 1, 1), (2, 2, 2), (3, 3, 3)}
+
+
+def test_candidates_of_prints(spark):
+    rows = [(1, 0), (2, 0), (3, 7), (4, (1 << 40) - 1), (9, 7)]
+    got = {tuple(r) for r in near_copies.print_pairs(spark.createDataFrame(rows, "node long, print long")).collect()}
+    assert {(2, 1), (9, 3), (3, 1)} == got
+
+
 def test_pipeline_keeps_one_of_each_near_copies(spark):
     """Rewritten copies around similarity 0.8, against brute force over all pairs."""
     r = random.Random(4)
