@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,14 +13,97 @@ from marginalia.functions import fixed as X
 _WORD = "[A-Za-z0-9_]"
 
 
+def _alternatives(pattern: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The top-level alternatives of pattern[start:end] as (start, end)."""
+    out, depth, begin, i, inside = [], 0, start, start, False
+    while i < end:
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            out.append((begin, i))
+            begin = i + 1
+        i += 1
+    return [*out, (begin, end)]
+
+
+def _elements(pattern: str, start: int, end: int) -> list[tuple[int, int, bool]]:
+    """The elements of one alternative as (start, end, may be absent); end is before the quantifier."""
+    out, i = [], start
+    while i < end:
+        begin = i
+        if pattern[i] == "\\":
+            i += 2
+        elif pattern[i] == "[":
+            i += 2  # a first ] stands for itself
+            while pattern[i] != "]":
+                i += 2 if pattern[i] == "\\" else 1
+            i += 1
+        elif pattern[i] == "(":
+            depth = 0
+            while True:
+                c = pattern[i]
+                if c == "\\":
+                    i += 1
+                elif c == "[":
+                    while pattern[i] != "]":
+                        i += 2 if pattern[i] == "\\" else 1
+                elif c in "()":
+                    depth += 1 if c == "(" else -1
+                i += 1
+                if depth == 0:
+                    break
+        else:
+            i += 1
+        stop, absent = i, False
+        while i < end and pattern[i] in "*+?{":
+            absent |= pattern[i] in "*?" and i == stop or pattern[i : i + 2] == "{0"
+            i = pattern.index("}", i) + 1 if pattern[i] == "{" else i + 1
+        out.append((begin, stop, absent))
+    return out
+
+
+def _is_word(pattern: str, start: int, end: int, last: bool) -> bool:
+    """Whether all that an element can match begins (or ends, `last`) with a word character."""
+    text = pattern[start:end]
+    if text.startswith("("):
+        inner = start + (3 if text.startswith("(?:") else 1)
+        if text.startswith("(?") and not text.startswith("(?:"):
+            return False
+        return all(_edge(pattern, a, b, last) for a, b in _alternatives(pattern, inner, end - 1))
+    if text.startswith("["):
+        return re.fullmatch(r"\[(?:[A-Za-z0-9_]-[A-Za-z0-9_]|[A-Za-z0-9_]|\\d|\\w)+\]", text) is not None
+    return text in (r"\d", r"\w") or re.fullmatch("[A-Za-z0-9_]", text) is not None
+
+
+def _edge(pattern: str, start: int, end: int, last: bool) -> bool:
+    found = _elements(pattern, start, end)
+    for a, b, absent in reversed(found) if last else found:
+        if pattern[a:b] == r"\b" or not _is_word(pattern, a, b, last):
+            return False
+        if not absent:
+            return True
+    return False
+
+
+@cache
 def java(pattern: str) -> str:
-    r"""A pattern of the shared dialect for Java: \b by ASCII word characters, $ at the very end only."""
+    r"""A pattern of the shared dialect for Java: \b by ASCII word characters, $ at the very end only.
+
+    Where what stands beside a \b begins or ends with a word character anyway, one lookaround is enough.
+    """
     out, i, inside = [], 0, False
     while i < len(pattern):
         c = pattern[i]
         if c == "\\":
             pair = pattern[i : i + 2]
-            out.append(f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))" if pair == r"\b" and not inside else pair)
+            out.append(_boundary(pattern, i) if pair == r"\b" and not inside else pair)
             i += 2
             continue
         if c == "[":
@@ -29,6 +115,36 @@ def java(pattern: str) -> str:
     return "".join(out)
 
 
+def _boundary(pattern: str, at: int) -> str:
+    """What a \\b at a place of a pattern is in Java."""
+    flags = len("(?i)") if pattern.startswith(("(?i)", "(?s)")) else 0
+    spans, span = [(flags, len(pattern))], None
+    while spans:  # the innermost alternative that holds the place
+        a, b = spans.pop()
+        for x, y in _alternatives(pattern, a, b):
+            if x <= at < y:
+                span = x, y
+                for p, q, _ in _elements(pattern, x, y):
+                    if p < at < q and pattern[p] == "(":
+                        spans = [(p + (3 if pattern[p : p + 3] == "(?:" else 1), q - 1)]
+    found = _elements(pattern, *span)
+    k = next(i for i, e in enumerate(found) if e[0] == at)
+
+    def beside(part: list, last: bool) -> bool:
+        for a, b, absent in part:
+            if not _is_word(pattern, a, b, last):
+                return False
+            if not absent:
+                return True
+        return False
+
+    if beside(found[k + 1 :], False):
+        return f"(?<!{_WORD})"
+    if beside(found[:k][::-1], True):
+        return f"(?!{_WORD})"
+    return f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
 def matches(text: Column, pattern: str) -> Column:
     return text.rlike(java(pattern))
 

@@ -74,7 +74,7 @@ def entries(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     item = F.struct(rank.alias("rank"), "line_no", normalize_key(F.col("text")).alias("key"), F.array_distinct(content_tokens(F.col("text"))).alias("tokens"), "method", *FIELDS)
     # One document's entries of one kind: at most its lines and its inferences.
     lists = both.where(strip(F.coalesce("text", F.lit(""))) != "").groupBy(id, "kind").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    room = lambda kept, x: (F.size(kept) < MOST) & ((x["rank"] == 0) | (F.size(F.filter(kept, lambda k: k["rank"] == 1)) < BUDGET))
+    room = lambda kept, x: (F.size(kept) < MOST) & ((x["rank"] == 0) | (F.size(F.filter(kept, lambda k: k["x"]["rank"] == 1)) < BUDGET))
     kept = greedy(F.col("xs"), room)
     return lists.select(id, "kind", F.posexplode(kept).alias("idx", "x")).select(id, "kind", "idx", "x.line_no", "x.method", *[F.col("x")[f].alias(f) for f in FIELDS])
 

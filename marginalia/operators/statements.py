@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import fixed as X
-from marginalia.functions.text import content_tokens, normalize_key, overlap, split_sentences, word_count
+from marginalia.functions.text import content_tokens, let, normalize_key, split_sentences, word_count
 
 LEAST, MOST = X.STATEMENT_WORDS
 
@@ -26,8 +26,10 @@ def statement(sentence: Column) -> Column:
 
 
 def first_of_each(keys: Column) -> Column:
-    """Places (from 0) at which an array's value occurs for the first time."""
-    return F.filter(F.transform(keys, lambda k, i: F.when(F.array_position(keys, k) == i + 1, i)), lambda i: i.isNotNull())
+    """Places (from 0) at which an array's value occurs for the first time: pairs of value and place in order, of which the first stay."""
+    pairs = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    firsts = lambda ps: F.filter(ps, lambda p, j: (j == 0) | (F.get(ps, j - 1)["k"] != p["k"]))
+    return F.array_sort(F.transform(let(pairs, firsts), lambda p: p["i"]))
 
 
 def counts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -47,11 +49,25 @@ def distilled(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
 def greedy(items: Column, room=None) -> Column:
     """Of an array of STRUCT(key, tokens, …) those that no earlier kept one restates (Jaccard of tokens or equal key): an ordered fold.
 
-    `room(kept, item)`: whether an item that restates nothing may still be kept.
+    `room(kept, item)`: whether an item that restates nothing may still be kept.  Tokens are distinct.  Two sets of Jaccard t share a
+    token among the first n - ceil(t n) + 1 of each in any one order (here: long words first), and differ in size by a factor of t at
+    most, so most pairs are told apart by their sizes and these few tokens.
     """
-    same = lambda a, b: (a["key"] == b["key"]) | (overlap(a["tokens"], b["tokens"]) >= X.SAME_MEANING)
-    full = (lambda kept, x: ~room(kept, x)) if room else (lambda kept, x: F.lit(False))
-    return F.aggregate(items, F.slice(items, 1, 0), lambda kept, x: F.when(full(kept, x) | F.exists(kept, lambda k: same(k, x)), kept).otherwise(F.array_append(kept, x)))
+    least = X.SAME_MEANING
+
+    def keyed(x: Column) -> Column:
+        n = F.size(x["tokens"])
+        ordered = F.transform(F.array_sort(F.transform(x["tokens"], lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
+        return F.struct(x.alias("x"), n.alias("n"), F.slice(ordered, F.lit(1), n - F.ceil(least * n).cast("int") + 1).alias("first"))
+
+    def same(a: Column, b: Column) -> Column:
+        shared = lambda: F.size(F.array_intersect(a["x"]["tokens"], b["x"]["tokens"]))
+        near = (a["n"] >= least * b["n"]) & (b["n"] >= least * a["n"]) & F.arrays_overlap(a["first"], b["first"])
+        return (a["x"]["key"] == b["x"]["key"]) | (near & let(shared(), lambda both: both / (a["n"] + b["n"] - both) >= least))
+
+    full = (lambda kept, k: ~room(kept, k["x"])) if room else (lambda kept, k: F.lit(False))
+    fold = lambda ks: F.aggregate(ks, F.slice(ks, 1, 0), lambda kept, k: F.when(full(kept, k) | F.exists(kept, lambda o: same(o, k)), kept).otherwise(F.array_append(kept, k)))
+    return let(F.transform(items, keyed), lambda ks: F.transform(fold(ks), lambda k: k["x"]))
 
 
 def without_restatements(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -59,7 +59,14 @@ def statement_exact_dedupe(spark, sf_dir):
     return statements.distilled(table(spark, sf_dir, "documents"))
 
 
-@query()
+_CONTENT = rf"list_distinct(list_filter(list_transform(regexp_split_to_array(regexp_replace(lower(s), '[''’]s\b', '', 'g'), '[^a-z0-9+#.]+'), lambda x: regexp_replace(x, '^\.+|\.+$', '', 'g')), lambda x: length(x) >= 3 and x not in ({STOP}) and not regexp_matches(x, '^\d+$')))"
+
+
+@query(
+    f"""with {SENTENCES}, o as (select doc_id, row_number() over (partition by doc_id order by line_no, sn) - 1 as ord, s, k, {_CONTENT} as w from t where w between 3 and 60), g as (select doc_id, list([{{'ord': ord, 's': s, 'k': k, 'w': w}}] order by ord) as xs from o group by doc_id),
+f as (select doc_id, unnest(list_reduce(xs, lambda a, x: case when len(list_filter(a, lambda y: y.k = x[1].k or (len(y.w) > 0 and len(x[1].w) > 0 and least(len(y.w), len(x[1].w)) >= 0.72 * greatest(len(y.w), len(x[1].w)) and len(list_intersect(y.w, x[1].w)) / (len(y.w) + len(x[1].w) - len(list_intersect(y.w, x[1].w))) >= 0.72))) > 0 then a else list_concat(a, x) end)) as x from g)
+select doc_id, cast(x.ord as int) as ord, x.s as statement from f"""
+)
 def greedy_dedupe(spark, sf_dir):
     return statements.without_restatements(table(spark, sf_dir, "documents"))
 
