@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from marginalia.functions import fixed as X
 from marginalia.functions.lines import heading, heading_kind, is_structural, list_item, ordinal
-from marginalia.functions.text import content_tokens, extract, matches, overlap, strip, word_count
+from marginalia.functions.text import content_tokens, extract, let, matches, overlap, strip, word_count
 from marginalia.operators.statements import lines
 
 
@@ -101,50 +101,84 @@ def _moves(state: Column, seen: Column) -> tuple[Column, Column]:
 
 
 def segment_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, line_no, line, page, segment, kind): every line that isn't blank or a page mark, with its segment."""
+    """(id, line_no, line, page, segment, kind, inherits): every line that isn't blank or a page mark, with its segment; inherits:
+    whether the segment takes over the title of the one before it."""
     ls = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    read = F.transform(ls, lambda s, i: F.struct((i + 1).alias("line_no"), s.alias("line"), line_class(s).alias("seen"), extract(s, r"(?i)<!--\s*page:\s*(\d+)").cast("int").alias("page")))
-    empty = "array<struct<line_no:int,line:string,page:int,segment:int,kind:string>>"
-    start = F.struct(F.lit("none").alias("state"), F.lit(0).alias("segment"), F.lit(None).cast("int").alias("page"), F.array().cast(empty).alias("out"))
+    read = F.transform(ls, lambda s, i: F.struct((i + 1).alias("line_no"), line_class(s).alias("seen"), extract(s, r"(?i)<!--\s*page:\s*(\d+)").cast("int").alias("page")))
+    empty = "array<struct<line_no:int,page:int,segment:int,kind:string,inherits:boolean>>"
+    start = F.struct(F.lit("none").alias("state"), F.lit(0).alias("segment"), F.lit(None).cast("int").alias("page"), F.lit(False).alias("inherits"), F.array().cast(empty).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         state, starts = _moves(acc["state"], x["seen"])
         segment = acc["segment"] + starts.cast("int")
         page = F.when(x["seen"] == "page", x["page"]).otherwise(acc["page"])
-        row = F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), page.alias("page"), segment.alias("segment"), state.alias("kind"))
-        return F.struct(state.alias("state"), segment.alias("segment"), page.alias("page"), F.when(x["seen"].isin("blank", "page"), acc["out"]).otherwise(F.array_append(acc["out"], row)).alias("out"))
+        inherits = F.when(starts, (acc["state"] != "none") & (x["seen"] != "heading")).otherwise(acc["inherits"])
+        row = F.struct(x["line_no"].alias("line_no"), page.alias("page"), segment.alias("segment"), state.alias("kind"), inherits.alias("inherits"))
+        return F.struct(state.alias("state"), segment.alias("segment"), page.alias("page"), inherits.alias("inherits"), F.when(x["seen"].isin("blank", "page"), acc["out"]).otherwise(F.array_append(acc["out"], row)).alias("out"))
 
-    rows = docs.select(id, F.explode(F.aggregate(read, start, step, lambda a: a["out"])).alias("x"))
-    return rows.select(id, "x.*")
+    rows = docs.select(id, ls.alias("_ls"), F.aggregate(read, start, step, lambda a: a["out"]).alias("_xs")).select(id, "_ls", F.explode("_xs").alias("x"))
+    return rows.select(id, "x.line_no", F.col("_ls")[F.col("x.line_no") - 1].alias("line"), "x.page", "x.segment", "x.kind", "x.inherits")
+
+
+# --- fixed values: what a segment's title says about it, first match wins -----------------------------------------------
+NODE_TITLES = (
+    ("question", r"(?i)open question|unresolved|tbd"),
+    ("risk", r"(?i)risk|problem|pain|limitation|threat"),
+    ("metric", r"(?i)metric|kpi|success|signal|measure"),
+    ("decision", r"(?i)decision|requirement|priority|policy|rule"),
+)
+REQUIREMENT_LIST = r"(?i)requirement|criteria|must\b"
+
+
+def node_type(kind: Column, title: Column, text: Column) -> Column:
+    out = F.when(kind == "section", "section").when(kind == "list", "list").otherwise("prose")
+    for name, pattern in reversed(NODE_TITLES):
+        out = F.when(matches(F.coalesce(title, F.lit("")), pattern), name).otherwise(out)
+    asks = (kind == "list") & matches(F.concat(F.coalesce(title, F.lit("")), text), REQUIREMENT_LIST)
+    return F.when(kind.isin("table", "image"), kind).when(asks, "requirement").otherwise(out)
 
 
 def segments(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, segment, kind, title, level, page, node, first_line, last_line, n_lines, body), one row each."""
+    """(id, segment, kind, title, level, page, node, first_line, n_lines, body), one row each.
+
+    Untitled prose of eight lines or more is split where its topic shifts.
+    """
     rows = segment_lines(docs, id, text)
     atx = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
     titled = matches(strip(F.col("line")), atx)
     out = rows.groupBy(id, "segment").agg(
         F.min_by("kind", "line_no").alias("kind"),
-        F.max(F.when(titled, strip(extract(strip(F.col("line")), atx, 2)))).alias("title"),
+        F.min_by("inherits", "line_no").alias("inherits"),
+        F.max(F.when(titled, strip(extract(strip(F.col("line")), atx, 2)))).alias("own"),
         F.max(F.when(titled, F.length(extract(strip(F.col("line")), atx)))).alias("level"),
-        F.min("page").alias("page"),
-        F.min("line_no").alias("first_line"),
-        F.max("line_no").alias("last_line"),
-        F.count("*").alias("n_lines"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~titled, F.struct("line_no", "line")))), lambda x: x["line"]), "\n").alias("body"),
+        F.min_by("page", "line_no").alias("page"),
+        F.min("line_no").alias("start"),
+        F.array_sort(F.collect_list(F.when(~titled, F.struct("line_no", "line")))).alias("ls"),
     )
-    kind, title = F.col("kind"), F.lower(F.coalesce("title", F.lit("")))
-    node = F.when(kind == "table", "table").when(kind == "image", "image").when(kind == "list", "list").when(matches(title, r"\b(risk|problem|issue|blocker)"), "risk").when(matches(title, r"\b(decision|rule|requirement|polic)"), "decision").when(matches(title, r"\b(timeline|schedule|roadmap|milestone|phase)"), "timeline").when(matches(title, r"\b(action|task|next step|todo)"), "action").when(matches(title, r"\b(metric|kpi|signal|result)"), "signal").when(kind == "section", "section").otherwise("paragraph")
-    return out.withColumn("node", node)
+    order = Window.partitionBy(id).orderBy("segment")
+    out = out.withColumn("line_of_titles", F.sum((~F.col("inherits")).cast("int")).over(order))
+    own = F.coalesce("own", F.when((F.col("kind") == "image") & ~F.col("inherits"), "Embedded visual"))
+    first = Window.partitionBy(id, "line_of_titles").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)
+    title = F.last(own, ignorenulls=True).over(first)
+    out = out.withColumn("title", F.coalesce(title, F.when(F.col("kind") == "image", "Embedded visual")))
+    shifts = topic_shifts(F.transform("ls", lambda x: x["line"]))
+    parts = lambda b: F.transform(F.sequence(F.lit(0), F.element_at(b, -1)), lambda k: F.filter("ls", lambda x, i: F.get(b, i) == k))
+    split = (F.col("kind") == "prose") & F.col("title").isNull() & (F.size("ls") >= 8)
+    out = out.withColumn("parts", F.when(split, let(shifts, parts)).otherwise(F.array("ls")))
+    out = out.select(id, "segment", "kind", "title", F.when(F.col("kind") == "section", F.col("level")).alias("level"), "page", "start", F.posexplode("parts").alias("part", "ls"))
+    body = strip(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
+    out = out.withColumn("body", body).where((F.col("body") != "") | F.col("title").isNotNull())
+    number = F.row_number().over(Window.partitionBy(id).orderBy("segment", "part"))
+    return out.select(id, number.alias("segment"), "kind", "title", "level", "page", node_type(F.col("kind"), F.col("title"), F.col("body")).alias("node"), F.coalesce(F.get("ls", F.lit(0))["line_no"], "start").alias("first_line"), F.size("ls").alias("n_lines"), "body")
 
 
 def segment_edges(segmented: DataFrame, id: str = "doc_id") -> DataFrame:
-    """(id, from, to, rel): each segment follows the one before it; a titled segment contains the untitled ones after it."""
+    """(id, from, to, rel): a segment follows the one before it on the same page; a section contains the segment right after it."""
     order = Window.partitionBy(id).orderBy("segment")
-    holder = F.last(F.when(F.col("title").isNotNull(), F.col("segment")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = segmented.select(id, "segment", F.lag("segment").over(order).alias("before"), F.when(F.col("title").isNull(), holder).alias("holder"))
-    edge = lambda a, rel: F.struct(F.col(a).alias("from"), F.col("segment").alias("to"), F.lit(rel).alias("rel"))
-    return rows.select(id, F.explode(F.array(edge("before", "follows"), edge("holder", "contains"))).alias("e")).select(id, "e.*").where(F.col("from").isNotNull())
+    before = lambda name: F.lag(name).over(order)
+    rows = segmented.select(id, F.col("segment").alias("to"), before("segment").alias("from"), (before("page") == F.col("page")).alias("follows"), ((before("node") == "section") & (F.col("node") != "section")).alias("contains"))
+    rels = F.array_compact(F.array(*[F.when(F.col(r), F.lit(r)) for r in ("follows", "contains")]))
+    return rows.select(id, "from", "to", F.explode(rels).alias("rel"))
 
 
 def topic_shifts(line_array: Column, least_words: int = 80, least_overlap: float = 0.12) -> Column:

@@ -238,4 +238,5 @@ def repeated_lines(spark, sf_dir):
 
 @query()
 def corpus_segments(spark, sf_dir):
+    """Segments of every document."""
     return structure.segments(table(spark, sf_dir, "documents"))

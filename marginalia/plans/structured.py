@@ -100,13 +100,28 @@ def section_shapes(spark, sf_dir):
     return structure.shapes(documents(spark), text="raw")
 
 
-@query()
+_SEGMENTS = rf"""with recursive {LINES_SQL}, cl as (select doc_id, line_no, line, case when regexp_matches(trim(line), '(?i)^<!--\s*page:\s*\d+\s*-->$') then 'page' when regexp_matches(trim(line), '(?i)^<!--\s*image:.*-->$') then 'image' when regexp_matches(trim(line), '^#{{1,6}}\s+\S') then 'heading' when regexp_matches(trim(line), '^\|.*\|$') then 'table'
+  when regexp_matches(line, {sql(L.BULLET)}) or regexp_matches(line, {sql(L.NUMBER)}) then 'list' when trim(line) = '' then 'blank' else 'other' end as seen from fixture_lines),
+st(doc_id, line_no, state, segment, page, inherits) as (select doc_id, 0, 'none', 0, null::int, false from fixture union all
+  select st.doc_id, cl.line_no, case seen when 'page' then state when 'image' then 'image' when 'heading' then 'section' when 'table' then 'table' when 'list' then case when state = 'none' then 'list' else state end when 'blank' then case when state = 'prose' then 'none' else state end else case when state in ('none', 'table') then 'prose' else state end end,
+    segment + case when seen in ('image', 'heading') or (seen = 'table' and state <> 'table') or (seen = 'list' and state = 'none') or (seen = 'other' and state in ('none', 'table')) then 1 else 0 end, case when seen = 'page' then cast(regexp_extract(line, '(?i)page:\s*(\d+)', 1) as int) else page end,
+    case when seen in ('image', 'heading') or (seen = 'table' and state <> 'table') or (seen = 'list' and state = 'none') or (seen = 'other' and state in ('none', 'table')) then state <> 'none' and seen <> 'heading' else inherits end from st join cl on cl.doc_id = st.doc_id and cl.line_no = st.line_no + 1),
+sl as (select st.*, line, seen from st join cl using (doc_id, line_no) where seen not in ('page', 'blank')),
+sg as (select doc_id, segment, arg_min(state, line_no) as kind, arg_min(inherits, line_no) as inherits, max(case when seen = 'heading' then trim(regexp_extract(trim(line), '^(#{{1,6}})\s+(.+?)\s*#*\s*$', 2)) end) as own, arg_min(page, line_no) as page, count(*) filter (seen <> 'heading') as n_lines, coalesce(trim(string_agg(line, chr(10) order by line_no) filter (seen <> 'heading'), e' \n'), '') as body from sl group by all),
+sc as (select *, sum(case when inherits then 0 else 1 end) over (partition by doc_id order by segment) as grp from sg),
+se as (select *, max(case when own is not null then own when kind = 'image' and not inherits then 'Embedded visual' end) over (partition by doc_id, grp) as title from sc),
+sn as (select doc_id, cast(row_number() over (partition by doc_id order by segment) as int) as segment, kind, title, page, n_lines, body, case when kind in ('table', 'image') then kind when kind = 'list' and regexp_matches(coalesce(title, '') || body, {sql(structure.REQUIREMENT_LIST)}) then 'requirement' {" ".join(f"when regexp_matches(coalesce(title, ''), {sql(p)}) then '{n}'" for n, p in structure.NODE_TITLES)} when kind in ('section', 'list') then kind else 'prose' end as node from se where body <> '' or title is not null)"""
+
+
+@query(_SEGMENTS + " select doc_id, segment, kind, title, page, node, cast(n_lines as int) as n_lines, body from sn")
 def segments_fsm(spark, sf_dir):
-    return structure.segments(documents(spark), text="raw")
+    """Segments of the fixture documents."""
+    return structure.segments(documents(spark), text="raw").select("doc_id", "segment", "kind", "title", "page", "node", "n_lines", "body")
 
 
-@query()
+@query(_SEGMENTS + ", e as (select doc_id, segment as t, lag(segment) over w as f, lag(page) over w = page as follows, lag(node) over w = 'section' and node <> 'section' as contains from sn window w as (partition by doc_id order by segment)) select doc_id, f as \"from\", t as \"to\", 'follows' as rel from e where follows union all select doc_id, f, t, 'contains' from e where contains")
 def segment_graph(spark, sf_dir):
+    """Edges between the segments."""
     return structure.segment_edges(structure.segments(documents(spark), text="raw"))
 
 

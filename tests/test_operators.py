@@ -25,6 +25,46 @@ def test_segments_follow_the_state_table(spark):
     assert [r["page"] for r in rows][-1] == 2
 
 
+def test_long_prose_is_split_where_its_topic_shifts(spark):
+    """Every line of prose in some segment, split as a plain walk over its lines splits it."""
+    import re
+
+    from marginalia.functions import fixed
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
+    harbour = "\n".join(" ".join(f"harbour{i}{j} gate{i}" for j in range(10)) for i in range(8)) + "\n" + "\n".join(" ".join(f"orchard{i}{j} apple{i}" for j in range(10)) for i in range(8))
+    docs = docs.union(spark.createDataFrame([(-1, harbour), (-2, "# Title\n" + harbour)], "doc_id long, text string"))
+
+    def content(line):
+        flat = re.sub(r"['’]s\b", "", line.lower(), flags=re.ASCII)
+        return {w for w in (re.sub(r"^\.+|\.+$", "", x) for x in re.split("[^a-z0-9+#.]+", flat)) if len(w) >= 3 and w not in fixed.STOPWORDS and not w.isdigit()}
+
+    def plain(text):
+        out, run = [], []
+        for line in [*(text or "").split("\n"), ""]:
+            if line.strip():
+                run.append(line)
+            elif run:
+                bucket = [run[0]] if len(run) >= 8 else run
+                for line in run[1:] if len(run) >= 8 else []:
+                    a, b = set().union(*map(content, bucket)), content(line)
+                    near = len(a & b) / len(a | b) if a and b else 0
+                    if near < 0.12 and sum(len(x.split()) for x in bucket) >= 80:
+                        out.append("\n".join(bucket))
+                        bucket = []
+                    bucket.append(line)
+                out.append("\n".join(bucket))
+                run = []
+        return [x.strip() for x in out]
+
+    got = {}
+    for r in structure.segments(docs).orderBy("segment").collect():
+        got.setdefault(r["doc_id"], []).append(r["body"])
+    prose = {r["doc_id"]: r["text"] for r in docs.collect() if not re.search(r"^\s*([-*•#|]|\d{1,3}[.)]\s|<!--)", r["text"] or "", re.M)}
+    assert len(prose) > 30 and all(got.get(i, []) == plain(t) for i, t in prose.items())
+    assert len(got[-1]) > 1 and len(got[-2]) == 1
+
+
 def test_topic_shift(spark):
     long = " ".join(f"harbour{i} gate{i}" for i in range(45))
     got = spark.range(1).select(structure.topic_shifts(F.array(F.lit(long), F.lit("completely different orchard apples"), F.lit("orchard apples"))).alias("b")).first()["b"]
