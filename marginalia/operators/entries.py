@@ -1,8 +1,8 @@
 """Entries of the six memories: strict parse by section, inferred entries beside them, deduplicated, and the document record.
 
-Lines go to the memory that their section names.  Where a section's lines give no strict entry, list items are taken leniently;
-other lines stay as notes.  Statements elsewhere add inferred entries, at most BUDGET a document and kind, unless an entry of the same
-kind already stands on their line or says the same; only those that are added count, and hedged decisions are never added.
+Lines go to the memory that their section names.  Where a section's lines give no strict entry, list items are taken leniently.
+Statements elsewhere add inferred entries, at most BUDGET a document and kind, unless one says the same; only those that are added count,
+and hedged decisions are never added.  On the line of an entry of the same kind they fill its empty fields instead.
 """
 
 from __future__ import annotations
@@ -58,6 +58,22 @@ def lenient(line: Column, kind: Column) -> Column:
     return F.coalesce(*[F.when(kind == k, _row(k, entry, f, "lenient")) for k, f in fields.items()])
 
 
+#: What the reasoning on a stated entry's own line fills in where it is empty.
+FILLED = ("trend", "implication", "because", "consequence", "owner", "due")
+
+
+def _filled(rows: DataFrame, by_line) -> DataFrame:
+    """Stated entries with the empty fields that inferences on their line fill, and these inferences gone; a decision takes their commitment."""
+    inferred_ = F.col("method") == "inferred"
+    theirs = lambda f: F.when(inferred_, F.col(f))
+    rows = rows.withColumn("_own", F.max(~inferred_).over(by_line))
+    first = {f"_{f}": F.first(theirs(f), ignorenulls=True).over(by_line) for f in FILLED}
+    rows = rows.withColumns(first | {"_commitment": F.last(theirs("commitment"), ignorenulls=True).over(by_line)}).where(~inferred_ | ~F.col("_own"))
+    out = {f: F.when(inferred_, F.col(f)).otherwise(F.coalesce(F.nullif(f, F.lit("")), f"_{f}")) for f in FILLED}
+    rows = rows.withColumns(out | {"commitment": F.when(inferred_, F.col("commitment")).otherwise(F.coalesce("_commitment", "commitment"))})
+    return rows.drop("_own", "_commitment", *first)
+
+
 def entries(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, kind, idx, line_no, method, …FIELDS): idx counts from 0 inside a document's memory."""
     rows = placed_lines(docs, id, text).where("kind is not null").withColumn("e", strict(F.col("line"), F.col("kind")))
@@ -65,11 +81,11 @@ def entries(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     rows = rows.withColumn("told", told).withColumn("e", F.when(F.col("told"), F.col("e")).otherwise(lenient(F.col("line"), F.col("kind"))))
     found = rows.where("e is not null").select(id, "kind", "line_no", "e.*")
     more = inferred(statements(docs, id, text), id)
-    more = more.where((F.col("kind") != "decisions") | F.col("status").eqNullSafe("committed"))
-    more = more.withColumns({"method": F.lit("inferred"), "title": F.when(F.col("kind") == "timeline", F.col("text"))})
-    both = found.unionByName(more, allowMissingColumns=True)
-    by_line = Window.partitionBy(id, "kind", "line_no")
-    both = both.withColumn("_own", F.max(F.col("method") != "inferred").over(by_line)).where("method <> 'inferred' or not _own").drop("_own")
+    timeline, decision = F.col("kind") == "timeline", F.col("kind") == "decisions"
+    more = more.withColumns({"method": F.lit("inferred"), "title": F.when(timeline, F.col("text")), "state": F.when(timeline, F.col("status")), "commitment": F.when(decision, F.col("status"))})
+    more = more.withColumn("status", F.when(~timeline & ~decision, F.col("status")).when(decision, "proposed"))
+    both = _filled(found.unionByName(more, allowMissingColumns=True), Window.partitionBy(id, "kind", "line_no"))
+    both = both.where((F.col("method") != "inferred") | (F.col("kind") != "decisions") | F.col("commitment").eqNullSafe("committed"))
     rank = F.when(F.col("method") == "inferred", 1).otherwise(0)
     item = F.struct(rank.alias("rank"), "line_no", normalize_key(F.col("text")).alias("key"), F.array_distinct(content_tokens(F.col("text"))).alias("tokens"), "method", *FIELDS)
     # One document's entries of one kind: at most its lines and its inferences.
