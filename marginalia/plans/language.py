@@ -259,3 +259,64 @@ _TITLES = values("v", "view, kind, ord, title", [(a, k, i, t) for a, kinds in X.
 def memory_views(spark, sf_dir):
     """The memories that documents of each type show, with their titles."""
     return J.memory_views(spark.createDataFrame(list(BLOCKS), "doc_id int, archetype string, kind string, n int").coalesce(1))
+
+
+# --- recall -------------------------------------------------------------------------------------------------------------
+_FIELDS = "doc_id, kind, idx, text, label, value, implication, consequence, severity, date, title, status, commitment"
+
+
+def _entry(doc, kind, idx, text=None, **more):
+    names = _FIELDS.split(", ")[4:]
+    return (doc, kind, idx, text, *(more.get(n) for n in names))
+
+
+RECALLED = (
+    _entry(1, "decisions", 0, "P1 gates first", commitment="committed"), _entry(1, "decisions", 1, "Keep manual gates at the north pier", commitment="committed", status="approved"), _entry(1, "decisions", 2, "Every order must carry an audit trail", commitment="committed"), _entry(1, "decisions", 3, "Paint it", commitment="considered"),
+    _entry(1, "risks", 0, "Readers arrive late", severity="low", consequence="queues at the gates"), _entry(1, "risks", 1, "Staff is short", severity="high"), _entry(1, "signals", 0, label="Queue", value="4 minutes", implication="Target"), _entry(1, "timeline", 0, date="GATE-12", title="x"), _entry(1, "timeline", 1, date="May", title="gate-12 again"), _entry(1, "timeline", 2, date="June", title="PIER-3 opens"),
+    _entry(2, "actions", 0, "User story: I want to see every booking on one page", status="pending"), _entry(2, "actions", 1, "Close the old form", status="done"), *(_entry(2, "actions", 2 + i, f"Write the {x} part of the refund guide for the desk team", status="pending") for i, x in enumerate(("first", "second", "third", "fourth", "fifth"))), _entry(2, "signals", 0, label="Calls", value="812", implication="The desk is full on Mondays"),
+    _entry(3, "decisions", 0, "Close early", commitment="considered"), _entry(3, "risks", 0, "Old readers fail", severity="high", consequence="long queues"), _entry(4, "timeline", 0, date="May", title="Opening"),
+)
+OPENINGS = ((1, "The harbour moves its tickets to new gates, and every pier is part of it."), (2, ""), (3, "Notes of the"), (4, "A quiet note about the pier in spring"), (5, None))
+
+
+def _short(x: str, most: int) -> str:
+    """SQL of `shorten` for texts that are cut at a word only."""
+    cut = rf"regexp_split_to_array({bare(x)}, '\s+')"
+    kept = f"list_filter(list_reverse(range(1, {most} + 1)), lambda m: m <= 2 or not {fragment(f'array_to_string(({cut})[1:m], chr(32))')})[1]"
+    return f"case when {words(bare(x))} <= {most} then {bare(x)} else {bare(f'array_to_string(({cut})[1:{kept}], chr(32))')} end"
+
+
+def _small(x: str) -> str:
+    return f"case when (length(regexp_extract(trim({x}), '^\\S*')) > 1 and regexp_extract(trim({x}), '^\\S*') = upper(regexp_extract(trim({x}), '^\\S*'))) then trim({x}) else lower(left(trim({x}), 1)) || substr(trim({x}), 2) end"
+
+
+_SPEAK = "case when len({0}) = 1 then {0}[1] else array_to_string({0}[1:len({0}) - 1], ', ') || ' and ' || {0}[len({0})] end"
+_SPELLED = "(['no', 'one', 'two', 'three', 'four', 'five', 'six', 'seven'])[len({0}) + 1]"
+
+
+@query(
+    "with "
+    + values("e", _FIELDS, RECALLED)
+    + ", "
+    + values("o", "doc_id, opening", OPENINGS)
+    + rf""", de as (select doc_id, arg_min(text, (case when regexp_matches(text, {quote(X.GOAL_TERMS)}) then 0 else 1 end, idx)) as d from e where kind = 'decisions' and commitment = 'committed' and coalesce(status, '') <> 'rejected' and not regexp_matches(text, '(?i)^p\d\b') group by doc_id),
+sy as (select doc_id, arg_min(text, idx) as st from e where kind = 'actions' and regexp_matches(text, '(?i)^user story:') group by doc_id), ri as (select doc_id, arg_min(text, (case when consequence is null then 1 else 0 end, case severity when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 9 end, idx)) as r, arg_min(coalesce(consequence, ''), (case when consequence is null then 1 else 0 end, case severity when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 9 end, idx)) as q from e where kind = 'risks' group by doc_id),
+si as (select doc_id, arg_min(label, idx) as l, arg_min(coalesce(implication, ''), idx) as i from e where kind = 'signals' and value is not null and lower(label) <> 'open question' group by doc_id), re as (select doc_id, arg_min(text, idx) as x from e where kind = 'decisions' and regexp_matches(text, {quote(X.OUTCOME_TERMS)}) group by doc_id),
+tk as (select doc_id, list(t order by f) as ts from (select doc_id, t, min(idx) as f from (select doc_id, idx, upper(coalesce(nullif(regexp_extract(date, {quote(X.TICKET)}, 1), ''), nullif(regexp_extract(title, {quote(X.TICKET)}, 1), ''))) as t from e where kind = 'timeline') where t is not null group by doc_id, t) group by doc_id),
+ta as (select doc_id, list(text order by idx) as ws from e where kind = 'actions' and coalesce(status, '') <> 'done' and not regexp_matches(text, '(?i)^(persona|user story):') group by doc_id),
+hr as (select doc_id, arg_min(text, (case when severity = 'high' then 0 else 1 end, idx)) as h from e where kind = 'risks' and consequence is not null group by doc_id), hd as (select doc_id, arg_min(text, (case when status = 'approved' then 0 else 1 end, idx)) as k from e where kind = 'decisions' and coalesce(commitment, '') <> 'considered' group by doc_id),
+n as (select doc_id, sum(case kind when 'decisions' then 18 when 'risks' then 22 else 12 end) + 80 as w from e group by doc_id),
+a as (select o.doc_id, trim(coalesce(opening, '')) as opening, d, regexp_replace(regexp_replace(st, '(?i)^user story:\s*', ''), '(?i)^i want (?:to\s+)?', '') as want, r, nullif(q, '') as q, l, nullif(i, '') as i, x, ts, ws, h, k, coalesce(w, 80) as w, list_transform(ws[1:4], lambda y: {_short("y", 8)}) as shown
+  from o left join de using (doc_id) left join sy using (doc_id) left join ri using (doc_id) left join si using (doc_id) left join re using (doc_id) left join tk using (doc_id) left join ta using (doc_id) left join hr using (doc_id) left join hd using (doc_id) left join n using (doc_id)),
+b as (select *, {_short("d", 18)} as ds, {_short("want", 18)} as wn, {_short("r || ', causing ' || q", 22)} as rq, {_short("r", 20)} as rs, {_short("l || ': ' || i", 18)} as li, {_short("x", 18)} as xs, {_short("h", 14)} as hs, {_short("k", 16)} as ks, {_short("opening", 22)} as op from a),
+c as (select doc_id, opening, hs, ks, w, op, coalesce(case when not {fragment("ds")} then case when regexp_matches(ds, {quote(X.GOAL_VERB)}) then {capital("ds")} else 'Enable ' || {_small(capital("ds"))} end end, {capital("wn")}, '') as goal, coalesce({capital("rq")}, {capital("rs")}, '') as problem, coalesce(case when i is not null and i <> 'Target' then {capital("li")} end, {capital("xs")}, '') as outcome,
+  case when len(ts) > 0 then 'Outstanding work (' || {_SPELLED.format("ts")} || '): ' || {_SPEAK.format("ts")} || '.' when len(ws) > 0 then 'Outstanding work (' || {_SPELLED.format("ws")} || '): ' || {_SPEAK.format("shown")} || case when len(ws) > 4 then ', +' || (len(ws) - 4) || ' more' else '' end || '.' else '' end as waiting from b),
+d2 as (select *, case when opening <> '' then case when not {fragment("op")} then {capital("op")} end when goal <> '' then 'This document remembers ' || {_small("(" + _short("goal", 16) + ")")} || '.' end as start from c)
+select doc_id, goal, problem, outcome, waiting, case when goal || problem || outcome <> '' then concat_ws(' ', start, nullif(waiting, '')) else {bare("opening")} end as summary, case when goal <> '' then 'Primary goal: ' || goal || '.' else coalesce('Primary problem: ' || {_small("hs")} || '.', 'Primary goal: ' || {_small("ks")} || '.', '') end as hook, cast(greatest(1, round(w / 230)) as int) as minutes from d2"""
+)
+def recall_parts(spark, sf_dir):
+    """Goal, problem, outcome, outstanding work, summary and hook of each document."""
+    from marginalia.operators import recall
+
+    kinds = ", ".join(f"{n} {'int' if n in ('doc_id', 'idx') else 'string'}" for n in _FIELDS.split(", "))
+    return recall.recalled(spark.createDataFrame(list(RECALLED), kinds).coalesce(1), spark.createDataFrame(list(OPENINGS), "doc_id int, opening string").coalesce(1))
