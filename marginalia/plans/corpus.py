@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from marginalia.functions import fixed as X
 from marginalia.functions.text import content_tokens, matches, normalize_key, stem, tokenize
 from marginalia.operators import library, statements, structure, understanding
+from marginalia.plans.language import key as key_sql
+from marginalia.plans.language import stem_list as stem_sql
+from marginalia.plans.language import tokens as tokens_sql
 from marginalia.sources import documents as sources
 
 
@@ -127,7 +130,13 @@ def concept_weights(spark, sf_dir):
     return understanding.weighted_concepts(understanding.line_sections(table(spark, sf_dir, "documents")))
 
 
-@query()
+_WEIGHTS = _HEADS + " , wt as (select c.doc_id, display as phrase, count, spread, round(count * greatest(spread, 1) * (1 + 0.6::double * (len(string_split(display, ' ')) - 1)), 6) as weight from c where (count >= 2 or spread >= 2) and not exists (select 1 from hh where hh.doc_id = c.doc_id and word = list_last(string_split(key, ' ')) and free = 0 and followers = 1))"
+_BEST = f"""{_WEIGHTS}, ph as (select distinct phrase from wt), pk as (select phrase, ' ' || {key_sql("phrase")} || ' ' as k, {tokens_sql("phrase")} as tk from ph), ps as (select phrase, k, list_distinct({stem_sql("tk")}) as st from pk),
+rk as (select wt.doc_id, wt.phrase, weight, k, st, row_number() over (partition by wt.doc_id order by weight desc, spread desc, wt.phrase) as r from wt join ps on ps.phrase = wt.phrase), ls as (select doc_id, list([{{'phrase': phrase, 'weight': weight, 'k': k, 'st': st}}] order by r) as xs from rk group by doc_id),
+kp as (select doc_id, list_reduce(xs, lambda a, x: case when len(a) >= {X.CONCEPTS} or len(list_filter(a, lambda y: contains(y.k, x[1].k) or contains(x[1].k, y.k) or len(list_intersect(y.st, x[1].st)) >= 2)) > 0 then a else list_concat(a, x) end) as ks from ls)"""
+
+
+@query(_concept_sql(", " + _BEST + " select doc_id, cast(n as int) as rank, ks[n].phrase as phrase, ks[n].weight as weight from (select doc_id, ks, unnest(range(1, len(ks) + 1)) as n from kp)"))
 def concepts_top12(spark, sf_dir):
     return understanding.top_concepts(understanding.line_sections(table(spark, sf_dir, "documents")))
 
