@@ -320,3 +320,89 @@ def recall_parts(spark, sf_dir):
 
     kinds = ", ".join(f"{n} {'int' if n in ('doc_id', 'idx') else 'string'}" for n in _FIELDS.split(", "))
     return recall.recalled(spark.createDataFrame(list(RECALLED), kinds).coalesce(1), spark.createDataFrame(list(OPENINGS), "doc_id int, opening string").coalesce(1))
+
+
+# --- relations ----------------------------------------------------------------------------------------------------------
+_PARTS = "doc_id, kind, idx, text, label, value, implication, because, consequence, title, produces, requires, ref, source"
+
+
+def _part(kind, idx, text=None, **more):
+    return (1, kind, idx, text, *(more.get(n) for n in _PARTS.split(", ")[4:]))
+
+
+MEMORIES = (
+    _part("snapshot", 0, "Harbour"), _part("signals", 0, label="Open question", implication="Which gate readers should the north pier lease?"), _part("signals", 1, label="Queue time at gates", value="4 minutes", implication="Gate readers cut the queue"), _part("signals", 2, label="Slow readers", implication="Old gate readers delay every ferry launch"),
+    _part("decisions", 0, "Lease spare gate readers for the north pier", ref="D-1"), _part("decisions", 1, "Keep manual gates at the pier"), _part("decisions", 2, "Paint the harbour desk"), _part("risks", 0, "Gate readers arrive late", because="The lease is not signed", consequence="The ferry launch slips"), _part("risks", 1, "Desk staff is short"),
+    _part("actions", 0, "Sign it", source="d-1"), _part("actions", 1, "Paint the whole harbour desk"), _part("actions", 2, "Survey north pier gates", source="Keep manual gates at the pier"), _part("timeline", 0, title="Survey of north pier gates", produces="Pier gate map"), _part("timeline", 1, title="Install gate readers", requires="the pier gate map", produces="Tested gate readers"), _part("timeline", 2, title="Launch ferry gates", requires="tested gate readers"),
+)
+_ROLES = """ro as (
+ select *, 1 as step, true as lefty, st as t from x where kind = 'signals' and asks union all select *, 1, false, text from x where kind = 'decisions' union all
+ select *, 2, true, text from x where kind = 'decisions' union all select *, 2, false, st from x where kind = 'signals' and asks union all
+ select *, 3, true, st from x where kind = 'signals' and not asks and value is not null union all select *, 3, false, text from x where kind = 'decisions' union all
+ select *, 4, true, st from x where kind = 'signals' and not asks and value is null union all select *, 4, false, text from x where kind = 'decisions' union all
+ select *, 5, true, st from x where kind = 'signals' union all select *, 5, false, rt from x where kind = 'risks' union all
+ select *, 6, true, rt from x where kind = 'risks' union all select *, 6, false, text from x where kind = 'decisions' union all
+ select *, 7, true, text from x where kind = 'decisions' union all select *, 7, false, rt from x where kind = 'risks' union all
+ select *, 8, true, text from x where kind = 'actions' union all select *, 8, false, text from x where kind = 'decisions' union all
+ select *, 9, true, tt from x where kind = 'timeline' union all select *, 9, false, text from x where kind = 'actions' union all
+ select *, 10, true, requires from x where kind = 'timeline' and requires is not null union all select *, 10, false, produces from x where kind = 'timeline' and produces is not null)"""
+
+
+def _steps(i: int) -> str:
+    from marginalia.operators.relations import STEPS
+
+    return "case step " + " ".join(f"when {k} then {quote(v[i])}" for k, v in STEPS.items()) + " end"
+
+
+_RELATED = rf"""with {values("m", _PARTS, MEMORIES)}, x as (select *, kind || ':' || idx as r, concat_ws(' ', label, value, implication) as st, concat_ws(' ', text, because, consequence) as rt, concat_ws(' ', title, produces) as tt, coalesce(lower(label) in ('open question', 'open questions'), false) as asks from m), {_ROLES},
+tk as (select doc_id, step, lefty, r as ref_, idx, {tokens("t")} as w from ro), sm as (select *, list_distinct({stem_list("w")}) as s from tk),
+pr as (select a.doc_id, a.step, a.ref_ as l, a.idx as li, b.ref_ as r, b.idx as ri, len(list_intersect(a.s, b.s)) as shared, least(len(a.s), len(b.s)) as small from sm a join sm b on a.doc_id = b.doc_id and a.step = b.step and a.lefty and not b.lefty and a.ref_ <> b.ref_),
+rk as (select *, shared / small as score, row_number() over (partition by doc_id, step, l order by shared / small desc, ri) as rank from pr where shared >= 2 and shared / small >= 0.2)"""
+
+
+@query(_RELATED + " select doc_id, step, l, r, round(score, 6) as score, cast(rank as int) as rank from rk")
+def related_entries(spark, sf_dir):
+    """Entries that share two stems and a fifth of the smaller set, ranked, for every step."""
+    from marginalia.operators import relations as R
+
+    rows = _memories(spark)
+    parts = rows.select("doc_id", F.concat_ws(":", "kind", "idx").alias("ref"), "idx", F.explode(R.roles()).alias("x")).select("doc_id", "ref", "idx", "x.*")
+    return R.related(parts).select("doc_id", "step", "l", "r", F.round("score", 6).alias("score"), "rank")
+
+
+def _memories(spark):
+    kinds = ", ".join(f"{n} {'int' if n in ('doc_id', 'idx') else 'string'}" for n in _PARTS.split(", "))
+    return spark.createDataFrame(list(MEMORIES), kinds).coalesce(1)
+
+
+@query(
+    _RELATED
+    + rf""", ky as (select doc_id, r, idx, unnest([{key("coalesce(ref, text)")}, {key("text")}]) as k from x where kind = 'decisions'), ex as (select a.doc_id, a.r as l, a.idx as li, arg_min(ky.r, ky.idx) as r from x a join ky on ky.doc_id = a.doc_id and ky.k = {key("a.source")} where a.kind = 'actions' and a.source is not null group by all),
+al as (select doc_id, step, l, li, r, rank from rk where rank <= case when step in (8, 10) then 1 else 2 end and not (step = 8 and exists (select 1 from ex where ex.l = rk.l)) union all select doc_id, 8, l, li, r, 1 from ex),
+ed as (select doc_id, step, li, rank, case when step = 10 then r else l end as f, case when step = 10 then l else r end as t, {_steps(0)} as relation, {_steps(1)} || case when step = 10 then (select title from x where x.r = al.l) else '' end as note from al
+ union all select 1, 0, 0, 1, 'snapshot', k, 'frames', null from (select distinct kind as k from x where kind <> 'snapshot')),
+de as (select *, row_number() over (partition by doc_id, f, relation, t order by step, li, rank) as n from ed where f <> t) select doc_id, f as "from", t as "to", relation, note from de where n = 1"""
+)
+def relations_of_entries(spark, sf_dir):
+    """Relations between the entries of a document, stated ones first, each once."""
+    from marginalia.operators import relations as R
+    from marginalia.runtime import stored
+
+    return R.relations(stored(_memories(spark), "memories")).drop("ord")
+
+
+@query(f"with {values('m', _PARTS, MEMORIES)}, w as (select doc_id, kind, {tokens('text')} as t from m where text is not null) select doc_id, kind, stem, count(*) as n from (select doc_id, kind, unnest({stem_list('t')}) as stem from w) group by all")
+def entry_stems(spark, sf_dir):
+    """Stems of entries by kind."""
+    return _memories(spark).where("text is not null").select("doc_id", "kind", F.explode(T.stem_tokens(F.col("text"))).alias("stem")).groupBy("doc_id", "kind", "stem").agg(F.count("*").alias("n"))
+
+
+SUMMARIES = ((1, "Gates open at dawn on every pier", "Gates open at dawn on every pier."), (2, "The desk closes", "Gates open at dawn"), (3, "anything", " "))
+
+
+@query("with " + values("s", "n, a, b", SUMMARIES) + f", w as (select n, b, list_distinct({tokens('a')}) as x, list_distinct({tokens('b')}) as y from s) select n, trim(b) <> '' and len(x) > 0 and len(y) > 0 and len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) >= 0.8 as copied from w")
+def summary_copies(spark, sf_dir):
+    """Summaries that are only the paragraph again."""
+    from marginalia.operators import recall
+
+    return spark.createDataFrame(list(SUMMARIES), "n int, a string, b string").coalesce(1).select("n", recall.copies(F.col("a"), F.col("b")).alias("copied"))
