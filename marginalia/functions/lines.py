@@ -395,7 +395,10 @@ def _stated_risk(whole: Column, in_paren: Column, parts: Column, out) -> Column:
 
 
 def parse_action(line: Column) -> Column:
-    """STRUCT(task, owner, due, status): user story, table row, (owner, due), three segments."""
+    """STRUCT(task, owner, due, status): user story, table row, (owner, due), three segments.
+
+    Two segments never give an action: a tail that starts with a date has no owner, and no other tail has a date at its start.
+    """
     text = item_text(line)
     segments = F.array_remove(F.transform(F.split(text, r"\s+[—–]\s+|\s+-\s+"), strip), "")
     return let_all(_action, cells=table_cells(line), text=text, item=list_item(line), whole=paren_suffix(text), parts=segments)

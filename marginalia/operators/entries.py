@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.functions import fixed as X
 from marginalia.functions.lines import heading_kind, is_decorative, is_structural, list_item, ordinal, parse_action, parse_decision, parse_risk, parse_signal, parse_timeline, plain_content
 from marginalia.functions.text import content_tokens, infer_readiness, let, normalize_key, read_commitment, strip
 from marginalia.operators.inference import inferred, statements

@@ -406,3 +406,49 @@ def summary_copies(spark, sf_dir):
     from marginalia.operators import recall
 
     return spark.createDataFrame(list(SUMMARIES), "n int, a string, b string").coalesce(1).select("n", recall.copies(F.col("a"), F.col("b")).alias("copied"))
+
+
+# --- forms of lines -----------------------------------------------------------------------------------------------------
+FORMS = (
+    "**Gate** launch: `north` pier - done", "* *Soft* rule", "Phase 2: Install gate readers - planned", "step b — Survey the pier", "| --- | :---: |", "---", "→", "✓ Passport packed", "- [x] Survey the gates (Jon Reed, Mar 3)", "1) Close the old form", "Refund rate: 3.1% (down 0.4 pts)",
+    "The survey produces a map of every gate at the pier; it depends on the lease of the spare readers", "Only after you have the tested readers.", "Output: a list of old readers", "Harbour rollout plan", "Plan", "The desk - A guide: the pier | gates", "The gate desk is a small office built for refunds", "A pier is an", "word", "", "Deliverable — Tested gate readers for each pier of the harbour and of the river by May and June",
+)
+
+
+@query()
+def line_forms(spark, sf_dir):
+    """Lines as they are classified and cut: marks, steps, separators, suffixes, artefacts, subjects and purposes."""
+    from marginalia.functions import lines as L
+    from marginalia.operators import understanding as U
+
+    t = F.col("t")
+    rows = spark.createDataFrame(list(enumerate(FORMS)), "n int, t string").coalesce(1)
+    rows = rows.select("n", "t", L.ordinal(t).alias("o"), L.first_separator(t).alias("p"), L.paren_suffix(t).alias("s"), L.trailing_keyword(t, L.TRAILING_STATE).alias("k"), *[c.alias(a) for c, a in zip(L.artifact(t), ("produces", "requires"), strict=True)])
+    return rows.select("n", L.is_structural(t).alias("structural"), L.is_decorative(t).alias("decorative"), L.is_list_like(t).alias("listed"), L.is_table_separator(t).alias("separator"), "o.marker", F.col("o.rest").alias("rest"), L.strip_emphasis(t).alias("plain"), F.col("p.left").alias("left_"), F.col("p.right").alias("right_"), "s.body", "s.suffix", F.col("k.keyword").alias("keyword"), "produces", "requires", U.subject(t).alias("subject"), U.purpose(t).alias("purpose"))
+
+
+def _line_forms_sql() -> str:
+    from marginalia.functions import lines as L
+    from marginalia.operators import understanding as U
+
+    pick = lambda p, i=1: f"nullif(trim(regexp_extract(t, {quote(p)}, {i})), '')"
+    has = lambda x, p: f"regexp_matches({x}, {quote(p)})"
+    sep, paren, tail = r"(?s)^(.+?)(?:\s*[:—–]\s+|\s+-\s+)(.*)$", r"^(.*?)\s*\(([^()]{1,80})\)\s*$", r"^(.*?)\s+[—–-]\s+(\S[\s\S]{0,40}?)\.?\s*$"
+    split = f"{has('t', sep)} and not {has('t', r'^(?:\s*[:—–]\s+|\s+-\s+)')}"
+    made = lambda p: f"case when {has('t', p)} then {capital('(' + clamp(bare(f'regexp_extract(t, {quote(p)}, 1)'), 10) + ')')} end"
+    plain = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\*\*(.+?)\*\*', '\1', 'g'), '__(.+?)__', '\1', 'g'), '(^|\W)\*(\S(?:.*?\S)?)\*(\W|$)', '\1\2\3', 'g'), '`([^`]+)`', '\1', 'g'))"
+    flat = r"regexp_replace(regexp_replace(trim(t), '^\|', ''), '\|$', '')"
+    cut = rf"trim({bare(rf'''regexp_replace(regexp_replace(regexp_replace(t, {quote(U.TYPE_NOUN)}, ' ', 'g'), '\s*[:|·]\s*', ' ', 'g'), '\s+', ' ', 'g')''')})"
+    goal = r"(?i)\bis\s+(?:a|an)\s+(.{8,90}?)(?:\s+built\b|\s+designed\b|\s+meant\b|\s+intended\b|\s+created\b|[.;]|$)"
+    return (
+        "with " + values("l", "n, t", list(enumerate(FORMS))) + rf""", c as (select *, {cut} as cut_, {bare(f"regexp_extract(t, {quote(goal)}, 1)")} as goal from l)
+select n, {has("trim(t)", r"^(=+|-{3,}|\*{3,}|_{3,})$")} or starts_with(trim(t), '```') or {has("trim(t)", r"(?i)^<!--\s*(page|image):")} as structural, trim(t) = '' or {has("trim(t)", r"^[↓↑→←⇒⇓|+/\\_.·•\-–—=]{1,4}$")} as decorative, {has("t", L.TASK)} or {has("t", L.BULLET)} or {has("t", L.NUMBER)} or {has("t", L.GLYPH)} as listed,
+ contains(t, '|') and {has(flat, r"^[\s:|-]+$")} as separator, case when {has("trim(t)", X.ORDINAL)} then upper(left(regexp_extract(trim(t), {quote(X.ORDINAL)}, 1), 1)) || lower(substr(regexp_extract(trim(t), {quote(X.ORDINAL)}, 1), 2)) || ' ' || upper(regexp_extract(trim(t), {quote(X.ORDINAL)}, 2)) end as marker,
+ case when {has("trim(t)", X.ORDINAL)} then trim(regexp_replace(substr(trim(t), length(regexp_extract(trim(t), {quote(X.ORDINAL)})) + 1), '^\s*[:—–-]\s*', '')) end as rest, {plain} as plain,
+ case when {split} then trim(regexp_extract(t, {quote(sep)}, 1)) end as left_, case when {split} then trim(regexp_extract(t, {quote(sep)}, 2)) end as right_, case when {has("t", paren)} then trim(regexp_extract(t, {quote(paren)}, 1)) else t end as body, {pick(paren, 2)} as suffix,
+ nullif(regexp_extract(trim(regexp_extract(t, {quote(tail)}, 2)), {quote(L.TRAILING_STATE)}), '') as keyword, {made(X.PRODUCES)} as produces, {made(X.REQUIRES)} as requires,
+ case when len({tokens("cut_")}) = 0 or (len(regexp_split_to_array(cut_, '\s+')) < 2 and len(regexp_split_to_array(t, '\s+')) > 1) then {bare("t")} else cut_ end as subject, case when len({tokens("goal")}) >= 2 then goal end as purpose from c"""
+    )
+
+
+ORACLES["line_forms"] = _line_forms_sql()

@@ -8,6 +8,7 @@ from marginalia.functions import fixed as X
 from marginalia.functions import lines as L
 from marginalia.functions.text import matches
 from marginalia.operators import statements, structure
+from marginalia.plans import language as T
 from marginalia.plans.fixtures import DOCUMENTS_SQL, LINES_SQL, documents
 from marginalia.sources import documents as sources
 
@@ -144,12 +145,69 @@ def parse_timeline(spark, sf_dir):
     return _parsed(spark, L.parse_timeline)
 
 
-@query()
+_ITEM = f"case when regexp_matches(line, {sql(L.TASK)}) then trim(regexp_extract(line, {sql(L.TASK)}, 2)) when regexp_matches(line, {sql(L.BULLET)}) then trim(regexp_extract(line, {sql(L.BULLET)}, 1)) when regexp_matches(line, {sql(L.NUMBER)}) then trim(regexp_extract(line, {sql(L.NUMBER)}, 2)) else trim(line) end"
+_BARS = r"regexp_replace(regexp_replace(trim(line), '^\|', ''), '\|$', '')"
+_SEP, _PAREN, _MARK = r"(?s)^(.+?)(?:\s*[:—–]\s+|\s+-\s+)(.*)$", r"^(.*?)\s*\(([^()]{1,80})\)\s*$", r"(?i)[\[(](high|medium|med|low)[\])]"
+_TELL, _CHANCE = r"(?i)^(.{8,160}?),?\s+(?:but|yet|however|while|with)\s+(.{6,180})$", r"(?i)^(?:there is|there's|we have|we see|this is)\s+(?:a\s+)?(?:risk|danger|chance)\s+(?:that|of)\s+"
+
+
+def _grade(x: str) -> str:
+    return f"case lower(regexp_extract({x}, {sql(X.SEVERITY)}, 1)) when 'med' then 'medium' when '' then 'medium' else lower(regexp_extract({x}, {sql(X.SEVERITY)}, 1)) end"
+
+
+def _got(x: str, p: str, i: int = 1) -> str:
+    return f"nullif(regexp_extract({x}, {sql(p)}, {i}), '')"
+
+
+def _said(x: str, n: int) -> str:
+    return T.capital("(" + T.clamp(T.bare(x), n) + ")")
+
+
+_READ = rf"""r1 as (select *, {T.bare("risk0")} as flat from r0), r2 as (select *, {_got("flat", X.CONSEQUENCE)} as costs, {_got("flat", X.WHY)} as why, strpos(flat, regexp_extract(flat, {sql(X.CONSEQUENCE)})) as cat, strpos(flat, regexp_extract(flat, {sql(X.WHY)})) as wat from r1),
+r3 as (select *, {_said("costs", 18)} as cq, case when why is not null and wat > 1 then {_said("why", 18)} end as rs, why is not null and wat > 1 as inside from r2),
+r4 as (select *, case when cq is null or rs <> cq then rs end as reason, case when costs is not null then {T.bare("left(flat, cat - 1)")} when inside then {T.bare("left(flat, wat - 1)")} else flat end as seen0, {_got("flat", _TELL, 2)} as other from r3),
+r5 as (select *, reason is null and coalesce(regexp_matches(other, {sql(X.TROUBLE)}), false) as told from r4),
+r6 as (select *, regexp_replace(case when told then {_said(_got("flat", _TELL), 14)} else seen0 end, {sql(_CHANCE)}, '') as seen, case when told then {_said("other", 16)} else reason end as reason2 from r5),
+r7 as (select *, {T.capital("(" + T.clamp("seen", 26) + ")")} as stated from r6),
+rd as (select *, {T.words("flat")} >= 4 and (regexp_matches(flat, {sql(X.TROUBLE)}) or costs is not null) and {T.words("seen")} >= 3 and not {T.fragment("stated")} as usable from r7)"""
+
+
+@query(
+    rf"""with {LINES_SQL}, t0 as (select doc_id, line_no, {_ITEM} as text, case when contains(line, '|') and not regexp_matches({_BARS}, '^[\s:|-]+$') then list_transform(string_split({_BARS}, '|'), lambda c: trim(c)) end as cs from fixture_lines),
+t1 as (select *, case when len(cs) >= 2 and len(list_filter(cs, lambda c: c <> '')) > 0 then cs end as cells, coalesce(regexp_matches(regexp_extract(text, {sql(_PAREN)}, 2), {sql(X.SEVERITY)}), false) as inp from t0),
+t2 as (select *, case when inp then trim(regexp_extract(text, {sql(_PAREN)}, 1)) else text end as body, list_filter(range(1, len(cells) + 1), lambda i: regexp_matches(cells[i], {sql(X.SEVERITY)}))[1] as g from t1),
+t3 as (select *, case when regexp_matches(body, {sql(_SEP)}) and not regexp_matches(body, '^(?:\s*[:—–]\s+|\s+-\s+)') then trim(regexp_extract(body, {sql(_SEP)}, 1)) end as l, case when regexp_matches(body, {sql(_SEP)}) and not regexp_matches(body, '^(?:\s*[:—–]\s+|\s+-\s+)') then trim(regexp_extract(body, {sql(_SEP)}, 2)) end as r from t2),
+t4 as (select *, case when inp then {_grade(f"regexp_extract(text, {sql(_PAREN)}, 2)")} when regexp_matches(l, {sql(_MARK)}) then {_grade(f"regexp_extract(l, {sql(_MARK)}, 1)")} end as sev, case when inp then l else trim(regexp_replace(l, {sql(_MARK)}, '')) end as risk_, trim(regexp_replace(r, '(?i)^mitigation\s*[:—–-]\s*', '')) as mit from t3),
+r0 as (select doc_id, line_no, cells[1] as risk0, {_grade("cells[g]")} as severity, array_to_string(cells[g + 1:], ' · ') as mitigation from t4 where cells is not null and g > 1 and cells[1] <> '' and trim(array_to_string(cells[g + 1:], ' · ')) <> '' union all
+  select doc_id, line_no, risk_, sev, mit from t4 where cells is null and sev is not null and length(risk_) >= 3 and length(mit) >= 2), {_READ}
+select doc_id, cast(line_no as int) as line_no, case when usable then stated else risk0 end as risk, severity, mitigation, case when usable and not {T.fragment("coalesce(reason2, '')")} then reason2 end as because, case when usable and not {T.fragment("coalesce(cq, '')")} then cq end as consequence from rd"""
+)
 def parse_risks(spark, sf_dir):
     return _parsed(spark, L.parse_risk)
 
 
-@query()
+_PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '\*\*(.+?)\*\*', '\1', 'g'), '__(.+?)__', '\1', 'g'), '`([^`]+)`', '\1', 'g'))"
+_STORY, _PERSONA, _WANT = r"(?i)^(?:user\s*story|story)\s*[:—–-]\s*(.+)$", r"(?i)^(?:persona\s*[:—–-]\s*)?(as an?\s+.+)$", r"(?i)^i want\b"
+
+
+def _ready(x: str, done: str) -> str:
+    return f"case when {done} or regexp_matches({x}, {sql(X.FINISHED)}) then 'done' when regexp_matches({x}, {sql(X.READY)}) then 'ready' when regexp_matches({x}, {sql(X.CONSIDERED)}) then 'suggested' else 'pending' end"
+
+
+def _dated(x: str) -> str:
+    return f"coalesce(regexp_matches(trim({x}), {sql(X.DATE_AT_START)}), false)"
+
+
+@query(
+    rf"""with {LINES_SQL}, t0 as (select doc_id, line_no, {_ITEM} as text, lower(regexp_extract(line, {sql(L.TASK)}, 1)) = 'x' as done, case when contains(line, '|') and not regexp_matches({_BARS}, '^[\s:|-]+$') then list_transform(string_split({_BARS}, '|'), lambda c: trim(c)) end as cs from fixture_lines),
+t1 as (select *, {_PLAIN} as bare, case when len(cs) >= 2 and len(list_filter(cs, lambda c: c <> '')) > 0 then cs end as cells, case when regexp_matches(text, {sql(_PAREN)}) then trim(regexp_extract(text, {sql(_PAREN)}, 1)) end as body, list_transform(string_split(regexp_extract(text, {sql(_PAREN)}, 2), ','), lambda c: trim(c)) as names,
+  list_filter(list_transform(string_split(regexp_replace(text, '\s+[—–]\s+|\s+-\s+', chr(1), 'g'), chr(1)), lambda c: trim(c)), lambda c: c <> '') as ps from t0),
+t2 as (select *, length(bare) >= 12 as long, len(ps) as n, case when length(array_to_string(cells[4:], ' ')) > 0 then array_to_string(cells[4:], ' ') else cells[1] end as told from t1),
+e as (select doc_id, line_no, case when long and regexp_matches(bare, {sql(_STORY)}) then {{'task': left('User story: ' || trim(regexp_extract(bare, {sql(_STORY)}, 1)), 500), 'owner': null, 'due': null, 'status': 'pending'}} when long and regexp_matches(bare, {sql(_PERSONA)}) and not regexp_matches(bare, '(?i)\bi want\b') then {{'task': left('Persona: ' || trim(regexp_extract(bare, {sql(_PERSONA)}, 1)), 240), 'owner': null, 'due': null, 'status': 'pending'}}
+  when long and regexp_matches(bare, {sql(_WANT)}) and length(bare) >= 20 then {{'task': left('User story: ' || bare, 500), 'owner': null, 'due': null, 'status': 'pending'}} when coalesce(cells[1], '') <> '' and coalesce(cells[2], '') <> '' and coalesce(cells[3], '') <> '' then {{'task': cells[1], 'owner': cells[2], 'due': cells[3], 'status': {_ready("told", "false")}}}
+  when length(text) >= 3 and body is not null and names[1] <> '' and {_dated("names[2]")} then {{'task': body, 'owner': names[1], 'due': names[2], 'status': {_ready("text", "done")}}} when length(text) >= 3 and n >= 3 and {_dated("ps[n]")} and length(ps[n - 1]) <= 60 and length(array_to_string(ps[1:n - 2], ', ')) >= 3 then {{'task': array_to_string(ps[1:n - 2], ', '), 'owner': ps[n - 1], 'due': ps[n], 'status': {_ready("text", "done")}}} end as e from t2)
+select doc_id, cast(line_no as int) as line_no, e.task, e.owner, e.due, e.status from e where e is not null"""
+)
 def parse_actions(spark, sf_dir):
     return _parsed(spark, L.parse_action)
 

@@ -239,3 +239,26 @@ def test_claims_of_two_sections_with_one_title(spark):
     text = f"# Results\n{some('north')}\n# Other\nThe pier closes at night time.\n# Results\n" + "\n".join(f"Short line{i} here." for i in range(20)) + f"\n{some('south')}"
     rows = research.claims(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert len(rows) == 41
+
+
+def test_pages_as_markdown(spark):
+    from marginalia.plans import pages
+
+    (row,) = pages.page_markdown(spark, "").collect()
+    first, second = row["markdown"].split("<!-- page:2 -->")
+    assert first == (
+        "<!-- page:1 -->\n# Harbour plan\n1. Gates\nThe gates at the north pier are old and the tickets of the season do not fit their readers.\n\n"
+        "A second paragraph follows here after a stop.\n\n| Ticket | Summary | Status |\n| --- | --- | --- |\n| GATE-12 | Replace the reader | Open |\n"
+        "| Rate | 12 | 14 |\n\n- first of\n### Owners\nthe pier team and the desk\n\n"
+    )
+    assert second.startswith("\n# Adaptive gates under winter load on three piers of the harbour\n") and "\n## Abstract\n" in second
+    assert second.index("left line 11") < second.index("right line 0") < second.index("right line 11")
+
+
+def test_stated_entries_take_the_reasons_of_their_line(spark):
+    """A stated risk without a reason gets the one its own sentence gives; a new action is added beside."""
+    text = "# Risks\n- Late readers delay the launch because the lease is unsigned (high) - mitigation: lease spare readers\n# Notes\nSomeone should draft the lease letter for the pier."
+    rows = entries.entries(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    risk = next(r for r in rows if r["kind"] == "risks" and r["method"] == "stated")
+    assert risk["because"] and risk["severity"] == "high" and sum(r["kind"] == "risks" for r in rows) == 1
+    assert [(r["kind"], r["text"], r["method"], r["status"]) for r in rows if r["kind"] == "actions"] == [("actions", "Someone should draft the lease letter for the pier", "inferred", "pending")]
