@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents.  The tables
 between two stages are written as Parquet and read again, so a lost executor costs one stage at most.
+
+Defined cases, of every stage: a null text is the empty text; empty texts score the models' bias, and those that no stage rejects meet in
+one group of copies, of which one stays; null and repeated ids are rows of their own; extra columns go through whatever their names; a
+table of no rows gives one.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import near_copies, packing, quality_classifier, toxicity
-from marginalia.llm.common import stored, table
+from marginalia.llm.common import free_name, stored, table
 from marginalia.runtime import ship
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,15 +31,18 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The documents with the largest Gumbel keys stay, as many as the labels of this stage's documents call good."""
     labels = table(ship(spark), sf_dir, "labels")
     own = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
-    rows = stored(quality_classifier.keyed(docs, quality_classifier.train(docs, labels)), "keyed")
-    return rows.where(quality_classifier.chosen(rows, quality_classifier.keep_share(own))).select(*docs.columns)
+    weight, key = free_name(docs, "_log_weight"), free_name(docs, "_key")
+    rows = stored(quality_classifier.keyed(docs, quality_classifier.train(docs, labels), weight=weight, key=key), "keyed")
+    return rows.where(quality_classifier.chosen(rows, quality_classifier.keep_share(own), key)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word similarity of at least 0.8) the row with the least id stays."""
     ship(spark)
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    return rows.join(near_copies.kept_rows(rows), "_row", "left_semi").select(*docs.columns)
+    name = free_name(docs, "_row")
+    rows = stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    kept = near_copies.kept_rows(rows.select(F.col(name).alias("_row"), "doc_id", "text"))
+    return rows.join(kept, rows[name] == kept["_row"], "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("toxicity", drop_toxic), ("quality_classifier", drop_low_quality), ("near_dedup", drop_near_copies), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("quality_classifier", drop_low_quality), ("simhash_dedup", drop_near_copies), ("packing", pack)]
 ORACLE_SQL = None
 
 
