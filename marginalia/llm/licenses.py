@@ -2,11 +2,13 @@
 
 Known licence sentences, as words without case and punctuation, have identifiers.  A text's words are read once; where a
 sentence may start (a line's start, after a full stop, colon or semicolon, or after a known sentence), the longest known sentence that
-follows becomes its identifier, wherever its lines are wrapped.  Runs of identifiers (at most GAP other words between two,
-such as a copyright line) are matched against the ordered rules: at each place the first rule whose sequence follows wins
+follows becomes its identifier, wherever its lines are wrapped.  Runs of identifiers (at most GAP other words between two, copyright
+lines not counted) are matched against the ordered rules: at each place the first rule whose sequence follows wins
 and takes its sentences.
 
-Defined cases: null and empty texts have no match; a text may match many times, each match is a row; repeated rows are scanned each.
+Defined cases: null and empty texts have no match; a text may match many times, each match is a row; repeated rows are scanned each;
+very long texts are scanned whole, batches of them are cut by bytes; other columns are dropped, whatever their names; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -89,6 +91,7 @@ RULES = (
 )
 GAP, HOLDERS = 12, 40
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
+COPYRIGHT = re.compile(r"\W*(?:copyright\b|\(c\)|©|all rights reserved)", re.IGNORECASE)
 END = re.compile(r"[\n.;:!?]")
 
 
@@ -157,13 +160,18 @@ def sentences(text: str) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
+def between(text: str) -> int:
+    """Words of a stretch between two sentences, without lines of copyright holders."""
+    return sum(len(words_of(line)) for line in text.split("\n") if not COPYRIGHT.match(line))
+
+
 def scan(text: str | None) -> list[tuple[str, str, int, int, str]]:
     """(licence, rule, start, end, identifiers) of every match."""
     found, out, at = sentences(text or ""), [], 0
     while at < len(found):
         for rule, licence, ids in RULES:
             part = found[at : at + len(ids)]
-            if tuple(p[0] for p in part) == ids and all(b[3] - a[4] <= GAP for a, b in zip(part, part[1:], strict=False)):
+            if tuple(p[0] for p in part) == ids and all(b[3] - a[4] <= GAP or between(text[a[2] : b[1]]) <= GAP for a, b in zip(part, part[1:], strict=False)):
                 out.append((licence, rule, part[0][1], part[-1][2], " ".join(ids)))
                 at += len(ids)
                 break
@@ -177,7 +185,7 @@ def scans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     kind = dict(docs.dtypes)[id]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 128, 1):
             row, hits = [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
                 for n, hit in enumerate(scan(t)):

@@ -9,7 +9,8 @@ ids).  The k-th largest key is found exactly by a radix search over histograms o
 all stay.
 
 Defined cases: a null text is the empty text, whose weight is 0; no target: all weights are 0; an empty table gives an empty table;
-repeated rows have equal keys, and so stay or go together.
+repeated rows have equal keys, and so stay or go together; very long texts are read whole, batches of them are cut by bytes; extra
+columns stay unless they have the names chosen for the new ones.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of one task: a row for each bucket."""
     held("quality", dict)
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in slices(batches, 64):
+    for batch in slices(batches, 64, 0):
         rows = [grams(text) for text in batch.column(0).to_pylist()]
         raw += np.bincount(np.concatenate(rows), minlength=BUCKETS)
         if good := [n for n, own in zip(rows, batch.column(1).to_pylist(), strict=True) if own]:
@@ -86,22 +87,35 @@ def gumbel(id: Column, seed: int) -> Column:
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
-    """The exact k-th largest double: four histograms of 16 bits each; null if there are fewer than k rows."""
-    scale = 1 << 20  # keys are compared as multiples of 2^-20
-    rank = F.floor(F.col(column) * scale).cast("long") + F.lit(1 << 62)
-    rows = keys.where(F.col(column).isNotNull()).select(rank.alias("r"))
-    prefix, left = 0, k
-    for shift in (48, 32, 16, 0):
-        part = rows.where(F.shiftrightunsigned("r", shift + 16) == prefix) if shift < 48 else rows
-        bins = part.groupBy(F.shiftrightunsigned("r", shift).bitwiseAND(F.lit(0xFFFF)).alias("b")).count().collect()  # at most 65536 rows
-        for b, n in sorted(((r["b"], r["count"]) for r in bins), reverse=True):
-            if left <= n:
-                prefix = prefix << 16 | b
+    """The exact k-th largest double; null if there are fewer than k rows.
+
+    Histograms of 16 bits each, from the whole multiples of 2^-20 on to the rest (products by powers of 2 and their whole parts are
+    exact); once at most `few` rows are left in a bin, or all its rows are equal, they decide.
+    """
+    few, scale = 4096, float(1 << 20)
+    rows = keys.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    rank = F.floor(F.col("x") * scale).cast("long") + F.lit(1 << 62)
+    rest = F.col("x") * scale - F.floor(F.col("x") * scale)
+    digits = [F.shiftrightunsigned(rank, s).bitwiseAND(F.lit(0xFFFF)) for s in (48, 32, 16, 0)]
+    for _ in range(4):
+        rest = rest * 65536.0
+        digits.append(F.floor(rest).cast("long"))
+        rest = rest - F.floor(rest)
+    left = k
+    for digit in digits:
+        bins = rows.groupBy(digit.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()  # at most 65536 rows
+        for r in sorted(bins, key=lambda r: -r["b"]):
+            if left <= r["n"]:
                 break
-            left -= n
+            left -= r["n"]
         else:
             return None
-    return (prefix - (1 << 62)) / scale
+        if r["low"] == r["high"]:
+            return r["low"]
+        rows = rows.where(digit == r["b"])
+        if r["n"] <= few:
+            return sorted((x for (x,) in rows.collect()), reverse=True)[left - 1]
+    return r["low"]  # closer than 2^-84
 
 
 def keep_share(labels: DataFrame) -> float:
@@ -110,14 +124,14 @@ def keep_share(labels: DataFrame) -> float:
     return 1.0 if not n else min(1.0, share + 3 * math.sqrt(max(share * (1 - share), 1 / n) / n))
 
 
-def keyed(docs: DataFrame, model: np.ndarray, id: str = "doc_id", text: str = "text", seed: int = 9) -> DataFrame:
-    """`docs` with _log_weight and _key."""
-    out = docs.withColumn("_log_weight", weight_column(docs.sparkSession, model, F.col(text)))
-    return out.withColumn("_key", F.col("_log_weight") + gumbel(F.col(id), seed))
+def keyed(docs: DataFrame, model: np.ndarray, id: str = "doc_id", text: str = "text", seed: int = 9, weight: str = "_log_weight", key: str = "_key") -> DataFrame:
+    """`docs` with the columns `weight` and `key`, which take the place of columns of their names."""
+    noise = gumbel(F.col(id), seed)
+    return docs.withColumn(weight, weight_column(docs.sparkSession, model, F.col(text))).withColumn(key, F.col(weight) + noise)
 
 
-def chosen(rows: DataFrame, share: float) -> Column:
-    """Whether a row of `rows` (with _key) is among the ceil(share * rows) largest keys."""
+def chosen(rows: DataFrame, share: float, key: str = "_key") -> Column:
+    """Whether a row of `rows` (with `key`) is among the ceil(share * rows) largest keys."""
     n = rows.count()
-    least = kth_largest(rows, "_key", math.ceil(share * n)) if n else None
-    return F.lit(True) if least is None else F.col("_key") >= least
+    least = kth_largest(rows, key, math.ceil(share * n)) if n else None
+    return F.lit(True) if least is None else F.col(key) >= least

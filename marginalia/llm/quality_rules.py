@@ -5,7 +5,8 @@ functions run.  Repeated windows: the windows of a text are hashed (XXH64 over t
 are done, the others sort (hash, place) pairs, so a long text costs n log n.
 
 Defined cases: a null text has no words; no words: all counts 0, ratios null, a null ratio passes its rule, and the base
-rule fails; repeated rows stay; other columns pass through unless a new column takes their name.
+rule fails; repeated rows stay; very long texts are read whole; other columns pass through unless a result column takes their name;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import SPACES
+from marginalia.llm.common import SPACES, free_name
 
 SYMBOLS = "#*$%&|<>"
 #: Common function words of English, German, French and Spanish.
@@ -40,26 +41,27 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(F.translate(t, SPACES, " " * len(SPACES)), " "), "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(F.translate(x, SPACES, " " * len(SPACES)))) > 0)
-    step = docs.withColumns({"_words": words, "_lines": lines})
-    last = F.size("_words") - (WINDOW - 1)
-    hashes = F.when(last > 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    step = step.withColumn("_hashes", hashes)
-    pairs = F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    words_, lines_, hashes_ = (free_name(docs, x) for x in ("_words", "_lines", "_hashes"))
+    step = docs.withColumns({words_: words, lines_: lines})
+    last = F.size(words_) - (WINDOW - 1)
+    hashes = F.when(last > 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words_, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    step = step.withColumn(hashes_, hashes)
+    pairs = F.array_sort(F.transform(hashes_, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     # array_sort of structs goes by hash, then place; a place is repeated if a neighbour has its hash.
     twice = lambda p: F.transform(F.filter(p, lambda x, k: (F.get(p, k - 1)["h"] == x["h"]) | F.coalesce(F.get(p, k + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"])
     covered = lambda at: F.aggregate(at, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last")), lambda s, x: F.struct((s["n"] + F.least(F.lit(WINDOW), x - s["last"])).alias("n"), x.alias("last")))["n"]
     let = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  evaluates `value` once
-    repeated = F.when(F.size(F.array_distinct("_hashes")) == F.size("_hashes"), F.lit(0).cast("long")).otherwise(let(let(pairs, lambda p: F.array_sort(twice(p))), covered))
+    repeated = F.when(F.size(F.array_distinct(hashes_)) == F.size(hashes_), F.lit(0).cast("long")).otherwise(let(let(pairs, lambda p: F.array_sort(twice(p))), covered))
     out = {
-        "n_words": F.size("_words"),
+        "n_words": F.size(words_),
         "word_chars": F.length(F.translate(t, SPACES, "")),
         "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_dup_lines": F.size(lines_) - F.size(F.array_distinct(lines_)),
         "n_repeat_words": repeated,
-        "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))),
-        "n_lines": F.size("_lines"),
+        "n_stop_words": F.size(F.filter(words_, lambda w: F.lower(w).isin(STOP_WORDS))),
+        "n_lines": F.size(lines_),
     }
-    return step.withColumns({k: v.cast("long") for k, v in out.items()}).drop("_words", "_lines", "_hashes")
+    return step.withColumns({k: v.cast("long") for k, v in out.items()}).drop(words_, lines_, hashes_)
 
 
 def verdict(rules=RULES) -> Column:
