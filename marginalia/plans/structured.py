@@ -130,7 +130,31 @@ def _parsed(spark, parse):
     return _lines(spark).select("doc_id", "line_no", parse(F.col("line")).alias("e")).where("e is not null").select("doc_id", "line_no", "e.*")
 
 
-@query()
+_ITEM = f"case when regexp_matches(line, {sql(L.TASK)}) then trim(regexp_extract(line, {sql(L.TASK)}, 2)) when regexp_matches(line, {sql(L.BULLET)}) then trim(regexp_extract(line, {sql(L.BULLET)}, 1)) when regexp_matches(line, {sql(L.NUMBER)}) then trim(regexp_extract(line, {sql(L.NUMBER)}, 2)) else trim(line) end"
+_BARS = r"regexp_replace(regexp_replace(trim(line), '^\|', ''), '\|$', '')"
+_SEP, _PAREN, _MARK = r"(?s)^(.+?)(?:\s*[:—–]\s+|\s+-\s+)(.*)$", r"^(.*?)\s*\(([^()]{1,80})\)\s*$", r"(?i)[\[(](high|medium|med|low)[\])]"
+_PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '\*\*(.+?)\*\*', '\1', 'g'), '__(.+?)__', '\1', 'g'), '`([^`]+)`', '\1', 'g'))"
+_TREND = r"case when regexp_matches(lower({0}), '(^|\s)(up|grew|growth|increase|increased|▲|\+)') then 'up' when regexp_matches(lower({0}), '(^|\s)(down|fell|decline|declined|decrease|decreased|▼|-\d)') then 'down' when regexp_matches(lower({0}), '(^|\s)(flat|steady|unchanged|→|holds?)\b') then 'flat' end"
+_TARGET, _BY_DASH = r"(?i)\(target:\s*([^)]+)\)", r"(?i)^(.{4,80}?)\s*[—–:-]\s*(.+?)\s*(?:target|goal)\s*[: ]\s*(.+)$"
+_ASKS, _OPEN = r"(?i)^(should|what|who|when|where|why|how)\b", r"(?i)^\s*open questions?\s*[:—–-]\s*"
+
+
+def _halves(x: str, i: int) -> str:
+    return rf"case when regexp_matches({x}, {sql(_SEP)}) and not regexp_matches({x}, '^(?:\s*[:—–]\s+|\s+-\s+)') then trim(regexp_extract({x}, {sql(_SEP)}, {i})) end"
+
+
+@query(
+    rf"""with {LINES_SQL}, t0 as (select doc_id, line_no, line, {_ITEM} as text, case when regexp_matches(line, {sql(L.TASK)}) or regexp_matches(line, {sql(L.BULLET)}) or regexp_matches(line, {sql(L.NUMBER)}) then {_ITEM} else line end as raw_, case when contains(line, '|') and not regexp_matches({_BARS}, '^[\s:|-]+$') then list_transform(string_split({_BARS}, '|'), lambda c: trim(c)) end as cs from fixture_lines),
+t1 as (select *, {_PLAIN} as p, case when len(cs) >= 2 and len(list_filter(cs, lambda c: c <> '')) > 0 then cs end as cells, case when regexp_matches(raw_, {sql(_PAREN)}) then trim(regexp_extract(raw_, {sql(_PAREN)}, 1)) else raw_ end as body, nullif(trim(regexp_extract(raw_, {sql(_PAREN)}, 2)), '') as suffix from t0),
+t2 as (select *, {_halves("body", 1)} as l, {_halves("body", 2)} as r, trim(regexp_replace(p, '(?i)\s*\(target:\s*[^)]+\)', '')) as mb from t1), t3 as (select *, {_halves("mb", 1)} as ml, {_halves("mb", 2)} as mr from t2),
+t4 as (select *, left(trim(regexp_replace(coalesce(ml, mb), ':$', '')), 120) as name, array_to_string(cells[2:], ' ') as rest from t3),
+e as (select doc_id, line_no, case when length(p) >= 12 and (contains(p, '?') or regexp_matches(p, '(?i)\bopen question\b') or regexp_matches(p, {sql(_ASKS)})) then {{'label': 'Open question', 'value': null, 'delta': null, 'trend': null, 'implication': left(regexp_replace(p, {sql(_OPEN)}, ''), 400)}}
+  when length(p) >= 12 and regexp_matches(p, {sql(_TARGET)}) and length(name) >= 2 then {{'label': name, 'value': left(trim(regexp_extract(p, {sql(_TARGET)}, 1)), 120), 'delta': null, 'trend': null, 'implication': case when coalesce(mr, '') <> '' then left(mr, 240) else 'Target' end}}
+  when length(p) >= 12 and not regexp_matches(p, {sql(_TARGET)}) and regexp_matches(p, {sql(_BY_DASH)}) then {{'label': left(trim(regexp_extract(p, {sql(_BY_DASH)}, 1)), 120), 'value': left(trim(regexp_extract(p, {sql(_BY_DASH)}, 3)), 120), 'delta': null, 'trend': null, 'implication': left(trim(regexp_extract(p, {sql(_BY_DASH)}, 2)), 240)}}
+  when coalesce(cells[1], '') <> '' and coalesce(cells[2], '') <> '' then {{'label': cells[1], 'value': cells[2], 'delta': nullif(cells[3], ''), 'trend': {_TREND.format("rest")}, 'implication': null}}
+  when length(l) between 1 and 60 and regexp_matches(r, '[0-9%$€£#<>]') then {{'label': l, 'value': r, 'delta': case when regexp_matches(suffix, '[0-9%$€£]') or regexp_matches(suffix, '(?i)up|down|flat|pts?|pp\b') then suffix end, 'trend': {_TREND.format("(r || ' ' || coalesce(suffix, ''))")}, 'implication': null}} end as e from t4)
+select doc_id, cast(line_no as int) as line_no, e.label, e.value, e.delta, e.trend, e.implication from e where e is not null"""
+)
 def parse_signals(spark, sf_dir):
     return _parsed(spark, L.parse_signal)
 
@@ -145,9 +169,6 @@ def parse_timeline(spark, sf_dir):
     return _parsed(spark, L.parse_timeline)
 
 
-_ITEM = f"case when regexp_matches(line, {sql(L.TASK)}) then trim(regexp_extract(line, {sql(L.TASK)}, 2)) when regexp_matches(line, {sql(L.BULLET)}) then trim(regexp_extract(line, {sql(L.BULLET)}, 1)) when regexp_matches(line, {sql(L.NUMBER)}) then trim(regexp_extract(line, {sql(L.NUMBER)}, 2)) else trim(line) end"
-_BARS = r"regexp_replace(regexp_replace(trim(line), '^\|', ''), '\|$', '')"
-_SEP, _PAREN, _MARK = r"(?s)^(.+?)(?:\s*[:—–]\s+|\s+-\s+)(.*)$", r"^(.*?)\s*\(([^()]{1,80})\)\s*$", r"(?i)[\[(](high|medium|med|low)[\])]"
 _TELL, _CHANCE = r"(?i)^(.{8,160}?),?\s+(?:but|yet|however|while|with)\s+(.{6,180})$", r"(?i)^(?:there is|there's|we have|we see|this is)\s+(?:a\s+)?(?:risk|danger|chance)\s+(?:that|of)\s+"
 
 
@@ -186,7 +207,6 @@ def parse_risks(spark, sf_dir):
     return _parsed(spark, L.parse_risk)
 
 
-_PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '\*\*(.+?)\*\*', '\1', 'g'), '__(.+?)__', '\1', 'g'), '`([^`]+)`', '\1', 'g'))"
 _STORY, _PERSONA, _WANT = r"(?i)^(?:user\s*story|story)\s*[:—–-]\s*(.+)$", r"(?i)^(?:persona\s*[:—–-]\s*)?(as an?\s+.+)$", r"(?i)^i want\b"
 
 
