@@ -159,7 +159,21 @@ def parse_signals(spark, sf_dir):
     return _parsed(spark, L.parse_signal)
 
 
-@query()
+_REF, _TAIL, _HEADS = r"^([A-Z]{1,5}-[0-9]{1,4})\s+", r"^(.*?)\s+[—–-]\s+(\S[\s\S]{0,40}?)\.?\s*$", ("business impact", "priority", "feature", "status", "summary", "overview")
+_END = f"trim(regexp_extract(rest, {sql(_TAIL)}, 2))"
+
+
+@query(
+    rf"""with {LINES_SQL}, t0 as (select doc_id, line_no, {_ITEM} as text, regexp_matches(line, {sql(L.TASK)}) or regexp_matches(line, {sql(L.BULLET)}) or regexp_matches(line, {sql(L.NUMBER)}) as listed, case when contains(line, '|') and not regexp_matches({_BARS}, '^[\s:|-]+$') then list_transform(string_split({_BARS}, '|'), lambda c: trim(c)) end as cs from fixture_lines),
+t1 as (select *, case when len(cs) >= 2 and len(list_filter(cs, lambda c: c <> '')) > 0 then cs end as cells, nullif(regexp_extract(text, {sql(_REF)}, 1), '') as ref, case when regexp_matches(text, {sql(_REF)}) then trim(regexp_replace(text, {sql(_REF)}, '')) else text end as rest from t0),
+t2 as (select *, case when regexp_matches(rest, {sql(_PAREN)}) then trim(regexp_extract(rest, {sql(_PAREN)}, 1)) else rest end as whole, regexp_extract(rest, {sql(_PAREN)}, 2) as suffix, nullif(regexp_extract({_END}, {sql(X.DECISION_STATUS)}), '') as ts, nullif(regexp_extract({_END}, {sql(X.DECISION_COMMITMENT)}), '') as tc, trim(regexp_extract(rest, {sql(_TAIL)}, 1)) as head from t1),
+t3 as (select *, regexp_matches(suffix, {sql(X.DECISION_STATUS)}) as ps, regexp_matches(suffix, {sql(X.DECISION_COMMITMENT)}) as pc from t2),
+t4 as (select *, lower(case when ps then regexp_extract(suffix, {sql(X.DECISION_STATUS)}, 1) when pc then null else ts end) as status, lower(case when ps then null when pc then regexp_extract(suffix, {sql(X.DECISION_COMMITMENT)}, 1) when ts is null then tc end) as commitment, case when ps or pc then whole when ts is not null or tc is not null then head else rest end as said from t3),
+e as (select doc_id, line_no, case when (regexp_matches(cells[1], '(?i)^P\d\b') or regexp_matches(cells[1], '(?i)^(critical|high|medium|low)\b')) and length(cells[2]) >= 3 and lower(cells[2]) <> 'feature' then {{'ref': upper(nullif(regexp_extract(cells[1], '(?i)^P\d\b'), '')), 'text': cells[1] || ': ' || cells[2] || case when coalesce(cells[3], '') <> '' then ' (' || cells[3] || ')' else '' end, 'status': case when regexp_matches(cells[1], '(?i)^P0\b') then 'approved' else 'proposed' end, 'commitment': 'committed'}}
+  when length(text) >= 3 and lower(trim(regexp_replace(text, '[''"`]', '', 'g'))) not in ({", ".join(map(sql, _HEADS))}) and (ref is not null or status is not null or commitment is not null or (listed and (len(regexp_split_to_array(said, '\s+')) >= 3 or regexp_matches(said, '[.!?]$')))) and length(said) >= 2
+  then {{'ref': ref, 'text': said, 'status': coalesce(status, 'proposed'), 'commitment': coalesce(commitment, case when status = 'approved' then 'committed' end, case when regexp_matches(said, {sql(X.CONSIDERED)}) then 'considered' when regexp_matches(said, {sql(X.COMMITTED)}) or regexp_matches(trim(said), {sql(X.IMPERATIVE)}) then 'committed' else 'considered' end)}} end as e from t4)
+select doc_id, cast(line_no as int) as line_no, e.ref, e.text, e.status, e.commitment, cast(null as varchar) as because from e where e is not null"""
+)
 def parse_decisions(spark, sf_dir):
     return _parsed(spark, L.parse_decision)
 
