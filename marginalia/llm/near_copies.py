@@ -1,12 +1,15 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+"""Operator 3 with five-word shingles and verification: texts whose sets of shingles have a Jaccard similarity of at least 0.8.
 
-At that similarity 64-bit SimHash prints of the same shingles differ by about 10 bits and often by more, which no covering
-by blocks or anchors can list.  So candidates come from MinHash: BANDS bands of ROWS minima; a pair of similarity s shares
-no band with probability (1 - s^ROWS)^BANDS, at most 1.3e-7 at 0.8.  Each candidate is then verified on the shingles themselves.
+Candidates come from the anchor covering of SimHash prints (`simhash.links`).  At similarity 0.8 those prints differ by about 10 bits
+and often by more, which no covering by blocks or anchors can list, so a second signature finds the others: BANDS bands of ROWS minima of
+the same hashes; a pair of similarity s shares no band with probability (1 - s^ROWS)^BANDS, at most 1.3e-7 at 0.8.  Each
+candidate, from either, is then verified on the shingles themselves.
 
-Texts with equal sets are one class before anything is compared.  First each band's group is compared with its least member
-only, so a large group of near copies costs as many pairs as it has members; then all pairs of a group that the links
-found so far don't connect.  No group is cut.
+Texts with equal sets are one class before anything is compared.  Each band's group is compared with one of its members only, the first
+in one of ORDERS orders, so a large group costs as many pairs as it has members.  Members of groups that the links found so far don't
+connect are then grouped by pairs of bands, where texts that merely share a passage seldom meet, and compared with one member of each such
+group.  No group is cut and no group's pairs are listed; a pair is missed only if, in every group that it shares, the member compared
+with is like neither of the two.
 
 Defined cases: a null text is the empty text; texts without words are one class; fewer words than the shingle has: the whole
 sequence is the only shingle; each component keeps its row of the least id (nulls last), then of the least place.
@@ -22,10 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import components, held, slices, stored
+from marginalia.llm import simhash
+from marginalia.llm.common import components, discard, held, slices, stored
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 40, 5
+#: Steps from a band to the ones it is paired with, and the orders that choose whom a group is compared with.
+STEPS, ORDERS = (1, 3, 7), 4
 _RANDOM = np.random.default_rng(42)
 _TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -49,22 +55,22 @@ def similar(a: set[bytes], b: set[bytes], least: float = LEAST) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def signature(found: set[bytes]) -> tuple[bytes, list[int]]:
-    """(digest of the set, key of each band); no bands for an empty set."""
+def signature(found: set[bytes]) -> tuple[bytes, int, list[int]]:
+    """(digest of the set, its SimHash print, key of each band); no bands for an empty set."""
     digest = xxhash.xxh64_intdigest
     hashes = np.sort(np.array([digest(s, 42) for s in found], dtype=np.uint64))
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 512):
         np.minimum(least, (hashes[at : at + 512, None] * _TIMES + _PLUS).min(axis=0), out=least)
     keys = [xxhash.xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(least.reshape(BANDS, ROWS))] if len(hashes) else []
-    return xxhash.xxh128_digest(hashes.tobytes()), [k - (1 << 64) if k >> 63 else k for k in keys]
+    return xxhash.xxh128_digest(hashes.tobytes()), simhash.majority(hashes), [k - (1 << 64) if k >> 63 else k for k in keys]
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held("near_copies", dict)
-    for batch in slices(batches, 256):
+    for batch in slices(batches, 256, 1):
         out = [signature(shingles(t.as_py())) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in out], pa.binary()), pa.array([k for _, k in out], pa.list_(pa.int64()))], names=["_row", "class", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["_row", "class", "print", "bands"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,32 +86,68 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+#: Ids that may be broadcast: 8 bytes each.
+FEW = 500_000
+
+
 def verified(pairs: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
-    """The pairs (a, b) of rows whose shingles are similar enough."""
-    of = lambda end: rows.select(F.col("_row").alias(end), F.col(text).alias(f"text_{end}"))
+    """The pairs (a, b) of rows whose shingles are similar enough; only texts of candidates move."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "ids")
+    few = F.broadcast(ids) if ids.count() <= FEW else ids
+    texts = stored(rows.select("_row", F.col(text).alias("t")).join(few, "_row", "left_semi"), "texts")
+    of = lambda end: texts.select(F.col("_row").alias(end), F.col("t").alias(f"text_{end}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
-    return stored(both.mapInArrow(_verify, "a long, b long"), "links")
+    out = stored(both.mapInArrow(_verify, "a long, b long"), "links")
+    discard(ids, texts)
+    return out
+
+
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates (a > b) of `nodes` (node, print): equal prints with their least node, and least nodes whose prints the covering links."""
+    least = stored(nodes.groupBy("print").agg(F.min("node").alias("b")), "prints")
+    equal = nodes.join(least, "print").where("node <> b").select(F.col("node").alias("a"), "b")
+    edges = simhash.links(least.select("print"))
+    of = lambda end: least.select(F.col("print").alias(end), F.col("b").alias(f"node_{end}"))
+    near = edges.join(of("a"), "a").join(of("b"), "b").select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
+    return equal.union(near.where("a <> b"))
+
+
+def stars(homes: DataFrame) -> DataFrame:
+    """(band, a, b): every member a of each group of `homes` (node, k, band) with the group's first member b, groups of one left out."""
+    order = F.struct(F.xxhash64("node", F.col("k") % ORDERS).alias("o"), "node")
+    shared = homes.groupBy("band").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("band", F.col("first.node").alias("b"))
+    return homes.join(shared, "band").select("band", F.col("node").alias("a"), "b")
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs of two nodes, the larger first."""
+    return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def kept_rows(rows: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_row) of the row that stays of each component of near copies; `rows` is stored and has a unique long `_row`."""
-    signed = stored(rows.select("_row", text).mapInArrow(_sign, "_row long, class binary, bands array<long>"), "signatures")
+    signed = stored(rows.select("_row", text).mapInArrow(_sign, "_row long, class binary, print long, bands array<long>"), "signatures")
     best = F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("_row").alias("row")))
-    classes = stored(signed.select("_row", "class").join(rows.select("_row", id), "_row").groupBy("class").agg(F.min("_row").alias("node"), best.alias("best")).select("node", "best"), "classes")
-    homes = signed.join(classes.select(F.col("node").alias("_row")), "_row", "left_semi").select(F.col("_row").alias("node"), F.explode("bands").alias("band"))
-    homes = stored(homes, "bands")
-    shared = homes.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
-    stars = stored(homes.join(shared, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
-    edges = verified(stars, rows, text)
-    # Members of a group that no link joins yet are compared with each other.
-    parts = components(edges)
-    placed = homes.join(shared.select("band"), "band").join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("part"))
-    placed = stored(placed, "placed")
-    mixed = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
-    open_ = placed.join(mixed, "band", "left_semi")
-    one, two = (open_.select("band", F.col("node").alias(n), F.col("part").alias(f"part_{n}")) for n in ("a", "b"))
-    rest = one.join(two, "band").where("a > b and part_a <> part_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = verified(stored(rest, "pairs"), rows, text)
-    parts = components(edges.union(more))
-    named = classes.join(parts, "node", "left").select("best", F.coalesce("component", "node").alias("root"))
-    return named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best")["row"].alias("_row"))
+    classes = stored(signed.select("_row", "class").join(rows.select("_row", F.col(id).alias(id)), "_row").groupBy("class").agg(F.min("_row").alias("node"), best.alias("best")).select("node", "best"), "classes")
+    nodes = signed.join(classes.select(F.col("node").alias("_row")), "_row", "left_semi").select(F.col("_row").alias("node"), "print", "bands").where("size(bands) > 0")
+    groups = stored(stars(nodes.select("node", F.posexplode("bands").alias("k", "band"))), "groups")  # few, most bands are of one node
+    first = stored(ordered(groups.select("a", "b").union(print_pairs(nodes.select("node", "print")))), "pairs")
+    edges = verified(first, rows, text)
+    parts = stored(components(edges), "parts")
+    part = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}"))
+    apart = lambda ps: ps.join(part("a"), "a", "left").join(part("b"), "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
+    # Nodes of groups that aren't connected yet meet again in pairs of bands.
+    open_ = stored(apart(groups).select(F.explode(F.array("a", "b")).alias("node")).distinct(), "open")
+    again = nodes.join(open_, "node", "left_semi").select("node", F.posexplode(F.concat(*[_paired(d) for d in STEPS])).alias("k", "band"))
+    second = stored(ordered(apart(stars(again)).select("a", "b")).join(first, ["a", "b"], "left_anti"), "pairs")
+    more = verified(second, rows, text)
+    all_parts = components(edges.union(more))
+    named = classes.join(all_parts, "node", "left").select("best", F.coalesce("component", "node").alias("root"))
+    kept = stored(named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best")["row"].alias("_row")), "kept")
+    discard(signed, classes, groups, first, edges, parts, open_, second, more)
+    return kept
+
+
+def _paired(step: int):
+    """The keys of each band together with the one `step` further on."""
+    return F.transform("bands", lambda x, i: F.xxhash64(x, F.get("bands", (i + step) % BANDS), F.lit(step)))

@@ -11,7 +11,8 @@ other half (at most 3 bits differ there, so one of its 4 bytes is equal).  Insid
 forest, never all pairs; the forests meet in `common.components`.
 
 Defined cases: a null text is the empty text; no words: fingerprint 0, linked like any other; fewer words than the shingle
-has: the whole sequence is the only shingle; repeated rows stay; a null id takes part, but ids of components ignore it.
+has: the whole sequence is the only shingle; repeated rows stay; a null id takes part, but ids of components ignore it; very long
+texts are read whole, batches of them are cut by bytes; other columns are dropped, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import components, held, slices, stored
+from marginalia.llm.common import components, discard, held, slices, stored
 
 #: Parity masks of the Hamming code: bit p - 1 belongs to check j if p has bit j.
 _CHECKS = [sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1) for j in range(5)]
@@ -43,6 +44,11 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     stops = (ends - 1).tolist()[width - 1 :] or [len(line)]
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts, stops, strict=False)], dtype=np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes, as a signed long."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -54,7 +60,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("simhash", dict)
-        for batch in slices(batches):
+        for batch in slices(batches, 512, len(keep)):
             out = [fingerprint(t, width) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.int64())], names=[*keep, "fingerprint"])
 
@@ -184,11 +190,13 @@ def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, most: int = 3) -> DataFrame:
     """(id, fingerprint long, component_id) of every row; component_id: the least id that links reach."""
-    rows = stored(fingerprints(docs, text, (id,), width), "fingerprints")
-    classes = stored(rows.groupBy("fingerprint").agg(F.min(id).alias("least")), "classes")
+    docs = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
+    rows = stored(fingerprints(docs, "_text", ("_id",), width), "fingerprints")
+    classes = stored(rows.groupBy("fingerprint").agg(F.min("_id").alias("least")), "classes")
     parts = components(links(classes.select("fingerprint"), most))
     named = classes.join(parts, classes.fingerprint == parts.node, "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("root"))
     named = stored(named, "roots")
+    discard(classes)
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(roots, "root").select("fingerprint", "component_id")
-    return rows.join(named, "fingerprint").select(id, "fingerprint", "component_id")
+    return rows.join(named, "fingerprint").select(F.col("_id").alias(id), "fingerprint", "component_id")
