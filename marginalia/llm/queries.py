@@ -1,4 +1,4 @@
-"""One query for each of the ten operators, with production parameters over whole tables."""
+"""One query for each of the thirteen operators, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, embedding_dedup, licenses, packing, quality_classifier, quality_rules, simhash, token_counts, toxicity, warc
+from marginalia.llm import alignment, bpe, collocations, embedding_dedup, exact_topk, licenses, packing, quality_classifier, quality_rules, simhash, token_counts, toxicity, warc
 from marginalia.llm.common import stored, table
 
-WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORDS, BYTES, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +61,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_simhash, op4_toxicity, op5_quality_rules, op6_licenses, op7_token_counts, op8_embedding_dedup, op9_quality_classifier, op10_warc)}
-ORACLES = {"op5_quality_rules": quality_rules.ORACLE, "op10_warc": warc.ORACLE}
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = {"groups_sha256": ("string", alignment.groups_sha256)}
+    out = alignment.with_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), public_tokenizers.path(PIECES), more=digest)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_simhash, op4_toxicity, op5_quality_rules, op6_licenses, op7_token_counts, op8_embedding_dedup, op9_quality_classifier, op10_warc, op11_exact_topk, op12_alignment, op13_collocations)}
+ORACLES = {"op5_quality_rules": quality_rules.ORACLE, "op10_warc": warc.ORACLE, "op11_exact_topk": exact_topk.ORACLE, "op13_collocations": collocations.ORACLE}
