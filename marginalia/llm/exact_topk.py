@@ -1,15 +1,16 @@
 """Operator 11: exact top-k search by no-random-access aggregation.
 
-Every dimension is a list of the candidates sorted by their component, kept for each block of candidates.  A query reads all lists
-sequentially and in step: from the top where its own component is positive, from the bottom where it is negative; where it is
+Every dimension of a block of candidates gives two lists sorted by component, one from the top and one from the bottom.  A query
+reads all lists in step: from the top where its own component is positive, from the bottom where it is negative; where it is
 zero the list adds nothing.  With f the value at which a list stands and w its last one, a candidate's score lies between
 
     lower = sum of what was read of it + q w of the lists it was not met in,
     upper = sum of what was read of it + q f of those lists.
 
-Reading goes on until no candidate that was met nowhere can qualify (the sum of all q f falls below the k-th best score), then in steps until
-the upper bounds leave few of the met ones.  Only those are resolved to exact scores.  The k-th best score is the
-k-th best lower bound of the block or, if better, the k-th best exact score of the blocks before it in the same task.
+Reading goes on until no candidate that was met nowhere can qualify (the sum of all q f falls below the k-th best score), then level by level
+until the upper bounds leave few of the met ones.  Only those are resolved to exact scores.  The k-th best score is the
+k-th best lower bound of the block or, if better, the k-th best exact score of the blocks before it in the same task.  The lists are read once for
+all queries of a task; what was read is a matrix, so the bounds of many queries are one product.
 
 Queries and candidates lie in blocks of packed integers; each (block of queries, group of candidates) is one task's work and leaves at
 most k rows for each query.  Nothing is broadcast or collected; equal vectors are rows as any others, dealt by row number.
@@ -32,8 +33,8 @@ from pyspark.sql.window import Window
 
 from marginalia.llm.common import discard, slices, stored
 
-#: Integers whose products and sums are exact in doubles and in longs below these sizes.
-DOUBLE, LONG = 2**53, 2**63
+#: Integers whose products and sums are exact below these sizes: in single and double precision, and in longs.
+SINGLE, DOUBLE, LONG = 2**24, 2**53, 2**63
 
 
 def _packed(scale: float):
@@ -81,47 +82,77 @@ def _matrix(r: dict) -> np.ndarray:
 
 
 class Lists:
-    """The sorted lists of a block, one for each dimension, and what reading them for a query tells."""
-
-    def __init__(self, x: np.ndarray, steps: int = 16) -> None:
-        n = len(x)
-        order = np.argsort(x, axis=0, kind="stable").T
-        values = np.take_along_axis(x.T, order, axis=1)
-        #: from the bottom, from the top
-        self.order, self.values = np.stack([order, order[:, ::-1]]), np.stack([values, values[:, ::-1]])
-        self.x, self.n = x, n
+    """The sorted lists of a block: one for each dimension from the top and one from the bottom, read in step, level by level."""
+
+    def __init__(self, x: np.ndarray, kind: type = np.float64, steps: int = 16) -> None:
+        n, d = x.shape
+        x = x.astype(kind)
+        order = np.argsort(x, axis=0, kind="stable")
+        #: the lists side by side (rows: depth), those from the top first, and the components in their order
+        self.order = np.hstack([order[::-1], order])
+        self.values = np.take_along_axis(np.hstack([x, x]), self.order, axis=0)
         self.depths = np.unique(np.linspace(0, n, min(steps, n) + 1).astype(np.int64)[1:])
-
-    def frontiers(self, q: np.ndarray) -> np.ndarray:
-        """For each depth the sum of q f: no candidate that wasn't met up to there scores more."""
-        at = self.values[:, :, self.depths - 1]
-        return np.maximum(q, 0) @ at[1] + np.minimum(q, 0) @ at[0]
-
-    def survivors(self, q: np.ndarray, k: int, best: float, first: int, allowed: np.ndarray, beats: np.ndarray) -> np.ndarray:
-        """Candidates that may be among the k best.  best: a k-th best score known before; beats: those that win a tie with it;
-        first: the depth (an index) at which unmet candidates can't reach it."""
-        n, dims = self.n, np.flatnonzero(q)
-        if not len(dims):
-            return np.flatnonzero(allowed)
-        side, w = (q[dims] > 0).astype(np.int64), q[dims, None]
-        lower = np.full(n, float((w[:, 0] * self.values[side, dims, n - 1]).sum()))
-        worst = w * self.values[side, dims, n - 1][:, None]
-        few, done = max(4 * k, n // 32), 0
-        for level in range(first, len(self.depths)):
-            depth = int(self.depths[level])
-            if depth == n:
-                return np.flatnonzero(allowed)  # read to the end
-            met, gain = self.order[side, dims, :depth], w * self.values[side, dims, :depth]
-            front = gain[:, -1:]
-            upper = np.bincount(met.ravel(), (gain - front).ravel(), n) + front.sum()
-            lower += np.bincount(met[:, done:].ravel(), (gain[:, done:] - worst).ravel(), n)
-            done = depth
-            inside = lower[allowed]
-            own = float(np.partition(inside, len(inside) - k)[len(inside) - k]) if len(inside) >= k else -np.inf
-            alive = allowed & ((upper >= own) if own > best else (upper > best) | ((upper == best) & beats))
-            if front.sum() < max(own, best) and int(alive.sum()) <= few:
-                return np.flatnonzero(alive)
-        return np.flatnonzero(allowed)
+        self.x, self.n, self.depth = x, n, 0
+        #: what was read of each candidate in each list
+        self.seen, self.met = np.zeros((n, 2 * d), kind), np.zeros((n, 2 * d), bool)
+
+    def read(self, depth: int) -> None:
+        """Reads all lists on to `depth`."""
+        if depth > self.depth:
+            rows = self.order[self.depth : depth]
+            np.put_along_axis(self.seen, rows, self.values[self.depth : depth], axis=0)
+            np.put_along_axis(self.met, rows, True, axis=0)
+            self.depth = depth
+
+    def bounds(self, signed: np.ndarray, at: int) -> np.ndarray:
+        """Candidates by queries: the sum of what was read plus, for what wasn't, the components at depth `at` of the lists."""
+        return np.where(self.met, self.seen, self.values[at]) @ signed.T
+
+
+def split(queries: np.ndarray) -> np.ndarray:
+    """Each query against the lists from the top (where it is positive) and from the bottom (where it is negative)."""
+    return np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
+
+
+def survivors(lists: Lists, queries: np.ndarray, k: int, best: np.ndarray, own: np.ndarray, beats) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, candidates that may be among its k best), each query once.
+
+    best: for each query a k-th best score known before, or -inf; own: its own place in the block, or -1; beats(query): the candidates that
+    win a tie with that score.
+    """
+    signed, n = split(queries).astype(lists.x.dtype), lists.n
+    # How far to read at least: where no candidate that was met nowhere can qualify.
+    fronts = lists.values[lists.depths - 1] @ signed.T < best
+    first = np.where(fronts.any(axis=0), fronts.argmax(axis=0), len(lists.depths) - 1)
+    first[~np.isfinite(best)] = 0
+    waiting, few = np.ones(len(queries), bool), max(4 * k, n // 32)
+    for level, depth in enumerate(lists.depths.tolist()):
+        now = np.flatnonzero(waiting & (first <= level))
+        if not len(now) or (level % 4 != 3 and depth < n and not np.isfinite(best[now]).any()):
+            continue
+        lists.read(depth)
+        if depth == n:
+            for q in now.tolist():
+                yield q, np.delete(np.arange(n), own[q]) if own[q] >= 0 else np.arange(n)
+            return
+        front = signed[now] @ lists.values[depth - 1]
+        upper = lists.bounds(signed[now], depth - 1)
+        new = ~np.isfinite(best[now])
+        least = best[now].astype(np.float64)
+        if new.any() and n > k:
+            lower = lists.bounds(signed[now[new]], n - 1)
+            lower[own[now[new]][own[now[new]] >= 0], np.flatnonzero(own[now[new]] >= 0)] = -np.inf
+            least[new] = np.partition(lower, n - k, axis=0)[n - k]
+        many = (upper >= least).sum(axis=0)
+        for j in np.flatnonzero((front < least) & (many <= 2 * few + 4 * k)).tolist():
+            q = int(now[j])
+            column = upper[:, j]
+            alive = column >= least[j] if new[j] else (column > least[j]) | ((column == least[j]) & beats(q))
+            if own[q] >= 0:
+                alive[own[q]] = False
+            if int(alive.sum()) <= few:
+                waiting[q] = False
+                yield q, np.flatnonzero(alive)
 
 
 def _exact(x: np.ndarray, q: np.ndarray, safe: bool) -> list[int]:
@@ -141,34 +172,31 @@ def _search(k: int):
         names: dict[int, int] = {}
         for b in sorted(blocks, key=lambda r: r["rows"]):
             x, ids, rows = _matrix(b), np.frombuffer(b["ids"], np.int64), np.frombuffer(b["rows"], np.int64)
-            top, lists = float(np.abs(x).max(initial=0)), None
+            place = {r: i for i, r in enumerate(rows.tolist())}
             for dim, queries, qids, qrows in asked:
                 if dim != b["dim"]:
                     continue
-                safe = top * float(np.abs(queries).max(initial=0)) * max(dim, 1) < DOUBLE
-                if safe and lists is None:
-                    lists = Lists(x)
-                for q, qid, qrow in zip(queries, qids.tolist(), qrows.tolist(), strict=True):
-                    names[qrow] = qid
-                    kept = best.setdefault(qrow, [])
-                    allowed = rows != qrow
-                    if not safe or not dim:
-                        at = np.flatnonzero(allowed)
-                    elif len(kept) < k:
-                        at = lists.survivors(q, k, -np.inf, 0, allowed, allowed)
-                    else:
-                        limit = -kept[-1][0]
-                        fronts = lists.frontiers(q) < limit
-                        first = int(fronts.argmax()) if fronts.any() else len(lists.depths) - 1
-                        at = lists.survivors(q, k, float(limit), first, allowed, ids < kept[-1][1])
+                largest = float(np.abs(x).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(dim, 1)
+                kept_of = [best.setdefault(r, []) for r in qrows.tolist()]
+                names.update(zip(qrows.tolist(), qids.tolist(), strict=True))
+                own = np.array([place.get(r, -1) for r in qrows.tolist()], np.int64)
+                safe = largest < DOUBLE
+                if safe and dim:
+                    lists = Lists(x, np.float32 if largest < SINGLE else np.float64)
+                    limits = np.array([-kept[-1][0] if len(kept) == k else -np.inf for kept in kept_of], np.float64)
+                    found = survivors(lists, queries, k, limits, own, lambda q, kept_of=kept_of, ids=ids: ids < kept_of[q][-1][1])
+                else:  # bounds can't be had in doubles: the lists are read to their ends
+                    found = ((q, np.delete(np.arange(len(x)), own[q]) if own[q] >= 0 else np.arange(len(x))) for q in range(len(queries)))
+                for q, at in found:
                     if not len(at):
                         continue
-                    scores = _exact(x[at], q, safe)
+                    scores = _exact(x[at], queries[q], safe)
                     if safe and len(at) > 4 * k:  # only those that may stand among k of the block
                         s = np.array(scores, dtype=np.int64)
                         good = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
                         good = good[np.lexsort((ids[at[good]], -s[good]))[:k]]
                         at, scores = at[good], s[good].tolist()
+                    kept = kept_of[q]
                     kept += zip((-s for s in scores), ids[at].tolist(), rows[at].tolist(), strict=True)
                     kept.sort()
                     del kept[k:]
