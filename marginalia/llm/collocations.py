@@ -35,8 +35,10 @@ from marginalia.llm.common import discard, slices, stored
 
 #: Buckets of one block of a bitmap.
 BLOCK = 1 << 16
+#: Bytes of text that a task works on at a time, and rows of counts that it holds.
+SLICE, HELD = 1 << 20, 200_000
 #: Bytes of text for each bucket, where the bound allows it.
-SHARE = 48
+SHARE = 64
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))  # odd multipliers
 
 
@@ -102,13 +104,11 @@ class Words:
 
     def counted(self, at: np.ndarray, k: int) -> pa.RecordBatch:
         """The distinct phrases of k words at the places `at`, with their numbers."""
-        import pandas as pd
-
         # Exact keys: pairs of numbers are numbered through again, one word at a time.
         keys = [self.lang[at]]
         for j in range(k):
             pair = keys[-1] * (len(self.words) + 1) + self.code[at + j]
-            keys.append(pd.factorize(pair)[0].astype(np.int64))
+            keys.append(pa.array(pair).dictionary_encode().indices.to_numpy().astype(np.int64))
         number = keys[-1]
         n = np.bincount(number)
         first = np.zeros(len(n), np.int64)
@@ -118,14 +118,52 @@ class Words:
         return pa.RecordBatch.from_arrays([self.langs.take(pa.array(self.lang[first])), phrase, pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
 
 
+class Sums:
+    """Counts of one task, added up while they are few; what grows beyond HELD rows leaves the task."""
+
+    def __init__(self) -> None:
+        self.held: list[pa.RecordBatch] = []
+        self.rows = 0
+
+    def add(self, rows: pa.RecordBatch) -> list[pa.RecordBatch]:
+        self.held.append(rows)
+        self.rows += len(rows)
+        if self.rows <= HELD:
+            return []
+        whole = self._one()
+        if len(whole) > HELD // 2:
+            return self._leave(whole)
+        self.held, self.rows = whole.to_batches(), len(whole)
+        return []
+
+    def rest(self) -> list[pa.RecordBatch]:
+        return self._leave(self._one()) if self.held else []
+
+    def _one(self) -> pa.Table:
+        return pa.Table.from_batches(self.held).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["lang", "phrase", "n"])
+
+    def _leave(self, whole: pa.Table) -> list[pa.RecordBatch]:
+        self.held, self.rows = [], 0
+        return whole.to_batches(max_chunksize=50_000)
+
+
 #: A row of a pass is either a phrase with its number or a block of buckets.
 ROWS = "lang string, phrase string, n long, block int, counts binary"
 
 
 def _blocks(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The blocks of an array that aren't all zero, compressed."""
     for k in range(0, len(counts), BLOCK):
         if (part := counts[k : k + BLOCK]).any():
-            yield k // BLOCK, part.tobytes()
+            yield k // BLOCK, _closed(part)
+
+
+def _closed(part: np.ndarray) -> bytes:
+    return pa.compress(part.tobytes(), "zstd", asbytes=True)
+
+
+def _opened(raw: bytes, width: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, BLOCK * np.dtype(width).itemsize, "zstd", asbytes=True), width)
 
 
 def _added(counts: np.ndarray, at: np.ndarray, most: int) -> None:
@@ -147,19 +185,20 @@ def _pass(k: int, last: int, least: int, bits: int, often: np.ndarray | None, fr
         return ok
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(bits if k < last else 0, width)
-        none = lambda n, kind: pa.nulls(n, kind)
-        for batch in slices(batches, 1 << 14, 1, 8 << 20):
+        counts, sums = np.zeros(bits if k < last else 0, width), Sums()
+        names, none = ["lang", "phrase", "n", "block", "counts"], pa.nulls
+        of = lambda rows: [pa.RecordBatch.from_arrays([*b.columns, none(len(b), pa.int32()), none(len(b), pa.binary())], names=names) for b in rows]
+        for batch in slices(batches, 1 << 14, 1, SLICE):
             words = Words(batch.column(1), batch.column(0))
             ok = may_be(words)
             if (at := np.flatnonzero(ok)).size:
-                rows = words.counted(at, k)
-                yield pa.RecordBatch.from_arrays([*rows.columns, none(len(rows), pa.int32()), none(len(rows), pa.binary())], names=["lang", "phrase", "n", "block", "counts"])
+                yield from of(sums.add(words.counted(at, k)))
             if k < last:
                 longer = np.flatnonzero(ok[:-1] & ok[1:] & words.starts(k + 1)) if len(ok) > 1 else at[:0]
                 _added(counts, _place(phrase_hashes(words.hash, k + 1)[longer], bits), least)
+        yield from of(sums.rest())
         for block, raw in _blocks(counts):
-            yield pa.RecordBatch.from_arrays([none(1, pa.string()), none(1, pa.string()), none(1, pa.int64()), pa.array([block], pa.int32()), pa.array([raw], pa.binary())], names=["lang", "phrase", "n", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([none(1, pa.string()), none(1, pa.string()), none(1, pa.int64()), pa.array([block], pa.int32()), pa.array([raw], pa.binary())], names=names)
 
     return work
 
@@ -172,11 +211,11 @@ def _merged(least: int):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(raw.as_buffer(), width)
+                part = _opened(raw.as_buffer(), width)
                 old = sums.get(block)
                 sums[block] = part.copy() if old is None else np.minimum(old.astype(np.uint32) + part, least).astype(width)
         for block, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_closed(part)], pa.binary())], names=["block", "counts"])
 
     return work
 
@@ -186,7 +225,7 @@ def _hit(least: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.packbits(np.frombuffer(raw.as_buffer(), width) >= least, bitorder="little").tobytes() for raw in batch.column(1)]
+            bits = [np.packbits(_opened(raw.as_buffer(), width) >= least, bitorder="little").tobytes() for raw in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["block", "bits"])
 
     return work
