@@ -243,7 +243,7 @@ def _signal_of(line: Column, cells: Column, whole: Column, parts: Column) -> Col
 
 
 def parse_decision(line: Column) -> Column:
-    """STRUCT(ref, text, status, commitment, because): priority rows, then a reference, list marker or stated status."""
+    """STRUCT(ref, text, status, commitment, because): priority rows, rows and rules of cases sheets, then a reference, list marker or stated status."""
     return let_all(
         lambda a: let_all(
             lambda b: let_all(lambda c: _decision(a, b, c), whole=paren_suffix(b["rest"]), tail_status=trailing_keyword(b["rest"], X.DECISION_STATUS), tail_commitment=trailing_keyword(b["rest"], X.DECISION_COMMITMENT)),
@@ -253,6 +253,7 @@ def parse_decision(line: Column) -> Column:
         cells=table_cells(line),
         text=item_text(line),
         listed=list_item(line).isNotNull(),
+        cases=F.coalesce(cases_row(line), cases_rule(line)),
     )
 
 
@@ -282,7 +283,7 @@ def _decision(a: Column, b: Column, c: Column) -> Column:
         how = F.coalesce(d["commitment"], F.when(settled == "approved", "committed"), read_commitment(said))
         return F.when(usable, out(said, settled, how, ref))
 
-    return F.coalesce(priority, let_all(judged, body=body, status=status, commitment=commitment))
+    return F.coalesce(priority, a["cases"], let_all(judged, body=body, status=status, commitment=commitment))
 
 
 def parse_timeline(line: Column) -> Column:
@@ -428,3 +429,109 @@ def _action(a: Column) -> Column:
     task = F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 2, F.lit(0))), ", ")
     three = F.when((n >= 3) & looks_like_date(last) & (F.length(owner) <= 60) & (F.length(task) >= 3), out(task, status, owner, last))
     return F.coalesce(told, row, F.when(F.length(text) >= 3, F.coalesce(in_paren, three)))
+
+
+# --- cases sheets and lenient parsers -----------------------------------------------------------------------------------
+
+
+def _settled(text: Column) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(none.alias("ref"), cut(text, 500).alias("text"), F.lit("approved").alias("status"), F.lit("committed").alias("commitment"), none.alias("because"))
+
+
+def cases_row(line: Column) -> Column:
+    """A decision from a row of a cases sheet: a field, its Y and N flags, and the rule that the remarks state; null for other lines."""
+    return let_all(_cases_row, cells=table_cells(line), text=strip_emphasis(item_text(line)))
+
+
+def _cases_row(a: Column) -> Column:
+    cells, text = a["cells"], a["text"]
+    cell = lambda i: F.coalesce(F.get(cells, F.lit(i)), F.lit(""))
+    field, remarks = cell(0), strip(F.array_join(F.slice(cells, 5, 1000), " "))
+    flags = F.regexp_replace(F.concat_ws("/", cell(1), cell(2), cell(3)), r"\|", "")
+    usable = (F.size(cells) >= 4) & (field != "") & ~matches(field, X.CASES_HEADER) & matches(cell(1), X.CASES_FLAGS) & matches(cell(2), X.CASES_FLAGS)
+    said = F.when(remarks == "", F.concat(field, F.lit(": editability "), flags)).otherwise(F.concat(field, F.lit(" ["), flags, F.lit("] — "), remarks))
+    row = F.when((remarks != "") & matches(remarks, X.CASES_RULE), _settled(F.concat(field, F.lit(": "), remarks))).when(~((remarks == "") & flags.rlike(r"^[\-–./]+\z")), _settled(said))
+    part = lambda i: extract(text, X.CASES_PROSE, i)
+    name, rest = strip(part(1)), strip(part(5))
+    ruled = matches(rest, X.CASES_RULE) | (F.length(rest) >= 12)
+    prose = F.when(~(matches(name, X.CASES_MODULE) & (F.length(rest) < 8)), F.when(ruled, _settled(F.concat(name, F.lit(": "), rest))).otherwise(_settled(F.concat(name, F.lit(": editability "), F.concat_ws("/", part(2), part(3), part(4))))))
+    return F.when(usable, row).when(~((F.size(cells) >= 4) & cells.isNotNull()) | cells.isNull(), F.when(matches(text, X.CASES_PROSE), prose))
+
+
+def cases_rule(line: Column) -> Column:
+    """A decision from a sentence that says what may not be changed; null for other lines."""
+    said = lambda t: F.when((F.length(t) >= 20) & matches(t, X.CASES_RULE) & ~matches(t, X.CASES_BARE), _settled(F.regexp_replace(t, r"(?i)^note:\s*", "")))
+    return let(strip_emphasis(item_text(line)), said)
+
+
+def acceptance_criterion(line: Column) -> Column:
+    """A decision from a list item that reads as a check of what a system does; null for questions, metrics and rules of cases sheets."""
+    none = F.lit(None).cast("string")
+
+    def judged(t: Column) -> Column:
+        asks = t.contains("?") | matches(t, r"(?i)^(should|what|who|when|where|why|how)\b")
+        does = matches(t, X.PROCEDURAL) | matches(t, X.PROCEDURAL_START)
+        fits = F.length(t).between(12, 320) & ~asks & (does | ((F.size(F.split(t, r"\s+")) >= 5) & t.rlike("^[A-Z]")))
+        return F.when(fits, F.struct(none.alias("ref"), cut(t, 500).alias("text"), F.lit("proposed").alias("status"), F.lit("committed").alias("commitment"), F.lit("Acceptance criterion").alias("because")))
+
+    return F.when(list_item(line).isNotNull() & metric_target(line).isNull() & cases_rule(line).isNull(), let(strip_emphasis(item_text(line)), judged))
+
+
+def _entry_text(line: Column, then) -> Column:
+    """`then` of a line's plain content of 3 to 300 letters; null for shorter and longer ones."""
+    return let(plain_content(line), lambda t: F.when(F.length(t).between(3, 300), then(t)))
+
+
+def lenient_signal(line: Column) -> Column:
+    def read(t: Column) -> Column:
+        pair = lambda p: F.when(F.length(p["left"]).between(1, 120) & (F.length(p["right"]) >= 1), _signal(p["left"], cut(p["right"], 120), trend_=trend(p["right"]))).otherwise(_signal(cut(t, 120)))
+        return let(first_separator(t), pair)
+
+    return F.coalesce(open_question(line), metric_target(line), _entry_text(line, read))
+
+
+def salvaged_signal(line: Column) -> Column:
+    return F.coalesce(open_question(line), metric_target(line), parse_signal(line))
+
+
+def lenient_decision(line: Column) -> Column:
+    none = F.lit(None).cast("string")
+    header = lambda t: F.lower(t).isin("business impact", "priority", "feature", "status", "summary", "overview")
+    bare = lambda t: F.when(~header(t) & list_item(line).isNotNull() & (F.size(F.split(t, r"\s+")) >= 2), F.struct(none.alias("ref"), t.alias("text"), F.lit("proposed").alias("status"), read_commitment(t).alias("commitment"), none.alias("because")))
+    return F.coalesce(cases_rule(line), cases_row(line), acceptance_criterion(line), parse_decision(line), _entry_text(line, bare))
+
+
+def lenient_timeline(line: Column) -> Column:
+    def read(t: Column) -> Column:
+        produces, requires = artifact(without_date(t))
+        found = lambda a: F.when(a["date"].isNotNull() & (F.length(a["title"]) >= 2), F.struct(a["date"].alias("date"), a["title"].alias("title"), F.coalesce(timeline_state(t), F.lit("planned")).alias("state"), produces.alias("produces"), requires.alias("requires")))
+        return F.coalesce(parse_timeline(line), let_all(found, date=find_date(t), title=without_date(t)))
+
+    return _entry_text(line, read)
+
+
+def lenient_risk(line: Column) -> Column:
+    none = F.lit(None).cast("string")
+
+    def read(t: Column) -> Column:
+        told = lambda r: F.struct(F.coalesce(r["risk"], t).alias("risk"), none.alias("severity"), none.alias("mitigation"), r["because"].alias("because"), r["consequence"].alias("consequence"))
+        return F.coalesce(parse_risk(line), let(read_risk(t), told))
+
+    return _entry_text(line, read)
+
+
+def lenient_action(line: Column) -> Column:
+    none = F.lit(None).cast("string")
+    due = lambda t: F.regexp_replace(extract(t, X.DATE_AT_START), r"\.\z", "")
+    read = lambda t: F.struct(t.alias("task"), none.alias("owner"), due(t).alias("due"), infer_readiness(t, list_item(line)["done"]).alias("status"))
+    return F.coalesce(parse_action(line), _entry_text(line, read))
+
+
+def parse_obligation(text: Column) -> Column:
+    """STRUCT(date, title, state) of a line like "Due date: …"; null for others."""
+    rest = strip(extract(text, X.OBLIGATION, 2))
+    head = strip(extract(text, X.OBLIGATION))
+    capitals = F.array_join(F.transform(F.split(head, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 100))), " ")
+    on = F.coalesce(find_date(rest), F.when(looks_like_date(rest), rest))
+    return F.when(on.isNotNull(), F.struct(on.alias("date"), cut(F.concat(capitals, F.lit(": "), rest), 200).alias("title"), F.when(matches(head, "(?i)due|payment"), "planned").otherwise("done").alias("state")))

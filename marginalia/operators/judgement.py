@@ -82,9 +82,9 @@ def same_decision(a: Column, b: Column) -> Column:
     return let_all(judged, shared=F.size(F.array_intersect(a["stems"], b["stems"])))
 
 
-def merged_decisions(entries: Column) -> Column:
+def merged_decisions(entries: Column, keep: tuple[str, ...] = ()) -> Column:
     """Of an array of STRUCT(text, status, commitment, because, ref) restated ones merged into the first: the higher status and
-    commitment, the longer text, the first reason and reference."""
+    commitment, the longer text, the first reason and reference.  keep: more fields, of the first."""
     parts = F.transform(F.filter(entries, lambda e: ~is_chrome(e["text"])), lambda e: F.struct(e.alias("e"), decision_parts(e["text"]).alias("p")))
     rank = F.create_map(*[F.lit(x) for kv in X.STATUS_RANKS.items() for x in kv])
     sure = lambda e: F.coalesce(e["commitment"], F.lit("considered")) == "committed"
@@ -98,6 +98,7 @@ def merged_decisions(entries: Column) -> Column:
             F.when(sure(a) | ~sure(b), F.coalesce(a["commitment"], b["commitment"])).otherwise(b["commitment"]).alias("commitment"),
             F.coalesce(a["because"], b["because"]).alias("because"),
             F.coalesce(a["ref"], b["ref"]).alias("ref"),
+            *[a[k].alias(k) for k in keep],
         )
         return F.struct(e.alias("e"), F.when(longer, k["p"]).otherwise(x["p"]).alias("p"))
 

@@ -25,9 +25,12 @@ def archetype_scores(haystack: Column) -> dict[str, Column]:
     return out
 
 
-def archetypes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, resume, research, invoice, archetype, label, timeline_mode): the best score wins if it is high and clear enough."""
-    t = body_sample(F.coalesce(F.col(text), F.lit("")))
+def archetypes(docs: DataFrame, id: str = "doc_id", text: str = "text", sampled: bool = False) -> DataFrame:
+    """(id, resume, research, invoice, archetype, label, timeline_mode): the best score wins if it is high and clear enough.
+
+    sampled: the text is the title, the headings and a `body_sample` already."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    t = t if sampled else body_sample(t)
     scored = docs.select(id, t.alias("_t")).select(id, *[c.cast("int").alias(k) for k, c in archetype_scores(F.col("_t")).items()])
     ranked = F.sort_array(F.array("resume", "research", "invoice"), asc=False)
     clear = (ranked[0] >= X.ARCHETYPE_LEAST) & (ranked[0] - ranked[1] >= X.ARCHETYPE_MARGIN)

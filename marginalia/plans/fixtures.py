@@ -1,15 +1,24 @@
-"""Small documents of our own with structure, for the operators that prose without headings never reaches."""
+"""Notes on the customers of the given tables, as the documents with structure that prose without headings never reaches.
+
+One note for each customer, of a form that its key decides: plan, review, invoice, paper, trip, a blank text, JSON, or none.  Names, dates and
+amounts are the customer's; every one of its orders adds a line to each list, so the notes grow with the tables.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
 
-PLAN = """# Harbour rollout plan
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-The harbour rollout is a staged programme designed to move ticketing to the new gates. As of 2026-03-02.
+PLAN = """# {name} rollout plan
+
+The {segment} rollout is a staged programme designed to move ticketing of {nation} to the new gates. As of {day}.
 
 ## Key metrics
 - Gate throughput: 1,450 per hour (up 12%)
+- Account value: {balance} EUR (up 2%)
+{worths}
 - Refund rate: 3.1% (down 0.4 pts)
 - Uptime: 99.95%
 - How many gates stay manual after launch?
@@ -20,6 +29,13 @@ The harbour rollout is a staged programme designed to move ticketing to the new
 - D-2 Consider leasing spare gate readers (requested)
 - Never run gate firmware updates during ferry boarding
 - Redis
+- Order quantity cannot be reduced below the received quantity
+- Note: only when a fee is due
+| Vendor details | Y | N | N | Vendor name cannot be edited |
+| Ship date | Y | Y | N | |
+| Tax | Y | Y | N | Shown on paper |
+Delivery place Y N - agreed with the pier
+{choices}
 
 ## Timeline
 - Phase 1: Survey every gate at the north pier - done
@@ -27,20 +43,23 @@ The harbour rollout is a staged programme designed to move ticketing to the new
 - Q3 2026: Public launch of the gate programme - scheduled
 - Due date: 2026-09-30
 - Ship the refund desk next week
+{steps}
 
 ## Risks
 - Late gate readers delay the ferry launch (high) - mitigation: lease spare gate readers
 - Staff gaps at the north pier [low]: Train two more pier teams
+{dangers}
 
 ## Next steps
 - [ ] Sign the gate reader lease - Mara Holt - Aug 15
 - [x] Survey the north pier gates (Jon Reed, Mar 3)
 - Train pier teams - Ana Silva - 2026-05-01
+{tasks}
 """
 REVIEW = """Slide 1 — Problem
 ====
 
-Support queues grew because the refund form fails on old phones.
+Support queues of {name} grew because the refund form fails on old phones.
 If the form is slow, then customers call the support desk.
 Mobile forms beat desk forms for refunds.
 
@@ -48,10 +67,12 @@ Mobile forms beat desk forms for refunds.
 | --- | --- | --- |
 | Refund calls | 812 | up 9% |
 | Form errors | 4.2% | down |
+| Balance | ${balance} | up |
 
 1. Rebuild the refund form
 2. Measure form errors every week
 3. Close the old form
+{numbered}
 
 Open questions
 --------------
@@ -62,28 +83,29 @@ Results
 The team will retire the old form so that errors fall.
 We could move refunds to chat.
 """
-INVOICE = """# Invoice number 2041
+INVOICE = """# Invoice number {key}
 
-Bill to: Pier Works Ltd
+Bill to: {name} ({nation})
 Dated: 2026-07-15
-Due date: 2026-08-14
+Due date: {day}
 Payment terms: net 30
 
 | Line item | Qty | Unit price |
 | --- | --- | --- |
 | Gate reader | 4 | $310.00 |
 | Fitting | 4 | $75.50 |
+{items}
 
-Total amount due: $1,542.00
+Total amount due: ${balance}
 VAT: 20%
 """
-PAPER = """# Adaptive gates under load
+PAPER = """# Adaptive gates of {nation} under load
 
 ## Abstract
 We study adaptive ferry gates. Adaptive gates cut waiting time by 18% in our experiments [3].
 
 ## Method
-The dataset holds 40 days of gate logs (Silva et al., 2024). We compare fixed and adaptive gates.
+The dataset holds {orders} days of gate logs of {segment} (Silva et al., 2024). We compare fixed and adaptive gates.
 
 ## Results
 Adaptive gates reach 93.5% accuracy against 88.1% for fixed gates.
@@ -96,28 +118,79 @@ However, the results are limited to one pier. Future work should test more piers
 """
 TRIP = """Itinerary
 
-Departure: Aarhus (AAR) · 2026-08-12 09:40 · Gate B12
+Departure: {nation} (AAR) · {day} 09:40 · Gate B12
 Arrival: Oslo (OSL) · 2026-08-12 11:05
 ✓ Passport packed
 → Hotel from 12/08/2026
 
+{steps}
+
 ***
 As a traveller, I want one page with every booking.
 User story: I want gate changes on my phone
 """
 
-DOCUMENTS = ((1, "plans/harbour.md", PLAN), (2, "review.txt", REVIEW), (3, "C:\\files\\invoice<1>.md", INVOICE), (4, "paper.md", PAPER), (5, "", TRIP), (6, "empty.txt", " \n "), (7, "data.json", '{"version": 1, "title": "x", "blocks": []}'), (8, None, None))
+JSON = '{"version": 1, "title": "{name}", "blocks": []}'
+#: By the remainder of the customer's key: label and text.
+FORMS = (("plans/{key}.md", PLAN), ("review {key}.txt", REVIEW), ("C:\\files\\invoice<{key}>.md", INVOICE), ("paper.md", PAPER), ("", TRIP), ("empty.txt", " \n "), ("data.json", JSON), (None, None))
+#: What one order adds to each list: a line before its values, between and after them; {o}: its key, {d}: its date, {p}: its total, {s}: its state.
+LINES = {
+    "worths": "- Order {o}: {p} EUR (up 3%)",
+    "choices": "- D-{o} Keep the terms of order {o} - {a}",
+    "steps": "- {d}: Order {o} of {n} leaves the pier - {s}",
+    "dangers": "- Order {o} of {n} slips past its date ({g}) - mitigation: split the delivery",
+    "tasks": "- [{x}] Ship order {o} - Desk {n} - {d}",
+    "numbered": "{o}. Check the papers of order {o}",
+    "items": "| Order {o} | 1 | ${p} |",
+}
+STATES, GRADES, ANSWERS, MARKS = ({"F": "done", "O": "planned", "P": "in progress"}, {"1-URGENT": "high", "2-HIGH": "medium"}, {"F": "approved", "O": "requested"}, {"F": "x"})
+OTHERS = ("planned", "low", "rejected", " ")
 
 
-def documents(spark: SparkSession) -> DataFrame:
-    """(doc_id, label, raw)"""
-    return spark.createDataFrame(list(DOCUMENTS), "doc_id long, label string, raw string").coalesce(1)
-
+def _chosen(value: Column, of: dict[str, str], other: str) -> Column:
+    return reduce(lambda out, kv: F.when(value == kv[0], kv[1]).otherwise(out), of.items(), F.lit(other))
 
-def _sql(value) -> str:
-    return "null" if value is None else str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
 
-
-#: The same documents for DuckDB, and their lines.
-DOCUMENTS_SQL = "fixture(doc_id, label, raw) as (values " + ", ".join("(" + ", ".join(map(_sql, row)) + ")" for row in DOCUMENTS) + ")"
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, label, raw)"""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    o, customers, nations = read("orders"), read("customer"), read("nation")
+    filled = lambda text, values: reduce(lambda t, kv: F.replace(t, F.lit("{" + kv[0] + "}"), kv[1]), values.items(), text)
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    own = customers.join(nations, customers["c_nationkey"] == nations["n_nationkey"]).select("c_custkey", "c_name", "n_name", "c_mktsegment", "c_acctbal")
+    rows = own.join(o, own["c_custkey"] == o["o_custkey"], "left")
+    values = {
+        "o": F.col("o_orderkey").cast("string"), "d": day, "p": F.format_string("%.2f", "o_totalprice"), "n": F.col("n_name"), "s": _chosen(F.col("o_orderstatus"), STATES, OTHERS[0]),
+        "g": _chosen(F.col("o_orderpriority"), GRADES, OTHERS[1]), "a": _chosen(F.col("o_orderstatus"), ANSWERS, OTHERS[2]), "x": _chosen(F.col("o_orderstatus"), MARKS, OTHERS[3]),
+    }
+    ordered = lambda line: F.array_sort(F.collect_list(F.when(F.col("o_orderkey").isNotNull(), F.struct("o_orderdate", "o_orderkey", filled(F.lit(line), values).alias("line")))))
+    joined = {name: F.array_join(F.transform(ordered(line), lambda x: x["line"]), "\n").alias(name) for name, line in LINES.items()}
+    rows = rows.groupBy("c_custkey", "c_name", "n_name", "c_mktsegment", "c_acctbal").agg(*joined.values(), F.coalesce(F.max(day), F.lit("2026-03-02")).alias("day"), F.count("o_orderkey").cast("string").alias("orders"))
+    whole = {"key": F.col("c_custkey").cast("string"), "name": F.col("c_name"), "nation": F.col("n_name"), "segment": F.lower("c_mktsegment"), "balance": F.format_string("%.2f", "c_acctbal"), "day": F.col("day"), "orders": F.col("orders")} | {n: F.col(n) for n in LINES}
+    form = lambda i: F.element_at(F.array(*[F.lit(f[i]) for f in FORMS]), (F.col("c_custkey") % len(FORMS) + 1).cast("int"))
+    return rows.select(F.col("c_custkey").cast("long").alias("doc_id"), filled(form(0), whole).alias("label"), filled(form(1), whole).alias("raw"))
+
+
+def _sql(value: str | None) -> str:
+    return "null" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+def _filled(text: str, values: dict[str, str]) -> str:
+    return reduce(lambda t, kv: f"replace({t}, '{{{kv[0]}}}', {kv[1]})", values.items(), text)
+
+
+def _case(value: str, of: dict[str, str], other: str) -> str:
+    return f"case {value} " + " ".join(f"when '{k}' then '{v}'" for k, v in of.items()) + f" else '{other}' end"
+
+
+_VALUES = {"o": "o_orderkey::varchar", "d": "strftime(o_orderdate, '%Y-%m-%d')", "p": "printf('%.2f', o_totalprice)", "n": "n_name", "s": _case("o_orderstatus", STATES, OTHERS[0]), "g": _case("o_orderpriority", GRADES, OTHERS[1]), "a": _case("o_orderstatus", ANSWERS, OTHERS[2]), "x": _case("o_orderstatus", MARKS, OTHERS[3])}
+_WHOLE = {"key": "c_custkey::varchar", "name": "c_name", "nation": "n_name", "segment": "lower(c_mktsegment)", "balance": "printf('%.2f', c_acctbal)", "day": "day", "orders": "orders"} | {n: n for n in LINES}
+_FORM = lambda i: "case c_custkey % " + str(len(FORMS)) + " " + " ".join(f"when {k} then {_sql(f[i])}" for k, f in enumerate(FORMS)) + " end"
+#: The same notes for DuckDB, and their lines.
+DOCUMENTS_SQL = (
+    "note_rows as (select c_custkey, c_name, n_name, c_mktsegment, c_acctbal, "
+    + ", ".join(f"coalesce(string_agg(case when o_orderkey is not null then {_filled(_sql(line), _VALUES)} end, chr(10) order by o_orderdate, o_orderkey), '') as {name}" for name, line in LINES.items())
+    + ", coalesce(max(strftime(o_orderdate, '%Y-%m-%d')), '2026-03-02') as day, count(o_orderkey)::varchar as orders from customer join nation on n_nationkey = c_nationkey left join orders on o_custkey = c_custkey group by all), "
+    + f"fixture as (select c_custkey as doc_id, {_filled(_FORM(0), _WHOLE)} as label, {_filled(_FORM(1), _WHOLE)} as raw from note_rows)"
+)
 LINES_SQL = DOCUMENTS_SQL + ", fixture_lines as (select doc_id, unnest(range(1, len(ls) + 1)) as line_no, unnest(ls) as line from (select doc_id, string_split(coalesce(raw, ''), chr(10)) as ls from fixture))"

@@ -26,8 +26,8 @@ def query(oracle: str | None = None):
     return add
 
 
-def _lines(spark):
-    return statements.lines(documents(spark), text="raw")
+def _lines(spark, sf_dir):
+    return statements.lines(documents(spark, sf_dir), text="raw")
 
 
 def sql(pattern: str) -> str:
@@ -36,23 +36,23 @@ def sql(pattern: str) -> str:
 
 @query(rf"with {LINES_SQL}, i as (select doc_id, line_no, line, case when regexp_matches(line, {sql(L.TASK)}) then 'task' when regexp_matches(line, {sql(L.BULLET)}) then 'bullet' when regexp_matches(line, {sql(L.NUMBER)}) then 'number' end as marker from fixture_lines) select doc_id, cast(line_no as int) as line_no, marker, case when marker = 'task' then lower(regexp_extract(line, {sql(L.TASK)}, 1)) = 'x' end as done, trim(case marker when 'task' then regexp_extract(line, {sql(L.TASK)}, 2) when 'bullet' then regexp_extract(line, {sql(L.BULLET)}, 1) else regexp_extract(line, {sql(L.NUMBER)}, 2) end) as text from i where marker is not null")
 def list_items(spark, sf_dir):
-    return _lines(spark).select("doc_id", "line_no", L.list_item(F.col("line")).alias("i")).where("i is not null").select("doc_id", "line_no", "i.marker", "i.done", "i.text")
+    return _lines(spark, sf_dir).select("doc_id", "line_no", L.list_item(F.col("line")).alias("i")).where("i is not null").select("doc_id", "line_no", "i.marker", "i.done", "i.text")
 
 
 @query(rf"with {LINES_SQL}, t as (select doc_id, line_no, regexp_replace(regexp_replace(trim(line), '^\|', ''), '\|$', '') as t from fixture_lines where contains(line, '|')), c as (select doc_id, line_no, list_transform(string_split(t, '|'), lambda x: trim(x)) as cells from t where not regexp_matches(t, '^[\s:|-]+$')) select doc_id, cast(line_no as int) as line_no, cast(len(cells) as int) as n_cells, array_to_string(cells, ' ; ') as cells from c where len(cells) >= 2 and len(list_filter(cells, lambda x: x <> '')) > 0")
 def table_rows(spark, sf_dir):
-    return _lines(spark).select("doc_id", "line_no", L.table_cells(F.col("line")).alias("c")).where("c is not null").select("doc_id", "line_no", F.size("c").alias("n_cells"), F.array_join("c", " ; ").alias("cells"))
+    return _lines(spark, sf_dir).select("doc_id", "line_no", L.table_cells(F.col("line")).alias("c")).where("c is not null").select("doc_id", "line_no", F.size("c").alias("n_cells"), F.array_join("c", " ; ").alias("cells"))
 
 
 @query(rf"with {LINES_SQL} select doc_id, cast(line_no as int) as line_no, nullif(regexp_extract(trim(line), {sql(X.DATE_AT_START)}, 1), '') as at_start, trim(regexp_replace(regexp_replace(nullif(regexp_extract(line, {sql(X.DATE_ANYWHERE)}, 1), ''), '\.$', ''), '\s+', ' ', 'g')) as anywhere from fixture_lines where regexp_matches(trim(line), {sql(X.DATE_AT_START)}) or regexp_matches(line, {sql(X.DATE_ANYWHERE)})")
 def dates_found(spark, sf_dir):
-    rows = _lines(spark).select("doc_id", "line_no", L.date_at_start(F.col("line")).alias("at_start"), L.find_date(F.col("line")).alias("anywhere"))
+    rows = _lines(spark, sf_dir).select("doc_id", "line_no", L.date_at_start(F.col("line")).alias("at_start"), L.find_date(F.col("line")).alias("anywhere"))
     return rows.where("at_start is not null or anywhere is not null")
 
 
 @query(rf"with {LINES_SQL} select doc_id, cast(line_no as int) as line_no, case when regexp_matches(lower(line), '(^|\s)(up|grew|growth|increase|increased|▲|\+)') then 'up' when regexp_matches(lower(line), '(^|\s)(down|fell|decline|declined|decrease|decreased|▼|-\d)') then 'down' when regexp_matches(lower(line), '(^|\s)(flat|steady|unchanged|→|holds?)\b') then 'flat' end as trend from fixture_lines")
 def trend_of(spark, sf_dir):
-    return _lines(spark).select("doc_id", "line_no", L.trend(F.col("line")).alias("trend"))
+    return _lines(spark, sf_dir).select("doc_id", "line_no", L.trend(F.col("line")).alias("trend"))
 
 
 _KEYWORDS = "kw(ord, word, kind) as (values " + ", ".join(f"({i}, {sql(w)}, '{k}')" for i, (w, k) in enumerate(L.keyword_rows())) + ")"
@@ -64,7 +64,7 @@ h as (select doc_id, line_no, line, case when atx then trim(regexp_extract(line,
 
 @query(rf"with {LINES_SQL}, {_HEADED} select doc_id, cast(line_no as int) as line_no, text, cast(level as int) as level from h where text is not null")
 def heading_match(spark, sf_dir):
-    rows = structure.headed_lines(documents(spark), text="raw").where("heading is not null")
+    rows = structure.headed_lines(documents(spark, sf_dir), text="raw").where("heading is not null")
     return rows.select("doc_id", "line_no", "heading.text", "heading.level")
 
 
@@ -75,13 +75,13 @@ k2 as (select k1.*, (select kind from kw where word = key) as direct, (select ki
 
 @query(rf"with {LINES_SQL}, {_HEADED}, {_KIND} select doc_id, cast(line_no as int) as line_no, text, coalesce(direct, direct2, longest, case when regexp_matches(key, '^as an?\s+') then 'actions' end) as kind from k2")
 def heading_kinds(spark, sf_dir):
-    rows = structure.headed_lines(documents(spark), text="raw").where("heading is not null")
+    rows = structure.headed_lines(documents(spark, sf_dir), text="raw").where("heading is not null")
     return rows.select("doc_id", "line_no", "heading.text", L.heading_kind(F.col("heading")["text"]).alias("kind"))
 
 
 @query(rf"with {LINES_SQL}, {_HEADED} select doc_id, cast(line_no as int) as line_no, cast(sum(case when text is not null then 1 else 0 end) over (partition by doc_id order by line_no) as int) as section from h")
 def sections_running(spark, sf_dir):
-    return structure.headed_lines(documents(spark), text="raw").select("doc_id", "line_no", "section")
+    return structure.headed_lines(documents(spark, sf_dir), text="raw").select("doc_id", "line_no", "section")
 
 
 _SECTIONED = "sx as (select *, cast(sum(case when text is not null then 1 else 0 end) over (partition by doc_id order by line_no) as int) as section from h)"
@@ -91,14 +91,14 @@ _STRUCTURAL = r"(regexp_matches(trim(line), '^(=+|-{3,}|\*{3,}|_{3,})$') or star
 @query(rf"""with {LINES_SQL}, {_HEADED}, {_KIND}, {_SECTIONED}, g as (select doc_id, section, max(text) as title, max(case when text is not null then level end) as level, max(case when text is not null then line_no end) as heading_line, min(case when text is null and trim(line) <> '' and not {_STRUCTURAL} then line_no end) as first_line, max(case when text is null and trim(line) <> '' and not {_STRUCTURAL} then line_no end) as last_line, count(*) filter (text is null and trim(line) <> '' and not {_STRUCTURAL}) as n_lines from sx group by doc_id, section)
 select g.doc_id, g.section, g.title, cast(g.level as int) as level, cast(heading_line as int) as heading_line, cast(first_line as int) as first_line, cast(last_line as int) as last_line, n_lines, case when section = 0 then 'snapshot' else coalesce(direct, direct2, longest, case when regexp_matches(key, '^as an?\s+') then 'actions' end, case when regexp_matches(trim(title), {sql(X.ORDINAL)}) then 'timeline' end) end as kind from g left join k2 on k2.doc_id = g.doc_id and k2.line_no = g.heading_line""")
 def sections(spark, sf_dir):
-    return structure.sections(documents(spark), text="raw")
+    return structure.sections(documents(spark, sf_dir), text="raw")
 
 
 @query(rf"""with {LINES_SQL}, {_HEADED}, {_SECTIONED}, b as (select doc_id, section, regexp_matches(line, {sql(L.NUMBER)}) as numbered, case when regexp_matches(line, {sql(L.TASK)}) then trim(regexp_extract(line, {sql(L.TASK)}, 2)) when regexp_matches(line, {sql(L.BULLET)}) then trim(regexp_extract(line, {sql(L.BULLET)}, 1)) when regexp_matches(line, {sql(L.NUMBER)}) then trim(regexp_extract(line, {sql(L.NUMBER)}, 2)) else trim(line) end as body from sx where text is null and trim(line) <> ''),
 shape as (select doc_id, section, count(*) as total, count(*) filter (regexp_matches(body, {sql(X.RULE_LINE)})) as rules, count(*) filter (regexp_matches(body, {sql(X.RISK_LINE)})) as risks, count(*) filter (regexp_matches(body, {sql(X.MEASURED_LINE)})) as measured, count(*) filter (numbered) as numbered from b group by doc_id, section)
 select *, case when total >= 2 then case when risks / total >= 0.4 then 'risks' when measured / total >= 0.5 then 'signals' when rules / total >= 0.5 then 'decisions' when numbered / total >= 0.6 then 'actions' end end as shape_kind from shape""")
 def section_shapes(spark, sf_dir):
-    return structure.shapes(documents(spark), text="raw")
+    return structure.shapes(documents(spark, sf_dir), text="raw")
 
 
 _SEGMENTS = rf"""with recursive {LINES_SQL}, cl as (select doc_id, line_no, line, case when regexp_matches(trim(line), '(?i)^<!--\s*page:\s*\d+\s*-->$') then 'page' when regexp_matches(trim(line), '(?i)^<!--\s*image:.*-->$') then 'image' when regexp_matches(trim(line), '^#{{1,6}}\s+\S') then 'heading' when regexp_matches(trim(line), '^\|.*\|$') then 'table'
@@ -117,17 +117,17 @@ sn as (select doc_id, cast(row_number() over (partition by doc_id order by segme
 @query(_SEGMENTS + " select doc_id, segment, kind, title, page, node, cast(n_lines as int) as n_lines, body from sn")
 def segments_fsm(spark, sf_dir):
     """Segments of the fixture documents."""
-    return structure.segments(documents(spark), text="raw").select("doc_id", "segment", "kind", "title", "page", "node", "n_lines", "body")
+    return structure.segments(documents(spark, sf_dir), text="raw").select("doc_id", "segment", "kind", "title", "page", "node", "n_lines", "body")
 
 
 @query(_SEGMENTS + ", e as (select doc_id, segment as t, lag(segment) over w as f, lag(page) over w = page as follows, lag(node) over w = 'section' and node <> 'section' as contains from sn window w as (partition by doc_id order by segment)) select doc_id, f as \"from\", t as \"to\", 'follows' as rel from e where follows union all select doc_id, f, t, 'contains' from e where contains")
 def segment_graph(spark, sf_dir):
     """Edges between the segments."""
-    return structure.segment_edges(structure.segments(documents(spark), text="raw"))
+    return structure.segment_edges(structure.segments(documents(spark, sf_dir), text="raw"))
 
 
-def _parsed(spark, parse):
-    return _lines(spark).select("doc_id", "line_no", parse(F.col("line")).alias("e")).where("e is not null").select("doc_id", "line_no", "e.*")
+def _parsed(spark, sf_dir, parse):
+    return _lines(spark, sf_dir).select("doc_id", "line_no", parse(F.col("line")).alias("e")).where("e is not null").select("doc_id", "line_no", "e.*")
 
 
 _ITEM = f"case when regexp_matches(line, {sql(L.TASK)}) then trim(regexp_extract(line, {sql(L.TASK)}, 2)) when regexp_matches(line, {sql(L.BULLET)}) then trim(regexp_extract(line, {sql(L.BULLET)}, 1)) when regexp_matches(line, {sql(L.NUMBER)}) then trim(regexp_extract(line, {sql(L.NUMBER)}, 2)) else trim(line) end"
@@ -156,31 +156,44 @@ e as (select doc_id, line_no, case when length(p) >= 12 and (contains(p, '?') or
 select doc_id, cast(line_no as int) as line_no, e.label, e.value, e.delta, e.trend, e.implication from e where e is not null"""
 )
 def parse_signals(spark, sf_dir):
-    return _parsed(spark, L.parse_signal)
+    return _parsed(spark, sf_dir, L.parse_signal)
 
 
 _REF, _TAIL, _HEADS = r"^([A-Z]{1,5}-[0-9]{1,4})\s+", r"^(.*?)\s+[—–-]\s+(\S[\s\S]{0,40}?)\.?\s*$", ("business impact", "priority", "feature", "status", "summary", "overview")
 _END = f"trim(regexp_extract(rest, {sql(_TAIL)}, 2))"
 
 
+_REMARKS, _FLAGS = "trim(array_to_string(cells[5:], ' '))", r"regexp_replace(cells[2] || '/' || cells[3] || '/' || cells[4], '\|', '', 'g')"
+_SHEET = f"(coalesce(len(cells) >= 4, false) and cells[1] <> '' and not regexp_matches(cells[1], {sql(X.CASES_HEADER)}) and regexp_matches(cells[2], {sql(X.CASES_FLAGS)}) and regexp_matches(cells[3], {sql(X.CASES_FLAGS)}))"
+_OF = lambda i: f"regexp_extract(bare, {sql(X.CASES_PROSE)}, {i})"
+_CASES = rf"""t1b as (select *, {_PLAIN} as bare, {_REMARKS} as remarks, {_FLAGS} as flags, {_SHEET} as sheet from t1),
+t1c as (select *, case when sheet and remarks <> '' and regexp_matches(remarks, {sql(X.CASES_RULE)}) then cells[1] || ': ' || remarks
+    when sheet and not (remarks = '' and regexp_matches(flags, '^[\-–./]+$')) then case when remarks = '' then cells[1] || ': editability ' || flags else cells[1] || ' [' || flags || '] — ' || remarks end
+    when coalesce(len(cells), 0) < 4 and regexp_matches(bare, {sql(X.CASES_PROSE)}) and not (regexp_matches(trim({_OF(1)}), {sql(X.CASES_MODULE)}) and length(trim({_OF(5)})) < 8) then
+      case when regexp_matches({_OF(5)}, {sql(X.CASES_RULE)}) or length(trim({_OF(5)})) >= 12 then trim({_OF(1)}) || ': ' || trim({_OF(5)}) else trim({_OF(1)}) || ': editability ' || {_OF(2)} || '/' || {_OF(3)} || '/' || {_OF(4)} end end as case_row,
+  case when length(bare) >= 20 and regexp_matches(bare, {sql(X.CASES_RULE)}) and not regexp_matches(bare, {sql(X.CASES_BARE)}) then regexp_replace(bare, '(?i)^note:\s*', '') end as case_rule from t1b)"""
+
+
 @query(
     rf"""with {LINES_SQL}, t0 as (select doc_id, line_no, {_ITEM} as text, regexp_matches(line, {sql(L.TASK)}) or regexp_matches(line, {sql(L.BULLET)}) or regexp_matches(line, {sql(L.NUMBER)}) as listed, case when contains(line, '|') and not regexp_matches({_BARS}, '^[\s:|-]+$') then list_transform(string_split({_BARS}, '|'), lambda c: trim(c)) end as cs from fixture_lines),
 t1 as (select *, case when len(cs) >= 2 and len(list_filter(cs, lambda c: c <> '')) > 0 then cs end as cells, nullif(regexp_extract(text, {sql(_REF)}, 1), '') as ref, case when regexp_matches(text, {sql(_REF)}) then trim(regexp_replace(text, {sql(_REF)}, '')) else text end as rest from t0),
-t2 as (select *, case when regexp_matches(rest, {sql(_PAREN)}) then trim(regexp_extract(rest, {sql(_PAREN)}, 1)) else rest end as whole, regexp_extract(rest, {sql(_PAREN)}, 2) as suffix, nullif(regexp_extract({_END}, {sql(X.DECISION_STATUS)}), '') as ts, nullif(regexp_extract({_END}, {sql(X.DECISION_COMMITMENT)}), '') as tc, trim(regexp_extract(rest, {sql(_TAIL)}, 1)) as head from t1),
+{_CASES},
+t2 as (select *, case when regexp_matches(rest, {sql(_PAREN)}) then trim(regexp_extract(rest, {sql(_PAREN)}, 1)) else rest end as whole, regexp_extract(rest, {sql(_PAREN)}, 2) as suffix, nullif(regexp_extract({_END}, {sql(X.DECISION_STATUS)}), '') as ts, nullif(regexp_extract({_END}, {sql(X.DECISION_COMMITMENT)}), '') as tc, trim(regexp_extract(rest, {sql(_TAIL)}, 1)) as head from t1c),
 t3 as (select *, regexp_matches(suffix, {sql(X.DECISION_STATUS)}) as ps, regexp_matches(suffix, {sql(X.DECISION_COMMITMENT)}) as pc from t2),
 t4 as (select *, lower(case when ps then regexp_extract(suffix, {sql(X.DECISION_STATUS)}, 1) when pc then null else ts end) as status, lower(case when ps then null when pc then regexp_extract(suffix, {sql(X.DECISION_COMMITMENT)}, 1) when ts is null then tc end) as commitment, case when ps or pc then whole when ts is not null or tc is not null then head else rest end as said from t3),
 e as (select doc_id, line_no, case when (regexp_matches(cells[1], '(?i)^P\d\b') or regexp_matches(cells[1], '(?i)^(critical|high|medium|low)\b')) and length(cells[2]) >= 3 and lower(cells[2]) <> 'feature' then {{'ref': upper(nullif(regexp_extract(cells[1], '(?i)^P\d\b'), '')), 'text': cells[1] || ': ' || cells[2] || case when coalesce(cells[3], '') <> '' then ' (' || cells[3] || ')' else '' end, 'status': case when regexp_matches(cells[1], '(?i)^P0\b') then 'approved' else 'proposed' end, 'commitment': 'committed'}}
+  when coalesce(case_row, case_rule) is not null then {{'ref': null, 'text': left(coalesce(case_row, case_rule), 500), 'status': 'approved', 'commitment': 'committed'}}
   when length(text) >= 3 and lower(trim(regexp_replace(text, '[''"`]', '', 'g'))) not in ({", ".join(map(sql, _HEADS))}) and (ref is not null or status is not null or commitment is not null or (listed and (len(regexp_split_to_array(said, '\s+')) >= 3 or regexp_matches(said, '[.!?]$')))) and length(said) >= 2
   then {{'ref': ref, 'text': said, 'status': coalesce(status, 'proposed'), 'commitment': coalesce(commitment, case when status = 'approved' then 'committed' end, case when regexp_matches(said, {sql(X.CONSIDERED)}) then 'considered' when regexp_matches(said, {sql(X.COMMITTED)}) or regexp_matches(trim(said), {sql(X.IMPERATIVE)}) then 'committed' else 'considered' end)}} end as e from t4)
 select doc_id, cast(line_no as int) as line_no, e.ref, e.text, e.status, e.commitment, cast(null as varchar) as because from e where e is not null"""
 )
 def parse_decisions(spark, sf_dir):
-    return _parsed(spark, L.parse_decision)
+    return _parsed(spark, sf_dir, L.parse_decision)
 
 
 @query()
 def parse_timeline(spark, sf_dir):
-    return _parsed(spark, L.parse_timeline)
+    return _parsed(spark, sf_dir, L.parse_timeline)
 
 
 _TELL, _CHANCE = r"(?i)^(.{8,160}?),?\s+(?:but|yet|however|while|with)\s+(.{6,180})$", r"(?i)^(?:there is|there's|we have|we see|this is)\s+(?:a\s+)?(?:risk|danger|chance)\s+(?:that|of)\s+"
@@ -218,7 +231,7 @@ r0 as (select doc_id, line_no, cells[1] as risk0, {_grade("cells[g]")} as severi
 select doc_id, cast(line_no as int) as line_no, case when usable then stated else risk0 end as risk, severity, mitigation, case when usable and not {T.fragment("coalesce(reason2, '')")} then reason2 end as because, case when usable and not {T.fragment("coalesce(cq, '')")} then cq end as consequence from rd"""
 )
 def parse_risks(spark, sf_dir):
-    return _parsed(spark, L.parse_risk)
+    return _parsed(spark, sf_dir, L.parse_risk)
 
 
 _STORY, _PERSONA, _WANT = r"(?i)^(?:user\s*story|story)\s*[:—–-]\s*(.+)$", r"(?i)^(?:persona\s*[:—–-]\s*)?(as an?\s+.+)$", r"(?i)^i want\b"
@@ -243,23 +256,23 @@ e as (select doc_id, line_no, case when long and regexp_matches(bare, {sql(_STOR
 select doc_id, cast(line_no as int) as line_no, e.task, e.owner, e.due, e.status from e where e is not null"""
 )
 def parse_actions(spark, sf_dir):
-    return _parsed(spark, L.parse_action)
+    return _parsed(spark, sf_dir, L.parse_action)
 
 
 @query(rf"""with {DOCUMENTS_SQL}, c as (select doc_id, coalesce(raw, '') as t, regexp_replace(list_last(regexp_split_to_array(coalesce(label, ''), '[\\\\/]')), '[\x00-\x1f<>:"|?*]', '', 'g') as b from fixture)
 select doc_id, case when trim(b) = '' then 'Pasted notes' else left(trim(b), 120) end as clean_label, case when trim(t, e' \t\n\r') = '' then 'empty' when regexp_matches(ltrim(t, e' \t\n\r'), '^[\{{\[]') then 'json' else 'text' end as format, cast(octet_length(encode(t)) as bigint) as byte_length, case when trim(t, e' \t\n\r') = '' then 'input.empty' end as code from c""")
 def preflight_fixture(spark, sf_dir):
-    out = sources.preflight(documents(spark)).withColumn("clean_label", sources.sanitize_label(F.col("label")))
+    out = sources.preflight(documents(spark, sf_dir)).withColumn("clean_label", sources.sanitize_label(F.col("label")))
     return out.select("doc_id", "clean_label", "format", "byte_length", F.get(F.col("diagnostics")["code"], F.lit(0)).alias("code"))
 
 
 @query(rf"with {LINES_SQL} select doc_id, cast(line_no as int) as line_no, regexp_matches(trim(line), {sql(X.IMPERATIVE)}) as imperative, regexp_matches(line, {sql(X.CONSIDERED)}) as hedged, regexp_matches(line, {sql(X.COMMITTED)}) as committed, regexp_matches(line, {sql(X.TROUBLE)}) as trouble from fixture_lines")
 def statement_predicates(spark, sf_dir):
     c = F.col("line")
-    return _lines(spark).select("doc_id", "line_no", matches(F.trim(c), X.IMPERATIVE).alias("imperative"), matches(c, X.CONSIDERED).alias("hedged"), matches(c, X.COMMITTED).alias("committed"), matches(c, X.TROUBLE).alias("trouble"))
+    return _lines(spark, sf_dir).select("doc_id", "line_no", matches(F.trim(c), X.IMPERATIVE).alias("imperative"), matches(c, X.CONSIDERED).alias("hedged"), matches(c, X.COMMITTED).alias("committed"), matches(c, X.TROUBLE).alias("trouble"))
 
 
 @query(rf"with {LINES_SQL}, {_HEADED}, a as (select doc_id, line_no from fixture_lines), g as (select doc_id, line_no from h where text is not null) select a.doc_id, cast(a.line_no as int) as anchor, cast(coalesce((select max(line_no) from g where g.doc_id = a.doc_id and g.line_no <= a.line_no), (select min(line_no) from g where g.doc_id = a.doc_id and g.line_no >= a.line_no)) as int) as line_no from a")
 def highlight_heading(spark, sf_dir):
-    rows = structure.headed_lines(documents(spark), text="raw")
+    rows = structure.headed_lines(documents(spark, sf_dir), text="raw")
     return structure.highlight(rows.select("doc_id", F.col("line_no").alias("anchor")), rows.where("heading is not null").select("doc_id", "line_no"))

@@ -7,8 +7,10 @@ import re
 import tempfile
 import uuid
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = 8 << 20
@@ -61,3 +63,10 @@ def discard(*tables: DataFrame) -> None:
         if path := getattr(df, "stored_at", None):
             where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def together(*jobs):
+    """The results of independent jobs, in order; each is planned and run in a thread of its own, so that one's tasks fill the other's gaps."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        own = inheritable_thread_target(SparkSession.active())
+        return [f.result() for f in [pool.submit(own(job)) for job in jobs]]

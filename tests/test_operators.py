@@ -4,8 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import entries, graphs, judgement, library, relations, repair, research, statements, structure, understanding
-from marginalia.plans.fixtures import documents
+from marginalia.operators import graphs, judgement, library, memories, relations, repair, research, statements, structure, understanding
+from marginalia.plans.fixtures import FORMS
 from marginalia.plans.extractions import EXTRACTIONS
 from marginalia.sources import documents as sources
 from marginalia.sources import json_source
@@ -84,7 +84,7 @@ def test_label(spark):
 
 
 def test_archetypes(spark):
-    got = {r["doc_id"]: r["archetype"] for r in understanding.archetypes(documents(spark), text="raw").collect()}
+    got = {r["doc_id"]: r["archetype"] for r in understanding.archetypes(spark.createDataFrame([(i + 1, f[1]) for i, f in enumerate(FORMS)], "doc_id long, raw string"), text="raw").collect()}
     assert got[3] == "invoice" and got[4] == "research" and got[1] == "generic" and got[8] == "generic"
 
 
@@ -226,12 +226,12 @@ def test_inferred_budget_counts_what_is_added(spark):
     label = lambda i: f"{word(i)} station {word(i + 31)} queue length"
     stated = "\n".join(f"- {label(i).capitalize()}: {i + 1}%" for i in range(30))
     said = [f"When {label(i)}, the {word(i)} desk opens another counter." for i in range(60)]
-    text = "# Signals\n" + stated + "\n# Notes\n" + "\n".join(said) + "\nWe might consider leasing spare gate readers for the pier."
-    rows = entries.entries(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    text = "# Gates\n## Signals\n" + stated + "\n## Notes\n" + "\n".join(said) + "\nWe might consider leasing spare gate readers for the pier."
+    rows = memories.remember(spark.createDataFrame([(1, text)], "doc_id long, text string"))["entries"].collect()
     signals = [r for r in rows if r["kind"] == "signals"]
-    assert sum(r["method"] == "stated" for r in signals) == 30
-    assert [r["text"] for r in sorted(signals, key=lambda r: r["idx"]) if r["method"] == "inferred"] == [label(i).capitalize() for i in range(30, 54)]
-    assert not [r for r in rows if r["kind"] == "decisions" and r["method"] == "inferred"]
+    assert sum(r["how"] == "stated" for r in signals) == 30
+    assert [r["label"] for r in sorted(signals, key=lambda r: r["idx"]) if r["how"] == "inferred"] == [label(i).capitalize() for i in range(30, 54)]
+    assert not [r for r in rows if r["kind"] == "decisions" and r["how"] == "inferred"]
 
 
 def test_claims_of_two_sections_with_one_title(spark):
@@ -257,8 +257,8 @@ def test_pages_as_markdown(spark):
 
 def test_stated_entries_take_the_reasons_of_their_line(spark):
     """A stated risk without a reason gets the one its own sentence gives; a new action is added beside."""
-    text = "# Risks\n- Late readers delay the launch because the lease is unsigned (high) - mitigation: lease spare readers\n# Notes\nSomeone should draft the lease letter for the pier."
-    rows = entries.entries(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
-    risk = next(r for r in rows if r["kind"] == "risks" and r["method"] == "stated")
+    text = "# Gates\n## Risks\n- Late readers delay the launch because the lease is unsigned (high) - mitigation: lease spare readers\n## Notes\nSomeone should draft the lease letter for the pier."
+    rows = memories.remember(spark.createDataFrame([(1, text)], "doc_id long, text string"))["entries"].collect()
+    risk = next(r for r in rows if r["kind"] == "risks" and r["how"] == "stated")
     assert risk["because"] and risk["severity"] == "high" and sum(r["kind"] == "risks" for r in rows) == 1
-    assert [(r["kind"], r["text"], r["method"], r["status"]) for r in rows if r["kind"] == "actions"] == [("actions", "Someone should draft the lease letter for the pier", "inferred", "pending")]
+    assert [(r["kind"], r["task"], r["how"], r["status"]) for r in rows if r["kind"] == "actions"] == [("actions", "Someone should draft the lease letter for the pier", "inferred", "pending")]
