@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from marginalia.operators import repair as R
+from marginalia.plans.fixtures import told, told_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -47,7 +48,7 @@ def _sql(text: str) -> str:
 
 
 _VERB = _sql(R.STORAGE_VERB)
-_FROM = rf"""with raw(doc_id, raw) as (values {", ".join(f"({i}, {_sql(json.dumps(x, ensure_ascii=False))})" for i, x in EXTRACTIONS)}),
+_FROM = rf"""with {told_sql("raw", "doc_id, raw", [(i, json.dumps(x, ensure_ascii=False)) for i, x in EXTRACTIONS])},
 x as (select doc_id, cast(raw as json) as j from raw),
 meta as (select doc_id, coalesce(j->>'$.document_meta.archetype', 'generic') as archetype, case when j->>'$.document_meta.timeline_mode' in ({", ".join(map(_sql, R.TIMELINE_MODES))}) then j->>'$.document_meta.timeline_mode' else 'none' end as mode,
   j->>'$.document_meta.anchor_date' as anchor, coalesce(j->>'$.document_meta.anchor_confidence', 'none') as sure from x),
@@ -83,8 +84,8 @@ sc as (select doc_id, least(1.0, s / 3) as identity, least(1.0, (m + case when t
 q as (select *, round(0.28 * identity + 0.27 * memory_density + 0.25 * timeline_honesty + 0.2 * decision_action_link, 6) as overall from sc)"""
 
 
-def _rows(spark):
-    return spark.createDataFrame([(i, json.dumps(x, ensure_ascii=False)) for i, x in EXTRACTIONS], "doc_id long, raw string").coalesce(1)
+def _rows(spark, sf_dir):
+    return told(spark, sf_dir, [(i, json.dumps(x, ensure_ascii=False)) for i, x in EXTRACTIONS], "doc_id long, raw string")
 
 
 def _items(rows, name, *fields):
@@ -95,7 +96,7 @@ def _items(rows, name, *fields):
 @query(_FROM + " select doc_id, b as bucket, cast(i - 1 as int) as idx, content, why from it")
 def v6_scrubbed(spark, sf_dir):
     """Lenient reading, default buckets and verbs of the storage layer removed."""
-    rows = R.scrubbed(R.parsed(_rows(spark)))
+    rows = R.scrubbed(R.parsed(_rows(spark, sf_dir)))
     parts = [_items(rows, b, "content", *(["why_it_matters"] if b == "risks" else [])).withColumn("bucket", F.lit(b)) for b in R.BUCKETS]
     out = parts[0]
     for p in parts[1:]:
@@ -103,8 +104,8 @@ def v6_scrubbed(spark, sf_dir):
     return out.select("doc_id", "bucket", "idx", "content", F.col("why_it_matters").alias("why"))
 
 
-def _until(spark, step):
-    rows = R.parsed(_rows(spark))
+def _until(spark, sf_dir, step):
+    rows = R.parsed(_rows(spark, sf_dir))
     for s in R.STEPS[: R.STEPS.index(step) + 1]:
         rows = s(rows)
     return rows
@@ -113,7 +114,7 @@ def _until(spark, step):
 @query(_FROM + " select doc_id, 'signals' as bucket, cast(row_number() over (partition by doc_id order by step, i) - 1 as int) as idx, content, signal_type, confidence from sg union all select doc_id, 'timeline', cast(k - 1 as int), content, null, null from tl")
 def v6_gate(spark, sf_dir):
     """Confidence gate, unusable dates and honesty about the timeline's mode."""
-    rows = _until(spark, R.with_honest_mode)
+    rows = _until(spark, sf_dir, R.with_honest_mode)
     signals = _items(rows, "signals", "content", "signal_type", "source_confidence").withColumnRenamed("source_confidence", "confidence").withColumn("bucket", F.lit("signals"))
     return signals.unionByName(_items(rows, "timeline", "content").withColumn("bucket", F.lit("timeline")), allowMissingColumns=True)
 
@@ -121,7 +122,7 @@ def v6_gate(spark, sf_dir):
 @query(_FROM + " select doc_id, 'decisions' as bucket, cast(i - 1 as int) as idx, id as ref from dc union all select doc_id, 'actions', cast(i - 1 as int), carries_out from ac union all select tl.doc_id, 'timeline', cast(k - 1 as int), id || ' <- ' || coalesce((select string_agg(d, ',' order by n) from dq where dq.doc_id = tl.doc_id and dq.k = tl.k and known), '') from tl")
 def v6_orphans(spark, sf_dir):
     """Numbered ids, and links that point to something."""
-    rows = _until(spark, R.with_links)
+    rows = _until(spark, sf_dir, R.with_links)
     phases = rows.select("doc_id", F.posexplode("timeline").alias("idx", "e")).select("doc_id", F.lit("timeline").alias("bucket"), "idx", F.concat("e.id", F.lit(" <- "), F.array_join("e.depends_on", ",")).alias("ref"))
     of = lambda b, f: _items(rows, b, f).select("doc_id", F.lit(b).alias("bucket"), "idx", F.col(f).alias("ref"))
     return of("decisions", "decision_id").union(of("actions", "carries_out")).union(phases)
@@ -130,7 +131,7 @@ def v6_orphans(spark, sf_dir):
 @query(_FROM + " select doc_id, b as bucket, cast(row_number() over (partition by doc_id, b order by ord) - 1 as int) as idx, content from fin")
 def v6_repaired(spark, sf_dir):
     """All steps, near repeats compressed."""
-    rows = R.repaired(_rows(spark))
+    rows = R.repaired(_rows(spark, sf_dir))
     parts = [_items(rows, b, "content").withColumn("bucket", F.lit(b)) for b in R.BUCKETS]
     out = parts[0]
     for p in parts[1:]:
@@ -144,18 +145,18 @@ select doc_id, 'orphan_link_repair', sum(n) from (select doc_id, count(*) filter
 select doc_id, 'duplicate_compression', (select count(*) from al where al.doc_id = x.doc_id) - (select count(*) from fin where fin.doc_id = x.doc_id) from x) select doc_id, mode, cast(count as int) as count from rp where count > 0""")
 def v6_repairs(spark, sf_dir):
     """What each step changed."""
-    return R.repaired(_rows(spark)).select("doc_id", F.explode("repairs").alias("r")).select("doc_id", "r.mode", "r.count")
+    return R.repaired(_rows(spark, sf_dir)).select("doc_id", F.explode("repairs").alias("r")).select("doc_id", "r.mode", "r.count")
 
 
 @query(_FROM + _SCORE + " select * from q")
 def v6_quality(spark, sf_dir):
-    return R.quality(R.repaired(_rows(spark)))
+    return R.quality(R.repaired(_rows(spark, sf_dir)))
 
 
 @query(_FROM + _SCORE + " select i.doc_id, i.timeline_honesty < c.timeline_honesty - 0.05 or i.overall + 0.08 < c.overall or (i.memory_density = 0 and c.memory_density > 0) as fallback from q i, q c where c.doc_id = 1")
 def v6_fallback(spark, sf_dir):
     """Whether each extraction is worse than the first one's scores, taken as the local candidate of all."""
-    scores = R.quality(R.repaired(_rows(spark)))
+    scores = R.quality(R.repaired(_rows(spark, sf_dir)))
     candidate = scores.where("doc_id = 1").drop("doc_id")
     return R.falls_back(scores.select("doc_id").join(F.broadcast(candidate)), scores)  # one row
 
@@ -166,7 +167,7 @@ a as (select *, case when key = 'cv' or contains(key, 'resume') then 'resume' wh
 select doc_id, archetype as heading, coalesce(said, 'A ' || archetype || ' remembered with timeline mode ' || mode || '.') as summary, case when coalesce(anchor, '') <> '' then 'Anchor ' || anchor || ' · ' || sure when sure = 'none' then 'No reliable date anchor' end as byline, id as archetype,
 case id when 'resume' then 'Resume' when 'invoice' then 'Invoice' when 'research' then 'Research' else case when lower(trim(archetype)) in ('other', 'generic', 'unknown', '') then 'Generic Knowledge' else left(trim(archetype), 80) end end as archetype_label from a left join s using (doc_id)""")
 def v6_snapshots(spark, sf_dir):
-    return R.projected_snapshots(R.repaired(_rows(spark)))
+    return R.projected_snapshots(R.repaired(_rows(spark, sf_dir)))
 
 
 @query(_FROM + r""", w as (select fin.*, coalesce(nullif(trim(regexp_extract(content, '^[^.!?]*')), ''), content) as first from fin where b <> 'snapshot'),
@@ -181,4 +182,4 @@ select o.doc_id, o.b as kind, idx, o.content as text, case when o.b = 'signals'
 from o left join tl on o.b = 'timeline' and tl.doc_id = o.doc_id and tl.k = o.ord left join ac on o.b = 'actions' and ac.doc_id = o.doc_id and ac.i = o.ord left join dc on o.b = 'decisions' and dc.doc_id = o.doc_id and dc.i = o.ord left join it rk on o.b = 'risks' and rk.b = 'risks' and rk.doc_id = o.doc_id and rk.i = o.ord""")
 def v6_projected(spark, sf_dir):
     """The entries that the repaired extractions give."""
-    return R.projected(R.repaired(_rows(spark)))
+    return R.projected(R.repaired(_rows(spark, sf_dir)))

@@ -6,6 +6,7 @@ amounts are the customer's; every one of its orders adds a line to each list, so
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,11 +30,11 @@ The {segment} rollout is a staged programme designed to move ticketing of {natio
 - D-2 Consider leasing spare gate readers (requested)
 - Never run gate firmware updates during ferry boarding
 - Redis
-- Order quantity cannot be reduced below the received quantity
-- Note: only when a fee is due
-| Vendor details | Y | N | N | Vendor name cannot be edited |
+- Order volume cannot be reduced below the received volume
+- Note: only when a lease is open
+| Carrier details | Y | N | N | Carrier name cannot be edited |
 | Ship date | Y | Y | N | |
-| Tax | Y | Y | N | Shown on paper |
+| Colour | Y | Y | N | Shown on paper |
 Delivery place Y N - agreed with the pier
 {choices}
 
@@ -194,3 +195,30 @@ DOCUMENTS_SQL = (
     + f"fixture as (select c_custkey as doc_id, {_filled(_FORM(0), _WHOLE)} as label, {_filled(_FORM(1), _WHOLE)} as raw from note_rows)"
 )
 LINES_SQL = DOCUMENTS_SQL + ", fixture_lines as (select doc_id, unnest(range(1, len(ls) + 1)) as line_no, unnest(ls) as line from (select doc_id, string_split(coalesce(raw, ''), chr(10)) as ls from fixture))"
+
+
+# --- remarks: what is told of every supplier --------------------------------------------------------------------------------
+#: The word of a remark that gives way to the supplier's nation.
+PLACE = "pier"
+
+
+def told(spark: SparkSession, sf_dir: str, rows, schema: str) -> DataFrame:
+    """`rows` of every supplier: the first column, a number below 1 000, becomes supplier * 1 000 + number, PLACE in texts becomes its nation."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    kinds = dict(c.strip().rsplit(" ", 1) for c in schema.split(", "))
+    suppliers = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.lower("n_name").alias("_place"))
+    each = F.from_json(F.lit(json.dumps([dict(zip(kinds, r, strict=True)) for r in rows], ensure_ascii=False)), f"array<struct<{', '.join(f'`{n}`: {k}' for n, k in kinds.items())}>>")
+    out = suppliers.select("s_suppkey", "_place", F.inline(each))
+    first = next(iter(kinds))
+    values = {n: F.replace(F.col(f"`{n}`"), F.lit(PLACE), F.col("_place")) if k == "string" else F.col(f"`{n}`") for n, k in kinds.items()}
+    values[first] = (F.col("s_suppkey") * 1000 + F.col(first)).cast(kinds[first])
+    return out.select(*[v.alias(n) for n, v in values.items()])
+
+
+def told_sql(name: str, columns: str, rows) -> str:
+    """The same remarks for DuckDB."""
+    rows, names = list(rows), [c.strip() for c in columns.split(",")]
+    quoted = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool | int) else f"cast({v} as double)" if isinstance(v, float) else _sql(v)
+    texts = {n for i, n in enumerate(names) if any(isinstance(r[i], str) for r in rows)}
+    shown = [f"cast(s_suppkey * 1000 + {n} as int) as {n}" if not i else f"replace({n}, '{PLACE}', lower(n_name)) as {n}" if n in texts else n for i, n in enumerate(names)]
+    return f"{name} as (select {', '.join(shown)} from supplier join nation on s_nationkey = n_nationkey, (values " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + f") _v({', '.join(names)}))"

@@ -8,6 +8,7 @@ from marginalia.functions import fixed as X
 from marginalia.functions import text as T
 from marginalia.operators import judgement as J
 from marginalia.operators import library
+from marginalia.plans.fixtures import told, told_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,7 +74,7 @@ PHRASES = (
     "The objective is to", "keep the gates at the north pier open, even when ferries are late and staff is short", "We will retire the old form.", "ETA", "", "  NASA gates  ", "iPhone readers fail at the pier; we might lease spare ones for the season of ferries",
     "McKay runs the pier", "done: refund desk shipped;", "ready to start <now> & \"soon\" isn't it", "Could move refunds to chat - perhaps in spring when the teams at all of the", "Use the", "one", "always check the reader, then the gate, then the pier and the", "Decision: lease gates",
 )
-_P = "with " + values("p", "n, t", list(enumerate(PHRASES)))
+_P = "with " + told_sql("p", "n, t", list(enumerate(PHRASES)))
 _HEAD = r"array_to_string(ws[1:6], ' ')"
 _LAST = "greatest(" + ", ".join(f"case when contains(head, '{m}') then length(head) - strpos(reverse(head), '{m[::-1]}') - {len(m)} + 1 else -1 end" for m in (",", " - ", ";")) + ")"
 
@@ -91,7 +92,7 @@ select n, {fragment("t")} as fragment, cast(case when trim(t) = '' then 0 else {
 def text_forms(spark, sf_dir):
     """Phrases as they are shortened, cased, escaped and judged."""
     t = F.col("t")
-    rows = spark.createDataFrame(list(enumerate(PHRASES)), "n int, t string").coalesce(1)
+    rows = told(spark, sf_dir, list(enumerate(PHRASES)), "n int, t string")
     return rows.select("n", T.reads_as_fragment(t).alias("fragment"), T.word_count(t).alias("words"), T.clamp_words(t, 5).alias("clamped"), T.shorten(t, 6).alias("shortened"), T.sentence_case(t).alias("capital"), T.decapitalize(t).alias("decapital"), library.html_escape(t).alias("escaped"), T.read_commitment(t).alias("commitment"), T.infer_readiness(t).alias("readiness"))
 
 
@@ -117,7 +118,7 @@ _ANCHORS = "list_filter([" + ", ".join(map(quote, X.DECISION_ANCHORS)) + "], lam
 
 @query(
     "with "
-    + values("p", "n, a, b", [(i, *x) for i, x in enumerate(PAIRS)])
+    + told_sql("p", "n, a, b", [(i, *x) for i, x in enumerate(PAIRS)])
     + f""", d as (select *, {_REWRITTEN.replace("{x}", "a")} as na, {_REWRITTEN.replace("{x}", "b")} as nb from p), e as (select *, list_distinct({tokens("a")}) as ta, list_distinct({tokens("b")}) as tb, {tokens("na")} as ca, {tokens("nb")} as cb, {_ANCHORS.replace("{x}", "na")} as aa, {_ANCHORS.replace("{x}", "nb")} as ab from d),
 f as (select *, list_distinct({stem_list("ca")}) as sa, list_distinct({stem_list("cb")}) as sb from e), g as (select *, len(list_intersect(sa, sb)) as shared, least(len(sa), len(sb)) as small, len(list_intersect(aa, ab)) as joint from f)
 select n, na as rewritten, {key("a")} = '' or regexp_matches({key("a")}, {quote(X.DECISION_CHROME)}) as chrome, {key("a")} = {key("b")} or (len(ta) > 0 and len(tb) > 0 and len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) >= 0.72) or (na <> '' and nb <> '' and (na = nb
@@ -125,7 +126,7 @@ select n, na as rewritten, {key("a")} = '' or regexp_matches({key("a")}, {quote(
 )
 def decision_pairs(spark, sf_dir):
     """Which two decisions say the same."""
-    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(PAIRS)], "n int, a string, b string").coalesce(1)
+    rows = told(spark, sf_dir, [(i, *x) for i, x in enumerate(PAIRS)], "n int, a string, b string")
     return rows.select("n", J.decision_text(F.col("a")).alias("rewritten"), J.is_chrome(F.col("a")).alias("chrome"), J.same_decision(J.decision_parts(F.col("a")), J.decision_parts(F.col("b"))).alias("same"))
 
 
@@ -135,12 +136,12 @@ STATEMENTS = (
     ("The key bottleneck is not staff but readers because the old ones fail in the rain", "Why"), ("Email the invoice total to the desk because the tax is due and cannot wait any longer", None), ("Trust in the audit trail means the team can recall every single decision about gates", "Strategy"),
     ("Readers at the pier are cheap, although the workflow around them is the constraint for every gate", "Insight"),
 )
-_S = "with " + values("s", "n, t, title", [(i, *x) for i, x in enumerate(STATEMENTS)])
+_S = "with " + told_sql("s", "n, t, title", [(i, *x) for i, x in enumerate(STATEMENTS)])
 _STRONG = f"case when regexp_matches(trim(t), {quote(X.PHASE_SHAPE)}) then 'requirement' when regexp_matches(t, {quote(X.RISK_SHAPE)}) and (regexp_matches(t, {quote(X.GRADED_RISK)}) or not regexp_matches(t, {quote(X.REQUIREMENT_SHAPE)})) then 'risk' when regexp_matches(trim(t), {quote(X.ACTION_SHAPE)}) or regexp_matches(t, {quote(X.ACTION_META)}) then 'action' when regexp_matches(t, {quote(X.REQUIREMENT_SHAPE)}) then 'requirement' end"
 
 
-def _statements(spark):
-    return spark.createDataFrame([(i, *x) for i, x in enumerate(STATEMENTS)], "n int, t string, title string").coalesce(1)
+def _statements(spark, sf_dir):
+    return told(spark, sf_dir, [(i, *x) for i, x in enumerate(STATEMENTS)], "n int, t string, title string")
 
 
 @query(
@@ -152,7 +153,7 @@ select n, category, phase or coalesce(category in ('risk', 'action'), false) as
 def category_precedence(spark, sf_dir):
     """What a statement is before it can be a decision."""
     t, title = F.col("t"), F.col("title")
-    return _statements(spark).select("n", J.strongest_category(t).alias("category"), J.blocks_decision(t).alias("blocked"), J.commits(t).alias("commits"), J.is_problem(t, title).alias("problem"), J.slide_decides(t, title).alias("slide_decides"), T.matches(t, X.REQUIREMENT_RULE).alias("rule"), T.matches(t, X.LESSON).alias("lesson"), T.matches(t, X.LEVERAGE).alias("leverage"))
+    return _statements(spark, sf_dir).select("n", J.strongest_category(t).alias("category"), J.blocks_decision(t).alias("blocked"), J.commits(t).alias("commits"), J.is_problem(t, title).alias("problem"), J.slide_decides(t, title).alias("slide_decides"), T.matches(t, X.REQUIREMENT_RULE).alias("rule"), T.matches(t, X.LESSON).alias("lesson"), T.matches(t, X.LEVERAGE).alias("leverage"))
 
 
 CONCEPTS = ("audit trail", "readers", "gates")
@@ -169,14 +170,14 @@ select n, cast(points as int) as score, {_SAID} as implication from c where poin
 def insight_scores(spark, sf_dir):
     """Statements that carry an insight, and what they mean."""
     t = F.col("t")
-    rows = _statements(spark).withColumn("score", J.insight_score(t, F.col("title"), T.words_in(CONCEPTS))).where("score is not null")
+    rows = _statements(spark, sf_dir).withColumn("score", J.insight_score(t, F.col("title"), T.words_in(CONCEPTS))).where("score is not null")
     return rows.select("n", F.col("score").cast("int").alias("score"), J.implication(T.unpunctuated(t)).alias("implication"))
 
 
 @query(_S + f" select n, coalesce(list_filter({_LIST}, lambda c: contains({key('t')}, c))[1], array_to_string(({tokens('t')})[1:6], ' ')) as label from s")
 def concept_labels(spark, sf_dir):
     """The heaviest concept that a statement names, else its first content words."""
-    return _statements(spark).select("n", J.concept_of(F.col("t"), T.words_in(CONCEPTS)).alias("label"))
+    return _statements(spark, sf_dir).select("n", J.concept_of(F.col("t"), T.words_in(CONCEPTS)).alias("label"))
 
 
 ACTIONS = ((1, 0, "Sign the gate reader lease", None), (1, 1, "Survey the north pier gates", "D-9"), (1, 2, "Keep the manual gates at the north pier", None), (1, 3, "Paint the pier", None), (2, 0, "Sign the gate reader lease", None))
@@ -185,16 +186,16 @@ DECISIONS = ((1, 0, "Keep manual gates at the north pier", "D-1"), (1, 1, "sign
 
 @query(
     "with "
-    + values("a", "doc_id, idx, task, source", ACTIONS)
+    + told_sql("a", "doc_id, idx, task, source", ACTIONS)
     + ", "
-    + values("d", "doc_id, idx, text, ref", DECISIONS)
+    + told_sql("d", "doc_id, idx, text, ref", DECISIONS)
     + f""", p as (select a.doc_id, a.idx, coalesce(d.ref, d.text) as name, d.idx as di, list_distinct({tokens("task")}) as x, list_distinct({tokens("text")}) as y, {key("task")} = {key("text")} as equal from a join d using (doc_id) where source is null),
 b as (select doc_id, idx, arg_min(name, di) as name from p where equal or (len(x) > 0 and len(y) > 0 and len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) >= 0.72) group by all) select a.doc_id, a.idx, coalesce(source, name) as source from a left join b using (doc_id, idx)"""
 )
 def actions_linked(spark, sf_dir):
     """The decision that an action carries out."""
-    a = spark.createDataFrame(list(ACTIONS), "doc_id int, idx int, task string, source string").coalesce(1)
-    return J.linked_actions(a, spark.createDataFrame(list(DECISIONS), "doc_id int, idx int, text string, ref string").coalesce(1))
+    a = told(spark, sf_dir, list(ACTIONS), "doc_id int, idx int, task string, source string")
+    return J.linked_actions(a, told(spark, sf_dir, list(DECISIONS), "doc_id int, idx int, text string, ref string"))
 
 
 # --- dates --------------------------------------------------------------------------------------------------------------
@@ -203,13 +204,13 @@ NOTES = ((1, "Plan as of March 3, 2026 for the pier", "plan-2026-04-01.md"), (2,
 
 @query(
     "with "
-    + values("n", "doc_id, text, label", NOTES)
+    + told_sql("n", "doc_id, text, label", NOTES)
     + rf""", x as (select doc_id, nullif(regexp_extract(text, {quote(X.EXPLICIT_ANCHOR)}, 1), '') as e, nullif(regexp_extract(coalesce(label, ''), {quote(X.FILE_DATE)}, 1), '') as f, nullif(regexp_extract(text, {quote(X.FULL_DATE)}, 1), '') as b from n)
 select doc_id, coalesce(trim(e), case when length(f) = 8 then f[1:4] || '-' || f[5:6] || '-' || f[7:8] else f end, b) as value, case when e is not null then 'high' when coalesce(f, b) is not null then 'medium' else 'none' end as confidence, case when e is not null then 'explicit' when f is not null then 'filename' when b is not null then 'body' else 'none' end as source from x"""
 )
 def anchor_dates(spark, sf_dir):
     """The date that a document stands on."""
-    rows = spark.createDataFrame(list(NOTES), "doc_id int, text string, label string").coalesce(1)
+    rows = told(spark, sf_dir, list(NOTES), "doc_id int, text string, label string")
     return rows.select("doc_id", J.anchor(F.col("text"), F.col("label")).alias("a")).select("doc_id", "a.*")
 
 
@@ -218,13 +219,13 @@ OWED = ("Due date: 2026-08-14", "Due: next month", "Dated May 5, 2026", "Payment
 
 @query(
     "with "
-    + values("o", "n, t", list(enumerate(OWED)))
+    + told_sql("o", "n, t", list(enumerate(OWED)))
     + rf""", r as (select n, trim(regexp_extract(t, {quote(X.OBLIGATION)}, 2)) as r from o), d as (select n, coalesce(trim(regexp_replace(nullif(regexp_extract(r, {quote(X.DATE_ANYWHERE)}, 1), ''), '\.$', '')), case when regexp_matches(r, {quote(X.DATE_AT_START)}) then r end) as d from r)
 select n, case when d is null then 'none' when regexp_matches(d, '^\d{{4}}-\d{{2}}-\d{{2}}') then 'high' when regexp_matches(d, {quote(X.DATE_AT_START)}) and regexp_matches(d, {quote(X.DATE_ANYWHERE)}) then 'medium' when lower(d) in ('soon', 'eventually', 'asap', 'tbd', 'tba') then 'none' else 'low' end as confidence from d"""
 )
 def obligation_confidence(spark, sf_dir):
     """How sure the date of an obligation is."""
-    return spark.createDataFrame(list(enumerate(OWED)), "n int, t string").coalesce(1).select("n", J.obligation_confidence(F.col("t")).alias("confidence"))
+    return told(spark, sf_dir, list(enumerate(OWED)), "n int, t string").select("n", J.obligation_confidence(F.col("t")).alias("confidence"))
 
 
 TIMELINE = (
@@ -238,7 +239,7 @@ TIMELINE = (
 
 @query(
     "with "
-    + values("t", "doc_id, idx, date, title, mode, suppress", TIMELINE)
+    + told_sql("t", "doc_id, idx, date, title, mode, suppress", TIMELINE)
     + rf""", m as (select *, regexp_matches(date, {quote(X.RELATIVE_DATE)}) as relative, regexp_matches(date, {quote(X.TICKET_ID)}) or regexp_matches(date, {quote(X.PHASE_ORDINAL)}) as marker, case when regexp_matches(title, '(?i)\bdepart') then 'd' when regexp_matches(title, '(?i)\barriv') then 'a' end as leg from t),
 f as (select *, leg is not null and row_number() over (partition by doc_id, leg order by idx) = 1 as first from m), g as (select *, row_number() over (partition by doc_id order by case when first then 0 when leg is not null then 1 else 2 end, idx) as place from f),
 k as (select *, case when mode = 'single_leg' then first or (leg is not null and place <= 2) when mode = 'none' and suppress then not marker and not relative and regexp_matches(date, {quote(X.HARD_DATE)}) when marker then mode in ('milestone_chain', 'narrative_sequence') when relative then not suppress and mode <> 'none' when regexp_matches(date, {quote(X.MONTH_ALONE)}) then not suppress else true end as kept from g)
@@ -246,7 +247,7 @@ select doc_id, idx, kept, case when not kept then date || ': ' || title end as s
 )
 def timeline_gate(spark, sf_dir):
     """Which timeline entries are honest; the others become signals."""
-    rows = spark.createDataFrame(list(TIMELINE), "doc_id int, idx int, date string, title string, mode string, suppress boolean").coalesce(1)
+    rows = told(spark, sf_dir, list(TIMELINE), "doc_id int, idx int, date string, title string, mode string, suppress boolean")
     return J.gated_timeline(rows).select("doc_id", "idx", "kept", "signal")
 
 
@@ -255,10 +256,10 @@ BLOCKS = tuple((d, a, k, (d + i * 3) % 4 if d != 5 else 0) for d, a in ((1, "gen
 _TITLES = values("v", "view, kind, ord, title", [(a, k, i, t) for a, kinds in X.MEMORY_TITLES.items() for i, (k, t) in enumerate(kinds.items())])
 
 
-@query("with " + values("b", "doc_id, archetype, kind, n", BLOCKS) + ", " + _TITLES + ", x as (select *, case when archetype in ('resume', 'invoice', 'research') then archetype else 'generic' end as view from b) select x.doc_id, cast(row_number() over (partition by x.doc_id order by ord) as int) as place, x.kind, title from x join v on v.view = x.view and v.kind = x.kind where x.view = 'generic' or n > 0 or x.kind = 'snapshot'")
+@query("with " + told_sql("b", "doc_id, archetype, kind, n", BLOCKS) + ", " + _TITLES + ", x as (select *, case when archetype in ('resume', 'invoice', 'research') then archetype else 'generic' end as view from b) select x.doc_id, cast(row_number() over (partition by x.doc_id order by ord) as int) as place, x.kind, title from x join v on v.view = x.view and v.kind = x.kind where x.view = 'generic' or n > 0 or x.kind = 'snapshot'")
 def memory_views(spark, sf_dir):
     """The memories that documents of each type show, with their titles."""
-    return J.memory_views(spark.createDataFrame(list(BLOCKS), "doc_id int, archetype string, kind string, n int").coalesce(1))
+    return J.memory_views(told(spark, sf_dir, list(BLOCKS), "doc_id int, archetype string, kind string, n int"))
 
 
 # --- recall -------------------------------------------------------------------------------------------------------------
@@ -296,9 +297,9 @@ _SPELLED = "(['no', 'one', 'two', 'three', 'four', 'five', 'six', 'seven'])[len(
 
 @query(
     "with "
-    + values("e", _FIELDS, RECALLED)
+    + told_sql("e", _FIELDS, RECALLED)
     + ", "
-    + values("o", "doc_id, opening", OPENINGS)
+    + told_sql("o", "doc_id, opening", OPENINGS)
     + rf""", de as (select doc_id, arg_min(text, (case when regexp_matches(text, {quote(X.GOAL_TERMS)}) then 0 else 1 end, idx)) as d from e where kind = 'decisions' and commitment = 'committed' and coalesce(status, '') <> 'rejected' and not regexp_matches(text, '(?i)^p\d\b') group by doc_id),
 sy as (select doc_id, arg_min(text, idx) as st from e where kind = 'actions' and regexp_matches(text, '(?i)^user story:') group by doc_id), ri as (select doc_id, arg_min(text, (case when consequence is null then 1 else 0 end, case severity when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 9 end, idx)) as r, arg_min(coalesce(consequence, ''), (case when consequence is null then 1 else 0 end, case severity when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 9 end, idx)) as q from e where kind = 'risks' group by doc_id),
 si as (select doc_id, arg_min(label, idx) as l, arg_min(coalesce(implication, ''), idx) as i from e where kind = 'signals' and value is not null and lower(label) <> 'open question' group by doc_id), re as (select doc_id, arg_min(text, idx) as x from e where kind = 'decisions' and regexp_matches(text, {quote(X.OUTCOME_TERMS)}) group by doc_id),
@@ -319,7 +320,7 @@ def recall_parts(spark, sf_dir):
     from marginalia.operators import recall
 
     kinds = ", ".join(f"{n} {'int' if n in ('doc_id', 'idx') else 'string'}" for n in _FIELDS.split(", "))
-    return recall.recalled(spark.createDataFrame(list(RECALLED), kinds).coalesce(1), spark.createDataFrame(list(OPENINGS), "doc_id int, opening string").coalesce(1))
+    return recall.recalled(told(spark, sf_dir, list(RECALLED), kinds), told(spark, sf_dir, list(OPENINGS), "doc_id int, opening string"))
 
 
 # --- relations ----------------------------------------------------------------------------------------------------------
@@ -354,7 +355,7 @@ def _steps(i: int) -> str:
     return "case step " + " ".join(f"when {k} then {quote(v[i])}" for k, v in STEPS.items()) + " end"
 
 
-_RELATED = rf"""with {values("m", _PARTS, MEMORIES)}, x as (select *, kind || ':' || idx as r, concat_ws(' ', label, value, implication) as st, concat_ws(' ', text, because, consequence) as rt, concat_ws(' ', title, produces) as tt, coalesce(lower(label) in ('open question', 'open questions'), false) as asks from m), {_ROLES},
+_RELATED = rf"""with {told_sql("m", _PARTS, MEMORIES)}, x as (select *, kind || ':' || idx as r, concat_ws(' ', label, value, implication) as st, concat_ws(' ', text, because, consequence) as rt, concat_ws(' ', title, produces) as tt, coalesce(lower(label) in ('open question', 'open questions'), false) as asks from m), {_ROLES},
 tk as (select doc_id, step, lefty, r as ref_, idx, {tokens("t")} as w from ro), sm as (select *, list_distinct({stem_list("w")}) as s from tk),
 pr as (select a.doc_id, a.step, a.ref_ as l, a.idx as li, b.ref_ as r, b.idx as ri, len(list_intersect(a.s, b.s)) as shared, least(len(a.s), len(b.s)) as small from sm a join sm b on a.doc_id = b.doc_id and a.step = b.step and a.lefty and not b.lefty and a.ref_ <> b.ref_),
 rk as (select *, shared / small as score, row_number() over (partition by doc_id, step, l order by shared / small desc, ri) as rank from pr where shared >= 2 and shared / small >= 0.2)"""
@@ -365,22 +366,22 @@ def related_entries(spark, sf_dir):
     """Entries that share two stems and a fifth of the smaller set, ranked, for every step."""
     from marginalia.operators import relations as R
 
-    rows = _memories(spark)
+    rows = _memories(spark, sf_dir)
     parts = rows.select("doc_id", F.concat_ws(":", "kind", "idx").alias("ref"), "idx", F.explode(R.roles()).alias("x")).select("doc_id", "ref", "idx", "x.*")
     return R.related(parts).select("doc_id", "step", "l", "r", F.round("score", 6).alias("score"), "rank")
 
 
-def _memories(spark):
+def _memories(spark, sf_dir):
     kinds = ", ".join(f"{n} {'int' if n in ('doc_id', 'idx') else 'string'}" for n in _PARTS.split(", "))
-    return spark.createDataFrame(list(MEMORIES), kinds).coalesce(1)
+    return told(spark, sf_dir, list(MEMORIES), kinds)
 
 
 @query(
     _RELATED
     + rf""", ky as (select doc_id, r, idx, unnest([{key("coalesce(ref, text)")}, {key("text")}]) as k from x where kind = 'decisions'), ex as (select a.doc_id, a.r as l, a.idx as li, arg_min(ky.r, ky.idx) as r from x a join ky on ky.doc_id = a.doc_id and ky.k = {key("a.source")} where a.kind = 'actions' and a.source is not null group by all),
-al as (select doc_id, step, l, li, r, rank from rk where rank <= case when step in (8, 10) then 1 else 2 end and not (step = 8 and exists (select 1 from ex where ex.l = rk.l)) union all select doc_id, 8, l, li, r, 1 from ex),
-ed as (select doc_id, step, li, rank, case when step = 10 then r else l end as f, case when step = 10 then l else r end as t, {_steps(0)} as relation, {_steps(1)} || case when step = 10 then (select title from x where x.r = al.l) else '' end as note from al
- union all select 1, 0, 0, 1, 'snapshot', k, 'frames', null from (select distinct kind as k from x where kind <> 'snapshot')),
+al as (select doc_id, step, l, li, r, rank from rk where rank <= case when step in (8, 10) then 1 else 2 end and not (step = 8 and exists (select 1 from ex where ex.l = rk.l and ex.doc_id = rk.doc_id)) union all select doc_id, 8, l, li, r, 1 from ex),
+ed as (select doc_id, step, li, rank, case when step = 10 then r else l end as f, case when step = 10 then l else r end as t, {_steps(0)} as relation, {_steps(1)} || case when step = 10 then (select title from x where x.r = al.l and x.doc_id = al.doc_id) else '' end as note from al
+ union all select doc_id, 0, 0, 1, 'snapshot', k, 'frames', null from (select distinct doc_id, kind as k from x where kind <> 'snapshot')),
 de as (select *, row_number() over (partition by doc_id, f, relation, t order by step, li, rank) as n from ed where f <> t) select doc_id, f as "from", t as "to", relation, note from de where n = 1"""
 )
 def relations_of_entries(spark, sf_dir):
@@ -388,24 +389,24 @@ def relations_of_entries(spark, sf_dir):
     from marginalia.operators import relations as R
     from marginalia.runtime import stored
 
-    return R.relations(stored(_memories(spark), "memories")).drop("ord")
+    return R.relations(stored(_memories(spark, sf_dir), "memories")).drop("ord")
 
 
-@query(f"with {values('m', _PARTS, MEMORIES)}, w as (select doc_id, kind, {tokens('text')} as t from m where text is not null) select doc_id, kind, stem, count(*) as n from (select doc_id, kind, unnest({stem_list('t')}) as stem from w) group by all")
+@query(f"with {told_sql('m', _PARTS, MEMORIES)}, w as (select doc_id, kind, {tokens('text')} as t from m where text is not null) select doc_id, kind, stem, count(*) as n from (select doc_id, kind, unnest({stem_list('t')}) as stem from w) group by all")
 def entry_stems(spark, sf_dir):
     """Stems of entries by kind."""
-    return _memories(spark).where("text is not null").select("doc_id", "kind", F.explode(T.stem_tokens(F.col("text"))).alias("stem")).groupBy("doc_id", "kind", "stem").agg(F.count("*").alias("n"))
+    return _memories(spark, sf_dir).where("text is not null").select("doc_id", "kind", F.explode(T.stem_tokens(F.col("text"))).alias("stem")).groupBy("doc_id", "kind", "stem").agg(F.count("*").alias("n"))
 
 
 SUMMARIES = ((1, "Gates open at dawn on every pier", "Gates open at dawn on every pier."), (2, "The desk closes", "Gates open at dawn"), (3, "anything", " "))
 
 
-@query("with " + values("s", "n, a, b", SUMMARIES) + f", w as (select n, b, list_distinct({tokens('a')}) as x, list_distinct({tokens('b')}) as y from s) select n, trim(b) <> '' and len(x) > 0 and len(y) > 0 and len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) >= 0.8 as copied from w")
+@query("with " + told_sql("s", "n, a, b", SUMMARIES) + f", w as (select n, b, list_distinct({tokens('a')}) as x, list_distinct({tokens('b')}) as y from s) select n, trim(b) <> '' and len(x) > 0 and len(y) > 0 and len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) >= 0.8 as copied from w")
 def summary_copies(spark, sf_dir):
     """Summaries that are only the paragraph again."""
     from marginalia.operators import recall
 
-    return spark.createDataFrame(list(SUMMARIES), "n int, a string, b string").coalesce(1).select("n", recall.copies(F.col("a"), F.col("b")).alias("copied"))
+    return told(spark, sf_dir, list(SUMMARIES), "n int, a string, b string").select("n", recall.copies(F.col("a"), F.col("b")).alias("copied"))
 
 
 # --- forms of lines -----------------------------------------------------------------------------------------------------
@@ -422,7 +423,7 @@ def line_forms(spark, sf_dir):
     from marginalia.operators import understanding as U
 
     t = F.col("t")
-    rows = spark.createDataFrame(list(enumerate(FORMS)), "n int, t string").coalesce(1)
+    rows = told(spark, sf_dir, list(enumerate(FORMS)), "n int, t string")
     rows = rows.select("n", "t", L.ordinal(t).alias("o"), L.first_separator(t).alias("p"), L.paren_suffix(t).alias("s"), L.trailing_keyword(t, L.TRAILING_STATE).alias("k"), *[c.alias(a) for c, a in zip(L.artifact(t), ("produces", "requires"), strict=True)])
     return rows.select("n", L.is_structural(t).alias("structural"), L.is_decorative(t).alias("decorative"), L.is_list_like(t).alias("listed"), L.is_table_separator(t).alias("separator"), "o.marker", F.col("o.rest").alias("rest"), L.strip_emphasis(t).alias("plain"), F.col("p.left").alias("left_"), F.col("p.right").alias("right_"), "s.body", "s.suffix", F.col("k.keyword").alias("keyword"), "produces", "requires", U.subject(t).alias("subject"), U.purpose(t).alias("purpose"))
 
@@ -441,7 +442,7 @@ def _line_forms_sql() -> str:
     cut = rf"trim({bare(rf'''regexp_replace(regexp_replace(regexp_replace(t, {quote(U.TYPE_NOUN)}, ' ', 'g'), '\s*[:|·]\s*', ' ', 'g'), '\s+', ' ', 'g')''')})"
     goal = r"(?i)\bis\s+(?:a|an)\s+(.{8,90}?)(?:\s+built\b|\s+designed\b|\s+meant\b|\s+intended\b|\s+created\b|[.;]|$)"
     return (
-        "with " + values("l", "n, t", list(enumerate(FORMS))) + rf""", c as (select *, {cut} as cut_, {bare(f"regexp_extract(t, {quote(goal)}, 1)")} as goal from l)
+        "with " + told_sql("l", "n, t", list(enumerate(FORMS))) + rf""", c as (select *, {cut} as cut_, {bare(f"regexp_extract(t, {quote(goal)}, 1)")} as goal from l)
 select n, {has("trim(t)", r"^(=+|-{3,}|\*{3,}|_{3,})$")} or starts_with(trim(t), '```') or {has("trim(t)", r"(?i)^<!--\s*(page|image):")} as structural, trim(t) = '' or {has("trim(t)", r"^[↓↑→←⇒⇓|+/\\_.·•\-–—=]{1,4}$")} as decorative, {has("t", L.TASK)} or {has("t", L.BULLET)} or {has("t", L.NUMBER)} or {has("t", L.GLYPH)} as listed,
  contains(t, '|') and {has(flat, r"^[\s:|-]+$")} as separator, case when {has("trim(t)", X.ORDINAL)} then upper(left(regexp_extract(trim(t), {quote(X.ORDINAL)}, 1), 1)) || lower(substr(regexp_extract(trim(t), {quote(X.ORDINAL)}, 1), 2)) || ' ' || upper(regexp_extract(trim(t), {quote(X.ORDINAL)}, 2)) end as marker,
  case when {has("trim(t)", X.ORDINAL)} then trim(regexp_replace(substr(trim(t), length(regexp_extract(trim(t), {quote(X.ORDINAL)})) + 1), '^\s*[:—–-]\s*', '')) end as rest, {plain} as plain,

@@ -8,6 +8,7 @@ from marginalia.functions import fixed as X
 from marginalia.operators import layout as L
 from marginalia.plans.language import quote
 from marginalia.runtime import stored
+from marginalia.plans.fixtures import told, told_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,7 +58,7 @@ def _items() -> list[tuple]:
 
 ITEMS = tuple(_items())
 COLUMNS = "doc_id int, page int, seq int, str string, x double, y double, width double, height double"
-_FROM = rf"""with items(doc_id, page, seq, str, x, y, width, height) as (values {", ".join("(" + ", ".join(f"cast({v} as double)" if isinstance(v, float) else quote(v) for v in row) + ")" for row in ITEMS)}),
+_FROM = rf"""with {told_sql("items", "doc_id, page, seq, str, x, y, width, height", ITEMS)},
 b0 as (select doc_id, page, round(x / 10) * 10 as x, sum(length(str)) as mass from items where trim(str) <> '' and width <= 220 group by all),
 b1 as (select *, sum(mass) over w as total, count(*) over w as n, max(x) over w - min(x) over w as spread, lag(mass, 1, 0) over o as p, lead(mass, 1, 0) over o as q from b0 window w as (partition by doc_id, page), o as (partition by doc_id, page order by x)),
 b2 as (select *, mass >= p and mass >= q and mass >= 80 as peak from b1 where total >= 400 and n >= 6 and spread >= 180), f1 as (select doc_id, page, arg_min(x, (-mass, x)) as a from b2 where peak group by all),
@@ -75,14 +76,14 @@ p5 as (select *, case when len(cs) >= 2 then array_to_string(cs, ' | ') else cs[
 p7 as (select * exclude (text0), regexp_replace(text0, '\b([A-Za-z]{{2,4}})-([A-Za-z]{{2,5}})\b', '\1\2', 'g') as text from p6)"""
 
 
-def _rows(spark):
-    return spark.createDataFrame(list(ITEMS), COLUMNS).coalesce(1)
+def _rows(spark, sf_dir):
+    return told(spark, sf_dir, list(ITEMS), COLUMNS)
 
 
 @query(_FROM + " select doc_id, page, gutter from g")
 def page_gutters(spark, sf_dir):
     """Where pages of two columns part."""
-    return L.gutters(_rows(spark))
+    return L.gutters(_rows(spark, sf_dir))
 
 
 _LINES = (
@@ -99,7 +100,7 @@ sz as (select *, list_sort(list(size) over (partition by doc_id, page)) as sizes
 @query(_LINES + " select doc_id, page, cast(row_number() over (partition by doc_id, page order by band, -y, text) - 1 as int) as place, text, side, is_table, case when is_table and len(loose) >= 2 then array_to_string(loose, ';') else '' end as cells from bd")
 def page_lines(spark, sf_dir):
     """Lines of each page in reading order, with the cells of rows."""
-    return L.page_lines(_rows(spark)).select("doc_id", "page", "place", "text", "side", F.col("table").alias("is_table"), F.array_join("cells", ";").alias("cells"))
+    return L.page_lines(_rows(spark, sf_dir)).select("doc_id", "page", "place", "text", "side", F.col("table").alias("is_table"), F.array_join("cells", ";").alias("cells"))
 
 
 _TITLE = f"(length(text) <= 72 and not regexp_matches(text, '[.!?,;]$') and not regexp_matches(text, {quote(X.SENTENCE_OPENER)}))"
@@ -113,13 +114,13 @@ _NUMBERED, _COLON = f"(regexp_matches(text, {quote(X.NUMBERED_SECTION)}) and len
 )
 def page_headings(spark, sf_dir):
     """Lines with the page's body size and their level as headings."""
-    return L.annotated(L.page_lines(_rows(spark))).select("doc_id", "page", "text", "body", "level")
+    return L.annotated(L.page_lines(_rows(spark, sf_dir))).select("doc_id", "page", "text", "body", "level")
 
 
 @query()
 def page_markdown(spark, sf_dir):
     """Documents as Markdown; tests hold the expected text."""
-    return L.documents(stored(L.markdown(stored(L.annotated(L.page_lines(_rows(spark))), "page-lines")), "page-blocks"))
+    return L.documents(stored(L.markdown(stored(L.annotated(L.page_lines(_rows(spark, sf_dir))), "page-lines")), "page-blocks"))
 
 
 WRAPS = (("the zeo-", "lite bed"), ("a domain-", "specific model"), ("state-of-the-", "art gates"), ("model O4-", "mini runs"), ("NASA-", "led work"), ("two words", "go on"), ("", "alone"), ("funda-", "mental domain-specific work"), ("soft­", "hyphen"), ("end ", ""))
@@ -127,14 +128,14 @@ _KEEP = rf"(regexp_matches(stem, '-[A-Za-z]+$') or regexp_matches(stem, '\d$') o
 
 
 @query(
-    "with w(n, l, r) as (values "
-    + ", ".join(f"({i}, {quote(a)}, {quote(b)})" for i, (a, b) in enumerate(WRAPS))
-    + rf"""), s as (select n, rtrim(l) as a, ltrim(r) as b, regexp_replace(rtrim(l), '-$', '') as stem from w), t as (select *, regexp_extract(stem, '[A-Za-z]+$') as tail, regexp_extract(b, '^[a-z]+') as head from s)
+    "with "
+    + told_sql("w", "n, l, r", [(i, *w) for i, w in enumerate(WRAPS)])
+    + rf""", s as (select n, rtrim(l) as a, ltrim(r) as b, regexp_replace(rtrim(l), '-$', '') as stem from w), t as (select *, regexp_extract(stem, '[A-Za-z]+$') as tail, regexp_extract(b, '^[a-z]+') as head from s)
 select n, case when a = '' then b when b = '' then a when ends_with(a, chr(173)) then left(a, length(a) - 1) || b when regexp_matches(a, '.-$') and regexp_matches(b, '^[a-z]') then case when {_KEEP} then a || b else stem || b end else a || ' ' || b end as joined from t"""
 )
 def soft_wraps(spark, sf_dir):
     """Two lines of a paragraph as one."""
-    rows = spark.createDataFrame([(i, *w) for i, w in enumerate(WRAPS)], "n int, l string, r string").coalesce(1)
+    rows = told(spark, sf_dir, [(i, *w) for i, w in enumerate(WRAPS)], "n int, l string, r string")
     return rows.select("n", L.soft_wrapped(F.col("l"), F.col("r")).alias("joined"))
 
 
@@ -143,9 +144,9 @@ OCR = (
     (2, "short\na line of ordinary words here\nanother line of words"),
 )
 _OCR = (
-    "with o(doc_id, raw) as (values "
-    + ", ".join(f"({i}, {quote(t)})" for i, t in OCR)
-    + rf"""), l as (select doc_id, unnest(range(1, len(ls) + 1)) as n, unnest(ls) as t from (select doc_id, list_filter(list_transform(string_split(raw, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as ls from o)),
+    "with "
+    + told_sql("o", "doc_id, raw", OCR)
+    + rf""", l as (select doc_id, unnest(range(1, len(ls) + 1)) as n, unnest(ls) as t from (select doc_id, list_filter(list_transform(string_split(raw, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as ls from o)),
 c as (select *, case when regexp_matches(t, {quote(X.OCR_STATUS)}) then '**' || regexp_replace(t, ':$', '') || '**' when regexp_matches(t, {quote(X.OCR_NOTE)}) then '- ' || regexp_replace(t, '(?i)^note:\s*', 'Note: ') when regexp_matches(t, {quote(X.OCR_FIELD)}) then '- ' || t end as said from l),
 r as (select *, case when said is null then case when length(regexp_extract(t, {quote(X.OCR_ITEM)}, 1)) > 20 then regexp_extract(t, {quote(X.OCR_ITEM)}, 1) when regexp_matches(t, {quote(X.OCR_RULE)}) and length(t) > 24 then t end end as rule from c),
 u as (select doc_id, min(n) as n, arg_min(rule, n) as rule from r where rule is not null group by doc_id, left(lower(rule), 120)),
@@ -155,23 +156,23 @@ img as (select o.doc_id, coalesce(st.text, fb.text) as text, case when regexp_ma
 )
 
 
-def _images(spark):
-    rows = spark.createDataFrame(list(OCR), "doc_id int, raw string").coalesce(1)
+def _images(spark, sf_dir):
+    rows = told(spark, sf_dir, list(OCR), "doc_id int, raw string")
     return rows.select("doc_id", L.structured_ocr(F.col("raw")).alias("text"), L.image_heading(F.col("raw")).alias("heading"))
 
 
 @query(_OCR + " select doc_id, text, heading from img")
 def ocr_structured(spark, sf_dir):
     """Notes, fields and rules of sheets read from images."""
-    return _images(spark)
+    return _images(spark, sf_dir)
 
 
 BODIES = ((1, "<!-- page:1 -->\n# Plan\n## Cases and rules\nEnd"), (2, "<!-- page:1 -->\n# Other"), (3, "No image"))
 _SECTION = "chr(10) || '## ' || heading || chr(10) || chr(10) || '<!-- image:page=1 confidence=88 -->' || chr(10) || chr(10) || text || chr(10)"
 
 
-@query(_OCR + ", b(doc_id, md) as (values " + ", ".join(f"({i}, {quote(t)})" for i, t in BODIES) + f") select b.doc_id, case when img.doc_id is null then md when b.doc_id = 1 then replace(md, '## Cases and rules', '## Cases and rules' || chr(10) || {_SECTION}) else replace(md, '<!-- page:1 -->', '<!-- page:1 -->' || chr(10) || {_SECTION}) end as markdown from b left join img using (doc_id)")
+@query(_OCR + ", " + told_sql("b", "doc_id, md", BODIES) + f" select b.doc_id, case when img.doc_id is null then md when b.doc_id % 1000 = 1 then replace(md, '## Cases and rules', '## Cases and rules' || chr(10) || {_SECTION}) else replace(md, '<!-- page:1 -->', '<!-- page:1 -->' || chr(10) || {_SECTION}) end as markdown from b left join img using (doc_id)")
 def ocr_merged(spark, sf_dir):
     """Markdown with the texts of its images in place."""
-    images = _images(spark).select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("place"), "heading", F.lit(87.6).alias("confidence"), "text")
-    return L.with_image_texts(spark.createDataFrame(list(BODIES), "doc_id int, markdown string").coalesce(1), images)
+    images = _images(spark, sf_dir).select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("place"), "heading", F.lit(87.6).alias("confidence"), "text")
+    return L.with_image_texts(told(spark, sf_dir, list(BODIES), "doc_id int, markdown string"), images)

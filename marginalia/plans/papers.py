@@ -8,6 +8,7 @@ from marginalia.functions import fixed as X
 from marginalia.operators import graphs
 from marginalia.operators import research as R
 from marginalia.runtime import stored
+from marginalia.plans.fixtures import told, told_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -74,12 +75,12 @@ def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _docs(spark):
-    return spark.createDataFrame(list(PAPERS), "doc_id long, text string").coalesce(1)
+def _docs(spark, sf_dir):
+    return told(spark, sf_dir, PAPERS, "doc_id long, text string")
 
 
 _ROLE = "case " + " ".join(f"when regexp_matches(title, {_sql(p)}) then '{name}'" for name, p in X.RESEARCH_ROLES) + " else 'other' end"
-_LINES = rf"""with papers(doc_id, text) as (values {", ".join(f"({i}, {_sql(t)})" for i, t in PAPERS)}),
+_LINES = rf"""with {told_sql("papers", "doc_id, text", PAPERS)},
 ln as (select doc_id, unnest(range(1, len(ls) + 1)) as line_no, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from papers)),
 hd as (select *, case when regexp_matches(line, '^#+ ') then trim(regexp_replace(line, '^#+ ', '')) end as heading from ln),
 sx as (select *, cast(sum(case when heading is not null then 1 else 0 end) over (partition by doc_id order by line_no) as int) as section from hd),
@@ -116,50 +117,50 @@ e0 as (select p.doc_id, p.id as source, q.id as target, 'contains' as relation,
 ed as (select doc_id, source, target, relation, arg_min(confidence, (g, x, y, z, t)) as confidence, min((g, x, y, z, t)) as ord from e0 group by doc_id, source, target, relation)"""
 
 
-def _claims(spark):
-    return stored(R.claims(_docs(spark)), "claims")
+def _claims(spark, sf_dir):
+    return stored(R.claims(_docs(spark, sf_dir)), "claims")
 
 
-def _graph(spark):
-    docs = _docs(spark)
+def _graph(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
     lines = stored(R.section_lines(docs), "paper-lines").where("role <> 'references'")
     whole = lines.groupBy("doc_id", "section").agg(F.first("title").alias("title"), F.first("role").alias("role"), F.first("first_line").alias("first_line"), F.max(F.trim("line") != "").alias("body"))
     titles = lines.where("title is not null").groupBy("doc_id").agg(F.min_by("title", "section").alias("title"))
-    return R.graph(_claims(spark), titles, whole.where("title is not null or body").drop("body"))
+    return R.graph(_claims(spark, sf_dir), titles, whole.where("title is not null or body").drop("body"))
 
 
 @query(_LINES + " select distinct doc_id, section, title, role from bd")
 def research_roles(spark, sf_dir):
     """Sections of papers with their role."""
-    return R.section_lines(_docs(spark)).select("doc_id", "section", "title", "role").distinct()
+    return R.section_lines(_docs(spark, sf_dir)).select("doc_id", "section", "title", "role").distinct()
 
 
 @query(_LINES + _CLAIMS + " select doc_id, section, role, cast(line_no as int) as line_no, spot, sentence, kind, array_to_string(cites, ' ; ') as cites from cl")
 def research_claims(spark, sf_dir):
     """Claims of each section, their kind and citations."""
-    return R.claims(_docs(spark)).select("doc_id", "section", "role", "line_no", F.col("at").alias("spot"), "sentence", "kind", F.array_join("cites", " ; ").alias("cites"))
+    return R.claims(_docs(spark, sf_dir)).select("doc_id", "section", "role", "line_no", F.col("at").alias("spot"), "sentence", "kind", F.array_join("cites", " ; ").alias("cites"))
 
 
 @query(_LINES + _CLAIMS + _GRAPH + " select m2.doc_id, id, m2.kind, label from m2 where nth = 1 and label is not null")
 def kg_nodes(spark, sf_dir):
-    return _graph(spark)[0].select("doc_id", "id", "kind", "label")
+    return _graph(spark, sf_dir)[0].select("doc_id", "id", "kind", "label")
 
 
 @query(_LINES + _CLAIMS + _GRAPH + " select doc_id, source, target, relation, confidence from ed")
 def kg_edges(spark, sf_dir):
-    return _graph(spark)[1].drop("ord")
+    return _graph(spark, sf_dir)[1].drop("ord")
 
 
 @query(_LINES + _CLAIMS + _GRAPH + ", en as (select doc_id, source as id, ord, 0 as e from ed union all select doc_id, target, ord, 1 from ed), dg as (select doc_id, id, count(*) as degree, min((ord, e)) as f from en group by doc_id, id), rk as (select *, row_number() over (partition by doc_id order by degree desc, f) as rank from dg) select rk.doc_id, cast(rank as int) as rank, rk.id, label, degree from rk join m2 on m2.doc_id = rk.doc_id and m2.id = rk.id and nth = 1 where rank <= 8")
 def kg_degree(spark, sf_dir):
     """The eight best connected nodes."""
-    return graphs.degrees(*_graph(spark))
+    return graphs.degrees(*_graph(spark, sf_dir))
 
 
 @query(_LINES + _CLAIMS + _GRAPH + " select doc_id, source, target, relation, cast(rank as int) as rank from (select *, row_number() over (partition by doc_id order by ord) as rank from ed where confidence = 'INFERRED') where rank <= 12")
 def kg_surprising(spark, sf_dir):
     """The first twelve inferred links."""
-    return graphs.surprising(_graph(spark)[1]).select("doc_id", "source", "target", "relation", "rank")
+    return graphs.surprising(_graph(spark, sf_dir)[1]).select("doc_id", "source", "target", "relation", "rank")
 
 
 _OTHER_NODES = (("metric_other", "Adaptive gates significantly improve  boarding on cold mornings.", "claim"), ("lonely", "A node that nothing names", "claim"), ("gate_paper", "adaptive gates under load", "paper"))
@@ -171,8 +172,8 @@ ae as (select source, target, relation, confidence from ed where doc_id = 1 unio
 fe as (select distinct p.keep as source, q.keep as target, relation from ae join ak p on p.id = ae.source join ak q on q.id = ae.target where p.keep <> q.keep)"""
 
 
-def _merged(spark):
-    nodes, edges = (x.where("doc_id = 1") for x in _graph(spark))
+def _merged(spark, sf_dir):
+    nodes, edges = (x.where("doc_id = 1") for x in _graph(spark, sf_dir))
     other = spark.createDataFrame([(1, i, t, k, f"{n:04d}") for n, (i, t, k) in enumerate(_OTHER_NODES)], "doc_id long, id string, label string, kind string, ord string")
     links = spark.createDataFrame([(1, a, b, r, "EXTRACTED", f"{n:04d}") for n, (a, b, r) in enumerate(_OTHER_EDGES)], "doc_id long, source string, target string, relation string, confidence string, ord string")
     nodes = graphs.merged(other, nodes.select(other.columns), ["doc_id", "id"])
@@ -183,13 +184,13 @@ def _merged(spark):
 @query(_LINES + _CLAIMS + _GRAPH + _MERGED + " select 1 as doc_id, source, target, relation from fe")
 def kg_merge(spark, sf_dir):
     """Another graph of the first paper merged over its own, duplicate entities collapsed."""
-    return _merged(spark)[1].select(F.col("doc_id").cast("int").alias("doc_id"), "source", "target", "relation")
+    return _merged(spark, sf_dir)[1].select(F.col("doc_id").cast("int").alias("doc_id"), "source", "target", "relation")
 
 
 @query(_LINES + _CLAIMS + _GRAPH + _MERGED + " select 1 as doc_id, id from ak where id = keep and id not in (select source from fe union all select target from fe)")
 def kg_orphans(spark, sf_dir):
     """Nodes of the merged graph without an edge."""
-    return graphs.orphans(*_merged(spark)).select(F.col("doc_id").cast("int").alias("doc_id"), "id")
+    return graphs.orphans(*_merged(spark, sf_dir)).select(F.col("doc_id").cast("int").alias("doc_id"), "id")
 
 
 _STOPS = ", ".join(_sql(w) for w in X.STOP_OPENERS)
@@ -210,7 +211,7 @@ gg as (select *, s = '' or (regexp_matches(s, '^[a-z]') and length(f) <= 8 and l
 @query(_LINES + _CLEAN + " select doc_id, cast(line_no as int) as line_no, spot, s as sentence from gg where n >= 6 and not garbled")
 def research_sentences(spark, sf_dir):
     """Cleaned sentences without garbled ones."""
-    return R.sentences(_docs(spark)).select("doc_id", "line_no", F.col("at").alias("spot"), "sentence")
+    return R.sentences(_docs(spark, sf_dir)).select("doc_id", "line_no", F.col("at").alias("spot"), "sentence")
 
 
 _POINTS = rf"""case when n between 10 and 45 then 2 when n >= 8 then 1 else 0 end + case when regexp_matches(s, '[.!?]$') then 1 else 0 end + case when regexp_matches(lower(s), {_sql(X.CLAIM_VERBS)}) then 3 else 0 end + case when regexp_matches(lower(s), {_sql(X.CLAIM_TERMS)}) then 3 else 0 end
@@ -220,7 +221,7 @@ _POINTS = rf"""case when n between 10 and 45 then 2 when n >= 8 then 1 else 0 en
 @query(_LINES + _CLEAN + rf" select doc_id, cast(line_no as int) as line_no, spot, garbled, heavy, s = '' or contains(s, '|') or regexp_matches(s, '^:?-{{3,}}') or (len(regexp_extract_all(s, '\d+(?:\.\d+)?')) >= 4 and n <= len(regexp_extract_all(s, '\d+(?:\.\d+)?')) + 6) as table_dump, cast({_POINTS} as int) as score from gg")
 def claim_scores(spark, sf_dir):
     """How much each sentence reads like a finding."""
-    rows = R._sentences(R.section_lines(_docs(spark)), R.clean_sentence, 1)
+    rows = R._sentences(R.section_lines(_docs(spark, sf_dir)), R.clean_sentence, 1)
     s = F.col("sentence")
     return rows.select("doc_id", "line_no", F.col("at").alias("spot"), R.garbled(s).alias("garbled"), R.metric_heavy(s).alias("heavy"), R.table_dump(s).alias("table_dump"), R.claim_score(s).cast("int").alias("score"))
 
@@ -238,13 +239,13 @@ select distinct doc_id, cast(line_no as int) as line_no, spot, case when ranged
 )
 def metrics_extracted(spark, sf_dir):
     """Percentages and ranges of the cleaned sentences, labelled by the words before them."""
-    rows = R.sentences(_docs(spark)).select("doc_id", "line_no", F.col("at").alias("spot"), F.explode(R.metrics(F.col("sentence"))).alias("m"))
+    rows = R.sentences(_docs(spark, sf_dir)).select("doc_id", "line_no", F.col("at").alias("spot"), F.explode(R.metrics(F.col("sentence"))).alias("m"))
     return rows.select("doc_id", "line_no", "spot", "m.label", "m.value").where("value like '%\\%%'")
 
 
 def limitation_themes(spark, sf_dir):
     """Limits of each paper by theme."""
-    return R.limitation_themes(_docs(spark))
+    return R.limitation_themes(_docs(spark, sf_dir))
 
 
 QUERIES["limitation_themes"] = limitation_themes

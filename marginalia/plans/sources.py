@@ -11,6 +11,7 @@ from marginalia.operators import library
 from marginalia.plans.language import quote, values
 from marginalia.sources import documents as D
 from marginalia.sources import json_source as J
+from marginalia.plans.fixtures import told, told_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -51,7 +52,7 @@ SOURCES = tuple(
 )
 _FIELDS = [("snapshot", f, r[0], "") for f, r in J.SNAPSHOT.items()] + [(k, f, r[0], "|".join(r[2]) if isinstance(r[2], tuple) else "") for k, fs in J.ENTRIES.items() for f, r in fs.items()]
 _KINDS = ", ".join(map(quote, X.KINDS))
-_FROM = rf"""with {values("raw", "doc_id, raw", SOURCES)}, {values("fd", "kind, field, required, allowed", _FIELDS)},
+_FROM = rf"""with {told_sql("raw", "doc_id, raw", SOURCES)}, {values("fd", "kind, field, required, allowed", _FIELDS)},
 v as (select doc_id, raw, json_valid(raw) as valid from raw), j as (select doc_id, raw, case when valid then cast(raw as json) end as j from v),
 tree as (select doc_id, unnest(list_concat([('$', j)], [('$.' || k, j->k) for k in coalesce(case when json_type(j) = 'OBJECT' then json_keys(j) end, [])])) as n from j where j is not null),
 bl as (select doc_id, j, unnest(range(0, len(bs))) as i, unnest(bs) as b from (select doc_id, j, from_json(j->'blocks', '["json"]') as bs from j where json_type(j) = 'OBJECT' and json_type(j->'blocks') = 'ARRAY')),
@@ -74,14 +75,14 @@ er as (select doc_id, code, path from bad qualify stage = min(stage) over (parti
 good as (select doc_id, raw, j from j where doc_id not in (select doc_id from er))"""
 
 
-def _rows(spark):
-    return spark.createDataFrame(list(SOURCES), "doc_id int, raw string").coalesce(1)
+def _rows(spark, sf_dir):
+    return told(spark, sf_dir, list(SOURCES), "doc_id int, raw string")
 
 
 @query(_FROM.replace("x->field", "json_extract(x, '$.\"' || field || '\"')").replace("x->>field", "json_extract_string(x, '$.\"' || field || '\"')") + " select doc_id, code, path, count(*) as n from er group by all")
 def json_import_errors(spark, sf_dir):
     """Errors of the strict import, with paths; the first failing stage tells all of its own."""
-    rows = J.imported(_rows(spark)).select("doc_id", F.explode("errors").alias("e"))
+    rows = J.imported(_rows(spark, sf_dir)).select("doc_id", F.explode("errors").alias("e"))
     return rows.groupBy("doc_id", "e.code", "e.path").agg(F.count("*").alias("n"))
 
 
@@ -91,7 +92,7 @@ _FROM2 = ORACLES["json_import_errors"].rpartition(" select doc_id, code, path")[
 @query(_FROM2 + " select doc_id, n as rewritten from (select good.doc_id, (select count(*) from en where en.doc_id = good.doc_id and x->>'status' = 'open') as n from good) where n > 0")
 def json_migrated(spark, sf_dir):
     """Entries whose old status was rewritten."""
-    return J.imported(_rows(spark)).where("ok").select("doc_id", F.explode("warnings").alias("w")).select("doc_id", F.col("w.count").cast("long").alias("rewritten"))
+    return J.imported(_rows(spark, sf_dir)).where("ok").select("doc_id", F.explode("warnings").alias("w")).select("doc_id", F.col("w.count").cast("long").alias("rewritten"))
 
 
 @query(
@@ -102,14 +103,14 @@ select doc_id, cast(i as int) as source_order, kind, title, 'blk_' || kind || '_
 )
 def canonical_blocks(spark, sf_dir):
     """Blocks with their stable ids, locators and excerpts."""
-    return J.canonical_blocks(_rows(spark)).select("doc_id", "source_order", "kind", "title", "block_id", "excerpt")
+    return J.canonical_blocks(_rows(spark, sf_dir)).select("doc_id", "source_order", "kind", "title", "block_id", "excerpt")
 
 
-@query(_FROM2 + ", cb as (select bk.doc_id, i, kind from bk join good using (doc_id)), wn as (select 0 as doc_id, unnest([1, 2, 3]) as p, unnest(['risks', 'actions', 'mood']) as kind) select cb.doc_id, kind, cast(row_number() over (partition by cb.doc_id order by coalesce(p, 1000 + i)) as int) as place from cb left join wn using (doc_id, kind)")
+@query(_FROM2 + ", cb as (select bk.doc_id, i, kind from bk join good using (doc_id)), wn as (select cast(s_suppkey * 1000 as int) as doc_id, unnest([1, 2, 3]) as p, unnest(['risks', 'actions', 'mood']) as kind from supplier) select cb.doc_id, kind, cast(row_number() over (partition by cb.doc_id order by coalesce(p, 1000 + i)) as int) as place from cb left join wn using (doc_id, kind)")
 def blocks_reordered(spark, sf_dir):
     """Blocks in a wanted order; those it doesn't name follow."""
-    blocks = J.canonical_blocks(_rows(spark)).select("doc_id", F.col("kind").alias("id"), "source_order")
-    wanted = spark.createDataFrame([(0, ["risks", "actions", "mood"])], "doc_id int, ids array<string>")
+    blocks = J.canonical_blocks(_rows(spark, sf_dir)).select("doc_id", F.col("kind").alias("id"), "source_order")
+    wanted = told(spark, sf_dir, [(0, "risks actions mood")], "doc_id int, ids string").select("doc_id", F.split("ids", " ").alias("ids"))
     return J.reordered(blocks, wanted).select("doc_id", F.col("id").alias("kind"), "place")
 
 
@@ -127,7 +128,7 @@ FILES = ((1, "plain"), (2, "a\x00b"), (3, "x\x01\x02\x03y"), (4, "ok\x7fok"), (5
 @query()
 def binary_guards(spark, sf_dir):
     """Texts with control characters; SQL texts can't hold them, so tests hold the expected rows."""
-    rows = D.preflight(spark.createDataFrame(list(FILES), "doc_id int, raw string").coalesce(1))
+    rows = D.preflight(told(spark, sf_dir, list(FILES), "doc_id int, raw string"))
     d = F.get("diagnostics", F.lit(0))
     return rows.select("doc_id", "format", d["code"].alias("code"), d["line"].alias("line"), d["column"].alias("column"))
 

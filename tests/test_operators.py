@@ -244,8 +244,10 @@ def test_claims_of_two_sections_with_one_title(spark):
 def test_pages_as_markdown(spark):
     from marginalia.plans import pages
 
-    (row,) = pages.page_markdown(spark, "").collect()
-    first, second = row["markdown"].split("<!-- page:2 -->")
+    rows = {r["doc_id"]: r["markdown"] for r in pages.page_markdown(spark, "/root/testdata/sf0.001").collect()}
+    nation = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").where("s_suppkey = 0").join(spark.read.parquet("/root/testdata/sf0.001/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey")).first()["n_name"].lower()
+    assert len(rows) == 10
+    first, second = rows[1].replace(nation, "pier").split("<!-- page:2 -->")
     assert first == (
         "<!-- page:1 -->\n# Harbour plan\n1. Gates\nThe gates at the north pier are old and the tickets of the season do not fit their readers.\n\n"
         "A second paragraph follows here after a stop.\n\n| Ticket | Summary | Status |\n| --- | --- | --- |\n| GATE-12 | Replace the reader | Open |\n"
