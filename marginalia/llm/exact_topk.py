@@ -17,7 +17,7 @@ most k rows for each query.  Nothing is broadcast or collected; equal vectors ar
 
 Defined cases: rows with a null id, a null vector or null or non-finite components take no part; vectors of different lengths aren't
 compared, empty ones score 0; repeated rows and ids are rows of their own and candidates of each other; ties go to the smaller id; fewer
-candidates than k: all of them; scores beyond the ends of a long are given as that end; very long vectors make blocks of fewer rows; other
+candidates than k: all of them; scores beyond the ends of a long are that end, and tie; very long vectors make blocks of fewer rows; other
 columns are dropped, whatever their names; an empty table gives an empty table.
 """
 
@@ -159,7 +159,7 @@ def _exact(x: np.ndarray, q: np.ndarray, safe: bool) -> list[int]:
     if safe:
         return (x @ q).astype(np.int64).tolist()
     whole = [int(c) for c in q]
-    return [sum(int(c) * y for c, y in zip(r, whole, strict=True)) for r in x.tolist()]
+    return [min(max(sum(int(c) * y for c, y in zip(r, whole, strict=True)), -LONG), LONG - 1) for r in x.tolist()]
 
 
 def _search(k: int):
@@ -200,7 +200,7 @@ def _search(k: int):
                     kept += zip((-s for s in scores), ids[at].tolist(), rows[at].tolist(), strict=True)
                     kept.sort()
                     del kept[k:]
-        flat = [(r, names[r], i, min(max(-s, -LONG), LONG - 1)) for r, kept in best.items() for s, i, _ in kept]
+        flat = [(r, names[r], i, -s) for r, kept in best.items() for s, i, _ in kept]
         columns = list(zip(*flat, strict=True)) if flat else [[]] * 4
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["asker", "query_id", "vec_id", "score"])
 

@@ -24,8 +24,9 @@ def best_of(rows, k=5):
     out = []
     for at, (q, x) in enumerate(good):
         if q % 50 == 0:
-            found = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for j, (i, y) in enumerate(good) if j != at and len(x) == len(y))
-            out += [(q, r, i, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, i) in enumerate(found[:k], 1)]
+            score = lambda y, x=x: min(max(sum(a * b for a, b in zip(x, y, strict=True)), -(2**63)), 2**63 - 1)
+            found = sorted((-score(y), i) for j, (i, y) in enumerate(good) if j != at and len(x) == len(y))
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(found[:k], 1)]
     return sorted(out)
 
 
