@@ -204,3 +204,33 @@ def highlight(anchors: DataFrame, headings: DataFrame, id: str = "doc_id") -> Da
     above = F.last("h", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     below = F.first("h", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
     return rows.withColumn("line_no", F.coalesce(above, below)).where("o = 1").select(id, F.col("at").alias("anchor"), "line_no")
+
+
+# --- Markdown by its marked headings ------------------------------------------------------------------------------------
+
+MARKED = r"^(#{1,6})\s+(.+?)\s*$"
+
+
+def markdown_sections(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, section, heading, level, text, start_line, end_line): what stands between headings marked by #; sections without both are left out.
+
+    Of rows of one id the lines are read as one document's; a null or empty text has no sections; very long texts are read whole."""
+    c = F.col
+    plain = F.regexp_replace(F.coalesce(c(text), F.lit("")), r"\r\n?", "\n")
+    rows = lines(docs.select(id, plain.alias("_plain")), id, "_plain").withColumn("level", F.length(extract(c("line"), MARKED)))
+    order = Window.partitionBy(id).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("section", F.count("level").over(order))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c("level").isNull(), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
+    out = rows.groupBy(id, "section").agg(
+        strip(F.max(extract(c("line"), MARKED, 2))).alias("heading"), F.coalesce(F.max("level"), F.lit(0)).cast("int").alias("level"), strip(body).alias("text"),
+        F.min("line_no").cast("int").alias("start_line"), F.max("line_no").cast("int").alias("end_line"),
+    )
+    return out.where("heading is not null or text <> ''").select(id, c("section").cast("int").alias("section"), "heading", "level", "text", "start_line", "end_line")
+
+
+def guessed_title(text: Column, label: Column) -> Column:
+    """The first line that isn't blank: the words of a heading of level 1, else its first 160 letters; without one the file's name, its ending gone."""
+    flat = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n?|\n"), strip), lambda s: s != "")
+    name = F.regexp_replace(F.element_at(F.split(F.coalesce(label, F.lit("")), r"/"), -1), r"(?<=.)\.[^.]*\z", "")
+    first = lambda s: F.when(F.length(extract(s, MARKED)) == 1, strip(extract(s, MARKED, 2))).otherwise(F.substring(s, 1, 160))
+    return F.coalesce(let(F.get(flat, F.lit(0)), lambda s: F.when(s.isNotNull(), first(s))), name)

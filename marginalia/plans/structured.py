@@ -276,3 +276,23 @@ def statement_predicates(spark, sf_dir):
 def highlight_heading(spark, sf_dir):
     rows = structure.headed_lines(documents(spark, sf_dir), text="raw")
     return structure.highlight(rows.select("doc_id", F.col("line_no").alias("anchor")), rows.where("heading is not null").select("doc_id", "line_no"))
+
+
+_MARKED = r"^(#{1,6})\s+(.+?)\s*$"
+
+
+@query(rf"""with {LINES_SQL}, mk as (select doc_id, line_no, line, case when regexp_matches(line, {sql(_MARKED)}) then length(regexp_extract(line, {sql(_MARKED)}, 1)) end as level from fixture_lines),
+sc as (select *, count(level) over (partition by doc_id order by line_no) as section from mk),
+gr as (select doc_id, section, max(case when level is not null then trim(regexp_extract(line, {sql(_MARKED)}, 2)) end) as heading, coalesce(max(level), 0) as level,
+  trim(coalesce(string_agg(case when level is null then line end, chr(10) order by line_no), ''), e' \t\n\r') as text, min(line_no) as start_line, max(line_no) as end_line from sc group by all)
+select doc_id, cast(section as int) as section, heading, cast(level as int) as level, text, cast(start_line as int) as start_line, cast(end_line as int) as end_line from gr where heading is not null or text <> ''""")
+def markdown_sections(spark, sf_dir):
+    """Sections between marked headings, with their first and last line."""
+    return structure.markdown_sections(documents(spark, sf_dir), text="raw")
+
+
+@query(rf"""with {DOCUMENTS_SQL}, f1 as (select doc_id, label, list_filter(list_transform(string_split(coalesce(raw, ''), chr(10)), lambda x: trim(x, e' \t\r')), lambda x: x <> '')[1] as s from fixture)
+select doc_id, case when s is null then regexp_replace(list_last(string_split(coalesce(label, ''), '/')), '(.)\.[^.]*$', '\1') when length(regexp_extract(s, {sql(_MARKED)}, 1)) = 1 then trim(regexp_extract(s, {sql(_MARKED)}, 2)) else left(s, 160) end as title from f1""")
+def guessed_titles(spark, sf_dir):
+    """Titles guessed from the first line, else from the file's name."""
+    return documents(spark, sf_dir).select("doc_id", structure.guessed_title(F.col("raw"), F.col("label")).alias("title"))

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import graphs, judgement, library, memories, relations, repair, research, statements, structure, understanding
+from marginalia.operators import graphs, judgement, library, relations, repair, research, statements, structure, understanding
 from marginalia.plans.fixtures import FORMS
 from marginalia.plans.extractions import EXTRACTIONS
 from marginalia.sources import documents as sources
@@ -220,20 +220,6 @@ def test_concepts_beyond_two_hundred_phrases(spark):
     assert set(got[:7]) == set(often) and got[7:] == later[:5]
 
 
-def test_inferred_budget_counts_what_is_added(spark):
-    """30 inferences that restate stated signals, then 30 new ones; 24 of these are added, and no hedged decision."""
-    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:02d}") * 2
-    label = lambda i: f"{word(i)} station {word(i + 31)} queue length"
-    stated = "\n".join(f"- {label(i).capitalize()}: {i + 1}%" for i in range(30))
-    said = [f"When {label(i)}, the {word(i)} desk opens another counter." for i in range(60)]
-    text = "# Gates\n## Signals\n" + stated + "\n## Notes\n" + "\n".join(said) + "\nWe might consider leasing spare gate readers for the pier."
-    rows = memories.remember(spark.createDataFrame([(1, text)], "doc_id long, text string"))["entries"].collect()
-    signals = [r for r in rows if r["kind"] == "signals"]
-    assert sum(r["how"] == "stated" for r in signals) == 30
-    assert [r["label"] for r in sorted(signals, key=lambda r: r["idx"]) if r["how"] == "inferred"] == [label(i).capitalize() for i in range(30, 54)]
-    assert not [r for r in rows if r["kind"] == "decisions" and r["how"] == "inferred"]
-
-
 def test_claims_of_two_sections_with_one_title(spark):
     some = lambda a: "\n".join(f"The {a} harbour number{i} opens its gates early." for i in range(20))
     text = f"# Results\n{some('north')}\n# Other\nThe pier closes at night time.\n# Results\n" + "\n".join(f"Short line{i} here." for i in range(20)) + f"\n{some('south')}"
@@ -257,10 +243,9 @@ def test_pages_as_markdown(spark):
     assert second.index("left line 11") < second.index("right line 0") < second.index("right line 11")
 
 
-def test_stated_entries_take_the_reasons_of_their_line(spark):
-    """A stated risk without a reason gets the one its own sentence gives; a new action is added beside."""
-    text = "# Gates\n## Risks\n- Late readers delay the launch because the lease is unsigned (high) - mitigation: lease spare readers\n## Notes\nSomeone should draft the lease letter for the pier."
-    rows = memories.remember(spark.createDataFrame([(1, text)], "doc_id long, text string"))["entries"].collect()
-    risk = next(r for r in rows if r["kind"] == "risks" and r["how"] == "stated")
-    assert risk["because"] and risk["severity"] == "high" and sum(r["kind"] == "risks" for r in rows) == 1
-    assert [(r["kind"], r["task"], r["how"], r["status"]) for r in rows if r["kind"] == "actions"] == [("actions", "Someone should draft the lease letter for the pier", "inferred", "pending")]
+def test_markdown_sections_and_titles(spark):
+    docs = spark.createDataFrame([(1, "before\r\n\r\n# A \nx\n\n### B\n## C\n  y\n", "a/b.v2.md"), (2, "# \n\n", "c.md"), (3, None, "notes/d.tar.gz"), (4, "", None), (5, "x" * 200, "e")], "doc_id long, text string, label string")
+    got = sorted((r["doc_id"], r["section"], r["heading"], r["level"], r["text"], r["start_line"], r["end_line"]) for r in structure.markdown_sections(docs).collect())
+    assert got == [(1, 0, None, 0, "before", 1, 2), (1, 1, "A", 1, "x", 3, 5), (1, 2, "B", 3, "", 6, 6), (1, 3, "C", 2, "y", 7, 9), (2, 0, None, 0, "#", 1, 3), (5, 0, None, 0, "x" * 200, 1, 1)]
+    titles = dict(docs.select("doc_id", structure.guessed_title(F.col("text"), F.col("label"))).collect())
+    assert titles == {1: "before", 2: "#", 3: "d.tar", 4: "", 5: "x" * 160}
