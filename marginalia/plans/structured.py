@@ -191,7 +191,49 @@ def parse_decisions(spark, sf_dir):
     return _parsed(spark, sf_dir, L.parse_decision)
 
 
-@query()
+def _state(x: str) -> str:
+    return "case " + " ".join(f"when regexp_matches({x}, {sql(p)}) then '{name}'" for name, p in X.TIMELINE_STATES) + " end"
+
+
+def _match(x: str, p: str, i: int = 1) -> str:
+    return f"nullif(regexp_extract({x}, {sql(p)}, {i}), '')"
+
+
+def _found(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({_match(x, X.DATE_ANYWHERE)}, '\.$', ''), '\s+', ' ', 'g'))"
+
+
+def _looks(x: str) -> str:
+    return f"regexp_matches(trim({x}), {sql(X.DATE_AT_START)})"
+
+
+def _made(x: str, p: str) -> str:
+    return T.capital("(" + T.clamp(T.bare(_match(x, p)), 10) + ")")
+
+
+_LEG, _BY_NUMBER = r"(?i)^(departure|arrival|depart(?:s|ing)?|arriv(?:e|es|al|ing)?)\s*[:—–-]?\s*(.+)$", r"(?i)^(phase|step|stage|milestone|sprint|task|iteration)\s"
+_INITIALS = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
+
+
+@query(
+    rf"""with {LINES_SQL}, t0 as (select doc_id, line_no, {_ITEM} as text, case when contains(line, '|') and not regexp_matches({_BARS}, '^[\s:|-]+$') then list_transform(string_split({_BARS}, '|'), lambda c: trim(c)) end as cs from fixture_lines),
+t1 as (select *, case when len(cs) >= 2 and len(list_filter(cs, lambda c: c <> '')) > 0 then cs end as cells, trim(regexp_extract(text, {sql(X.OBLIGATION)}, 1)) as owed, trim({_match("text", X.OBLIGATION, 2)}) as owed_rest, {_match("text", _LEG)} as leg, trim({_match("text", _LEG, 2)}) as leg_rest,
+  {_match("trim(text)", X.ORDINAL, 0)} as head, {_match("text", X.DATE_AT_START, 0)} as leads, regexp_extract(text, {sql(X.DATE_ANYWHERE)}, 0) as spot from t0),
+t2 as (select *, coalesce({_found("owed_rest")}, case when {_looks("owed_rest")} then owed_rest end) as owed_on, {_found("leg_rest")} as leg_on, {_match("leg_rest", X.DATE_ANYWHERE + r"\s*[·,]?\s*(\d{1,2}:\d{2})\b", 2)} as clock,
+  trim(regexp_replace(substr(trim(text), length(head) + 1), '^\s*[:—–-]\s*', '')) as step_rest, {_INITIALS.format(_match("trim(text)", X.ORDINAL))} || ' ' || upper(regexp_extract(trim(text), {sql(X.ORDINAL)}, 2)) as marker,
+  coalesce(trim(regexp_replace(regexp_replace({_match("text", X.DATE_AT_START)}, '\.$', ''), '\s+', ' ', 'g')), {_found("text")}) as day,
+  case when leads is not null then trim(regexp_replace(substr(text, length(leads) + 1), '^\s*[:—–-]\s*', '')) else trim(regexp_replace(regexp_replace(left(text, strpos(text, spot) - 1) || ' ' || substr(text, strpos(text, spot) + length(spot)), '\s+', ' ', 'g'), '^\s*[:—–-]\s*|\s*[:—–-]\s*$', '', 'g')) end as rest from t1),
+t3 as (select *, {_match(f"trim(regexp_extract(step_rest, {sql(_TAIL)}, 2))", L.TRAILING_STATE, 0)} as step_key, {_match(f"trim(regexp_extract(rest, {sql(_TAIL)}, 2))", L.TRAILING_STATE, 0)} as end_key, {_state(f"nullif(trim(regexp_extract(rest, {sql(_PAREN)}, 2)), '')")} as in_paren from t2),
+t4 as (select *, case when step_key is not null then trim(regexp_extract(step_rest, {sql(_TAIL)}, 1)) else step_rest end as step_body, case when in_paren is not null then trim(regexp_extract(rest, {sql(_PAREN)}, 1)) when end_key is not null then trim(regexp_extract(rest, {sql(_TAIL)}, 1)) else rest end as title from t3),
+t5 as (select *, case when length(step_body) < 2 then marker else step_body end as step_title from t4),
+e as (select doc_id, line_no, case when coalesce(cells[1], '') <> '' and {_looks("cells[1]")} then {{'date': cells[1], 'title': cells[2], 'state': coalesce({_state("coalesce(cells[3], '')")}, 'planned'), 'of': array_to_string(cells[3:], '. ')}}
+  when regexp_matches(cells[1], '(?i)^[A-Z]{{2,}}-\d+') then {{'date': cells[1], 'title': cells[2], 'state': case when contains(lower(coalesce(cells[3], '')), 'priorit') then 'planned' else coalesce({_state("coalesce(cells[3], '')")}, 'planned') end, 'of': null}}
+  when owed_on is not null then {{'date': owed_on, 'title': left({_INITIALS.format("owed")} || ': ' || owed_rest, 200), 'state': case when regexp_matches(owed, '(?i)due|payment') then 'planned' else 'done' end, 'of': null}}
+  when leg_on is not null then {{'date': concat_ws(' ', leg_on, clock), 'title': trim(regexp_replace(case when starts_with(lower(leg), 'arriv') then 'Arrival: ' else 'Departure: ' end || leg_rest, '\s+', ' ', 'g')), 'state': 'planned', 'of': null}}
+  when head is not null and regexp_matches(text, {sql(_BY_NUMBER)}) then {{'date': marker, 'title': step_title, 'state': coalesce({_state("step_key")}, {_state("step_rest")}, 'planned'), 'of': step_title}}
+  when day is not null and length(rest) >= 2 and length(title) >= 2 then {{'date': day, 'title': title, 'state': coalesce(in_paren, {_state("end_key")}, 'planned'), 'of': title}} end as e from t5)
+select doc_id, cast(line_no as int) as line_no, e.date, e.title, e.state, {_made("e.of", X.PRODUCES)} as produces, {_made("e.of", X.REQUIRES)} as requires from e where e is not null"""
+)
 def parse_timeline(spark, sf_dir):
     return _parsed(spark, sf_dir, L.parse_timeline)
 
