@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import fixed as X
 from marginalia.functions import lines as L
 from marginalia.functions.text import matches
-from marginalia.operators import statements, structure
+from marginalia.operators import inference, statements, structure
 from marginalia.plans import language as T
 from marginalia.plans.fixtures import DOCUMENTS_SQL, LINES_SQL, documents
 from marginalia.sources import documents as sources
@@ -338,3 +338,21 @@ select doc_id, case when s is null then regexp_replace(list_last(string_split(co
 def guessed_titles(spark, sf_dir):
     """Titles guessed from the first line, else from the file's name."""
     return documents(spark, sf_dir).select("doc_id", structure.guessed_title(F.col("raw"), F.col("label")).alias("title"))
+
+
+_LISTED = f"(regexp_matches(line, {sql(L.TASK)}) or regexp_matches(line, {sql(L.BULLET)}) or regexp_matches(line, {sql(L.NUMBER)}))"
+_STATED = rf"""{_HEADED}, {_KIND}, kinds as (select distinct text, coalesce(direct, direct2, longest, case when regexp_matches(key, '^as an?\s+') then 'actions' end) as kind from k2),
+hs as (select *, last_value(text ignore nulls) over (partition by doc_id order by line_no) as section_title from h),
+bl as (select doc_id, line_no, section_title, {_LISTED} as listed, case when {_LISTED} then {_ITEM.replace("trim(line)", "line")} else line end as body from hs where text is null),
+pt as (select doc_id, line_no, section_title, listed, unnest(range(1, len(ps) + 1)) as pn, unnest(ps) as p from (select *, string_split(regexp_replace(trim(regexp_replace(body, '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as ps from bl)),
+ru as (select *, lag(regexp_matches(p, {sql(X.ABBREVIATION)}) or regexp_matches(p, '\d\.$')) over (partition by doc_id, line_no order by pn) as runs from pt),
+rn as (select *, sum(case when runs then 0 else 1 end) over (partition by doc_id, line_no order by pn) as sn from ru),
+se as (select doc_id, line_no, any_value(section_title) as section_title, any_value(listed) as listed, sn, string_agg(p, ' ' order by pn) as s from rn group by doc_id, line_no, sn),
+ky as (select *, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) as skey from se where s <> '' and len(string_split(s, ' ')) between 3 and 60),
+di as (select * from (select *, row_number() over (partition by doc_id, skey order by line_no, sn) as nth from ky) where nth = 1)"""
+
+
+@query(rf"with {LINES_SQL}, {_STATED} select doc_id, cast(line_no as int) as line_no, section_title, listed, s as text, skey as key, kind as section_kind from di left join kinds on kinds.text = section_title")
+def distilled_statements(spark, sf_dir):
+    """The first statement of each key, and what heads it."""
+    return inference.statements(documents(spark, sf_dir), text="raw")
