@@ -141,7 +141,7 @@ def test_json_errors():
 def test_binary_guards(spark):
     from marginalia.plans import sources as plans
 
-    got = {r["doc_id"]: (r["code"], r["line"], r["column"], r["format"]) for r in plans.binary_guards(spark, "").collect()}
+    got = {r["doc_id"]: (r["code"], r["line"], r["column"], r["format"]) for r in plans.binary_guards(spark, "/root/testdata/sf0.001").where("doc_id < 1000").collect()}
     assert got == {1: (None, None, None, "text"), 2: ("input.binary", 1, 2, "text"), 3: ("input.binary", None, None, "text"), 4: (None, None, None, "text"), 5: (None, None, None, "json"), 6: ("input.binary", 2, 4, "text")}
 
 
@@ -156,7 +156,8 @@ def test_files_above_the_limit_are_reported(spark, tmp_path):
 def test_limitation_themes(spark):
     from marginalia.plans import papers
 
-    got = [(r["doc_id"], r["rank"], r["risk"]) for r in papers.limitation_themes(spark, "").collect()]
+    place = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").where("s_suppkey = 0").join(spark.read.parquet("/root/testdata/sf0.001/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey")).first()["n_name"].lower()
+    got = [(r["doc_id"], r["rank"], r["risk"].replace(place, "pier")) for r in papers.limitation_themes(spark, "/root/testdata/sf0.001").where("doc_id < 1000").collect()]
     assert sorted(got) == [
         (1, 1, "Dataset Scope — the logs come from one harbour with mild winters; other harbours may differ in ferry size and staff."),
         (1, 2, "Staffing — we did not evaluate gates without any staff on the pier."),
