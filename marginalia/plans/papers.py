@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.functions import fixed as X
-from marginalia.operators import graphs
+from marginalia.operators import graphs, library
 from marginalia.operators import research as R
 from marginalia.runtime import stored
 from marginalia.plans.fixtures import told, told_sql
@@ -249,3 +249,20 @@ def limitation_themes(spark, sf_dir):
 
 
 QUERIES["limitation_themes"] = limitation_themes
+
+
+@query(
+    _LINES
+    + _CLAIMS
+    + r""", en as (select doc_id, case kind when 'metric' then 'signals' when 'claim' then 'timeline' else 'decisions' end as kind, sentence as text, nullif(regexp_extract(sentence, '[0-9]+(?:\.[0-9]+)?%'), '') as value from cl),
+cp as (select doc_id, count(*) as copied from en d where kind = 'decisions' and lower(trim(text)) in (select lower(trim(f.text)) from en f where f.kind = 'timeline' and f.doc_id = d.doc_id) group by doc_id)
+select en.doc_id, count(*) filter (kind = 'timeline') as findings, count(*) filter (kind = 'signals') as evidence, count(*) filter (kind = 'decisions') as insights,
+  count(*) filter (kind = 'timeline' and (contains(text, '|') or regexp_matches(text, '^\s*[0-9.]+\s+[0-9.]+\s+[0-9.]+'))) as table_like, count(*) filter (kind = 'signals' and value is not null) as with_values, coalesce(any_value(copied), 0) as copied
+from en left join cp using (doc_id) group by en.doc_id"""
+)
+def research_checks(spark, sf_dir):
+    """Checks of what papers were read into: here their claims, measured ones as evidence, limits and gaps as insights."""
+    kind = F.when(F.col("kind") == "metric", "signals").when(F.col("kind") == "claim", "timeline").otherwise("decisions")
+    value = F.nullif(F.regexp_extract("sentence", r"[0-9]+(?:\.[0-9]+)?%", 0), F.lit(""))
+    claims = R.claims(_docs(spark, sf_dir)).select("doc_id", kind.alias("kind"), F.col("sentence").alias("text"), value.alias("value"))
+    return library.research_checks(stored(claims, "checked-claims"))
