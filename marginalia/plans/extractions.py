@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import repair as R
 from marginalia.plans.fixtures import told, told_sql
+from marginalia.runtime import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -153,12 +154,13 @@ def v6_quality(spark, sf_dir):
     return R.quality(R.repaired(_rows(spark, sf_dir)))
 
 
-@query(_FROM + _SCORE + " select i.doc_id, i.timeline_honesty < c.timeline_honesty - 0.05 or i.overall + 0.08 < c.overall or (i.memory_density = 0 and c.memory_density > 0) as fallback from q i, q c where c.doc_id = 1")
+@query(_FROM + _SCORE + " select i.doc_id, i.timeline_honesty < c.timeline_honesty - 0.05 or i.overall + 0.08 < c.overall or (i.memory_density = 0 and c.memory_density > 0) as fallback from q i join q c on c.doc_id = floor(i.doc_id / 1000) * 1000 + 1")
 def v6_fallback(spark, sf_dir):
-    """Whether each extraction is worse than the first one's scores, taken as the local candidate of all."""
-    scores = R.quality(R.repaired(_rows(spark, sf_dir)))
-    candidate = scores.where("doc_id = 1").drop("doc_id")
-    return R.falls_back(scores.select("doc_id").join(F.broadcast(candidate)), scores)  # one row
+    """Whether each extraction is worse than the scores of its supplier's first one, taken as the local candidate of all that supplier's."""
+    scores = stored(R.quality(R.repaired(_rows(spark, sf_dir))), "scores")
+    first = F.floor(F.col("doc_id") / 1000) * 1000 + 1
+    candidate = scores.select("doc_id", first.alias("_first")).join(scores.withColumnRenamed("doc_id", "_first"), "_first").drop("_first")
+    return R.falls_back(candidate, scores)
 
 
 @query(_FROM + r""", parts as (select doc_id, ord, content from fin where b = 'snapshot' and ord <= (select max(o) from (select f.ord as o, row_number() over (partition by f.doc_id order by f.ord) as r from fin f where f.b = 'snapshot' and f.doc_id = fin.doc_id) where r <= 3)),

@@ -165,6 +165,22 @@ def test_limitation_themes(spark):
     ]
 
 
+def _other_suppliers(spark, tmp_path):
+    """The given suppliers without number 0."""
+    for t in ("supplier", "nation"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").where("s_suppkey > 0" if t == "supplier" else "true").write.parquet(str(tmp_path / f"{t}.parquet"))
+    return str(tmp_path)
+
+
+def test_extractions_are_compared_within_their_supplier(spark, tmp_path):
+    from marginalia.plans import extractions
+
+    rows = extractions.v6_fallback(spark, _other_suppliers(spark, tmp_path)).collect()
+    assert {r["doc_id"] // 1000 for r in rows} == set(range(1, 10))
+    assert len(rows) == 9 * len(EXTRACTIONS)
+    assert {r["doc_id"] % 1000: r["fallback"] for r in rows if r["doc_id"] // 1000 == 4} == {1: False, 2: True, 3: True, 4: True, 5: True, 6: True}
+
+
 def test_restated_decisions_merge(spark):
     rows = [("Business Impact", "approved", None, None, None), ("Preserve linked advances during edits", "proposed", None, None, "D-4"), ("Keep the pier blue", "rejected", "considered", None, None), ("Linked advances remain intact after edits of any order", "approved", "committed", "Auditors ask", None)]
     frame = spark.createDataFrame([(rows,)], "d array<struct<text:string,status:string,commitment:string,because:string,ref:string>>")
