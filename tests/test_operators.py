@@ -181,6 +181,15 @@ def test_extractions_are_compared_within_their_supplier(spark, tmp_path):
     assert {r["doc_id"] % 1000: r["fallback"] for r in rows if r["doc_id"] // 1000 == 4} == {1: False, 2: True, 3: True, 4: True, 5: True, 6: True}
 
 
+def test_every_paper_is_merged_with_another_graph(spark, tmp_path):
+    from marginalia.plans import papers
+
+    rows = papers.kg_merge(spark, _other_suppliers(spark, tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} == {1000 * s + n for s in range(1, 10) for n in (1, 2, 3)}
+    assert all((r["source"], r["target"]) != ("gate_paper", "missing") and r["source"] != r["target"] for r in rows)
+    assert ("gate_paper", "metric_other", "states") in {tuple(r)[1:] for r in rows if r["doc_id"] == 4003}
+
+
 def test_restated_decisions_merge(spark):
     rows = [("Business Impact", "approved", None, None, None), ("Preserve linked advances during edits", "proposed", None, None, "D-4"), ("Keep the pier blue", "rejected", "considered", None, None), ("Linked advances remain intact after edits of any order", "approved", "committed", "Auditors ask", None)]
     frame = spark.createDataFrame([(rows,)], "d array<struct<text:string,status:string,commitment:string,because:string,ref:string>>")
