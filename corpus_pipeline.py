@@ -10,15 +10,18 @@ table of no rows gives one.
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import near_copies, packing, quality_classifier, toxicity
-from marginalia.llm.common import free_name, stored, table
+from marginalia.llm.common import discard, free_name, stored, table
 from marginalia.runtime import ship
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Weights of the quality model are whole multiples of 1 / WHOLE, so their sums are exact, and a text's key is the same on any machine.
+WHOLE = float(1 << 24)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +35,12 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     labels = table(ship(spark), sf_dir, "labels")
     own = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
     weight, key = free_name(docs, "_log_weight"), free_name(docs, "_key")
-    rows = stored(quality_classifier.keyed(docs, quality_classifier.train(docs, labels), weight=weight, key=key), "keyed")
-    return rows.where(quality_classifier.chosen(rows, quality_classifier.keep_share(own), key)).select(*docs.columns)
+    model = np.round(quality_classifier.train(docs, labels) * WHOLE) / WHOLE
+    rows = quality_classifier.keyed(docs, model, weight=weight, key=key)
+    keys = stored(rows.select(key), "keys")  # no texts: the rows that stay get their keys again
+    keep = quality_classifier.chosen(keys, quality_classifier.keep_share(own), key)
+    discard(keys)
+    return rows.where(keep).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ and often by more, which no covering by blocks or anchors can list, so a second
 the same hashes; a pair of similarity s shares no band with probability (1 - s^ROWS)^BANDS, at most 1.3e-7 at 0.8.  Each
 candidate, from either, is then verified on the shingles themselves.
 
+Before texts move, pairs that can't be similar are dropped on sketches: a set of n shingles is a bitmap of 4 n to 8 n bits, a bit for the low
+bits of each hash.  A bit that only one of two sets has stands for at least one shingle that only this set has, so the bitmaps bound the
+intersection from above, and no similar pair is dropped.
+
 Texts with equal sets are one class before anything is compared.  Each band's group is compared with one of its members only, the first
 in one of ORDERS orders, so a large group costs as many pairs as it has members.  Members of groups that the links found so far don't
 connect are then grouped by pairs of bands, where texts that merely share a passage seldom meet, and compared with one member of each such
@@ -30,6 +34,8 @@ from marginalia.llm.common import components, discard, held, slices, stored
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 40, 5
+#: Bits of the largest sketch (128 kB).
+SKETCH_BITS = 1 << 20
 #: Steps from a band to the ones it is paired with, and the orders that choose whom a group is compared with.
 STEPS, ORDERS = (1, 3, 7), 4
 _RANDOM = np.random.default_rng(42)
@@ -55,10 +61,43 @@ def similar(a: set[bytes], b: set[bytes], least: float = LEAST) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
+def hashes_of(found: set[bytes]) -> np.ndarray:
+    """The hashes of the shingles in order, as many as there are shingles."""
+    digest = xxhash.xxh64_intdigest
+    return np.sort(np.array([digest(s, 42) for s in found], dtype=np.uint64))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """The bitmap of a set: a power of 2 of bits, at most SKETCH_BITS."""
+    bits = min(SKETCH_BITS, max(64, 1 << (4 * len(hashes) - 1).bit_length() if len(hashes) else 64))
+    out = np.zeros(bits, dtype=bool)
+    out[(hashes & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def may_be_similar(n: int, a: bytes, m: int, b: bytes, least: float = LEAST) -> bool:
+    """Whether sets of n and m shingles with the sketches a and b can be similar."""
+    if min(n, m) < least * max(n, m):
+        return False
+    x, y, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * min(len(a), len(b))
+    x, y = _folded(x, 8 * len(a), bits), _folded(y, 8 * len(b), bits)
+    both = min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count())
+    return both >= least * (n + m - both)
+
+
+def _folded(x: int, bits: int, to: int) -> int:
+    while bits > to:
+        bits //= 2
+        x = (x & ((1 << bits) - 1)) | (x >> bits)
+    return x
+
+
 def signature(found: set[bytes]) -> tuple[bytes, int, list[int]]:
     """(digest of the set, its SimHash print, key of each band); no bands for an empty set."""
-    digest = xxhash.xxh64_intdigest
-    hashes = np.sort(np.array([digest(s, 42) for s in found], dtype=np.uint64))
+    return _signature(hashes_of(found))
+
+
+def _signature(hashes: np.ndarray) -> tuple[bytes, int, list[int]]:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 512):
         np.minimum(least, (hashes[at : at + 512, None] * _TIMES + _PLUS).min(axis=0), out=least)
@@ -69,8 +108,16 @@ def signature(found: set[bytes]) -> tuple[bytes, int, list[int]]:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held("near_copies", dict)
     for batch in slices(batches, 256, 1):
-        out = [signature(shingles(t.as_py())) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["_row", "class", "print", "bands"])
+        hashes = [hashes_of(shingles(t.as_py())) for t in batch.column(1)]
+        out = [_signature(h) for h in hashes]
+        columns = [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64())), pa.array([len(h) for h in hashes], pa.int64()), pa.array([sketch(h) for h in hashes], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_row", "class", "print", "bands", "size", "sketch"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 1024):
+        fits = [may_be_similar(n, x, m, y) for n, x, m, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,11 +137,26 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 FEW = 500_000
 
 
+def _of_pairs(pairs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ids that `pairs` name, stored, and their rows."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "ids")
+    return ids, rows.join(F.broadcast(ids) if ids.count() <= FEW else ids, "_row", "left_semi")
+
+
+def possible(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sketches allow to be similar; signed: (_row, size, sketch)."""
+    ids, own = _of_pairs(pairs, signed.select("_row", "size", "sketch"))
+    of = lambda end: own.select(F.col("_row").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b")
+    out = stored(both.mapInArrow(_possible, "a long, b long"), "possible")
+    discard(ids)
+    return out
+
+
 def verified(pairs: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
     """The pairs (a, b) of rows whose shingles are similar enough; only texts of candidates move."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "ids")
-    few = F.broadcast(ids) if ids.count() <= FEW else ids
-    texts = stored(rows.select("_row", F.col(text).alias("t")).join(few, "_row", "left_semi"), "texts")
+    ids, own = _of_pairs(pairs, rows.select("_row", F.col(text).alias("t")))
+    texts = stored(own, "texts")
     of = lambda end: texts.select(F.col("_row").alias(end), F.col("t").alias(f"text_{end}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
     out = stored(both.mapInArrow(_verify, "a long, b long"), "links")
@@ -126,28 +188,38 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 def kept_rows(rows: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_row) of the row that stays of each component of near copies; `rows` is stored and has a unique long `_row`."""
-    signed = stored(rows.select("_row", text).mapInArrow(_sign, "_row long, class binary, print long, bands array<long>"), "signatures")
+    signed = stored(rows.select("_row", text).mapInArrow(_sign, "_row long, class binary, print long, bands array<long>, size long, sketch binary"), "signatures")
     best = F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("_row").alias("row")))
     classes = stored(signed.select("_row", "class").join(rows.select("_row", F.col(id).alias(id)), "_row").groupBy("class").agg(F.min("_row").alias("node"), best.alias("best")).select("node", "best"), "classes")
     nodes = signed.join(classes.select(F.col("node").alias("_row")), "_row", "left_semi").select(F.col("_row").alias("node"), "print", "bands").where("size(bands) > 0")
     groups = stored(stars(nodes.select("node", F.posexplode("bands").alias("k", "band"))), "groups")  # few, most bands are of one node
     first = stored(ordered(groups.select("a", "b").union(print_pairs(nodes.select("node", "print")))), "pairs")
-    edges = verified(first, rows, text)
+    near = possible(first, signed)
+    edges = verified(near, rows, text)
     parts = stored(components(edges), "parts")
     part = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}"))
     apart = lambda ps: ps.join(part("a"), "a", "left").join(part("b"), "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
     # Nodes of groups that aren't connected yet meet again in pairs of bands.
     open_ = stored(apart(groups).select(F.explode(F.array("a", "b")).alias("node")).distinct(), "open")
-    again = nodes.join(open_, "node", "left_semi").select("node", F.posexplode(F.concat(*[_paired(d) for d in STEPS])).alias("k", "band"))
+    # A pair of bands can be shared only where both are: other bands are null.
+    shared = groups.groupBy(F.col("a").alias("node")).agg(F.collect_set("band").alias("shared"))  # at most BANDS values
+    bound = nodes.join(open_, "node", "left_semi").join(shared, "node").select("node", F.transform("bands", lambda x: F.when(F.array_contains("shared", x), x)).alias("bands"))
+    again = bound.select("node", F.posexplode(F.concat(*[_paired(d) for d in STEPS])).alias("k", "band")).where("band is not null")
     second = stored(ordered(apart(stars(again)).select("a", "b")).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = verified(second, rows, text)
+    near_too = possible(second, signed)
+    more = verified(near_too, rows, text)
     all_parts = components(edges.union(more))
     named = classes.join(all_parts, "node", "left").select("best", F.coalesce("component", "node").alias("root"))
     kept = stored(named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best")["row"].alias("_row")), "kept")
-    discard(signed, classes, groups, first, edges, parts, open_, second, more)
+    discard(signed, classes, groups, first, near, edges, parts, open_, second, near_too, more)
     return kept
 
 
 def _paired(step: int):
-    """The keys of each band together with the one `step` further on."""
-    return F.transform("bands", lambda x, i: F.xxhash64(x, F.get("bands", (i + step) % BANDS), F.lit(step)))
+    """The keys of each band together with the one `step` further on, null where one of them is."""
+
+    def key(x, i):
+        other = F.get("bands", (i + step) % BANDS)
+        return F.when(x.isNotNull() & other.isNotNull(), F.xxhash64(x, other, F.lit(step)))
+
+    return F.transform("bands", key)

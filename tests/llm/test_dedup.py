@@ -1,12 +1,13 @@
 """SimHash, components and embeddings against brute force."""
 
+import math
 import random
 
 import corpus_pipeline
 import numpy as np
 import xxhash
 
-from marginalia.llm import embedding_dedup, near_copies, simhash
+from marginalia.llm import embedding_dedup, near_copies, quality_classifier, simhash
 from marginalia.llm.common import Forest, components
 
 
@@ -176,3 +177,37 @@ def test_pipeline_keeps_rows_not_ids(spark):
     docs = spark.createDataFrame([(1, a), (2, a), (2, b), (None, c), (None, d), (None, a), (3, b), (2, b)], "doc_id long, text string")
     got = [(x["doc_id"], x["text"]) for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert sorted(got, key=lambda x: x[1]) == [(1, a), (2, b), (None, c), (None, d)]
+
+
+def test_sketches_drop_no_similar_pair(spark):
+    """Whatever the sizes, a similar pair passes; pairs that share a part only are dropped before their texts move."""
+    r = random.Random(8)
+    dropped = 0
+    for n in (1, 2, 5, 60, 61, 63, 64, 65, 400, 3000):
+        for m in (n, n + n // 9, n + n // 4, 2 * n):
+            for shared in {n, n - n // 10, n - n // 9, n // 2, 0}:
+                pool = [b"%d" % x for x in r.sample(range(10**9), n + m)]
+                a, b = set(pool[:n]), set(pool[n - shared : n - shared + m])
+                fits = near_copies.may_be_similar(len(a), near_copies.sketch(near_copies.hashes_of(a)), len(b), near_copies.sketch(near_copies.hashes_of(b)))
+                assert fits or not near_copies.similar(a, b)
+                dropped += not fits
+    assert dropped > 100
+    texts = {1: " ".join(f"a{i}" for i in range(300)), 2: " ".join(f"a{i}" for i in range(290)), 3: " ".join(f"a{i}" if i < 150 else f"b{i}" for i in range(300))}
+    sets = [(k, near_copies.hashes_of(near_copies.shingles(t))) for k, t in texts.items()]
+    signed = spark.createDataFrame([(k, len(h), bytearray(near_copies.sketch(h))) for k, h in sets], "_row long, size long, sketch binary")
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "a long, b long")
+    assert {tuple(x) for x in near_copies.possible(pairs, signed).collect()} == {(2, 1)}
+
+
+def test_texts_are_not_stored_for_their_keys(spark, tmp_path, monkeypatch):
+    """The quality stage writes keys only, and keeps what the rows with their keys say."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * k % 50}" for k in range(30))) for i in range(200)], "doc_id long, text string")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 200, 3)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    written = []
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda rows, name: written.append(rows.columns) or near_copies.stored(rows, name))
+    got = {r["doc_id"] for r in corpus_pipeline.drop_low_quality(spark, docs, str(tmp_path)).collect()}
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    keys = {r["doc_id"]: r["_key"] for r in quality_classifier.keyed(docs, quality_classifier.train(docs, labels)).collect()}
+    n = math.ceil(quality_classifier.keep_share(labels) * 200)
+    assert got == set(sorted(keys, key=keys.get)[-n:])
+    assert written and not any("text" in c for c in written)
