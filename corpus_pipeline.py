@@ -48,8 +48,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ship(spark)
     name = free_name(docs, "_row")
     rows = stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
-    kept = near_copies.kept_rows(rows.select(F.col(name).alias("_row"), "doc_id", "text"))
-    return rows.join(kept, rows[name] == kept["_row"], "left_semi").select(*docs.columns)
+    dropped = near_copies.few(near_copies.dropped_rows(rows.select(F.col(name).alias("_row"), "doc_id", "text")))
+    return rows.join(dropped, rows[name] == dropped["_row"], "left_anti").select(*docs.columns)  # texts don't move for few ids
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,10 +137,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 FEW = 500_000
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """Stored ids for a join: broadcast unless they are many, so that the rows they are joined to don't move."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def _of_pairs(pairs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The ids that `pairs` name, stored, and their rows."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "ids")
-    return ids, rows.join(F.broadcast(ids) if ids.count() <= FEW else ids, "_row", "left_semi")
+    return ids, rows.join(few(ids), "_row", "left_semi")
 
 
 def possible(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -186,12 +191,20 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def kept_rows(rows: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_row) of the row that stays of each component of near copies; `rows` is stored and has a unique long `_row`."""
+def class_nodes(signed: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of `signed` that stand for no class, stored, and (node, print, bands) of the others, without the class of no words."""
+    shared = classes.where("n > 1").select("class", "node")
+    copies = stored(signed.select("_row", "class").join(shared, "class").where("_row <> node").select("_row"), "copies")
+    nodes = signed.join(few(copies), "_row", "left_anti")
+    return copies, nodes.select(F.col("_row").alias("node"), "print", "bands").where("size(bands) > 0")
+
+
+def dropped_rows(rows: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_row) of all but the row that stays of each component of near copies, stored; `rows` is stored and has a unique long `_row`."""
     signed = stored(rows.select("_row", text).mapInArrow(_sign, "_row long, class binary, print long, bands array<long>, size long, sketch binary"), "signatures")
     best = F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("_row").alias("row")))
-    classes = stored(signed.select("_row", "class").join(rows.select("_row", F.col(id).alias(id)), "_row").groupBy("class").agg(F.min("_row").alias("node"), best.alias("best")).select("node", "best"), "classes")
-    nodes = signed.join(classes.select(F.col("node").alias("_row")), "_row", "left_semi").select(F.col("_row").alias("node"), "print", "bands").where("size(bands) > 0")
+    classes = stored(signed.select("_row", "class").join(rows.select("_row", F.col(id).alias(id)), "_row").groupBy("class").agg(F.min("_row").alias("node"), best.alias("best"), F.count("*").alias("n")), "classes")
+    copies, nodes = class_nodes(signed, classes)
     groups = stored(stars(nodes.select("node", F.posexplode("bands").alias("k", "band"))), "groups")  # few, most bands are of one node
     first = stored(ordered(groups.select("a", "b").union(print_pairs(nodes.select("node", "print")))), "pairs")
     near = possible(first, signed)
@@ -203,7 +216,7 @@ def kept_rows(rows: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     open_ = stored(apart(groups).select(F.explode(F.array("a", "b")).alias("node")).distinct(), "open")
     # A pair of bands can be shared only where both are: other bands are null.
     shared = groups.groupBy(F.col("a").alias("node")).agg(F.collect_set("band").alias("shared"))  # at most BANDS values
-    bound = nodes.join(open_, "node", "left_semi").join(shared, "node").select("node", F.transform("bands", lambda x: F.when(F.array_contains("shared", x), x)).alias("bands"))
+    bound = nodes.join(few(open_), "node", "left_semi").join(shared, "node").select("node", F.transform("bands", lambda x: F.when(F.array_contains("shared", x), x)).alias("bands"))
     again = bound.select("node", F.posexplode(F.concat(*[_paired(d) for d in STEPS])).alias("k", "band")).where("band is not null")
     second = stored(ordered(apart(stars(again)).select("a", "b")).join(first, ["a", "b"], "left_anti"), "pairs")
     near_too = possible(second, signed)
@@ -211,8 +224,9 @@ def kept_rows(rows: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     all_parts = components(edges.union(more))
     named = classes.join(all_parts, "node", "left").select("best", F.coalesce("component", "node").alias("root"))
     kept = stored(named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best")["row"].alias("_row")), "kept")
-    discard(signed, classes, groups, first, near, edges, parts, open_, second, near_too, more)
-    return kept
+    dropped = stored(signed.select("_row").join(kept, "_row", "left_anti"), "dropped")
+    discard(signed, classes, copies, groups, first, near, edges, parts, open_, second, near_too, more, kept)
+    return dropped
 
 
 def _paired(step: int):

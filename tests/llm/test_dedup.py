@@ -211,3 +211,22 @@ def test_texts_are_not_stored_for_their_keys(spark, tmp_path, monkeypatch):
     n = math.ceil(quality_classifier.keep_share(labels) * 200)
     assert got == set(sorted(keys, key=keys.get)[-n:])
     assert written and not any("text" in c for c in written)
+
+
+def test_texts_stay_where_they_lie(spark, monkeypatch):
+    """Neither texts nor bands are shuffled for a few ids, however many rows stay; with many ids they are, and the result is the same."""
+    texts = [" ".join(f"w{i % 25}x{k}" for k in range(30)) for i in range(40)] + [None, "", "one", "ONE"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    moves = lambda rows: "Exchange hashpartitioning" in rows._jdf.queryExecution().executedPlan().toString()
+    made, nodes_of = [], near_copies.class_nodes
+    monkeypatch.setattr(near_copies, "class_nodes", lambda *tables: made.append(nodes_of(*tables)) or made[-1])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if all tables were large
+    try:
+        for few in (near_copies.FEW, 0):
+            monkeypatch.setattr(near_copies, "FEW", few)
+            got = corpus_pipeline.drop_near_copies(spark, docs, "")
+            assert moves(got) == moves(made[-1][1]) == (few == 0)
+            assert sorted(r["doc_id"] for r in got.collect()) == [*range(25), 40, 42]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
