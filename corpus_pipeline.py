@@ -54,7 +54,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    # The heap is full by now, so the workers count less text at once than in a run of their own.
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), batch=2 << 20)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality_classifier", drop_low_quality), ("simhash_dedup", drop_near_copies), ("packing", pack)]

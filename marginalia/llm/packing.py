@@ -99,6 +99,6 @@ def pack(lengths: DataFrame, id: str = "doc_id", length: str = "n_tokens", windo
     return placed.union(none).select(F.col("_id").alias(id), "part", "start", F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long")).alias("n_tokens"), "bucket", "padded", "batch", "slot")
 
 
-def pack_documents(docs: DataFrame, path: str, **options) -> DataFrame:
-    """Counts the tokens of every whole text with the vocabulary file `path`, then packs."""
-    return pack(token_counts(docs, path), **options)
+def pack_documents(docs: DataFrame, path: str, batch: int = 8 << 20, **options) -> DataFrame:
+    """Counts the tokens of every whole text with the vocabulary file `path`, then packs; batch: as `token_counts` has it."""
+    return pack(token_counts(docs, path, batch=batch), **options)

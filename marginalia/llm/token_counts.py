@@ -290,16 +290,16 @@ def loaded(path: str) -> PrefixCounter:
     return held(("prefixes", path), lambda: PrefixCounter(path))
 
 
-def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), budgets: tuple[int, ...] = ()) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), budgets: tuple[int, ...] = (), batch: int = 8 << 20) -> DataFrame:
     """`keep` columns, `n_tokens` long of every whole text and, for each budget b, `cut_b` long: the characters of its longest
-    prefix of at most b tokens.  A map without any shuffle."""
+    prefix of at most b tokens.  A map without any shuffle.  batch: bytes of text that a worker counts at once; fewer take less memory."""
     names = [*keep, "n_tokens", *(f"cut_{b}" for b in budgets)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(path)
-        for batch in slices(batches, 4096, len(keep)):
-            n, cuts = counter.count_all(batch.column(len(keep)), budgets)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n), *map(pa.array, cuts)], names=names)
+        for rows in slices(batches, 4096, len(keep), batch):
+            n, cuts = counter.count_all(rows.column(len(keep)), budgets)
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(n), *map(pa.array, cuts)], names=names)
 
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), *(f"`{n}` long" for n in names[len(keep) :])])
