@@ -27,3 +27,10 @@ def test_graph_is_made_without_joins(graph):
     kinds = {(r.doc_id, r.relation, r.confidence): 0 for r in edges.collect()}
     assert {k[1:] for k in kinds if k[0] == 2} == {("contains", "EXTRACTED"), ("cites", "EXTRACTED"), ("reports", "EXTRACTED"), ("states", "EXTRACTED"), ("bounds", "EXTRACTED"), ("motivates", "EXTRACTED"), ("addressed_by", "INFERRED"), ("supports", "INFERRED"), ("qualifies", "INFERRED")}
     assert {(r.source, r.target) for r in edges.collect() if r.doc_id == 1} == {(r.source, r.target) for r in edges.collect() if r.doc_id == 2}
+
+
+@pytest.mark.parametrize(("name", "most"), [("kg_merge", 5)])
+def test_graph_queries_join_little(spark, name, most):
+    from marginalia.plans import papers
+
+    assert plan(papers.QUERIES[name](spark, "/root/testdata/sf0.001")).count("Join ") <= most
