@@ -29,7 +29,7 @@ def test_graph_is_made_without_joins(graph):
     assert {(r.source, r.target) for r in edges.collect() if r.doc_id == 1} == {(r.source, r.target) for r in edges.collect() if r.doc_id == 2}
 
 
-@pytest.mark.parametrize(("name", "most"), [("kg_merge", 5), ("kg_surprising", 0)])
+@pytest.mark.parametrize(("name", "most"), [("kg_merge", 5), ("kg_surprising", 0), ("kg_degree", 1)])
 def test_graph_queries_join_little(spark, name, most):
     from marginalia.plans import papers
 
