@@ -127,7 +127,8 @@ select n, na as rewritten, {key("a")} = '' or regexp_matches({key("a")}, {quote(
 def decision_pairs(spark, sf_dir):
     """Which two decisions say the same."""
     rows = told(spark, sf_dir, [(i, *x) for i, x in enumerate(PAIRS)], "n int, a string, b string")
-    return rows.select("n", J.decision_text(F.col("a")).alias("rewritten"), J.is_chrome(F.col("a")).alias("chrome"), J.same_decision(J.decision_parts(F.col("a")), J.decision_parts(F.col("b"))).alias("same"))
+    same = T.let_all(lambda p: F.struct(p["a"]["text"].alias("rewritten"), J.same_decision(p["a"], p["b"]).alias("same")), a=J.decision_parts(F.col("a")), b=J.decision_parts(F.col("b")))
+    return rows.select("n", same.alias("s"), J.is_chrome(F.col("a")).alias("chrome")).select("n", "s.rewritten", "chrome", "s.same")
 
 
 STATEMENTS = (

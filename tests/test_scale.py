@@ -34,3 +34,23 @@ def test_graph_queries_join_little(spark, name, most):
     from marginalia.plans import papers
 
     assert plan(papers.QUERIES[name](spark, "/root/testdata/sf0.001")).count("Join ") <= most
+
+
+def test_told_rows_are_spread(spark):
+    from marginalia.plans.fixtures import told
+
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        rows = told(spark, "/root/testdata/sf0.01", [(1, "a pier")], "doc_id int, text string")
+        assert rows.rdd.getNumPartitions() == 7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize(("module", "name", "letters"), [("language", "decision_pairs", 30_000)])
+def test_expressions_stand_once(spark, module, name, letters):
+    """An expression that a filter below its projection holds once more is evaluated once more for each row."""
+    import importlib
+
+    query = importlib.import_module(f"marginalia.plans.{module}").QUERIES[name]
+    assert len(plan(query(spark, "/root/testdata/sf0.001"))) < letters
