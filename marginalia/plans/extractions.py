@@ -146,7 +146,8 @@ select doc_id, 'orphan_link_repair', sum(n) from (select doc_id, count(*) filter
 select doc_id, 'duplicate_compression', (select count(*) from al where al.doc_id = x.doc_id) - (select count(*) from fin where fin.doc_id = x.doc_id) from x) select doc_id, mode, cast(count as int) as count from rp where count > 0""")
 def v6_repairs(spark, sf_dir):
     """What each step changed."""
-    return R.repaired(_rows(spark, sf_dir)).select("doc_id", F.explode("repairs").alias("r")).select("doc_id", "r.mode", "r.count")
+    # Outer: of an inner explode Spark makes a filter, which holds all steps anew, many times over.
+    return R.repaired(_rows(spark, sf_dir)).select("doc_id", F.explode_outer("repairs").alias("r")).where("r is not null").select("doc_id", "r.mode", "r.count")
 
 
 @query(_FROM + _SCORE + " select * from q")
