@@ -127,7 +127,8 @@ def segment_graph(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir, parse):
-    return _lines(spark, sf_dir).select("doc_id", "line_no", parse(F.col("line")).alias("e")).where("e is not null").select("doc_id", "line_no", "e.*")
+    # Out of an array without nulls: a filter of its own would be pushed below and parse every line once more.
+    return _lines(spark, sf_dir).select("doc_id", "line_no", F.inline(F.array_compact(F.array(parse(F.col("line"))))))
 
 
 _ITEM = f"case when regexp_matches(line, {sql(L.TASK)}) then trim(regexp_extract(line, {sql(L.TASK)}, 2)) when regexp_matches(line, {sql(L.BULLET)}) then trim(regexp_extract(line, {sql(L.BULLET)}, 1)) when regexp_matches(line, {sql(L.NUMBER)}) then trim(regexp_extract(line, {sql(L.NUMBER)}, 2)) else trim(line) end"
