@@ -47,7 +47,7 @@ def test_told_rows_are_spread(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-@pytest.mark.parametrize(("module", "name", "letters"), [("language", "decision_pairs", 30_000), ("extractions", "v6_repairs", 100_000), ("language", "relations_of_entries", 38_000), ("structured", "parse_decisions", 45_000)])
+@pytest.mark.parametrize(("module", "name", "letters"), [("language", "decision_pairs", 30_000), ("extractions", "v6_repairs", 100_000), ("language", "relations_of_entries", 38_000), ("structured", "parse_decisions", 45_000), ("structured", "parse_timeline", 180_000)])
 def test_expressions_stand_once(spark, module, name, letters):
     """An expression that a filter below its projection holds once more is evaluated once more for each row."""
     import importlib
