@@ -54,3 +54,13 @@ def test_expressions_stand_once(spark, module, name, letters):
 
     query = importlib.import_module(f"marginalia.plans.{module}").QUERIES[name]
     assert len(plan(query(spark, "/root/testdata/sf0.001"))) < letters
+
+
+@pytest.mark.parametrize("name", ["concept_weights"])
+def test_phrases_are_not_shuffled(spark, name):
+    """Only a document's text moves: one aggregate, by the document alone."""
+    from marginalia.plans import corpus
+
+    found = plan(corpus.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    grouped = [x.split("Aggregate [")[1] for x in found.split("\n") if "Aggregate [" in x]
+    assert "Join" not in found and grouped and all(x.startswith("doc_id#") and "]" in x[:14] for x in grouped), grouped
