@@ -56,7 +56,7 @@ def test_expressions_stand_once(spark, module, name, letters):
     assert len(plan(query(spark, "/root/testdata/sf0.001"))) < letters
 
 
-@pytest.mark.parametrize("name", ["concept_weights", "concepts_top12"])
+@pytest.mark.parametrize("name", ["concept_weights", "concepts_top12", "concept_ngrams"])
 def test_phrases_are_not_shuffled(spark, name):
     """Only a document's text moves: one aggregate, by the document alone."""
     from marginalia.plans import corpus
