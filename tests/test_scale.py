@@ -64,3 +64,13 @@ def test_phrases_are_not_shuffled(spark, name):
     found = plan(corpus.QUERIES[name](spark, "/root/testdata/sf0.001"))
     grouped = [x.split("Aggregate [")[1] for x in found.split("\n") if "Aggregate [" in x]
     assert "Join" not in found and grouped and all(x.startswith("doc_id#") and "]" in x[:14] for x in grouped), grouped
+
+
+def test_a_headings_key_is_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from marginalia.functions.lines import heading_kind
+
+    rows = spark.createDataFrame([("2. Open risks (all):",), ("Slide 3 - Next steps",), ("As a rider, I pay",), ("Ferry",), (None,)], "t string").select("t", heading_kind(F.col("t")).alias("kind"))
+    assert plan(rows).count("slide|deck") == 1
+    assert {r.t: r.kind for r in rows.collect()} == {"2. Open risks (all):": "risks", "Slide 3 - Next steps": "actions", "As a rider, I pay": "actions", "Ferry": None, None: None}
